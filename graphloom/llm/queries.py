@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from graphloom.llm import op2_urls, op5_shards, op10_secrets
+from graphloom.llm import op2_urls, op3_audio, op4_tokens, op5_shards, op6_pieces, op8_langid, op10_secrets
 
 QUERIES = {
     "op2_url_filters": op2_urls.query,
+    "op3_media_columns": op3_audio.query,
+    "op4_token_counts": op4_tokens.query,
     "op5_sharding": op5_shards.query,
+    "op6_sentencepiece": op6_pieces.query,
+    "op8_language_id": op8_langid.query,
     "op10_secret_scans": op10_secrets.query,
 }
 
