@@ -260,8 +260,8 @@ class Join:
     def pivots(self, lists: DataFrame, keys: list[str]) -> DataFrame:
         """Distinct (a, p) of every list with several members: p is the member of most weight."""
         best = lists.groupBy(*keys).agg(F.max(F.struct("weight", "id")).alias("best"), F.min("id").alias("low"), F.max("id").alias("high"))
-        best = best.where("low != high").select(*keys, F.col("best.id").alias("p"))
-        return lists.join(best, keys).where("id != p").select(F.col("id").alias("a"), "p").distinct()
+        best = best.where("low != high").select(*keys, F.col("best.id").alias("pivot"))
+        return lists.join(best, keys).where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("p")).distinct()
 
     def compared(self, pairs: DataFrame) -> DataFrame:
         """a, p, linked of every pair (a, p), by the exact overlap."""

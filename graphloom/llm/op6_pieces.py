@@ -283,7 +283,16 @@ def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
 
     Whole texts are encoded. Repeated rows get equal results; an empty table gives an empty result; other
     columns are ignored. A text's word marks (U+2581) are encoded as spaces, as the library does."""
-    proto, kind = _read(model), docs.schema["doc_id"].dataType.simpleString()
+    return encode_corpus(docs, model, ())
+
+
+def encode_corpus(docs: DataFrame, model: str | None = None, keep: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+    """doc_id, the columns `keep`, n_tokens and ids (array of int) for every row, in one pass over the texts.
+
+    Rows as in encode_documents()."""
+    proto = _read(model)
+    held = docs.select("doc_id", *keep, F.col("text").cast("string").alias("text"))
+    kind = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema if f.name != "text"), "n_tokens long, ids array<int>"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = pieces_of(proto)
@@ -292,9 +301,10 @@ def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
             for part in parts(texts):
                 ids = encode_batch(v, texts[part])
                 at = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id")[part], pa.array([len(x) for x in ids], pa.int64()), pa.ListArray.from_arrays(at, pa.array(np.concatenate(ids)))], ["doc_id", "n_tokens", "ids"])
+                kept = [b.column(c)[part] for c in ("doc_id", *keep)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array([len(x) for x in ids], pa.int64()), pa.ListArray.from_arrays(at, pa.array(np.concatenate(ids)))], ["doc_id", *keep, "n_tokens", "ids"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(encode, f"doc_id {kind}, n_tokens long, ids array<int>")
+    return held.mapInArrow(encode, kind)
 
 
 def decode_documents(encoded: DataFrame, model: str | None = None) -> DataFrame:
