@@ -25,8 +25,9 @@ from graphloom.llm.common import table
 
 MARK = "▁"
 UNIT = re.compile(f"{MARK}+[^{MARK}]*")
-#: Characters of texts that are indexed together; units longer than LONG_UNIT are relaxed by a heap each.
-BATCH_CHARS, LONG_UNIT = 6_000_000, 48
+#: Characters of texts that are cut into units together, and of distinct units that share a suffix array (a
+#: longer unit has one of its own); units longer than LONG_UNIT are relaxed by a heap each.
+BATCH_CHARS, INDEX_CHARS, LONG_UNIT = 2_000_000, 600_000, 48
 NONE = np.iinfo(np.int32).max
 
 
@@ -235,6 +236,19 @@ def encode_units(v: Pieces, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, begin
 
 
+def encode_blocks(v: Pieces, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """encode_units() by blocks of about INDEX_CHARS characters, as units don't depend on one another."""
+    sizes = np.cumsum([len(u) + 1 for u in units])
+    cuts = np.flatnonzero(np.diff(sizes // INDEX_CHARS)) + 1
+    ids, begins, at = [], [np.zeros(1, np.int64)], 0
+    for a, b in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(units)].tolist(), strict=True):
+        some, begin = encode_units(v, units[a:b])
+        ids.append(some)
+        begins.append(begin[1:] + at)
+        at += len(some)
+    return np.concatenate(ids), np.concatenate(begins)
+
+
 def encode_batch(v: Pieces, texts: list[str]) -> list[np.ndarray]:
     """Ids of every text; an empty text has none."""
     all_units: list[str] = []
@@ -247,7 +261,7 @@ def encode_batch(v: Pieces, texts: list[str]) -> list[np.ndarray]:
         return [np.empty(0, np.int32) for _ in texts]
     index = dict.fromkeys(all_units)
     index = dict(zip(index, range(len(index)), strict=True))
-    ids, begin = encode_units(v, list(index))
+    ids, begin = encode_blocks(v, list(index))
     unit = np.fromiter(map(index.__getitem__, all_units), np.int64, len(all_units))
     count = np.diff(begin)[unit]
     after = np.cumsum(count)

@@ -203,19 +203,22 @@ def predict(docs: DataFrame, model: ByteGru | None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.35) -> DataFrame:
-    """Rows of `docs` whose text the network gives a language with a pooled probability of `min_score`."""
-    model = train(docs)
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
+    """Rows of `docs` whose text the network gives a language with a pooled probability of `min_score`.
+
+    Rows without a letter in their text go. Where no row is labelled nothing is learned, and all others stay."""
+    model, lettered = train(docs), docs.where(has_letter(F.col("text").cast("string")))
+    if model is None:
+        return lettered
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = b.column("text").cast(pa.large_binary())
-            if len(text) and model is not None:
+            if len(text):
                 offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
                 p = model.pooled(np.frombuffer(text.buffers()[2] or b"\0", np.uint8), offsets)
                 yield b.filter(pa.array(p.max(axis=1) >= min_score))
 
-    return docs.where(has_letter(F.col("text"))).mapInArrow(kept, kind)
+    return lettered.mapInArrow(kept, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
