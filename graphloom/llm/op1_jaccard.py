@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import cut, table, text_or_empty
 
 #: Bytes of text that are hashed together, and tokens that a bucket of the uniqueness count holds on average.
-PART_BYTES, BUCKET_TOKENS = 2_000_000, 1_500_000
+PART_BYTES, BUCKET_TOKENS = 500_000, 700_000
 #: Share of the hash space of the first count, as a number of top bits: a quarter.
 FIRST_BITS = 2
 #: Set sizes that may be the boundary of light and heavy sets.
@@ -69,26 +69,47 @@ class Powers:
 POWERS = Powers()
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of every text between `offsets`, whole texts with white space as in
-    [\\x20\\x09-\\x0D] and A-Z lower-cased; a text with fewer than k words is one shingle."""
-    base, data = int(offsets[0]), data[offsets[0] : offsets[-1]]
-    offsets = (offsets - base).astype(np.int64)
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words between `offsets` of `data` (from 0 on), and the first word of every text."""
     n = len(data)
-    if n == 0:
-        return [np.empty(0, np.uint64)] * (len(offsets) - 1)
     POWERS.reach(n + 1)
     word = ~_SPACE[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
-    before = np.r_[False, word[:-1]]
-    starts = np.flatnonzero(word & (~before | edge[:n]))
-    after = np.r_[word[1:], False]
-    ends = np.flatnonzero(word & (~after | edge[1:])) + 1
+    starts = np.flatnonzero(word & (~np.r_[False, word[:-1]] | edge[:n]))
+    ends = np.flatnonzero(word & (~np.r_[word[1:], False] | edge[1:])) + 1
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[_LOWER[data]] * POWERS.up[:n], dtype=np.uint64, out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * POWERS.down[starts] + (ends - starts).astype(np.uint64))
-    first = np.searchsorted(starts, offsets)
+    return hashes, np.searchsorted(starts, offsets)
+
+
+def long_word_hashes(data: np.ndarray) -> np.ndarray:
+    """word_hashes() of one text longer than PART_BYTES, in slices that end at white space."""
+    out, at = [], 0
+    while at < len(data):
+        end = min(at + PART_BYTES, len(data))
+        while end < len(data) and not (space := _SPACE[data[end : end + PART_BYTES]]).any():
+            end = min(end + PART_BYTES, len(data))  # a word of such a length is hashed whole
+        if end < len(data):
+            end += int(space.argmax())
+        out.append(word_hashes(data[at:end], np.array([0, end - at]))[0])
+        at = end
+    return np.concatenate(out)
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of every text between `offsets`, whole texts with white space as in
+    [\\x20\\x09-\\x0D] and A-Z lower-cased; a text with fewer than k words is one shingle."""
+    base, data = int(offsets[0]), data[offsets[0] : offsets[-1]]
+    offsets = (offsets - base).astype(np.int64)
+    if len(data) == 0:
+        return [np.empty(0, np.uint64)] * (len(offsets) - 1)
+    if len(offsets) == 2 and len(data) > PART_BYTES:
+        hashes = long_word_hashes(data)
+        first = np.array([0, len(hashes)])
+    else:
+        hashes, first = word_hashes(data, offsets)
     grams = hashes[: max(0, len(hashes) - k + 1)].copy()
     for j in range(1, k):
         grams = mix(grams * _BASE + hashes[j : j + len(grams)])
@@ -144,7 +165,8 @@ def lonely_counts(docs: DataFrame, k: int, buckets: int) -> DataFrame:
     """id, lonely: shingles in the first share of the hash space that no other set has, per set.
 
     A task combines its batch first: of a shingle that several sets have it sends one entry, marked as
-    shared, so a shingle of a third of all texts is sent once per batch."""
+    shared, so a shingle of a third of all texts is sent once per batch. Buckets hold shingles, shares hold
+    sets; both have as many entries as fit in a task, and counts go from the ones to the others packed."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -180,11 +202,21 @@ def lonely_counts(docs: DataFrame, k: int, buckets: int) -> DataFrame:
         head = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         alone = ~np.logical_or.reduceat(shared, head) & (np.minimum.reduceat(owner, head) == np.maximum.reduceat(owner, head))
         ids, counts = np.unique(owner[head[alone]], return_counts=True)
-        return pa.table({"id": ids, "lonely": counts.astype(np.int64)})
+        share = (mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(share, kind="stable")
+        at = np.searchsorted(share[order], np.arange(buckets + 1))
+        rows = [(order[a:z], i) for i, (a, z) in enumerate(zip(at[:-1], at[1:], strict=True)) if z > a]
+        blob = lambda x: pa.array([x[o].tobytes() for o, _ in rows], pa.binary())
+        return pa.table({"share": pa.array([i for _, i in rows], pa.int64()), "ids": blob(ids), "counts": blob(counts.astype(np.uint32))})
+
+    def add_up(group: pa.Table) -> pa.Table:
+        ids, counts = (np.frombuffer(b"".join(group.column(c).to_pylist()), d) for c, d in (("ids", np.int64), ("counts", np.uint32)))
+        ids, back = np.unique(ids, return_inverse=True)
+        return pa.table({"id": ids, "lonely": np.bincount(back, counts, len(ids)).astype(np.int64)})
 
     sent = docs.mapInArrow(send, "bucket long, tokens binary, owners binary, shared binary")
-    counted = sent.groupBy("bucket").applyInArrow(count, "id long, lonely long")
-    return counted.groupBy("id").agg(F.sum("lonely").alias("lonely"))
+    counted = sent.groupBy("bucket").applyInArrow(count, "share long, ids binary, counts binary")
+    return counted.groupBy("share").applyInArrow(add_up, "id long, lonely long")
 
 
 def token_rows(docs: DataFrame, k: int) -> DataFrame:
