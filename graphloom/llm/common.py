@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import math
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,9 +28,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint, which outlives lost executors."""
+    """Cut lineage through a reliable checkpoint, which outlives lost executors.
+
+    Spark deletes shuffle files when the driver collects the plan that made them. The plans of earlier steps
+    are garbage now, so this is asked for here; else the files of a whole loop would lie on disk at once."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return done
+
+
+def few_tasks(df: DataFrame, rows_per_task: int = 100_000) -> DataFrame:
+    """A checkpointed `df` in as many partitions as its rows need, where they are fewer than it has."""
+    return df.coalesce(max(1, math.ceil(df.count() / rows_per_task)))
 
 
 def ascii_lower(c: Column) -> Column:
