@@ -1 +1 @@
-
+"""Column functions and the fixed values they use."""

@@ -1 +1 @@
-
+"""Graph operators: DataFrames of nodes and edges in, DataFrames out."""

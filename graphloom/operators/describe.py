@@ -1,0 +1,156 @@
+"""Texts about nodes: descriptions by type, payloads for a language model, and what comes back from one."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from graphloom.functions.text import ucfirst
+
+#: Words of a data source's text by operation and by subtype.
+VERBS = {"write": "Writes to", "delete": "Deletes"}
+STORES = {
+    "option": "WordPress option", "site_option": "WordPress site option", "post_meta": "post meta", "user_meta": "user meta", "term_meta": "term meta",
+    "comment_meta": "comment meta", "transient": "WordPress transient", "cache": "WordPress object cache", "database": "database",
+}
+#: Types whose text holds the label only.
+PLAIN = {
+    "shortcode": "WordPress shortcode [%s].", "admin_page": "WordPress admin page '%s'.", "cron_job": "Scheduled cron event '%s'.", "post_type": "Custom post type '%s'.", "taxonomy": "Custom taxonomy '%s'.",
+    "react_component": "React component '%s'.", "react_hook": "React hook '%s'.", "js_function": "JavaScript function.", "js_class": "JavaScript class.", "js_hook": "WordPress JS hook '%s'.",
+}
+#: Order in which types are shown to a model.
+FIRST_TYPES = ("class", "rest_endpoint", "hook", "gutenberg_block", "function", "method")
+
+
+def _given(c: Column) -> Column:
+    return c.isNotNull() & (c != "")
+
+
+def _mapped(c: Column, values: dict[str, str], rest: str) -> Column:
+    out = F.lit(rest)
+    for k, v in values.items():
+        out = F.when(c == k, v).otherwise(out)
+    return out
+
+
+def _plural(n: Column, word: str) -> Column:
+    return F.concat(n.cast("string"), F.lit(f" {word}"), F.when(n == 1, "").otherwise("s"))
+
+
+def params_text(params: Column) -> Column:
+    """Parameters (name, type) as a list in words."""
+    return F.array_join(F.transform(params, lambda p: F.concat_ws(" ", F.nullif(p["type"], F.lit("")), F.concat(F.lit("$"), p["name"]))), ", ")
+
+
+def safety(m: Callable[[str], Column]) -> list[Column]:
+    nonce = F.when(F.coalesce(m("nonce_verified"), F.lit(False)), "Nonce-verified")
+    return [nonce, F.when(m("sanitization_count") > 0, _plural(m("sanitization_count"), "sanitization call"))]
+
+
+def description(index: Callable[[str], Column] | None = None) -> Column:
+    """Text of a node row (id, label, type, subtype, metadata) by its type; null for unknown types.
+
+    index: edge type to the number of such edges at the node; without it no count is told."""
+    m = lambda name: F.col(f"metadata.{name}")
+    n = index or (lambda _: F.lit(None).cast("bigint"))
+    place = F.when(_given(m("namespace")), F.concat(F.lit("in namespace "), m("namespace")))
+    detail = F.concat_ws(", ", F.when(_given(m("extends")), F.concat(F.lit("extends "), m("extends"))), F.when(F.size(m("implements")) > 0, F.concat(F.lit("implements "), F.array_join(m("implements"), ", "))))
+    cls = F.concat(F.concat_ws(" ", F.lit("PHP class"), place), F.when(detail != "", F.concat(F.lit(". "), ucfirst(detail))).otherwise(""), F.lit("."))
+    interface = F.concat(F.concat_ws(" ", F.lit("PHP interface"), place, F.when(n("has_method") > 0, F.concat(F.lit("with "), _plural(n("has_method"), "method")))), F.lit("."))
+    trait = F.concat(F.concat_ws(" ", F.lit("PHP trait"), place), F.lit("."))
+    accepts, returns = F.when(F.size(m("params")) > 0, params_text(m("params"))), F.when(_given(m("return_type")), F.concat(F.lit("returns "), m("return_type")))
+    head = F.concat_ws(" ", F.when(_given(m("visibility")), ucfirst(m("visibility"))), F.lit("standalone PHP function"), F.concat(F.lit("accepting "), accepts))
+    function = F.concat(F.concat_ws(", ", head, returns), F.lit("."))
+    owner = F.regexp_extract("id", "^method_(.+)_[^_]+$", 1)
+    what = F.concat_ws(", ", F.concat(F.lit("Accepts "), accepts), returns)
+    method = F.concat(F.concat_ws(" ", F.when(_given(m("visibility")), F.concat(ucfirst(m("visibility")), F.lit(" method"))).otherwise("Method"), F.when(owner != "", F.concat(F.lit("of "), owner))), F.when(what != "", F.concat(F.lit(". "), what)).otherwise(""), F.lit("."))
+    hook = F.concat(
+        F.concat_ws(
+            " ",
+            F.concat(F.lit("WordPress "), F.coalesce("subtype", F.lit("action")), F.lit(" hook")),
+            F.when((m("hook_name") != "dynamic") & (m("hook_name") != F.col("label")), F.concat(F.lit("'"), m("hook_name"), F.lit("'"))),
+            F.when(m("priority") != 10, F.concat(F.lit("registered with priority "), m("priority").cast("string"))),
+            F.when(n("registers_hook") > 1, F.concat(F.lit("("), n("registers_hook").cast("string"), F.lit(" callbacks)"))),
+        ),
+        F.lit("."),
+    )
+    allowed = F.when(m("capability") == "__return_true", "Public (no auth required)").when(m("capability").isNotNull(), F.concat(F.lit("Requires '"), m("capability"), F.lit("' capability")))
+    rest = F.concat(F.concat_ws(". ", F.concat(F.lit("REST API endpoint: "), F.coalesce(m("http_method"), F.lit("GET")), F.lit(" "), F.coalesce(m("route"), F.col("label"))), allowed, *safety(m)), F.lit("."))
+    open_ = F.when(m("hook_name").startswith("wp_ajax_nopriv_"), "Accessible to unauthenticated users (nopriv)").otherwise("Authenticated users only (wp_ajax_*)")
+    ajax = F.concat(F.concat_ws(". ", F.concat(F.lit("AJAX handler for action '"), F.col("label"), F.lit("'")), open_, *safety(m)), F.lit("."))
+    quoted = lambda c: F.when(c.isNotNull(), F.concat(F.lit(" '"), c, F.lit("'"))).otherwise("")
+    data = F.concat(_mapped(m("operation"), VERBS, "Reads"), F.lit(" "), _mapped(F.col("subtype"), STORES, "data store"), quoted(m("key")), F.lit("."))
+    http = F.concat(F.lit("Outbound HTTP "), F.coalesce(m("http_method"), F.lit("GET")), F.lit(" request"), F.when(m("route").isNotNull(), F.concat(F.lit(" to "), m("route"))).otherwise(""), F.lit("."))
+    block = F.concat(F.concat_ws(". ", F.concat(F.lit("Gutenberg block '"), F.coalesce(m("block_name"), F.col("label")), F.lit("'")), F.concat(F.lit("Category: "), m("block_category"))), F.lit("."))
+    api = F.concat(F.lit("JavaScript API call"), F.when(m("route").isNotNull(), F.concat(F.lit(" to "), m("route"))).otherwise(""), F.lit("."))
+    by_type = {"class": cls, "interface": interface, "trait": trait, "function": function, "method": method, "hook": hook, "rest_endpoint": rest, "ajax_handler": ajax, "data_source": data, "http_call": http, "gutenberg_block": block, "js_api_call": api}
+    by_type |= {t: F.format_string(x, F.coalesce("label", F.lit(""))) if "%s" in x else F.lit(x) for t, x in PLAIN.items()}
+    out = F.lit(None).cast("string")
+    for t, c in by_type.items():
+        out = F.when(F.col("type") == t, c).otherwise(out)
+    return ucfirst(out)
+
+
+def described(nodes: DataFrame) -> DataFrame:
+    """Nodes with description: the one they have, else their doc comment's summary, else the text by type."""
+    from graphloom.functions.text import doc_summary
+
+    return nodes.withColumn("description", F.coalesce("description", doc_summary(F.col("docblock")), description()))
+
+
+def batches(nodes: DataFrame, order: list[str], size: int = 25) -> DataFrame:
+    """Nodes with batch: `size` successive nodes each."""
+    from graphloom.operators.lineage import numbered
+
+    return numbered(nodes, order, "nth__").withColumn("batch", F.floor(F.col("nth__") / size).cast("bigint")).drop("nth__")
+
+
+def samples(nodes: DataFrame, most: int = 20) -> DataFrame:
+    """The first described nodes, by the priority of their type and then seq."""
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(t) for t in FIRST_TYPES]), F.col("type")), F.lit(0)), F.lit(99))
+    return nodes.where(F.col("description").isNotNull()).withColumn("rank__", rank).orderBy("rank__", "seq").limit(most).drop("rank__")
+
+
+def parse_reply(reply: Column) -> Column:
+    """Map of id to text in a model's reply: the outermost braces, fenced or not; null if that isn't JSON."""
+    return F.from_json(F.nullif(F.regexp_extract(reply, r"(?s)\{.*\}", 0), F.lit("")), "map<string,string>")
+
+
+def ask(payloads: DataFrame, client: Callable[[str], str]) -> DataFrame:
+    """batch, reply of every row (batch, payload); a call that raises is tried once more and then has no reply."""
+
+    def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            replies = []
+            for payload in frame["payload"]:
+                reply = None
+                for _ in range(2):
+                    try:
+                        reply = client(payload)
+                        break
+                    except Exception:  # noqa: BLE001  whatever the client raises
+                        continue
+                replies.append(reply)
+            yield pd.DataFrame({"batch": frame["batch"], "reply": replies})
+
+    return payloads.select("batch", "payload").mapInPandas(call, "batch long, reply string")
+
+
+def with_replies(nodes: DataFrame, replies: DataFrame) -> DataFrame:
+    """Nodes whose description is the model's, where it gave one."""
+    told = replies.select(F.explode(parse_reply(F.col("reply"))).alias("id", "told")).groupBy("id").agg(F.max("told").alias("told"))
+    return nodes.join(told, "id", "left").withColumn("description", F.coalesce("told", "description")).drop("told")
+
+
+def payloads(nodes: DataFrame, links: DataFrame, order: list[str], size: int = 25) -> DataFrame:
+    """batch, payload: a JSON list of nodes (without empty fields) and their first connections."""
+    listed = links.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda x: x["text"]).alias("connections"))
+    rows = batches(nodes, order, size).join(listed, "id", "left")
+    return rows.groupBy("batch").agg(F.to_json(F.array_sort(F.collect_list(F.struct("id", "label", "type", "file", "connections")))).alias("payload"))
+
+
+def top_per_type(nodes: DataFrame, most: int) -> DataFrame:
+    return nodes.withColumn("nth", F.row_number().over(Window.partitionBy("type").orderBy("id"))).where(F.col("nth") <= most)

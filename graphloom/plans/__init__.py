@@ -1,4 +1,5 @@
 """Registered queries of the graph library."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from graphloom.plans.queries import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -1 +1 @@
-
+"""Sources of code and of block descriptions."""
