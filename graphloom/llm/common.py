@@ -44,6 +44,11 @@ def few_tasks(df: DataFrame, rows_per_task: int = 100_000) -> DataFrame:
     return df.coalesce(max(1, math.ceil(df.count() / rows_per_task)))
 
 
+def cut_into(df: DataFrame, rows: int, rows_per_task: int = 100_000) -> DataFrame:
+    """cut() of a `df` of at most `rows` narrow rows, in as many files as they need."""
+    return cut(df.coalesce(max(1, math.ceil(rows / rows_per_task))))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)

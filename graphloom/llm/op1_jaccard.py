@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, few_tasks, table, text_or_empty
+from graphloom.llm.common import cut, cut_into, few_tasks, table, text_or_empty
 
 #: Bytes of text that are hashed together, and tokens that a bucket of the uniqueness count holds on average.
 PART_BYTES, BUCKET_TOKENS = 500_000, 700_000
@@ -237,14 +237,18 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """id, component (least id that links reach) of every vertex; edges: a, b with both in `vertices`.
 
     Labels take the least label around them and then their label's label, so that long chains halve in each
-    round. Every round is checkpointed."""
-    both = few_tasks(cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a != b").distinct()))
-    labels = few_tasks(cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "id")))
+    round. Every round is checkpointed. The number of labels is known from the first round on, so each
+    checkpoint has as many files as its rows need, and not one for every shuffle partition."""
+    edges = edges.select("a", "b").where("a != b")
+    both = cut_into(edges.union(edges.select(F.col("b"), F.col("a"))).distinct(), 2 * edges.count())
+    labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "id")
+    size = labels.count()
+    labels = cut_into(labels, size)
     while True:
         around = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("around"))
         stepped = labels.join(around.withColumnRenamed("a", "id"), "id").select("id", F.col("label").alias("old"), F.least("label", "around").alias("new"))
         jump = labels.select(F.col("id").alias("new"), F.col("label").alias("further"))
-        moved = few_tasks(cut(stepped.join(jump, "new", "left").select("id", "old", F.least("new", F.coalesce("further", "new")).alias("label"))))
+        moved = cut_into(stepped.join(jump, "new", "left").select("id", "old", F.least("new", F.coalesce("further", "new")).alias("label")), size)
         labels = moved.select("id", "label")
         if not moved.where("old != label").limit(1).count():
             break
@@ -351,7 +355,8 @@ class Join:
         starred = few_tasks(cut(self.compared(self.pivots(lists, ["kind", "key"]))))
         vertices = prefixes.select("id")
         edges = starred.where("linked").select("a", F.col("p").alias("b"))
-        of = few_tasks(cut(components(vertices, edges)))
+        size = prefixes.count()
+        of = cut_into(components(vertices, edges), size)
 
         group = starred.select(F.col("a").alias("id"), "p").union(starred.select(F.col("p").alias("id"), "p").distinct())
         apart = self.unresolved(group, ["p"], of).where("id != p").select(F.col("id").alias("a"), "p")
@@ -360,7 +365,7 @@ class Join:
         open_ = self.unresolved(lists.join(indexed, ["p", "token"]), ["p", "token"], of)
         starred = cut(self.compared(self.pivots(open_, ["p", "token"]).join(starred.select("a", "p"), ["a", "p"], "left_anti")))
         edges = edges.union(starred.where("linked").select("a", F.col("p").alias("b")))
-        of = few_tasks(cut(components(vertices, edges)))
+        of = cut_into(components(vertices, edges), size)
 
         open_ = cut(self.unresolved(lists.join(indexed, ["p", "token"]), ["p", "token"], of))
         left, right = ([F.col(c).alias(f"{c}_{s}") if c not in ("p", "token") else F.col(c) for c in ("p", "token", "id", "n", "size", "index", "component")] for s in "ab")
