@@ -268,9 +268,9 @@ class Join:
     def prefixes(self) -> DataFrame:
         """id, n, alone (shingles that no other set has), common: the others as (df, token), rare ones first,
         cut to the f(n) + 2 first of all; sets with more than f(n) lonely shingles are gone."""
-        rows = self.sets.select("id", "n", F.explode("tokens").alias("token"))
+        rows = self.sets.select("id", F.explode("tokens").alias("token"))
         df = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-        common = rows.join(df, "token").groupBy("id", "n").agg(F.collect_list(F.struct("df", "token")).alias("common"))
+        common = rows.join(df, "token").groupBy("id").agg(F.collect_list(F.struct("df", "token")).alias("common")).join(self.sets.select("id", "n"), "id")
         alone = F.col("n") - F.size("common")
         kept = common.withColumn("alone", alone).where(alone <= self.spare(F.col("n")))
         return kept.withColumn("common", F.slice(F.array_sort("common"), 1, (self.spare(F.col("n")) + 2 - F.col("alone")).cast("int")))
@@ -408,8 +408,10 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
     spare = F.col("n") - F.ceil(F.col("n") * num / F.lit(den))
     kept = classes.join(lonely, "id", "left").where(F.coalesce("lonely", F.lit(0)) <= spare)
     one = sets.join(kept.select("id", "text_hash"), ["id", "text_hash"]).groupBy("id", "text_hash").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("of"))
-    texts = rows.withColumn("of", F.coalesce("doc_id", F.lit(-1))).join(one.select("text_hash", "of"), ["text_hash", "of"])
-    tokens = cut(token_rows(texts, k).dropDuplicates(["id"]))
+    # Cut here, the files of the count go before texts move; repeated rows go where the join has put them.
+    one = cut_into(one.select("text_hash", "of"), sets.count())
+    texts = rows.withColumn("of", F.coalesce("doc_id", F.lit(-1))).join(one, ["text_hash", "of"]).dropDuplicates(["text_hash", "of"])
+    tokens = cut(token_rows(texts, k))
     _, of = Join(tokens, num, den).links()
     of = cut(of)
     named = sets.join(of, "id", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "id")))
