@@ -390,14 +390,8 @@ def overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
-def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, set_id for every row: a component is what links of
-    |A & B| * den >= num * |A | B| reach, and its id the least doc_id in it.
-
-    A null or empty text, or one of white space, has an empty set, is linked with nothing and is its own
-    component. Rows of equal sets are one class, repeated rows included; null ids belong to their class
-    but never name it (unless it has no other). Texts are whole, of any length. An empty table gives an
-    empty result; other columns are ignored."""
+def labelled_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """doc_id, text_hash, id (of the set), n (its size), component (a set's id; null without words) for every row."""
     rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("text_hash", F.xxhash64("text"))
     sets = cut(set_rows(rows, k))
     # A set of s shingles can have a partner other than itself only if f(s + 1) >= 1.
@@ -414,17 +408,43 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
     tokens = cut(token_rows(texts, k))
     _, of = Join(tokens, num, den).links()
     of = cut(of)
-    named = sets.join(of, "id", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "id")))
+    return sets.join(of, "id", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "id")))
+
+
+def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id, set_id for every row: a component is what links of
+    |A & B| * den >= num * |A | B| reach, and its id the least doc_id in it.
+
+    A null or empty text, or one of white space, has an empty set, is linked with nothing and is its own
+    component. Rows of equal sets are one class, repeated rows included; null ids belong to their class
+    but never name it (unless it has no other). Texts are whole, of any length. An empty table gives an
+    empty result; other columns are ignored."""
+    named = labelled_rows(docs, k, num, den)
     names = named.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return named.join(names, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("id").alias("set_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Rows of `docs` without near duplicates: of a component the row with its least doc_id stays. A row that is
-    repeated as a whole, id included, stays once; rows without words or without an id stay all."""
-    classes = jaccard_classes(docs, k, num, den)
-    dropped = classes.where((F.col("doc_id") != F.col("component_id")) & (F.col("n_shingles") > 0)).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Rows of `docs` without near duplicates: of a component one row stays, that of the least doc_id, nulls last,
+    and among equal ids of the least hashes of text and row. Repeated rows are copies like any other; rows
+    without words stay all.
+
+    A row is told by doc_id and the hash of its text, so an id on several texts loses only those that go. Only
+    rows whose id and text are repeated move to choose one of them, summed up before the shuffle."""
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    named = cut(labelled_rows(docs, k, num, den).where("n > 0").select("component", key.alias("key")))
+    several = named.groupBy("component").agg(F.min("key").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("component", "first")
+    judged = named.join(several, "component").groupBy("key").agg(F.bool_or(F.col("key") == F.col("first")).alias("stays"), F.count("*").alias("rows"))
+    judged = cut(judged.where("NOT stays OR rows > 1").select(F.col("key.doc_id").alias("of__"), F.col("key.text_hash").alias("of_hash__"), "stays"))
+    hashed = docs.withColumn("hash__", F.xxhash64(text_or_empty()))
+    same = F.col("doc_id").eqNullSafe(F.col("of__")) & (F.col("hash__") == F.col("of_hash__"))
+    single = hashed.join(judged, same, "left_anti").select(*docs.columns)
+    repeated = judged.where("stays")
+    if repeated.isEmpty():
+        return single
+    copies = hashed.join(repeated, same, "left_semi")
+    one = copies.groupBy("doc_id", "hash__").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
+    return single.unionByName(one.select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,6 +69,15 @@ def test_keep_one(odd):
     assert 9 not in ids and 8 in ids and 11 not in ids and 1 in ids and 3 in ids and None in ids
 
 
+def test_keep_one_of_repeated_rows_null_ids_and_shared_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    docs = [(5, a, "r"), (5, a, "r"), (5, a, "r"), (6, a + " more", "r"), (None, b, "r"), (None, b, "r"), (None, b + " more", "r"), (3, c, "r"), (7, c + " more", "r"), (7, d, "r"), (9, None, "r"), (9, None, "r")]
+    docs += [(8, "x y z", "r"), (8, "x y z", "q"), (None, a, "r")]
+    kept = [(r.doc_id, r.text) for r in op1_jaccard.keep_one(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()]
+    assert sorted(kept, key=str) == sorted([(5, a), (None, [t for i, t in kept if i is None][0]), (3, c), (7, d), (8, "x y z"), (9, None), (9, None)], key=str)
+    assert [t for i, t in kept if i is None][0] in (b, b + " more")
+
+
 def test_urls(spark):
     urls = ["https://a.EXAMPLE.com/en/x?q", "http://www.example.com/en/1", "https://x.net/es/#y", "http://com", None, "no url", "http://other.org/a", "http://net/fr/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
