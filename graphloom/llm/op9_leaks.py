@@ -1,10 +1,10 @@
 """Benchmark decontamination by SimHash over item-sized windows, in DataFrame expressions only.
 
-Words are runs of letters and digits, lower-cased. A window has as many words as an item. Windows that share
-no shingle with any item have similarity 0 with all of them and are not fingerprinted; every other one gets
-a 64-bit SimHash of its shingles. RADIUS + 1 disjoint blocks of bits index the fingerprints: of two within
-RADIUS bits, at least one block is equal, so the block join finds every such pair of window and item. Pairs
-within the radius are verified by the exact similarity of their shingle multisets.
+Words are runs of letters and digits, lower-cased. A window has as many words as an item. A window reaches the
+threshold only if it shares so many shingles with the item, so every start whose window holds that many
+places of the item's shingles is tried, and no other one can be a leak. Each such pair of window and item is
+verified by the exact similarity of their shingle multisets; a 64-bit SimHash of both tells how near their
+fingerprints are, but decides nothing, so that no leak is lost to a radius.
 """
 
 from __future__ import annotations
@@ -15,16 +15,11 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import cut, table, text_or_empty
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: At similarity 0.8 two 64-bit fingerprints differ in about 10 bits, with a deviation of 3.
-RADIUS = 19
 #: Shingles of a benchmark that a task looks up in a set; beyond it they are joined by shuffle.
 MOST_IN_SET = 50_000
 #: Rows of the benchmark's shingles that may be broadcast.
 MOST_BROADCAST = 1_000_000
 
-_AT = [64 * i // (RADIUS + 1) for i in range(RADIUS + 2)]
-BLOCKS = [(a, b - a) for a, b in zip(_AT, _AT[1:])]
-
 
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), "")
@@ -45,17 +40,21 @@ def simhash(hashes: str) -> Column:
 
 def similarity(a: str, b: str) -> Column:
     """Jaccard of two multisets (array columns): shared repeats over all repeats."""
-    shared = f"aggregate(array_distinct({a}), 0, (s, x) -> s + least(size(filter({a}, y -> y = x)), size(filter({b}, y -> y = x))))"
+    plain = f"size(array_distinct({a})) = size({a}) AND size(array_distinct({b})) = size({b})"
+    repeats = f"aggregate(array_distinct({a}), 0, (s, x) -> s + least(size(filter({a}, y -> y = x)), size(filter({b}, y -> y = x))))"
+    shared = f"if({plain}, size(array_intersect({a}, {b})), {repeats})"
     return F.expr(f"(1D * {shared}) / (size({a}) + size({b}) - {shared})")
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """item_id, n (words), k (words of a shingle: SHINGLE, or all of a shorter item), hashes; items without words go."""
+    """item (a number), item_id, n (words), k (words of a shingle: SHINGLE, or all of a shorter item), hashes, print;
+    items without words go."""
     worded = benchmark.select("item_id", words_of(text_or_empty()).alias("words")).withColumn("n", F.size("words")).where("n > 0")
     hashes = F.when(F.col("n") >= SHINGLE, shingle_hashes("words", SHINGLE))
     for k in range(1, SHINGLE):
         hashes = hashes.when(F.col("n") == k, shingle_hashes("words", k))
-    return worded.select("item_id", "n", F.least("n", F.lit(SHINGLE)).alias("k"), hashes.alias("hashes"))
+    hashed = worded.select("item_id", "n", F.least("n", F.lit(SHINGLE)).alias("k"), hashes.alias("hashes"))
+    return hashed.withColumns({"print": simhash("hashes"), "item": F.monotonically_increasing_id()})
 
 
 def anchored(docs: DataFrame, shingles: DataFrame) -> DataFrame:
@@ -95,46 +94,33 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     Repeated rows each have their leaks; equal items each match. Of equally similar windows the first counts.
     Empty tables give an empty result; other columns are ignored. Copies of a text are judged once."""
     items = cut(items_of(benchmark))
-    places = items.select("item_id", "n", "k", F.posexplode("hashes").alias("item_pos", "shingle"))
+    places = items.select("item", "n", "k", F.explode("hashes").alias("shingle")).distinct()
     found = cut(anchored(docs, places.select("k", "shingle").distinct()).withColumn("text_key", F.md5("text")))
     small = places.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     held = F.broadcast if small else lambda df: df
 
     texts = found.select("text_key", "text").dropDuplicates(["text_key"])
     anchors = found.select("text_key", "anchors").dropDuplicates(["text_key"]).select("text_key", F.explode("anchors").alias("a")).select("text_key", "a.*")
-    begun = anchors.join(held(places.select("k", "shingle", "n", "item_pos").distinct()), ["k", "shingle"]).select("text_key", F.struct("n", "k", (F.col("pos") - F.col("item_pos")).alias("start")).alias("w")).distinct()
-    starts = begun.groupBy("text_key").agg(F.collect_list("w").alias("starts"))  # bounded by the text's own length
-    clipped = F.array_distinct(F.expr("transform(starts, w -> struct(w.n AS n, w.k AS k, greatest(0, least(w.start, size(words) - w.n)) AS start))"))
-    windows = (
-        texts.join(starts, "text_key")
-        .withColumn("words", words_of(F.col("text")))
-        .withColumn("windows", F.transform(clipped, lambda w: F.struct(w["n"].alias("n"), w["k"].alias("k"), w["start"].alias("start"), F.slice("words", w["start"] + 1, w["n"]).alias("part"))))
-        .select("text_key", F.explode("windows").alias("w"))
-        .select("text_key", "w.*")
-    )
-    sizes = range(1, SHINGLE + 1)
-    hashes = F.coalesce(*[F.when(F.col("k") == k, shingle_hashes("part", k)) for k in sizes])
-    printed = windows.select("text_key", "n", "start", hashes.alias("hashes")).where(F.size("hashes") > 0).withColumn("print", simhash("hashes"))
-    blocks = lambda df: df.withColumn("b", F.explode(F.array(*[F.struct(F.lit(i).alias("block"), F.expr(f"shiftrightunsigned(print, {a}) & {(1 << size) - 1}L").alias("bits")) for i, (a, size) in enumerate(BLOCKS)])))
-    indexed = blocks(items.withColumn("print", simhash("hashes"))).select("item_id", "n", "b.*", F.col("print").alias("item_print"), F.col("hashes").alias("item_hashes"))
-    near = (
-        blocks(printed)
-        .select("text_key", "n", "start", "b.*", "print", "hashes")
-        .join(held(indexed), ["n", "block", "bits"])
-        .withColumn("hamming", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))))
-        .where(F.col("hamming") <= RADIUS)
-        .where(_first_equal_block())
-    )
-    similar = near.withColumn("similarity", similarity("hashes", "item_hashes")).where(F.col("similarity") >= threshold)
-    best = similar.groupBy("text_key", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("before"), (-F.col("hamming")).alias("nearness"))).alias("m"))
-    return found.select("doc_id", "text_key").join(best, "text_key").select("doc_id", "item_id", (-F.col("m.before")).alias("start"), F.round("m.similarity", 6).alias("similarity"), (-F.col("m.nearness")).alias("hamming"))
-
-
-def _first_equal_block() -> Column:
-    """Whether a joined pair meets in its first equal block, so that it is kept once."""
-    equal = lambda a, size: f"(shiftrightunsigned(print, {a}) & {(1 << size) - 1}L) = (shiftrightunsigned(item_print, {a}) & {(1 << size) - 1}L)"
-    first = "CASE " + " ".join(f"WHEN {equal(a, size)} THEN {i}" for i, (a, size) in enumerate(BLOCKS)) + " END"
-    return F.expr(f"block = {first}")
+    met = anchors.join(held(places), ["k", "shingle"]).groupBy("text_key", "item", "n", "k").agg(F.sort_array(F.collect_set("pos")).alias("at"))  # bounded by the text's own length
+    met = met.where(F.size("at") >= threshold * (F.col("n") - F.col("k") + 1) - 1e-9)
+    tried = met.join(texts, "text_key").withColumn("words", words_of(F.col("text"))).withColumn("starts", starts(threshold)).where(F.size("starts") > 0)
+    windows = tried.select("text_key", "item", "k", "n", "words", F.explode("starts").alias("start")).withColumn("part", F.expr("slice(words, start + 1, n)"))
+    hashes = F.coalesce(*[F.when(F.col("k") == k, shingle_hashes("part", k)) for k in range(1, SHINGLE + 1)])
+    pairs = windows.select("text_key", "item", "start", hashes.alias("hashes")).join(held(items.select("item", "item_id", F.col("hashes").alias("item_hashes"), F.col("print").alias("item_print"))), "item")
+    similar = pairs.withColumn("similarity", similarity("hashes", "item_hashes")).where(F.col("similarity") >= threshold)
+    best = similar.groupBy("text_key", "item_id").agg(F.max_by(F.struct("similarity", "start", "hashes", "item_print"), F.struct("similarity", -F.col("start"))).alias("m")).select("text_key", "item_id", "m.*")
+    printed = best.withColumn("hamming", F.bit_count(simhash("hashes").bitwiseXOR(F.col("item_print"))))
+    return found.select("doc_id", "text_key").join(printed, "text_key").select("doc_id", "item_id", "start", F.round("similarity", 6).alias("similarity"), "hamming")
+
+
+def starts(threshold: float) -> Column:
+    """All starts whose window holds enough places of `at` (sorted) to be similar by `threshold`, of the columns
+    n, k, words and at. Of windows with w shingles and items with m, that is threshold * (w + m) / (1 + threshold)."""
+    w = "least(n - k + 1, size(words) - k + 1)"
+    need = f"greatest(1, CAST(ceil({threshold}D * ({w} + n - k + 1) / (1 + {threshold}D) - 1e-9D) AS INT))"
+    first, last = f"greatest(0, at[j + {need} - 1] - ({w} - 1))", "least(at[j], greatest(0, size(words) - n))"
+    ranges = f"transform(sequence(0, size(at) - {need}), j -> if({first} <= {last}, sequence({first}, {last}), cast(array() AS array<int>)))"
+    return F.expr(f"if(size(at) >= {need}, array_distinct(flatten({ranges})), cast(array() AS array<int>))")
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

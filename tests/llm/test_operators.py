@@ -213,6 +213,27 @@ def test_leaks(spark, odd):
     assert op9_leaks.find_leaks(docs, bench.where("false")).count() == 0 == op9_leaks.find_leaks(docs.where("false"), bench).count()
 
 
+def test_leaks_between_alignments(spark):
+    words = [f"v{i}" for i in range(100)]
+    short, changed = words[:59], ["x", *words[1:58], "y"]
+    long_, other = words, ["p", "q", *words[2:98], "r", "s"]
+    texts = [(1, changed[:29] + ["in", "to"] + changed[29:]), (2, other[:50] + ["a", "b", "c", "d"] + other[50:]), (3, ["o"] * 9 + short[:58] + ["z"] * 9), (4, short[:50])]
+    texts = [(i, " ".join(["l0", "l1", *t, "m0", "m1"] if i < 4 else t)) for i, t in texts]
+    items = [(1, " ".join(short)), (2, " ".join(long_))]
+    got = op9_leaks.find_leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = {}
+    for i, t in texts:
+        for j, item in items:
+            w, u = t.split(), item.split()
+            for s in range(max(0, len(w) - len(u)) + 1):
+                a, b = ([tuple(x[p : p + 5]) for p in range(len(x) - 4)] for x in (w[s : s + len(u)], u))
+                both = sum(min(a.count(g), b.count(g)) for g in set(a))
+                if (sim := both / (len(a) + len(b) - both)) >= 0.8 and sim > want.get((i, j), (0, 0))[1]:
+                    want[i, j] = (s, sim)
+    assert {(1, 1), (2, 2), (3, 1), (4, 1)} <= set(want)
+    assert {(r.doc_id, r.item_id): (r.start, r.similarity) for r in got} == {k: (s, round(sim, 6)) for k, (s, sim) in want.items()}
+
+
 def test_secrets(odd, nothing):
     got = {r.doc_id: r for r in op10_secrets.scan_documents(odd).collect()}
     text = dict(ODD)[13]
