@@ -1,15 +1,18 @@
 """HTML main-text extraction with site template removal.
 
 Pages are parsed in tasks: elements that are never article text go by name, role or class. What remains is
-cleaned of site templates: every container's subtree is hashed, hashes are counted per host over distinct
-pages in Spark, and subtrees that recur across many pages of their host are deleted. Paragraphs and headings
-of an article are never templates by themselves, so passages that articles share stay.
+cleaned of site templates: every container's subtree is hashed, hashes are counted per host in Spark over
+the distinct texts around them, and subtrees that recur in many such contexts are deleted. Copies of an
+article are one context, whatever number or token their pages carry outside its text. Paragraphs, headings, cells and items of
+an article are never templates by themselves, so passages that articles share stay, and no subtree goes that
+holds most of its page's text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -20,8 +23,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import table
 from graphloom.llm.op2_urls import split_url
 
-#: A subtree is a template if it is on so many distinct pages of a host, and on such a share of them.
-LEAST_PAGES, LEAST_SHARE = 8, 0.3
+#: A subtree is a template if it stands in so many distinct texts of a host.
+LEAST_PAGES = 8
 #: Templates are broadcast up to so many rows, and joined by shuffle beyond.
 BROADCAST_ROWS = 100_000
 
@@ -32,7 +35,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 ROOTS = frozenset(("article", "main"))
-CONTAINERS = BLOCKS - ROOTS - frozenset("html body p h1 h2 h3 h4 h5 h6 hr".split())
+CONTAINERS = BLOCKS - ROOTS - frozenset("html body p h1 h2 h3 h4 h5 h6 hr li td th tr dt dd".split())
 CLOSES = {
     "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "td", "th")), "td": frozenset(("td", "th")), "th": frozenset(("td", "th")),
     "option": frozenset(("option",)), "tbody": frozenset(("tr", "td", "th", "thead", "tbody")), "tfoot": frozenset(("tr", "td", "th", "thead", "tbody")),
@@ -151,41 +154,54 @@ class Page:
             elif name in SCOPES:
                 break
 
+    def _article(self) -> list[bool]:
+        return list(self.rooted) if self.has_root else [True] * len(self.blocks)
+
+    def contexts(self) -> set[tuple[int, int]]:
+        """(hash of a subtree, hash of the article's text outside it) of every subtree."""
+        sums = [0]
+        for block, inside in zip(self.blocks, self._article(), strict=True):
+            own = int.from_bytes(hashlib.blake2b(block.encode("utf-8", "replace"), digest_size=8).digest(), "big") if inside else 0
+            sums.append(sums[-1] + own)
+        wrap = lambda x: (x + (1 << 63)) % (1 << 64) - (1 << 63)
+        return {(digest, wrap(sums[-1] - sums[end] + sums[first])) for digest, first, end in self.subtrees}
+
     def text(self, templates: frozenset[int] | set[int] = frozenset()) -> str:
-        """The main text: blocks in the article, if the page has one, outside all template subtrees."""
-        alive = list(self.rooted) if self.has_root else [True] * len(self.blocks)
+        """The main text: blocks in the article, if the page has one, outside all template subtrees. A subtree
+        with more than half of that text stays."""
+        alive = self._article()
+        sizes = [0, *itertools.accumulate(len(b) * keep for b, keep in zip(self.blocks, alive, strict=True))]
         for digest, first, end in self.subtrees:
-            if digest in templates:
+            if digest in templates and 2 * (sizes[end] - sizes[first]) <= sizes[-1]:
                 alive[first:end] = [False] * (end - first)
         return "\n".join(b for b, keep in zip(self.blocks, alive, strict=True) if keep)
 
 
 def subtree_rows(pages: DataFrame) -> DataFrame:
-    """host, page (hash of the source), subtree: distinct hashes of a page's containers."""
+    """host, subtree, context: distinct pairs of a page's containers and the texts around them, as hashes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, ids, found = [], [], []
-            for host, page, source in zip(b.column("host"), b.column("page"), b.column("html"), strict=True):
-                hashes = {s[0] for s in Page(source.as_py()).subtrees}
-                hosts += [host.as_py()] * len(hashes)
-                ids += [page.as_py()] * len(hashes)
-                found += hashes
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(ids, pa.int64()), pa.array(found, pa.int64())], ["host", "page", "subtree"])
+            hosts, found, around = [], [], []
+            for host, source in zip(b.column("host"), b.column("html"), strict=True):
+                pairs = Page(source.as_py()).contexts()
+                hosts += [host.as_py()] * len(pairs)
+                found += [p[0] for p in pairs]
+                around += [p[1] for p in pairs]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array(around, pa.int64())], ["host", "subtree", "context"])
 
-    return pages.select("host", "page", "html").mapInArrow(work, "host string, page long, subtree long")
+    return pages.select("host", "html").mapInArrow(work, "host string, subtree long, context long")
 
 
-def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """host, subtree of every template. Equal pages count once, so that copies of one page make no template;
-    counts are summed up before each shuffle, so a host with a third of all pages isn't gathered anywhere."""
+def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """host, subtree of every template. Pages with equal text around a subtree count once, so that copies of an
+    article make no template; counts are summed up before each shuffle, so a host with a third of all pages
+    isn't gathered anywhere."""
     seen = subtree_rows(pages).distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
-    sizes = pages.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    frequent = seen.where(F.col("n") >= least_pages)
-    return frequent.join(sizes, "host").where(F.col("n") >= least_share * F.col("pages")).select("host", "subtree")
+    return seen.where(F.col("n") >= least_pages).select("host", "subtree")
 
 
-def extract_pages(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def extract_pages(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """page_id, url, text, n_chars for every row.
 
     A null or empty html has an empty text. A null url, or one without '://', belongs to the empty host.
@@ -194,7 +210,7 @@ def extract_pages(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share:
     host, _ = split_url(F.col("url"))
     source = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select("page_id", "url", host.alias("host"), source.alias("html"))
-    templates = site_templates(rows.select("host", F.xxhash64("html").alias("page"), "html"), least_pages, least_share)
+    templates = site_templates(rows, least_pages)
     per_host = templates.groupBy("host").agg(F.collect_list("subtree").alias("templates"))
     few = per_host.limit(BROADCAST_ROWS + 1)
     held = [(r.host, r.templates) for r in few.collect()]

@@ -169,6 +169,18 @@ def test_pages(spark):
     assert got[20].text == got[21].text == "" and got[23].text == "bare <b> text"
 
 
+def test_pages_keep_copied_articles_and_shared_cells(spark):
+    body = "<section>Copied text one two three.</section><blockquote>Second part of the copied text.</blockquote>"
+    copies = [(i, "https://a.com/x", f"<p>Page {i}</p><article id=n{i}>{body}<p>End.</p></article>") for i in range(20)]
+    cell = "<table><tr><td>Weight</td><td>{i} kg of x</td></tr></table><ul><li>Yes</li><li>item {w}</li></ul>"
+    own = [(100 + i, "https://b.com/x", f"<article><p>Own words {w} of page.</p>{cell.format(i=i, w=w)}<div>Share this with all</div></article>") for i, w in enumerate("abcdefghijkl")]
+    large = [(200 + i, "https://c.com/x", f"<article><p>Other words of the article {'xyz' * i} q.</p>{'<div>Section of the site</div>' if i < 10 else ''}</article>") for i in range(60)]
+    got = {r.page_id: r.text for r in op7_html.extract_pages(spark.createDataFrame(copies + own + large, "page_id long, url string, html string")).collect()}
+    assert all("Copied text" in got[i] and "Second part" in got[i] for i in range(20))
+    assert all("Weight" in t and "Yes" in t and "Share this" not in t for i, t in got.items() if 100 <= i < 200)
+    assert not any("Section of the site" in t for t in got.values())
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
