@@ -313,6 +313,18 @@ def _(spark, d):
     return scores.select("id", F.round("importance", 6).alias("importance"), "tier")
 
 
+@query("ga3_all_components")
+def _(spark, d):
+    return algorithms.weak_components(star_nodes(spark, d), star_edges(spark, d))
+
+
+@query("ga2_all_pagerank")
+def _(spark, d):
+    nodes, edges = star_nodes(spark, d), star_edges(spark, d)
+    scores = algorithms.importance(nodes, algorithms.pagerank(nodes, edges), nodes.where(F.col("id") == F.expr(USED)), "region.tbl")
+    return scores.select("id", F.round("importance", 6).alias("importance"), "tier")
+
+
 @query("ga1_dfs_cycles")
 def _(spark, d):
     edges = graphs.transitions(spark, d)
@@ -342,7 +354,7 @@ def _(spark, d):
 def _(spark, d):
     from graphloom.operators.export import node_documents
 
-    return node_documents(place_nodes(spark, d))
+    return node_documents(star_nodes(spark, d))
 
 
 assert set(catalog.STRUCTURAL_EDGES) <= {t for t, _, _ in catalog.EDGE_TYPES}

@@ -159,3 +159,42 @@ def test_unlinked_and_connections(spark):
     edges = graph(spark, [("a", "b"), ("b", "gone")])
     assert [r.id for r in views.unlinked(nodes, edges).collect()] == ["c"]
     assert {(r.direction, r.label) for r in views.connections(nodes, edges, "b").collect()} == {("in", "A"), ("out", "gone")}
+
+
+def test_whole_graph_queries_against_brute_force(spark, tmp_path):
+    tables = {
+        "region": ([(i, f"R{i}") for i in range(5)], "r_regionkey long, r_name string"),
+        "nation": ([(i, f"N{i}", i % 5) for i in range(7)], "n_nationkey long, n_name string, n_regionkey long"),
+        "supplier": ([(i, f"S{i}", i % 7) for i in range(9)], "s_suppkey long, s_name string, s_nationkey long"),
+        "customer": ([(i, f"C{i}", i % 4) for i in range(6)], "c_custkey long, c_name string, c_nationkey long"),
+        "part": ([(i, f"P{i}", i) for i in range(12)], "p_partkey long, p_name string, p_size int"),
+        "orders": ([(i, "O", i % 6) for i in range(8)], "o_orderkey long, o_orderstatus string, o_custkey long"),
+        "lineitem": ([(i, i, i % 9) for i in range(8)], "l_orderkey long, l_partkey long, l_suppkey long"),
+    }
+    for name, (data, kind) in tables.items():
+        spark.createDataFrame(data, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    t = {name: data for name, (data, _) in tables.items()}
+    places = [f"{k}_{r[0]}" for k in ("region", "nation", "supplier", "customer", "part") for r in t[k]] + [f"order_{r[0]}" for r in t["orders"]]
+    links = [(f"nation_{a}", f"region_{c}") for a, _, c in t["nation"]] + [(f"{k}_{a}", f"nation_{c}") for k in ("supplier", "customer") for a, _, c in t[k]]
+    links += [(f"order_{a}", f"customer_{c}") for a, _, c in t["orders"]] + [x for o, p, s in t["lineitem"] for x in ((f"order_{o}", f"part_{p}"), (f"part_{p}", f"supplier_{s}"))]
+
+    label = {i: i for i in places}
+    while any(label[a] != label[b] for a, b in links):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    got = plans.QUERIES["ga3_all_components"](spark, str(tmp_path)).collect()
+    assert {(r.id, r.component) for r in got} == set(label.items())
+
+    n, rank, out = len(places), dict.fromkeys(places, 1 / len(places)), dict.fromkeys(places, 0)
+    for a, _ in links:
+        out[a] += 1
+    for _ in range(50):
+        lost = sum(v for i, v in rank.items() if not out[i])
+        new = dict.fromkeys(places, 0.15 / n + 0.85 * lost / n)
+        for a, b in links:
+            new[b] += 0.85 * rank[a] / out[a]
+        rank = new
+    score = {i: v + 0.15 * (i == "nation_3") + 0.25 * i.startswith("region_") for i, v in rank.items()}
+    got = {r.id: r.importance for r in plans.QUERIES["ga2_all_pagerank"](spark, str(tmp_path)).collect()}
+    assert got == {i: pytest.approx(v / max(score.values()), abs=2e-6) for i, v in score.items()}
+    assert plans.QUERIES["sk1_export"](spark, str(tmp_path)).count() == n
