@@ -1,4 +1,4 @@
-"""Benchmark decontamination by SimHash over item-sized windows, in DataFrame expressions only.
+"""Benchmark decontamination over item-sized windows, with SimHash distances, in DataFrame expressions only.
 
 Words are runs of letters and digits, lower-cased. A window has as many words as an item. A window reaches the
 threshold only if it shares so many shingles with the item, so every start whose window holds that many
