@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.catalog import USER_FACING_TYPES
-from graphloom.operators.lineage import cut
+from graphloom.operators.lineage import cut, drop
 
 
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -15,41 +15,65 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     A node takes the least label around it and then that label's own label, so chains halve each round."""
     both = cut(edges.select(F.col("source").alias("a"), F.col("target").alias("b")).union(edges.select("target", "source")).where("a != b").distinct())
-    labels = cut(nodes.select("id", F.col("id").alias("component")))
+    moved = cut(nodes.select("id", F.col("id").alias("old"), F.col("id").alias("component")))
     while True:
+        labels = moved.select("id", "component")
         around = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         stepped = labels.join(around, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("new"))
         further = labels.select(F.col("id").alias("new"), F.col("component").alias("further"))
-        moved = cut(stepped.join(further, "new", "left").select("id", "old", F.least("new", F.coalesce("further", "new")).alias("component")))
-        labels = moved.select("id", "component")
+        moved = cut(stepped.join(further, "new", "left").select("id", "old", F.least("new", F.coalesce("further", "new")).alias("component")), moved)
         if moved.where("old != component").isEmpty():
-            return labels
+            drop(both)
+            return moved.select("id", "component")
 
 
-def cycle_nodes(edges: DataFrame) -> DataFrame:
-    """id of every node on a directed cycle, a loop included.
-
-    Nodes without an edge in or out among the rest go until none is left to go; of what stays, a node is on
-    a cycle if the closure of its edges, doubled in each round, comes back to it. The closure is held only
-    for the trimmed part."""
-    rest = cut(edges.select("source", "target").distinct())
+def trimmed(links: DataFrame) -> DataFrame:
+    """source, target of the links left when nodes without one in or one out have gone, until none is left to go."""
+    rest, n = links, links.count()
     while True:
         kept = rest.join(rest.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(rest.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
-        smaller = cut(kept.select("source", "target"))
-        done = smaller.count() == rest.count()
-        rest = smaller
-        if done:
-            break
-    paths, n = rest, rest.count()
-    while True:
-        onward = paths.select(F.col("source").alias("target"), F.col("target").alias("onward"))
-        paths = cut(paths.union(paths.join(onward, "target").select("source", F.col("onward").alias("target"))).distinct())
-        m = paths.count()
+        rest = cut(kept.select("source", "target"), rest)
+        m = rest.count()
         if m == n:
-            return paths.where("source = target").select(F.col("source").alias("id"))
+            return rest
         n = m
 
 
+def spread(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """id, label: the largest label that reaches a node along `links`, its own included."""
+    while True:
+        came = links.join(labels.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(F.max("label").alias("came"))
+        moved = cut(labels.join(came, "id", "left").select("id", F.col("label").alias("old"), F.greatest("label", F.coalesce("came", "label")).alias("label")))
+        labels = moved.select("id", "label")
+        if moved.where("old != label").isEmpty():
+            return labels
+
+
+def cycle_nodes(edges: DataFrame) -> DataFrame:
+    """id of every node on a directed cycle, a loop included.
+
+    After trimming, every node takes the largest id that reaches it as its colour. Going back from the node that
+    a colour is named after, within the colour, gives one strongly connected part of each colour, which goes;
+    until no link is left. A round holds links and one label per node, never pairs that paths join."""
+    every = edges.select("source", "target").distinct()
+    found = cut(every.where("source = target").select(F.col("source").alias("id")))
+    rest = trimmed(cut(every.where("source != target")))
+    while not rest.isEmpty():
+        nodes = rest.select(F.col("source").alias("id")).distinct()
+        colours = spread(nodes.select("id", F.col("id").alias("label")), rest)
+        inside = rest.join(colours.toDF("source", "colour"), "source").join(colours.toDF("target", "other"), "target").where("colour = other")
+        back = cut(inside.select(F.col("target").alias("source"), F.col("source").alias("target")))
+        reached = spread(colours.select("id", F.when(F.col("id") == F.col("label"), 1).otherwise(0).alias("label")), back)
+        part = cut(reached.where("label = 1").join(back.select(F.col("source").alias("id")).union(back.select("target")).distinct(), "id", "left_semi").select("id"))
+        # Of a colour's part, a node is on a cycle if a link of its own part leads on from it.
+        on = back.join(part.toDF("source"), "source", "left_semi").join(part.toDF("target"), "target", "left_semi").select(F.col("target").alias("id")).distinct()
+        found = cut(found.union(on).distinct())
+        gone = cut(reached.where("label = 1").select("id"))
+        left = rest.join(gone.toDF("source"), "source", "left_anti").join(gone.toDF("target"), "target", "left_anti")
+        rest = trimmed(cut(left))
+    return found
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 50, damping: float = 0.85) -> DataFrame:
     """id, rank: a fixed number of rounds; the mass of nodes without an edge out is spread evenly."""
     n = nodes.count()

@@ -1,23 +1,67 @@
-"""Checkpoints in the shared folder, and row numbers without a one-task sort."""
+"""Tables in the shared folder that cut lineage, and row numbers without a one-task sort."""
 
 from __future__ import annotations
 
-import gc
+import math
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` from a reliable checkpoint; shuffle files of the plans it replaces may be deleted."""
-    sc = df.sparkSession.sparkContext
+def scratch_dir(spark: SparkSession) -> str:
+    """A folder of this session in the shared one that spark.checkpoint.dir names; it goes when the JVM ends.
+
+    Without that setting there is no folder that all executors see, so only a local master may do without it."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
-    done = df.checkpoint(eager=True)
-    gc.collect()
-    sc._jvm.System.gc()
-    return done
+        shared = sc.getConf().get("spark.checkpoint.dir", None)
+        if shared is None and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
+    root = f"{sc.getCheckpointDir()}/tables"
+    if root not in _ROOTS:
+        path = sc._jvm.org.apache.hadoop.fs.Path(root)
+        files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _ROOTS.add(root)
+    return root
+
+
+_ROOTS: set[str] = set()
+#: Shuffle files go as soon as the statement that made them has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, *gone: DataFrame) -> DataFrame:
+    """`df` as a table in the shared folder, so that lost executors cost no earlier work and the planner knows its
+    size. The tables behind `gone`, results of cut() that nothing reads any more, are deleted."""
+    spark = df.sparkSession
+    path, before = f"{scratch_dir(spark)}/{uuid.uuid4().hex}", spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    drop(*gone)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def drop(*gone: DataFrame) -> None:
+    """Delete the tables behind results of cut()."""
+    for df in gone:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def cut_into(df: DataFrame, rows: int, *gone: DataFrame, rows_per_task: int = 100_000) -> DataFrame:
+    """cut() of a `df` of at most `rows` narrow rows, in as many files as they need."""
+    return cut(df.coalesce(max(1, math.ceil(rows / rows_per_task))), *gone)
 
 
 def numbered(df: DataFrame, order: list[str | Column], name: str, start: int = 0) -> DataFrame:
