@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import gc
-import math
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators.lineage import cut, cut_into, drop
+
+__all__ = ["ascii_lower", "cut", "cut_into", "drop", "fresh_name", "table", "text_or_empty"]
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -18,37 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where the setting is absent."""
-    sc = spark.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint, which outlives lost executors.
-
-    Spark deletes shuffle files when the driver collects the plan that made them. The plans of earlier steps
-    are garbage now, so this is asked for here; else the files of a whole loop would lie on disk at once."""
-    ensure_checkpoint_dir(df.sparkSession)
-    done = df.checkpoint(eager=True)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return done
-
-
-def few_tasks(df: DataFrame, rows_per_task: int = 100_000) -> DataFrame:
-    """A checkpointed `df` in as many partitions as its rows need, where they are fewer than it has."""
-    return df.coalesce(max(1, math.ceil(df.count() / rows_per_task)))
-
-
-def cut_into(df: DataFrame, rows: int, rows_per_task: int = 100_000) -> DataFrame:
-    """cut() of a `df` of at most `rows` narrow rows, in as many files as they need."""
-    return cut(df.coalesce(max(1, math.ceil(rows / rows_per_task))))
-
-
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)
@@ -56,3 +25,12 @@ def ascii_lower(c: Column) -> Column:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def fresh_name(df: DataFrame, base: str) -> str:
+    """`base` with as many underscores behind it as make it no column of `df`, in any case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"{base}__"
+    while name.lower() in taken:
+        name += "_"
+    return name

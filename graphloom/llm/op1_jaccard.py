@@ -14,8 +14,10 @@ have |A - B| <= f(a) = a - ceil(t a), and |A ^ B| <= r (a + b) with r = (1 - t)
    component. Where a pivot's members are in several components, a member is described by its difference to
    the pivot: D(A) = A ^ P, and |A ^ B| = |D(A) ^ D(B)|. A pair that isn't joined through the pivot has to
    share one of the K + 1 first shingles of its differences, and one of the K / 2 + 1 first ones of the
-   smaller of both. In a group of copies with changes of their own these lists are short, however large the
-   group is. They are compared through pivots once more, and the few still apart pair by pair.
+   smaller of both, rare ones of the pivot's group first. In a group of copies with changes of their own these
+   lists are few and short, however large the group is.
+5. A list of differences that still spans several components gets one pivot, then 16, 256 and so on, which
+   leave it after they have been compared with its members; until no list spans two components.
 """
 
 from __future__ import annotations
@@ -29,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, cut_into, few_tasks, table, text_or_empty
+from graphloom.llm.common import cut, cut_into, drop, table, text_or_empty
 
 #: Bytes of text that are hashed together, and tokens that a bucket of the uniqueness count holds on average.
 PART_BYTES, BUCKET_TOKENS = 500_000, 700_000
 #: Share of the hash space of the first count, as a number of top bits: a quarter.
 FIRST_BITS = 2
 #: Set sizes that may be the boundary of light and heavy sets.
-BOUNDARIES = (0, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512)
+BOUNDARIES = (0, 4, 8, 12, 16, 20, 24, 32, 40, 48, 64, 96, 128, 192, 256)
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -240,18 +242,20 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     round. Every round is checkpointed. The number of labels is known from the first round on, so each
     checkpoint has as many files as its rows need, and not one for every shuffle partition."""
     edges = edges.select("a", "b").where("a != b")
-    both = cut_into(edges.union(edges.select(F.col("b"), F.col("a"))).distinct(), 2 * edges.count())
-    labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "id")
+    n = edges.count()
+    if not n:
+        return vertices.select("id", F.col("id").alias("component"))
+    both = cut_into(edges.union(edges.select(F.col("b"), F.col("a"))).distinct(), 2 * n)
+    labels = cut_into(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("id"), F.lit(None).cast("long").alias("old"), "label"), 2 * n)
     size = labels.count()
-    labels = cut_into(labels, size)
     while True:
         around = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("around"))
         stepped = labels.join(around.withColumnRenamed("a", "id"), "id").select("id", F.col("label").alias("old"), F.least("label", "around").alias("new"))
         jump = labels.select(F.col("id").alias("new"), F.col("label").alias("further"))
-        moved = cut_into(stepped.join(jump, "new", "left").select("id", "old", F.least("new", F.coalesce("further", "new")).alias("label")), size)
-        labels = moved.select("id", "label")
-        if not moved.where("old != label").limit(1).count():
+        labels = cut_into(stepped.join(jump, "new", "left").select("id", "old", F.least("new", F.coalesce("further", "new")).alias("label")), size, labels)
+        if labels.where("old != label").isEmpty():
             break
+    drop(both)
     return vertices.select("id").join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("component"))
 
 
@@ -267,18 +271,22 @@ class Join:
 
     def prefixes(self) -> DataFrame:
         """id, n, alone (shingles that no other set has), common: the others as (df, token), rare ones first,
-        cut to the f(n) + 2 first of all; sets with more than f(n) lonely shingles are gone."""
+        cut to the f(n) + 2 first of all; sets with more than f(n) lonely shingles are gone.
+
+        The counts are written first, so that the join with them has an exchange on both sides: a shingle of a
+        third of all sets is a skewed key then, which AQE splits."""
         rows = self.sets.select("id", F.explode("tokens").alias("token"))
-        df = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+        df = cut(rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
         common = rows.join(df, "token").groupBy("id").agg(F.collect_list(F.struct("df", "token")).alias("common")).join(self.sets.select("id", "n"), "id")
         alone = F.col("n") - F.size("common")
         kept = common.withColumn("alone", alone).where(alone <= self.spare(F.col("n")))
         return kept.withColumn("common", F.slice(F.array_sort("common"), 1, (self.spare(F.col("n")) + 2 - F.col("alone")).cast("int")))
 
     def boundary(self, prefixes: DataFrame) -> int:
-        """The set size up to which enumerating 2-subsets, and scanning lists beyond, costs least."""
+        """The set size up to which enumerating 2-subsets, and scanning lists beyond, costs least: entries that
+        are written, and for a scanned list the comparison of each member with the pivot."""
         m = F.size("common")
-        light, heavy = m * (m - 1) / 2, m + F.aggregate("common", F.lit(0).cast("bigint"), lambda s, x: s + x["df"]) / F.lit(2)
+        light, heavy = m * (m - 1) / 2, 2 * m
         costs = prefixes.agg(*[F.sum(F.when(F.col("n") <= x, light).otherwise(heavy)).alias(f"c{x}") for x in BOUNDARIES]).first()
         return min(BOUNDARIES, key=lambda x: (costs[f"c{x}"] or 0, x))
 
@@ -294,9 +302,10 @@ class Join:
         return pick(light, pairs, 2).union(pick(heavy, F.transform(single, lambda x: x["token"]), 1))
 
     def pivots(self, lists: DataFrame, keys: list[str]) -> DataFrame:
-        """Distinct (a, p) of every list with several members: p is the member of most weight."""
+        """Distinct (a, p) of every list with several members: p is the member of most weight. Pivots are written, so
+        that a list of a third of all members is a skewed key which AQE splits."""
         best = lists.groupBy(*keys).agg(F.max(F.struct("weight", "id")).alias("best"), F.min("id").alias("low"), F.max("id").alias("high"))
-        best = best.where("low != high").select(*keys, F.col("best.id").alias("pivot"))
+        best = cut(best.where("low != high").select(*keys, F.col("best.id").alias("pivot")))
         return lists.join(best, keys).where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("p")).distinct()
 
     def compared(self, pairs: DataFrame) -> DataFrame:
@@ -320,27 +329,33 @@ class Join:
         return pairs.select(*columns, "of_a", "of_p")
 
     def differences(self, pairs: DataFrame) -> DataFrame:
-        """p, token, id, n, weight, index, of: lists of the first shingles of differences to a pivot; new shingles
-        come before lost ones, as they are the rarer. index: among the first K / 2 + 1. size: of D."""
-        num, den = self.num, self.den
+        """p, id, n, size, token: the differences D of sets to their pivot, a row for each shingle; `size` is that of D."""
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                out: dict[str, list] = {c: [] for c in ("p", "token", "id", "n", "size", "index")}
-                for a, p, x, y in zip(b.column("a").to_pylist(), b.column("p").to_pylist(), arrays(b.column("of_a")), arrays(b.column("of_p")), strict=True):
-                    new, lost = np.setdiff1d(x, y, True), np.setdiff1d(y, x, True)
-                    most = len(x) * (den - num) // num
-                    first = np.concatenate([new, lost])[: most + 1]
-                    out["p"].append(np.full(len(first), p))
-                    out["token"].append(first)
-                    out["id"].append(np.full(len(first), a))
-                    out["n"].append(np.full(len(first), len(x)))
-                    out["size"].append(np.full(len(first), len(new) + len(lost)))
-                    out["index"].append(np.arange(len(first)) <= most // 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out.values()], list(out))
-
-        kind = "p long, token long, id long, n long, size long, index boolean"
-        return self.with_sets(pairs, ["a", "p"]).where(F.size("of_a") > 0).mapInArrow(work, kind).withColumn("weight", -F.col("size"))
+                found = [np.setxor1d(x, y, True) for x, y in zip(arrays(b.column("of_a")), arrays(b.column("of_p")), strict=True)]
+                n = np.diff(b.column("of_a").offsets.to_numpy())
+                size = np.array([len(d) for d in found])
+                each = lambda x: pa.array(np.repeat(np.asarray(x, np.int64), size))
+                tokens = pa.array(np.concatenate([np.empty(0, np.int64), *found]))
+                yield pa.RecordBatch.from_arrays([each(b.column("p").to_numpy()), each(b.column("a").to_numpy()), each(n), each(size), tokens], ["p", "id", "n", "size", "token"])
+
+        return self.with_sets(pairs, ["a", "p"]).mapInArrow(work, "p long, id long, n long, size long, token long")
+
+    def most(self, n: str) -> Column:
+        """The symmetric difference that a set linked with one of size `n` may have to it."""
+        return F.expr(f"{n} * {self.den - self.num} div {self.num}")
+
+    def difference_lists(self, pairs: DataFrame) -> DataFrame:
+        """p, token, id, n, size, pos: lists of the first most + 1 shingles of differences to a pivot, rare ones of
+        the pivot's group first; those that no other difference has stand before all and only count."""
+        rows = cut(self.differences(pairs))
+        df = cut(rows.groupBy("p", "token").agg(F.count("*").alias("df")).where("df > 1"))
+        common = rows.join(df, ["p", "token"]).groupBy("p", "id").agg(F.first("n").alias("n"), F.first("size").alias("size"), F.collect_list(F.struct("df", "token")).alias("common"))
+        alone = F.col("size") - F.size("common")
+        first = F.slice(F.array_sort("common"), 1, (self.most("n") + 1 - alone).cast("int"))
+        kept = common.where(alone <= self.most("n")).select("p", "id", "n", "size", alone.alias("alone"), F.posexplode(first))
+        return kept.select("p", "col.token", "id", "n", "size", (F.col("pos") + F.col("alone")).alias("pos"))
 
     def unresolved(self, lists: DataFrame, keys: list[str], of: DataFrame) -> DataFrame:
         """Rows of `lists`, with their components, of lists whose members are in several components."""
@@ -348,34 +363,51 @@ class Join:
         open_ = labelled.groupBy(*keys).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select(*keys)
         return labelled.join(open_, keys)
 
-    def links(self) -> tuple[DataFrame, DataFrame]:
-        """Edges (a, b) that span the components of all links, and (id, component) of the joined sets."""
-        prefixes = few_tasks(cut(self.prefixes()), 10_000)
-        lists = few_tasks(cut(self.lists(prefixes, self.boundary(prefixes))))
-        starred = few_tasks(cut(self.compared(self.pivots(lists, ["kind", "key"]))))
-        vertices = prefixes.select("id")
-        edges = starred.where("linked").select("a", F.col("p").alias("b"))
-        size = prefixes.count()
-        of = cut_into(components(vertices, edges), size)
+    def met(self, lists: DataFrame, ways: int) -> tuple[DataFrame, DataFrame]:
+        """Distinct (a, p) of members in several components that may be linked, one of which is a pivot of their
+        list; and the rows of `lists` without the pivots. A list has as many pivots as `ways`, by shares of its ids.
+
+        The first list that a linked pair shares stands in the first half of the smaller difference, and leaves
+        behind it as many shingles in both as the pair still has to share."""
+        num, den = self.num, self.den
+        keys, own = ["p", "token"], ["id", "n", "size", "pos", "component"]
+        chosen = lists.withColumn("way", F.pmod(F.xxhash64("id"), F.lit(ways))).groupBy(*keys, "way").agg(F.max(F.struct(-F.col("size"), *own)).alias("m"))
+        pivots = chosen.select(*keys, *[F.col(f"m.{c}").alias(f"{c}_b") for c in own])
+        x = lists.join(pivots, keys).where(F.col("component") != F.col("component_b"))
+        x = x.where(((F.col("size") <= F.col("size_b")) & (2 * F.col("pos") <= self.most("n"))) | ((F.col("size_b") <= F.col("size")) & (2 * F.col("pos_b") <= self.most("n_b"))))
+        x = x.where(F.least("n", "n_b") * den >= F.greatest("n", "n_b") * num)
+        left = F.least(F.col("size") - F.col("pos"), F.col("size_b") - F.col("pos_b"))
+        x = x.where((F.col("size") + F.col("size_b") - 2 * left) * (den + num) <= (F.col("n") + F.col("n_b")) * (den - num))
+        pairs = x.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("p")).distinct()
+        return pairs, lists.join(pivots.select(*keys, F.col("id_b").alias("id")), [*keys, "id"], "left_anti").drop("component")
+
+    def links(self) -> DataFrame:
+        """(id, component) of the sets that have a prefix; all others are linked with nothing."""
+        prefixes = cut(self.prefixes())
+        vertices = cut(prefixes.select("id"))
+        size = vertices.count()
+        lists = cut(self.lists(prefixes, self.boundary(prefixes)), prefixes)
+        starred = cut(self.compared(self.pivots(lists, ["kind", "key"])), lists)
+        edges = starred.where("linked").select("a", "p")
+        of = cut_into(components(vertices, edges.toDF("a", "b")), size)
 
         group = starred.select(F.col("a").alias("id"), "p").union(starred.select(F.col("p").alias("id"), "p").distinct())
-        apart = self.unresolved(group, ["p"], of).where("id != p").select(F.col("id").alias("a"), "p")
-        lists = cut(self.differences(apart))
-        indexed = lists.groupBy("p", "token").agg(F.bool_or("index").alias("any")).where("any").select("p", "token")
-        open_ = self.unresolved(lists.join(indexed, ["p", "token"]), ["p", "token"], of)
-        starred = cut(self.compared(self.pivots(open_, ["p", "token"]).join(starred.select("a", "p"), ["a", "p"], "left_anti")))
-        edges = edges.union(starred.where("linked").select("a", F.col("p").alias("b")))
-        of = cut_into(components(vertices, edges), size)
-
-        open_ = cut(self.unresolved(lists.join(indexed, ["p", "token"]), ["p", "token"], of))
-        left, right = ([F.col(c).alias(f"{c}_{s}") if c not in ("p", "token") else F.col(c) for c in ("p", "token", "id", "n", "size", "index", "component")] for s in "ab")
-        met = open_.select(*left).join(open_.select(*right), ["p", "token"]).where("component_a < component_b")
-        met = met.where(((F.col("size_a") <= F.col("size_b")) & F.col("index_a")) | ((F.col("size_b") <= F.col("size_a")) & F.col("index_b")))
-        met = met.where((F.least("n_a", "n_b") * self.den >= F.greatest("n_a", "n_b") * self.num))
-        met = met.where(F.abs(F.col("size_a") - F.col("size_b")) * (self.den + self.num) <= (F.col("n_a") + F.col("n_b")) * (self.den - self.num))
-        last = self.compared(met.select(F.col("id_a").alias("a"), F.col("id_b").alias("p")).distinct())
-        edges = cut(edges.union(last.where("linked").select("a", F.col("p").alias("b"))))
-        return edges, components(vertices, edges)
+        apart = cut(self.unresolved(group, ["p"], of).where("id != p").select(F.col("id").alias("a"), "p"))
+        if apart.isEmpty():
+            return of
+        open_ = cut(self.unresolved(self.difference_lists(apart), ["p", "token"], of))
+        open_sets, ways = Join(cut(self.sets.join(open_.select("id").distinct(), "id", "left_semi")), self.num, self.den), 1
+        seen = starred.select(F.least("a", "p").alias("a"), F.greatest("a", "p").alias("p"))
+        while not open_.isEmpty():
+            pairs, rest = self.met(open_, ways)
+            fresh = cut(open_sets.compared(pairs.join(seen, ["a", "p"], "left_anti")))
+            seen, ways = seen.union(fresh.select("a", "p")), 16 * ways
+            linked = fresh.where("linked").select("a", "p")
+            if not linked.isEmpty():
+                edges = edges.union(linked)
+                of = cut_into(components(vertices, edges.toDF("a", "b")), size, of)
+            open_ = cut(self.unresolved(rest, ["p", "token"], of), open_)
+        return of
 
 
 def arrays(column: pa.Array) -> Iterator[np.ndarray]:
@@ -390,10 +422,8 @@ def overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
-def labelled_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, text_hash, id (of the set), n (its size), component (a set's id; null without words) for every row."""
-    rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    sets = cut(set_rows(rows, k))
+def candidate_tokens(rows: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """id, n, tokens, once for every set of `sets` that may be linked with another one."""
     # A set of s shingles can have a partner other than itself only if f(s + 1) >= 1.
     least = next(s for s in range(1, 2 * den) if (s + 1) * num <= s * den or s * num <= (s - 1) * den)
     total = sets.agg(F.sum("n")).first()[0] or 0
@@ -405,10 +435,28 @@ def labelled_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     # Cut here, the files of the count go before texts move; repeated rows go where the join has put them.
     one = cut_into(one.select("text_hash", "of"), sets.count())
     texts = rows.withColumn("of", F.coalesce("doc_id", F.lit(-1))).join(one, ["text_hash", "of"]).dropDuplicates(["text_hash", "of"])
-    tokens = cut(token_rows(texts, k))
-    _, of = Join(tokens, num, den).links()
-    of = cut(of)
-    return sets.join(of, "id", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "id")))
+    return token_rows(texts, k)
+
+
+def labelled_sets(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text_hash, id (of the set), n (its size) of every row; and id, component of the sets that may be
+    linked. A set without a component, and one without words, is linked with nothing."""
+    rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    sets = cut(set_rows(rows, k))
+    tokens = cut(candidate_tokens(rows, sets, k, num, den))
+    of = Join(tokens, num, den).links()
+    drop(tokens)
+    return sets, of
+
+
+def named_classes(sets: DataFrame, of: DataFrame, name: Column) -> DataFrame:
+    """id, name, rows of every class of equal sets with words: the least `name` and the number of rows of its
+    component. Rows are summed up per class and then per component, each before its shuffle, and the names are
+    written, so that a hot class or component is a skewed key which AQE splits."""
+    classes = sets.where("n > 0").groupBy("id").agg(F.min(name).alias("name"), F.count("*").alias("rows")).join(of, "id", "left")
+    classes = cut(classes.withColumn("component", F.coalesce("component", "id")))
+    several = cut(classes.groupBy("component").agg(F.min("name").alias("name"), F.sum("rows").alias("rows")).where("rows > 1"))
+    return classes.select("id", "component").join(several, "component").select("id", "name", "rows")
 
 
 def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -419,22 +467,22 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
     component. Rows of equal sets are one class, repeated rows included; null ids belong to their class
     but never name it (unless it has no other). Texts are whole, of any length. An empty table gives an
     empty result; other columns are ignored."""
-    named = labelled_rows(docs, k, num, den)
-    names = named.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return named.join(names, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("id").alias("set_id"))
+    sets, of = labelled_sets(docs, k, num, den)
+    names = cut(named_classes(sets, of, F.col("doc_id")).select("id", F.col("name").alias("component_id")))
+    return sets.join(names, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("id").alias("set_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Rows of `docs` without near duplicates: of a component one row stays, that of the least doc_id, nulls last,
     and among equal ids of the least hashes of text and row. Repeated rows are copies like any other; rows
-    without words stay all.
+    without words stay all. An empty table gives an empty result; all columns stay, whatever their names.
 
     A row is told by doc_id and the hash of its text, so an id on several texts loses only those that go. Only
     rows whose id and text are repeated move to choose one of them, summed up before the shuffle."""
     key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
-    named = cut(labelled_rows(docs, k, num, den).where("n > 0").select("component", key.alias("key")))
-    several = named.groupBy("component").agg(F.min("key").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("component", "first")
-    judged = named.join(several, "component").groupBy("key").agg(F.bool_or(F.col("key") == F.col("first")).alias("stays"), F.count("*").alias("rows"))
+    sets, of = labelled_sets(docs, k, num, den)
+    first = cut(named_classes(sets, of, key).select("id", "name"))
+    judged = sets.select("id", key.alias("key")).join(first, "id").groupBy("key").agg(F.bool_or(F.col("key") == F.col("name")).alias("stays"), F.count("*").alias("rows"))
     judged = cut(judged.where("NOT stays OR rows > 1").select(F.col("key.doc_id").alias("of__"), F.col("key.text_hash").alias("of_hash__"), "stays"))
     hashed = docs.withColumn("hash__", F.xxhash64(text_or_empty()))
     same = F.col("doc_id").eqNullSafe(F.col("of__")) & (F.col("hash__") == F.col("of_hash__"))
