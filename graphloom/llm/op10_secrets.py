@@ -1,8 +1,10 @@
 """Secret scans over an incremental blob ledger, in DataFrame expressions only.
 
-Every version of a text is a blob, addressed by its SHA-256. The ledger holds what each (blob, rule
-version) pair gave; a scan reads only pairs that the ledger lacks, once per blob however many paths hold
-it, and findings are joined back to all paths by address.
+Every version of a text is a blob, addressed by its SHA-256. The ledger holds what each pair of blob and rule
+version gave; a scan reads only pairs that the ledger lacks, once per blob however many paths hold it, and
+findings are joined back to all paths by address. A rule version is told by kind, version and a hash of what
+it does, so that an edited pattern counts as a new one. Spans carry their kind, so a ledger outlives any
+change of the rules' order.
 
 Positions come from one split per rule: between n matches lie n + 1 pieces, and the running lengths of
 pieces and matches are the spans, in code points.
@@ -10,12 +12,13 @@ pieces and matches are the spans, in code points.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table, text_or_empty
+from graphloom.llm.common import cut, fresh_name, table, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -31,6 +34,11 @@ class Rule:
     version: int = 1
     base: bool = False
 
+    @property
+    def key(self) -> str:
+        what = "\0".join((self.pattern, str(self.group), str(self.least), self.hint))
+        return f"{self.kind}@{self.version}#{hashlib.sha256(what.encode()).hexdigest()[:12]}"
+
 
 def _any_case(word: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
@@ -47,11 +55,12 @@ RULES = (
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1, "gh[pousr]_"),
 )
 
-SPAN = "array<struct<start:int,rank:int,end:int>>"
+SPAN = "array<struct<start:int,kind:string,end:int>>"
+FOUND = "array<struct<start:int,rank:int,end:int>>"
 
 
-def spans_of(text: Column, rule: Rule, rank: int) -> Column:
-    """Array of (start, rank, end) of a rule's matches that pass, in text order."""
+def spans_of(text: Column, rule: Rule) -> Column:
+    """Array of (start, kind, end) of a rule's matches that pass, in text order."""
     pieces = F.transform(F.split(text, rule.pattern, -1), F.length)
     matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     tested = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else matches
@@ -61,7 +70,7 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     def add(state: Column, x: Column) -> Column:
         begin = state["at"] + x["gap"]
         end = begin + x["size"]
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"))
+        span = F.struct(begin.alias("start"), F.lit(rule.kind).alias("kind"), end.alias("end"))
         return F.struct(end.alias("at"), F.when(x["tested"] >= rule.least, F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"))
 
     found = F.aggregate(lengths, start, add, lambda s: s["found"])
@@ -73,20 +82,17 @@ def address(text: Column) -> Column:
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
-    """Ledger rows (blob, kind, version, spans) of every pair of blob and rule version that `ledger` lacks.
+    """Ledger rows (blob, rule, spans) of every pair of blob and rule version that `ledger` lacks.
 
-    `blobs`: blob, text with one row per blob. A blob is scanned only for the rules whose present version it
-    has not seen; one that has seen all is not read further. Pairs without a finding are recorded too."""
+    `blobs`: blob, text with one row per blob. A blob is scanned only for the rule versions it has not seen; one
+    that has seen all is not read further. Pairs without a finding are recorded too."""
     if ledger is None:
         todo = blobs.withColumn("seen", F.array().cast("array<string>"))
     else:
-        seen = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws("@", "kind", F.col("version").cast("string"))).alias("seen"))
+        seen = ledger.groupBy("blob").agg(F.collect_set("rule").alias("seen"))
         todo = blobs.join(seen, "blob", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
-    tests = [
-        F.when(~F.array_contains("seen", f"{r.kind}@{r.version}"), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans_of(F.col("text"), r, i).alias("spans")))
-        for i, r in enumerate(rules)
-    ]
-    todo = todo.where(F.size(F.array_except(F.array(*[F.lit(f"{r.kind}@{r.version}") for r in rules]), F.col("seen"))) > 0)
+        todo = todo.where(F.size(F.array_except(F.array(*[F.lit(r.key) for r in rules]), F.col("seen"))) > 0)
+    tests = [F.when(~F.array_contains("seen", r.key), F.struct(F.lit(r.key).alias("rule"), spans_of(F.col("text"), r).alias("spans"))) for r in rules]
     return todo.select("blob", F.explode(F.array_compact(F.array(*tests))).alias("t")).select("blob", "t.*")
 
 
@@ -96,18 +102,42 @@ def blobs_of(versions: DataFrame) -> DataFrame:
     return versions.select(address(text).alias("blob"), text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
 
 
-def findings(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
-    """path, blob, found for every row of `versions` (path, text): all spans by start and then kind rank.
+def extend_ledger(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The Parquet ledger in the shared folder `path`, after the pairs that it lacked for `versions` (any columns,
+    with text) have been scanned and appended. A folder that isn't there is an empty ledger.
+
+    A run that is lost before its commit appends nothing; what two runs append at once is the same rows twice,
+    which readers take as one. Rows of removed and old rule versions stay, and are not read by present rules."""
+    spark = versions.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    ledger = spark.read.parquet(path) if there else None
+    scan_blobs(blobs_of(versions), rules, ledger).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def found_blobs(versions: DataFrame, rules: tuple[Rule, ...], ledger: DataFrame | None) -> DataFrame:
+    """blob, found (start, rank among `rules`, end; by start and rank) of every blob that has a finding.
 
-    Known pairs come from the ledger, unseen ones from a scan; blobs without a finding join nothing, so the
-    joined side is small, and a blob held by a third of all paths is a skewed key that AQE may split."""
+    Known pairs come from the ledger, unseen ones from a scan. The table is written, so that a join with it has
+    an exchange on both sides and a blob of a third of all paths is a skewed key that AQE splits."""
     fresh = scan_blobs(blobs_of(versions), rules, ledger)
     if ledger is not None:
-        current = F.broadcast(versions.sparkSession.createDataFrame([(r.kind, r.version) for r in rules], "kind string, version int"))
-        fresh = fresh.unionByName(ledger.join(current, ["kind", "version"], "left_semi").select("blob", "kind", "version", "spans"))
-    found = fresh.where(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("found"))
+        known = ledger.where(F.col("rule").isin([r.key for r in rules])).select("blob", "rule", "spans").dropDuplicates(["blob", "rule"])
+        fresh = fresh.unionByName(known)
+    ranks = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
+    ranked = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.try_element_at(ranks, s["kind"]).alias("rank"), s["end"].alias("end")))
+    found = fresh.where(F.size("spans") > 0).groupBy("blob").agg(F.flatten(F.collect_list(ranked)).alias("found"))
+    return cut(found.select("blob", F.array_sort("found").cast(FOUND).alias("found")))
+
+
+def findings(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
+    """path, blob, found for every row of `versions` (path, text): all spans by start and then the kind's rank.
+
+    Null texts are empty; repeated rows each have their findings; no rows give an empty result. Of `ledger`, what
+    blobs of other texts, removed rules and old versions gave isn't taken."""
     paths = versions.select(F.col(path), address(text_or_empty()).alias("blob"))
-    return paths.join(found, "blob", "left").select(path, "blob", F.coalesce("found", F.array().cast(SPAN)).alias("found"))
+    return paths.join(found_blobs(versions, rules, ledger), "blob", "left").select(path, "blob", F.coalesce("found", F.array().cast(FOUND)).alias("found"))
 
 
 def _listed(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -131,13 +161,16 @@ def scan_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: Dat
     )
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
     """`docs` with every span in `text` replaced by [kind]; rows and other columns stay as they are.
 
-    Overlapping spans are replaced as one, under the kind that starts first. A null text stays null."""
+    Overlapping spans are replaced as one, under the kind that starts first, or ranks first. A null text stays
+    null, an empty one empty; repeated rows stay repeated; an empty table stays empty. Columns of `docs` may have
+    any names."""
+    blob, spans = fresh_name(docs, "blob"), fresh_name(docs, "found")
     kinds = F.array(*[F.lit(r.kind) for r in rules])
-    found = findings(docs.select(F.col("text")), "text", rules).where(F.size("found") > 0).groupBy("blob").agg(F.first("found").alias("found"))
-    joined = docs.withColumn("blob__", address(text_or_empty())).join(found.select(F.col("blob").alias("blob__"), F.col("found").alias("found__")), "blob__", "left")
+    found = found_blobs(docs, rules, ledger).toDF(blob, spans)
+    joined = docs.withColumn(blob, address(text_or_empty())).join(found, blob, "left")
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def cut_out(s: Column, x: Column) -> Column:
@@ -145,9 +178,9 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         fresh = F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"]), label)
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] >= s["at"], fresh).otherwise(s["out"]).alias("out"))
 
-    cleaned = F.aggregate("found__", begin, cut_out, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    text = F.when(F.col("found__").isNull(), F.col("text")).otherwise(cleaned)
-    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    cleaned = F.aggregate(spans, begin, cut_out, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(cleaned)
+    return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
