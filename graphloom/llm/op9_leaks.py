@@ -143,7 +143,7 @@ WITH dw AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_t
 ), iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM benchmark
 ), ds AS (SELECT r, doc_id, i AS pos, array_to_string(w[i + 1 : i + {SHINGLE}], ' ') AS s, len(w) AS m FROM (SELECT *, unnest(range(greatest(0, len(w) - {SHINGLE - 1}))) AS i FROM dw)
 ), its AS (SELECT item_id, len(w) AS n, i AS item_pos, array_to_string(w[i + 1 : i + {SHINGLE}], ' ') AS s FROM (SELECT *, unnest(range(greatest(0, len(w) - {SHINGLE - 1}))) AS i FROM iw)
-), starts AS (SELECT DISTINCT r, n, greatest(0, least(pos - item_pos, m - n)) AS start FROM ds JOIN its USING (s)
+), starts AS (SELECT DISTINCT r, n, unnest(range(greatest(0, least(pos + {SHINGLE} - n, m - n)), greatest(0, least(pos, m - n)) + 1)) AS start FROM ds JOIN (SELECT DISTINCT n, s FROM its) USING (s)
 ), windows AS (SELECT r, n, start, s, count(*) AS c FROM starts JOIN ds USING (r) WHERE pos >= start AND pos <= start + n - {SHINGLE} GROUP BY ALL
 ), wsize AS (SELECT r, n, start, sum(c) AS size FROM windows GROUP BY ALL
 ), ic AS (SELECT item_id, n, s, count(*) AS c FROM its GROUP BY ALL

@@ -58,6 +58,29 @@ def test_jaccard_classes(odd, k, num):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(i, *x) for i, x in want.items()}
 
 
+def test_jaccard_of_large_groups(spark):
+    """Chained copies, copies with changes from a small pool, and copies with changes of their own, by brute force."""
+    rng = np.random.default_rng(5)
+    base = [[f"{g}{i}" for i in range(120)] for g in "abc"]
+    texts = {}
+    for i in range(300):  # a chain: each has one more word than the last, so that ends aren't linked
+        texts[i] = " ".join(base[0][: 60 + i % 100] + base[0][: i // 100])
+    for i in range(300, 600):
+        words = list(base[1])
+        for at in rng.choice(12, rng.integers(1, 7), replace=False):
+            words[at * 10] = f"other{at}"
+        texts[i] = " ".join(words)
+    for i in range(600, 800):
+        words = list(base[2])
+        for at in rng.choice(120, rng.integers(1, 8), replace=False):
+            words[at] = f"own{i}x{at}"
+        texts[i] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op1_jaccard.jaccard_classes(docs, 5, 80, 100).collect()}
+    want = op1_jaccard.brute_force(texts, 5, 80, 100)
+    assert got == want and 3 < len({c for _, c in want.values()}) < 700
+
+
 def test_jaccard_of_nothing(nothing):
     assert op1_jaccard.jaccard_classes(nothing).count() == 0
 
@@ -181,6 +204,47 @@ def test_pages_keep_copied_articles_and_shared_cells(spark):
     assert not any("Section of the site" in t for t in got.values())
 
 
+def test_pages_of_odd_forms(spark):
+    want = [
+        ('<div class="layout has-sidebar"><p>a</p></div>', "a"), ('<div class="side-by-side">b</div>', "b"), ('<div class="post comment-free">c', "c"), ('<div id="legal-notice-act">d', "d"),
+        ("<p>Let <math>x</math> be</p>", "Let x be"), ("<p hidden>e</p>", "e"), ("<article>Teaser</article><div>" + "long main text " * 30 + "</div>", "Teaser\n" + ("long main text " * 30).strip()),
+        ('<p><a href="x>b</a> c</p>', "b c"), ("<article><p title=it's>One two three.</p><p>We don't stop.</p></article>", "One two three.\nWe don't stop."), ("<p>a < b</p><p>c<d", "a < b\nc"),
+        ('<article><p>x <span class="ad">ad</span> y</p></article>', "x y"), ('<div class="sidebar"><article>in root</article></div>', "in root"), ("<p>x<!-- <p>no</p>--> y<![CDATA[ q ]]></p><?php z ?>w", "x y\nw"),
+        ('<div class="cookie-notice">We use</div><article><p>Own</p><div id=comments-list>Nice</div></article><div class="site-footer">F</div>', "Own"), ('<div class="ad">' + "much longer " * 9 + "</div><article>Two.</article>", "Two."),
+    ]
+    pages = spark.createDataFrame([(i, f"http://h{i}.org", h) for i, (h, _) in enumerate(want)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in op7_html.extract_pages(pages).collect()} == {i: t for i, (_, t) in enumerate(want)}
+    assert op7_html.extract_pages(pages.where("false")).count() == 0 == op7_html.site_templates(pages.where("false").withColumn("host", F.lit("h"))).count()
+
+
+def test_pages_take_linear_time():
+    import time
+
+    forms = [lambda k: "<div>" * k + "x", lambda k: "<a " * k, lambda k: '<a b="' * (k + 1), lambda k: "<p><b>" * k + "t", lambda k: "<b>" * k + "<p>x" * k, lambda k: "<ul><li>a" * k, lambda k: "<div>a<p>b</div>" * k]
+    for form in forms:
+        began = time.process_time()
+        page = op7_html.Page(form(20_000))
+        page.contexts(), page.text()
+        assert time.process_time() - began < 10
+
+
+def test_templates_do_the_removal(spark):
+    """A site without telling names: by brute force over all pages, what recurs around 8 distinct articles goes."""
+    chrome = "<div class=x1><ul><li>Start</li><li>All</li></ul></div>"
+    body = lambda i: f"{chrome}<div class=x2>Today {i * 7}</div><article><p>Own words {i} of a page.</p><section>Read more of us</section><p>Yes</p></article><div class=x3><p>Kept {i}</p></div>"
+    site = [(i, "https://a.org/p", body(i)) for i in range(10)]
+    bare = [(100 + i, "https://b.org/p", f"{chrome}<div><p>Own text of page {i}, quite some of it.</p></div>") for i in range(10)]
+    few = [(200 + i, "https://c.org/p", f"{chrome}<div><p>Own text of page {i}, quite some of it.</p></div>") for i in range(7)]
+    pages = spark.createDataFrame(site + bare + few, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in op7_html.extract_pages(pages).collect()}
+    assert all(got[i] == f"Own words {i} of a page.\nYes" for i in range(10))
+    assert all(got[100 + i] == f"Own text of page {i}, quite some of it." for i in range(10))
+    assert all(got[200 + i] == f"Start\nAll\nOwn text of page {i}, quite some of it." for i in range(7))
+    shares = {r.page_id: r for r in op7_html.template_shares(pages).collect()}
+    assert shares[0].n_template == 5 and shares[0].n_template_only == 1 and shares[100].n_template_only == 2 and shares[200].n_template == 0
+    assert op7_html.extract_pages(pages.union(pages)).count() == 54
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -196,6 +260,26 @@ def test_languages_of_odd_rows(odd, nothing):
     assert op8_langid.keep_identified(odd.withColumn("lang", F.lit(None).cast("string"))).count() == len(ODD) - 3
 
 
+def test_leaks_of_random_edits(spark):
+    """Items with edits in their middle and at their ends, some over and some under the threshold, by brute force."""
+    rng = np.random.default_rng(11)
+    items = [(j, [f"i{j}x{x if rng.random() < 0.9 else x // 9}" for x in range(rng.integers(6, 90))]) for j in range(30)]
+    texts = []
+    for i in range(240):
+        words = list(items[rng.integers(len(items))][1])
+        for _ in range(rng.integers(0, 4)):
+            at, kind = rng.integers(len(words)), rng.integers(4)
+            words[at : at + 1] = ([words[at], "in"], ["new"], [], [words[at]] * 2)[kind]
+        if rng.random() < 0.5:
+            n = rng.integers(1, 2 + len(words) // 9)
+            words[:n] = ["s"] * n if rng.random() < 0.5 else []
+        texts.append((i, " ".join([*["l"] * rng.integers(0, 5), *words, *["r"] * rng.integers(0, 5)])))
+    items = [(j, " ".join(x)) for j, x in items]
+    got = {(r.doc_id, r.item_id) for r in op9_leaks.find_leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = leaks(texts, items, 0.8)
+    assert got == want and 60 < len(want) < 239
+
+
 def leaks(texts, items, threshold):
     """Best window of every (row, item), by trying all windows of an item's size."""
     words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
@@ -256,15 +340,37 @@ def test_secrets(odd, nothing):
     assert op10_secrets.scan_documents(nothing).count() == 0
 
 
-def test_ledger_scans_unseen_pairs_only(odd):
+def test_ledger_scans_unseen_pairs_only(odd, tmp_path):
+    path = str(tmp_path / "ledger")
+    rules = op10_secrets.RULES
+    assert op10_secrets.extend_ledger(odd.where("doc_id < 5"), path).count() == len(rules) * 5
+    ledger = op10_secrets.extend_ledger(odd, path)
     blobs = op10_secrets.blobs_of(odd)
-    ledger = op10_secrets.scan_blobs(blobs)
-    assert op10_secrets.scan_blobs(blobs, ledger=ledger).count() == 0
-    newer = (*op10_secrets.RULES[:-1], op10_secrets.Rule("forge", "ghx_[a-z]+", 0, 1, "ghx_", version=2))
-    again = op10_secrets.scan_blobs(blobs, newer, ledger)
-    assert {(r.kind, r.version) for r in again.select("kind", "version").collect()} == {("forge", 2)} and again.count() == blobs.count()
+    assert ledger.count() == len(rules) * blobs.count() and op10_secrets.scan_blobs(blobs, ledger=ledger).count() == 0
+    edited = op10_secrets.Rule("forge", "ghx_[a-z]+", 0, 1, "ghx_")  # its version was not raised
+    again = op10_secrets.scan_blobs(blobs, (*rules[:-1], edited), ledger)
+    assert {r.rule for r in again.select("rule").collect()} == {edited.key} and again.count() == blobs.count()
+
+
+def test_findings_by_a_ledger_of_other_rules(odd, tmp_path):
+    """New rules in front, removed, re-versioned and edited ones, and a ledger with repeated rows: as without one."""
+    rules = op10_secrets.RULES
+    ledger = op10_secrets.scan_blobs(op10_secrets.blobs_of(odd), rules)
+    ledger = ledger.union(ledger)
+    word = op10_secrets.Rule("word", r"hunter\w+", 0, 1, "hunter")
+    newer = op10_secrets.Rule("hex", r"[0-9a-f]{30,}", 0, 30, "[0-9a-f]{30}", version=2, base=True)
+    for now in ((word, *rules), rules[:2] + rules[3:] + (newer,), (rules[2], rules[0], rules[1])):
+        for some in (odd, odd.where("doc_id > 12"), odd.where("false")):
+            fresh = op10_secrets.findings(some, "doc_id", now).select("doc_id", "found").collect()
+            known = op10_secrets.findings(some, "doc_id", now, ledger).select("doc_id", "found").collect()
+            assert sorted(map(str, fresh)) == sorted(map(str, known))
+    got = {r.doc_id: r for r in op10_secrets.scan_documents(odd, (word, *rules), ledger).collect()}[13]
+    assert got.n_assign == 2 and got.spans.startswith("assign:0:20,word:11:20,access:21:41")
 
 
 def test_redaction(odd):
-    got = {r.doc_id: r.text for r in op10_secrets.redact(odd).collect()}
-    assert got[13] == "[assign] [access] [hex] é [assign]" and got[1] is None and got[8] == LONG
+    clashing = odd.withColumns({"blob__": F.lit("b"), "found__": F.lit("f"), "a.b": F.lit(1)})
+    got = {r.doc_id: r for r in op10_secrets.redact(clashing).collect()}
+    assert got[13].text == "[assign] [access] [hex] é [assign]" and got[1].text is None and got[8].text == LONG and got[2].text == ""
+    assert (got[13]["blob__"], got[13]["found__"], got[13]["a.b"]) == ("b", "f", 1)
+    assert op10_secrets.redact(clashing).count() == len(ODD) and op10_secrets.redact(clashing.where("false")).columns == clashing.columns
