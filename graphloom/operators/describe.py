@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import ucfirst
+from graphloom.functions.text import is_js_file, ucfirst
 
 #: Words of a data source's text by operation and by subtype.
 VERBS = {"write": "Writes to", "delete": "Deletes"}
@@ -20,6 +20,7 @@ STORES = {
 PLAIN = {
     "shortcode": "WordPress shortcode [%s].", "admin_page": "WordPress admin page '%s'.", "cron_job": "Scheduled cron event '%s'.", "post_type": "Custom post type '%s'.", "taxonomy": "Custom taxonomy '%s'.",
     "react_component": "React component '%s'.", "react_hook": "React hook '%s'.", "js_function": "JavaScript function.", "js_class": "JavaScript class.", "js_hook": "WordPress JS hook '%s'.",
+    "wp_store": "WordPress data store '%s'.",
 }
 #: Order in which types are shown to a model.
 FIRST_TYPES = ("class", "rest_endpoint", "hook", "gutenberg_block", "function", "method")
@@ -42,7 +43,7 @@ def _plural(n: Column, word: str) -> Column:
 
 def params_text(params: Column) -> Column:
     """Parameters (name, type) as a list in words."""
-    return F.array_join(F.transform(params, lambda p: F.concat_ws(" ", F.nullif(p["type"], F.lit("")), F.concat(F.lit("$"), p["name"]))), ", ")
+    return F.array_join(F.transform(params, lambda p: F.concat_ws(" ", F.nullif(p["type"], F.lit("")), F.concat(F.lit("$"), F.regexp_replace(p["name"], r"^\$", "")))), ", ")
 
 
 def safety(m: Callable[[str], Column]) -> list[Column]:
@@ -61,7 +62,7 @@ def description(index: Callable[[str], Column] | None = None) -> Column:
     cls = F.concat(F.concat_ws(" ", F.lit("PHP class"), place), F.when(detail != "", F.concat(F.lit(". "), ucfirst(detail))).otherwise(""), F.lit("."))
     interface = F.concat(F.concat_ws(" ", F.lit("PHP interface"), place, F.when(n("has_method") > 0, F.concat(F.lit("with "), _plural(n("has_method"), "method")))), F.lit("."))
     trait = F.concat(F.concat_ws(" ", F.lit("PHP trait"), place), F.lit("."))
-    accepts, returns = F.when(F.size(m("params")) > 0, params_text(m("params"))), F.when(_given(m("return_type")), F.concat(F.lit("returns "), m("return_type")))
+    accepts, returns = F.when(F.size(m("params")) > 0, F.concat(_plural(F.size(m("params")), "parameter"), F.lit(" ("), params_text(m("params")), F.lit(")"))), F.when(_given(m("return_type")), F.concat(F.lit("returns "), m("return_type")))
     head = F.concat_ws(" ", F.when(_given(m("visibility")), ucfirst(m("visibility"))), F.lit("standalone PHP function"), F.concat(F.lit("accepting "), accepts))
     function = F.concat(F.concat_ws(", ", head, returns), F.lit("."))
     owner = F.regexp_extract("id", "^method_(.+)_[^_]+$", 1)
@@ -86,7 +87,10 @@ def description(index: Callable[[str], Column] | None = None) -> Column:
     http = F.concat(F.lit("Outbound HTTP "), F.coalesce(m("http_method"), F.lit("GET")), F.lit(" request"), F.when(m("route").isNotNull(), F.concat(F.lit(" to "), m("route"))).otherwise(""), F.lit("."))
     block = F.concat(F.concat_ws(". ", F.concat(F.lit("Gutenberg block '"), F.coalesce(m("block_name"), F.col("label")), F.lit("'")), F.concat(F.lit("Category: "), m("block_category"))), F.lit("."))
     api = F.concat(F.lit("JavaScript API call"), F.when(m("route").isNotNull(), F.concat(F.lit(" to "), m("route"))).otherwise(""), F.lit("."))
-    by_type = {"class": cls, "interface": interface, "trait": trait, "function": function, "method": method, "hook": hook, "rest_endpoint": rest, "ajax_handler": ajax, "data_source": data, "http_call": http, "gutenberg_block": block, "js_api_call": api}
+    request = F.concat(F.concat_ws(" ", F.when(F.col("type") == "axios_call", "Axios").otherwise("Fetch"), m("http_method"), F.lit("request"), F.concat(F.lit("to "), m("route"))), F.lit("."))
+    includes = F.coalesce(n("includes"), F.lit(0))
+    file = F.concat(F.when(is_js_file(F.coalesce("file", "label")), "JavaScript").otherwise("PHP"), F.lit(" file."), F.when(includes > 0, F.concat(F.lit(" Includes "), _plural(includes, "other file"), F.lit("."))).otherwise(""))
+    by_type = {"fetch_call": request, "axios_call": request, "file": file, "class": cls, "interface": interface, "trait": trait, "function": function, "method": method, "hook": hook, "rest_endpoint": rest, "ajax_handler": ajax, "data_source": data, "http_call": http, "gutenberg_block": block, "js_api_call": api}
     by_type |= {t: F.format_string(x, F.coalesce("label", F.lit(""))) if "%s" in x else F.lit(x) for t, x in PLAIN.items()}
     out = F.lit(None).cast("string")
     for t, c in by_type.items():

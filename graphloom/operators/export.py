@@ -27,3 +27,17 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     edges.write.mode("overwrite").parquet(f"{path}/edges")
     node_documents(nodes).select("document").write.mode("overwrite").text(f"{path}/node_documents")
     edge_documents(edges).select("document").write.mode("overwrite").text(f"{path}/edge_documents")
+
+
+def document(plugin: DataFrame, nodes: DataFrame, edges: DataFrame, cycles: DataFrame) -> DataFrame:
+    """One row, document: {plugin, nodes, edges, cycles}, compound nodes first, in the order of seq. Keys of the
+    metadata stay with null; an edge's null fields, and a node's null parent, go.
+
+    The document is one value, so this is for graphs that one reader takes whole; write_graph() has no such limit."""
+    listed = lambda df, value, order: df.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("text")))), lambda x: x["text"]), ",").alias("text"))
+    ordered = nodes.select("seq", "id").join(node_documents(nodes.drop("seq")), "id")
+    parts = listed(ordered, "document", ["seq", "id"]).withColumnRenamed("text", "n")
+    parts = parts.crossJoin(listed(edges.select("seq", "id").join(edge_documents(edges.drop("seq")), "id"), "document", ["seq", "id"]).withColumnRenamed("text", "e"))
+    parts = parts.crossJoin(listed(cycles.select("component", "nth", F.to_json("path").alias("path")), "path", ["component", "nth"]).withColumnRenamed("text", "c"))
+    told = plugin.agg(F.first(F.to_json(F.struct(*plugin.columns), {"ignoreNullFields": "false"})).alias("p"))
+    return parts.crossJoin(told).select(F.concat(F.lit('{"plugin":'), F.coalesce("p", F.lit("{}")), F.lit(',"nodes":['), "n", F.lit('],"edges":['), "e", F.lit('],"cycles":['), "c", F.lit("]}")).alias("document"))

@@ -18,8 +18,9 @@ def glob_pattern(glob: str) -> str:
     """The regular expression of one ignore line: anchored by a slash, `*` within a segment, `**` across."""
     directory, rooted = glob.endswith("/"), "/" in glob.rstrip("/")
     out = ""
-    for part in re.split(r"(\*\*/?|\*|\?)", glob.strip("/")):
-        out += {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(part, re.escape(part))
+    for part in re.split(r"(\*\*/?|\*|\?|\[[^\]/]+\])", glob.strip("/")):
+        kind = f"[{'^' * part.startswith('[!')}{part[1:-1].lstrip('!')}]" if part.startswith("[") and part.endswith("]") else re.escape(part)
+        out += {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(part, kind)
     return ("^" if rooted else "(?:^|/)") + out + ("/" if directory else "(?:$|/)")
 
 
@@ -36,8 +37,9 @@ def is_minified(path: Column, content: Column) -> Column:
     return F.lower(base_name(path)).rlike(f"({suffix})$") | F.right(byte_view(content), F.lit(200)).contains("sourceMappingURL=")
 
 
-def has_marker(content: Column, markers: Sequence[str] = catalog.GENERATED_MARKERS, within: int = 512) -> Column:
-    head = F.lower(F.left(content, F.lit(within)))
+def has_marker(content: Column, markers: Sequence[str] = (*catalog.GENERATED_MARKERS, *catalog.BUNDLER_MARKERS), within: int = 512) -> Column:
+    """Whether a mark of generators or bundlers stands in the first bytes, in any case."""
+    head = F.lower(F.left(byte_view(content), F.lit(within)))
     found = F.lit(False)
     for m in markers:
         found = found | head.contains(m.lower())
@@ -45,8 +47,8 @@ def has_marker(content: Column, markers: Sequence[str] = catalog.GENERATED_MARKE
 
 
 def has_long_lines(content: Column, mean: int = 110, lines: int = 100, within: int = 8192) -> Column:
-    """Whether the first lines have more than `mean` bytes each on average."""
-    some = F.slice(F.split(F.left(byte_view(content), F.lit(within)), "\n"), 1, lines)
+    """Whether the first lines have more than `mean` bytes each on average; one over 511 bytes counts as several."""
+    some = F.slice(F.split(F.regexp_replace(F.left(byte_view(content), F.lit(within)), r"([^\n]{511})(?=[^\n])", "$1\n"), "\n"), 1, lines)
     return F.aggregate(some, F.lit(0), lambda s, x: s + F.length(x)) > F.size(some) * mean
 
 
@@ -56,13 +58,63 @@ def header(content: Column, name: str) -> Column:
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative), content of wanted files under `root`, in any store that Spark reads.
-
-    Paths are filtered before content is read. Spark's file sources leave out names that begin with `_` or
-    `.`; nothing else is lost."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    relative = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), f"^/*{re.escape(re.sub('^[a-z]+:/*', '', root).strip('/'))}/*", "")
-    return files.select(relative.alias("path"), F.col("content").cast("string").alias("content")).where(F.col("path").rlike(WANTED))
+    """path (relative), content of wanted files under `root`, in any store that Spark reads; a folder that isn't there
+    gives no rows. Paths are listed first, those with a leading `_` or `.` included, which Spark's own listing leaves
+    out; content is read in tasks, but that of such hidden names, which are few, through the driver."""
+    fs, start = _store(spark, root)
+    if not fs.exists(start):
+        return spark.createDataFrame([], "path string, content string")
+    base = fs.getFileStatus(start).getPath().toString().rstrip("/") + "/"
+    found, listing = [], fs.listFiles(start, True)
+    while listing.hasNext():
+        name = listing.next().getPath().toString()
+        if re.search(WANTED, name):
+            found.append(name)
+    plain = [p for p in found if not any(x[0] in "_." for x in p.removeprefix(base).split("/"))]
+    hidden = [p for p in found if p not in set(plain)]
+    rows = spark.createDataFrame([], "path string, content binary")
+    if plain:
+        rows = rows.union(spark.read.format("binaryFile").load(plain).select("path", "content"))
+    if hidden:
+        rows = rows.union(spark.createDataFrame([(p, _bytes(spark, p)) for p in hidden], "path string, content binary"))
+    short = lambda c: F.regexp_replace(c, "^[a-z]+:/*", "/")
+    lead = re.sub("^[a-z]+:/*", "/", base)
+    return rows.select(F.replace(short("path"), F.lit(lead), F.lit("")).alias("path"), F.col("content").cast("string").alias("content"))
+
+
+def _store(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _bytes(spark: SparkSession, path: str) -> bytearray:
+    fs, where = _store(spark, path)
+    opened = fs.open(where)
+    try:
+        return bytearray(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(opened))
+    finally:
+        opened.close()
+
+
+def ignore_lines(spark: SparkSession, root: str) -> list[str]:
+    """Lines of the ignore files in the root; blank lines, comments and negations go."""
+    lines = []
+    for name in (".gitignore", ".profilerignore"):
+        fs, where = _store(spark, f"{root.rstrip('/')}/{name}")
+        if fs.exists(where):
+            text = _bytes(spark, where.toString()).decode("utf-8", "replace")
+            lines += [x.strip() for x in text.splitlines() if x.strip() and x.strip()[0] not in "#!"]
+    return lines
+
+
+def theme_header(spark: SparkSession, root: str) -> dict[str, str]:
+    """name, version, description of a theme, as far as its style.css tells them."""
+    fs, where = _store(spark, f"{root.rstrip('/')}/style.css")
+    if not fs.exists(where):
+        return {}
+    text = _bytes(spark, where.toString())[:8192].decode("utf-8", "replace")
+    found = {k: re.search(rf"(?i){h}\s*:\s*(.+)", text) for k, h in (("name", "Theme Name"), ("version", "Version"), ("description", "Description"))}
+    return {k: m[1].strip() for k, m in found.items() if m}
 
 
 def analysed(files: DataFrame, globs: Sequence[str] = ()) -> DataFrame:
