@@ -114,9 +114,9 @@ def _(spark, d):
     return views.legend(edges, views.edge_registry(edges, STAR_TYPES))
 
 
-@query("jn14_unlinked", f"WITH {NODES}, {EDGES} SELECT id, type FROM nodes WHERE id NOT IN (SELECT source FROM edges UNION SELECT target FROM edges)")
+@query("jn14_unlinked", f"WITH {NODES}, {EDGES}, few AS (SELECT * FROM edges WHERE type IN ('in_region', 'placed_by')) SELECT id, type FROM nodes WHERE id NOT IN (SELECT source FROM few UNION SELECT target FROM few)")
 def _(spark, d):
-    return views.unlinked(star_nodes(spark, d), star_edges(spark, d)).select("id", "type")
+    return views.unlinked(star_nodes(spark, d), star_edges(spark, d).where("type IN ('in_region', 'placed_by')")).select("id", "type")
 
 
 @query("pr6_label_search", f"WITH {NODES} SELECT id, label FROM nodes WHERE contains(lower(label), 'widget') AND type IN ('part', 'order') AND NOT is_library")
@@ -171,9 +171,9 @@ def _(spark, d):
     return views.top_connections(star_nodes(spark, d), star_edges(spark, d))
 
 
-@query("ag10_first_labels", f"WITH {NODES} SELECT label, min(length(id)) AS seq FROM nodes GROUP BY label")
+@query("ag10_first_labels", "SELECT o_orderpriority AS label, min(o_orderkey) AS seq FROM orders GROUP BY o_orderpriority")
 def _(spark, d):
-    return views.first_labels(star_nodes(spark, d).withColumn("seq", F.length("id").cast("bigint")))
+    return views.first_labels(read(spark, d, "orders").select(F.col("o_orderpriority").alias("label"), F.col("o_orderkey").alias("seq")))
 
 
 ROUTES = [("r0", "example.org/none", 0), ("r1", "/en/(?P<id>\\d+)", 1), ("r2", "en", 2), ("r3", "/de/", 3), ("r4", "/de/1(?P<x>.)", 4), ("r5", "https://host/fr", 5)]
@@ -189,9 +189,11 @@ def _(spark, d):
     return xref.match_endpoints(read(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("route")), spark.createDataFrame(ROUTES, "id string, route string, seq int"))
 
 
-@query("jn3_query_param", r"SELECT page_id, nullif(regexp_extract(url, '[?&]page=([^&\s]+)', 1), '') AS page, nullif(regexp_extract(url, '[?&]ref=([^&\s]+)', 1), '') AS ref FROM pages")
+@query("jn3_ajax_match", """WITH c AS (SELECT page_id AS id, page_id % 5 AS a FROM pages WHERE page_id % 3 < 2), h AS (SELECT * FROM (VALUES ('ajax_a1', 1), ('ajax_a2', 2), ('ajax_a4', 4)) v(handler, a)) SELECT id, handler FROM c JOIN h USING (a)""")
 def _(spark, d):
-    return read(spark, d, "pages").select("page_id", text.query_param(F.col("url"), "page").alias("page"), text.query_param(F.col("url"), "ref").alias("ref"))
+    route = F.expr("CASE page_id % 3 WHEN 0 THEN concat('/wp-admin/admin-ajax.php?action=a', page_id % 5) WHEN 1 THEN concat('https://h.org/wp-admin/admin-ajax.php?x=1&action=a', page_id % 5, '&y') ELSE concat('/other?action=a', page_id % 5) END")
+    handlers = [("ajax_late", "wp_ajax_a1", 9), ("ajax_a1", "wp_ajax_nopriv_a1", 1), ("ajax_a2", "wp_ajax_a2", 2), ("ajax_a4", "wp_ajax_a4", 3), ("ajax_a9", "wp_ajax_a9", 4)]
+    return xref.match_actions(read(spark, d, "pages").select(F.col("page_id").alias("id"), route.alias("route")), spark.createDataFrame(handlers, "id string, hook_name string, seq int"))
 
 
 @query("jn4_first_name", "SELECT 'part_' || a.p_partkey AS id, 'part_' || b.p AS match FROM part a JOIN (SELECT p_name, min(p_partkey) AS p FROM part WHERE p_size >= 25 GROUP BY p_name) b USING (p_name) WHERE a.p_size < 25")
@@ -200,10 +202,18 @@ def _(spark, d):
     return xref.match_names(rows.where("p_size < 25"), rows.where("p_size >= 25"))
 
 
-@query("an1_an2_ag12_source_scan", """SELECT page_id, contains(html, 'track') OR contains(html, 'nav') AS flag, ((length(html) - length(replace(html, 'track(', ''))) / 6 + (length(html) - length(replace(html, 'href(', ''))) / 5)::BIGINT AS calls, nullif(regexp_extract(html, 'lang="([a-z_]+)"', 1), '') AS lang FROM pages""")
+#: Source text of a page's row: a check of a capability in one of its forms or none, a nonce or none, and some calls.
+SCANNED = """concat(CASE page_id % 4 WHEN 0 THEN concat('if (current_user_can( "edit_', CASE page_id % 2 WHEN 0 THEN 'posts' ELSE 'pages' END, '" )) {') WHEN 1 THEN 'user_can($u, ''read'')' WHEN 2 THEN 'current_user_can($x)' ELSE '' END,
+    CASE page_id % 3 WHEN 0 THEN ' wp_verify_nonce($n);' WHEN 1 THEN ' check_admin_referer();' ELSE ' nonce' END, repeat(' esc_html( absint($a) );', CAST(page_id % 5 AS INT)), ' wp_kses_post($b); wp_kses($c); esc_html ($d);')"""
+_COUNTS = " + ".join(f"(length(src) - length(replace(src, '{n}(', ''))) // {len(n) + 1}" for n in catalog.SANITIZERS)
+
+
+@query("an1_an2_ag12_source_scan", f"""WITH t AS (SELECT page_id, {SCANNED.replace("AS INT", "AS BIGINT")} AS src FROM pages)
+    SELECT page_id, coalesce(nullif(regexp_extract(src, 'current_user_can\\s*\\(\\s*[''"]([a-z_]+)[''"]\\s*\\)', 1), ''), nullif(regexp_extract(src, 'user_can\\s*\\([^,]+,\\s*[''"]([a-z_]+)[''"]\\s*\\)', 1), '')) AS capability,
+        contains(src, 'wp_verify_nonce') OR contains(src, 'check_admin_referer') AS nonce, ({_COUNTS})::BIGINT AS cleaned FROM t""")
 def _(spark, d):
-    h = F.col("html")
-    return read(spark, d, "pages").select("page_id", text.contains_any(h, ["track", "nav"]).alias("flag"), text.count_calls(h, ["track", "href"]).cast("bigint").alias("calls"), F.nullif(F.regexp_extract(h, 'lang="([a-z_]+)"', 1), F.lit("")).alias("lang"))
+    src = F.expr(SCANNED)
+    return read(spark, d, "pages").select("page_id", text.capability(src).alias("capability"), text.verifies_nonce(src).alias("nonce"), text.count_calls(src).cast("bigint").alias("cleaned"))
 
 
 @query("jn8_ag4_propagated", """WITH e AS (SELECT o_custkey AS c, o_orderkey AS seq, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS cap, o_orderstatus = 'P' AS nonce, (o_orderkey % 7)::INTEGER AS cleaned FROM orders)
@@ -254,7 +264,7 @@ def _(spark, d):
         F.lit("write").alias("operation"), k(2).alias("key"), null("string").alias("block_name"), null("string").alias("block_category"), null("string").alias("capability"), null("boolean").alias("nonce_verified"), null("int").alias("sanitization_count"),
     )
     kind = F.expr("element_at(array('post_type', 'http_call', 'data_source', 'class'), cast(s_suppkey % 4 AS int) + 1)")
-    rows = read(spark, d, "supplier").select(F.concat(F.lit("supplier_"), "s_suppkey").alias("id"), F.col("s_name").alias("label"), kind.alias("type"), F.lit("option").alias("subtype"), meta.alias("metadata"))
+    rows = read(spark, d, "supplier").select(F.concat(F.lit("supplier_"), "s_suppkey").alias("id"), F.col("s_name").alias("label"), kind.alias("type"), F.lit("option").alias("subtype"), F.lit(None).cast("string").alias("file"), meta.alias("metadata"))
     return rows.select("id", describe.description().alias("description"))
 
 
@@ -263,9 +273,15 @@ def _(spark, d):
     return describe.batches(read(spark, d, "documents").select(F.col("doc_id").alias("id")), ["id"])
 
 
-@query("tk6_samples", f"WITH {NODES} SELECT id, type FROM nodes WHERE is_library ORDER BY id LIMIT 20")
+@query("tk6_samples", f"WITH {NODES}, t AS (SELECT id, CASE type WHEN 'region' THEN 'class' WHEN 'nation' THEN 'rest_endpoint' WHEN 'supplier' THEN 'hook' ELSE type END AS type FROM nodes) SELECT id, type FROM t ORDER BY CASE type WHEN 'class' THEN 0 WHEN 'rest_endpoint' THEN 1 WHEN 'hook' THEN 2 ELSE 99 END, id LIMIT 20")
+def _(spark, d):
+    kind = F.expr("CASE type WHEN 'region' THEN 'class' WHEN 'nation' THEN 'rest_endpoint' WHEN 'supplier' THEN 'hook' ELSE type END")
+    return describe.samples(star_nodes(spark, d).withColumns({"type": kind, "description": F.col("label"), "seq": F.col("id")})).select("id", "type")
+
+
+@query("tk1_render_cap_all", f"WITH {NODES}, {EDGES}, {DEGREES}, own AS (SELECT id FROM nodes WHERE NOT is_library), lib AS (SELECT id FROM nodes LEFT JOIN deg USING (id) WHERE is_library ORDER BY coalesce(degree, 0) DESC, id LIMIT greatest(0, 1500 - (SELECT count(*) FROM own))) SELECT id FROM own UNION ALL SELECT id FROM lib")
 def _(spark, d):
-    return describe.samples(star_nodes(spark, d).where("is_library").withColumns({"description": F.col("label"), "seq": F.col("id")})).select("id", "type")
+    return views.capped(star_nodes(spark, d), star_edges(spark, d))[0].select("id")
 
 
 @query("sc6_generated_marker", "SELECT page_id, contains(lower(html[:512]), 'charset') OR contains(lower(html[:512]), 'do not edit') AS generated FROM pages")
@@ -275,20 +291,53 @@ def _(spark, d):
     return read(spark, d, "pages").select("page_id", has_marker(F.col("html"), ("charset", "do not edit")).alias("generated"))
 
 
-@query("sc10_header", "SELECT page_id, nullif(regexp_extract(html[:8192], '(?i)<title>\\s*([^<\n]+)', 1), '') AS title FROM pages")
+@query("sc10_header", "SELECT page_id, CASE WHEN page_id % 3 < 2 THEN 'Kit ' || page_id END AS name, CASE page_id % 3 WHEN 0 THEN '1.' || page_id END AS version FROM pages")
 def _(spark, d):
-    return read(spark, d, "pages").select("page_id", F.nullif(F.regexp_extract(F.left("html", F.lit(8192)), r"(?i)<title>\s*([^<\n]+)", 1), F.lit("")).alias("title"))
+    from graphloom.sources.tree import header
+
+    content = F.expr("concat('<?php /*\n * ', CASE page_id % 3 WHEN 0 THEN concat('Plugin Name : Kit ', page_id, '  \n * VERSION:1.', page_id) WHEN 1 THEN concat('plugin name:Kit ', page_id) ELSE 'Plugin: none' END, '\n*/', repeat('x', 9000), 'Version: 9')")
+    return read(spark, d, "pages").select("page_id", header(content, "Plugin Name").alias("name"), header(content, "Version").alias("version"))
 
 
-@query("ex38_links", "SELECT page_id, i AS nth, links[i] AS href FROM (SELECT page_id, links, unnest(range(1, len(links) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]+)\"', 1) AS links FROM pages))")
+@query("ex38_imports", "SELECT 'p' || page_id || '.js' AS path, './m' || (page_id % 7) AS source FROM pages UNION ALL SELECT 'p' || page_id || '.js', 'pkg' FROM pages UNION ALL SELECT 'p' || page_id || '.js', './s.css' FROM pages WHERE page_id % 2 = 0")
 def _(spark, d):
-    links = F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))
-    return read(spark, d, "pages").select("page_id", F.posexplode(links).alias("p", "href")).select("page_id", (F.col("p") + 1).cast("bigint").alias("nth"), "href")
+    from graphloom.sources import js
+
+    content = F.expr("concat('// import z from ''./no''\nimport a, { b as c } from ''./m', page_id % 7, ''';import \"pkg\"\n', CASE page_id % 2 WHEN 0 THEN 'import ''./s.css'';' ELSE 'import(''./lazy'')' END)")
+    files = read(spark, d, "pages").select(F.format_string("p%s.js", "page_id").alias("path"), content.alias("content"))
+    return js.imports(js.JsFiles(files)).select("path", "source")
+
+
+@query("ex_php_edges", """WITH p AS (SELECT page_id, 'func_f' || page_id AS f FROM pages), e AS (
+    SELECT f AS source, 'reads_data' AS type, 'data_read_k' || (page_id % 5) AS target FROM p UNION ALL SELECT f, 'registers_hook', 'hook_action_h' || (page_id % 3) FROM p UNION ALL SELECT f, 'calls', 'func_f' || (page_id - 1) FROM p WHERE page_id > 0
+    UNION ALL SELECT 'method_C' || page_id || '_m', 'triggers_hook', 'hook_filter_t' || (page_id % 4) FROM p WHERE page_id % 2 = 0 UNION ALL SELECT 'class_N_C' || page_id, 'has_method', 'method_C' || page_id || '_m' FROM p WHERE page_id % 2 = 0
+    UNION ALL SELECT 'class_N_C' || page_id, 'extends', 'class_N_Base' FROM p WHERE page_id % 2 = 0) SELECT source, type, target FROM e""")
+def _(spark, d):
+    from graphloom.sources import php
+
+    content = F.expr("""concat('<?php namespace N; /* get_option("no") */ function f', page_id, '($a) { $x = get_option("k', page_id % 5, '", array(1, [2])); f', page_id - 1, '($x); }\n add_action("h', page_id % 3, '", "f', page_id, '", 5);\n',
+        CASE page_id % 2 WHEN 0 THEN concat('class C', page_id, ' extends Base { public function m() { return apply_filters("t', page_id % 4, '", 1); } }') ELSE '' END)""")
+    files = read(spark, d, "pages").select(F.format_string("p%s.php", "page_id").alias("path"), content.alias("content"))
+    return php.entities(files)[1].select("source", "type", "target")
 
 
-@query("sc14_json_props", "SELECT event_id, (props ->> '$.k')::INTEGER AS k FROM events")
+@query("ex39_js_nodes", "SELECT 'p' || page_id || '.js' AS file, type, label FROM pages, (VALUES ('file', 'p'), ('js_function', 'run'), ('react_component', 'View'), ('js_api_call', 'POST /v/'), ('js_hook', 'go')) v(type, l), LATERAL (SELECT CASE type WHEN 'file' THEN 'p' || page_id || '.js' WHEN 'js_api_call' THEN l || (page_id % 9) WHEN 'js_hook' THEN l || (page_id % 4) ELSE l END AS label)")
 def _(spark, d):
-    return read(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    from graphloom.sources import js
+
+    content = F.expr("concat('function run() { apiFetch({ path: `/v/', page_id % 9, '`, method: \"post\" }); }\nconst View = () => <p>{run()}</p>;\nwp.hooks.doAction(\"go', page_id % 4, '\");')")
+    files = read(spark, d, "pages").select(F.format_string("p%s.js", "page_id").alias("path"), content.alias("content"))
+    nodes = js.entities(files, files.select("path"))[0]
+    return nodes.select(F.regexp_replace("file", "^/plugin/", "").alias("file"), "type", "label")
+
+
+@query("sc14_block_files", "SELECT 'block_n-' || s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN s_name ELSE 'n-' || s_suppkey END AS label FROM supplier WHERE s_suppkey % 4 < 2")
+def _(spark, d):
+    from graphloom.sources import blocks
+
+    content = F.expr("CASE s_suppkey % 4 WHEN 0 THEN concat('{\"name\": \"n-', s_suppkey, '\", \"title\": \"', s_name, '\", \"script\": [\"a\", \"b\"], \"attributes\": {\"x\": [1]}}') WHEN 1 THEN concat('{\"name\": \"n-', s_suppkey, '\"}') WHEN 2 THEN '{\"title\": \"nameless\"}' ELSE '{\"name\": ' END")
+    files = read(spark, d, "supplier").select(F.format_string("b%s/block.json", "s_suppkey").alias("path"), content.alias("content"))
+    return blocks.entities(files)[0].where("type = 'gutenberg_block'").select("id", "label")
 
 
 @query("ga4_cycle_nodes", f"WITH RECURSIVE {TRANSITIONS}, walk(a, b) AS (SELECT source, target FROM te UNION SELECT a, target FROM walk JOIN te ON b = source) SELECT a AS id FROM walk WHERE a = b")
@@ -296,6 +345,16 @@ def _(spark, d):
     return algorithms.cycle_nodes(graphs.transitions(spark, d))
 
 
+TRADE = """te AS (SELECT DISTINCT 'part_' || l_partkey AS source, 'supplier_' || l_suppkey AS target FROM lineitem UNION SELECT 'supplier_' || s_suppkey, 'part_' || s_suppkey FROM supplier WHERE s_suppkey % 3 > 0)"""
+
+
+@query("ga4_trade_cycles", f"WITH RECURSIVE {TRADE}, inner_ AS (SELECT * FROM te WHERE source IN (SELECT target FROM te) AND target IN (SELECT source FROM te)), walk(a, b) AS (SELECT source, target FROM inner_ UNION SELECT a, target FROM walk JOIN inner_ ON b = source) SELECT a AS id FROM walk WHERE a = b")
+def _(spark, d):
+    link = lambda a, k, b, m: [F.concat(F.lit(f"{a}_"), F.col(k).cast("string")).alias("source"), F.concat(F.lit(f"{b}_"), F.col(m).cast("string")).alias("target")]
+    there = read(spark, d, "lineitem").select(*link("part", "l_partkey", "supplier", "l_suppkey"))
+    return algorithms.cycle_nodes(there.union(read(spark, d, "supplier").where("s_suppkey % 3 > 0").select(*link("supplier", "s_suppkey", "part", "s_suppkey"))))
+
+
 @query("ga3_components", f"WITH RECURSIVE {PLACES}, pair AS (SELECT source AS a, target AS b FROM pe UNION SELECT target, source FROM pe), walk(id, r) AS (SELECT id, id FROM pn UNION SELECT walk.id, b FROM walk JOIN pair ON r = a) SELECT id, min(r) AS component FROM walk GROUP BY id")
 def _(spark, d):
     return algorithms.weak_components(place_nodes(spark, d), place_edges(spark, d))
