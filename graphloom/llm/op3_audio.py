@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.llm.common import table, text_or_empty
 
@@ -102,6 +103,8 @@ def chunks_of(media: bytes) -> tuple[int, int, memoryview]:
     while at + 8 <= len(media):
         size = struct.unpack_from("<I", media, at + 4)[0]
         if media[at : at + 4] == b"fmt ":
+            if size < 16 or at + 24 > len(media):
+                raise ValueError("a format chunk is cut off")
             tag, _, rate = struct.unpack_from("<HHI", media, at + 8)
         elif media[at : at + 4] == b"data":
             data = view[at + 8 : at + 8 + size]
@@ -164,23 +167,28 @@ def feature(pcm: np.ndarray) -> str:
 
 
 def decode_media(df: DataFrame, media: str = "media") -> DataFrame:
-    """`df` with pcm (a 16 kHz PCM recording, null where `media` is null or can't be read) and error."""
-    schema = df.schema
-    kind = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "pcm binary, error string"])
+    """`df` with pcm (the column of 16 kHz PCM recordings, null where `media` is null or can't be read) and error (why
+    it can't be). Columns of `df` with these names are replaced.
+
+    An empty recording, one that is cut off, in another format or without a whole block can't be read. Repeated
+    rows get equal results; an empty table gives an empty result. A recording is decoded whole, one at a time."""
+    kept = [f for f in df.schema if f.name not in ("pcm", "error")]
+    rows = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{media}`").cast("binary").alias("media__"))
+    kind = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "pcm binary, error string"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pcm, error = [], []
-            for m in b.column(media).to_pylist():
+            for m in b.column("media__"):
                 try:
-                    pcm.append(None if m is None else wave(PCM, resample(decode(m)).astype("<i2").tobytes(), TARGET_RATE))
+                    pcm.append(wave(PCM, resample(decode(m.as_py())).astype("<i2").tobytes(), TARGET_RATE) if m.is_valid else None)
                     error.append(None)
-                except ValueError as e:
+                except (ValueError, struct.error) as e:
                     pcm.append(None)
                     error.append(str(e))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pcm, pa.binary()), pa.array(error, pa.string())], [*b.schema.names, "pcm", "error"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pcm, pa.binary()), pa.array(error, pa.string())], [*(f.name for f in kept), "pcm", "error"])
 
-    return df.mapInArrow(work, kind)
+    return rows.mapInArrow(work, kind)
 
 
 def tag_of(payload: bytes) -> int:

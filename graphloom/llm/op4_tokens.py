@@ -52,13 +52,16 @@ def line_bounds(data: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([[0], ends, [len(data)]]))
 
 
-def span_bounds(data: np.ndarray, spans: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    """Byte bounds and the section number of each piece between them, -1 outside all sections; sections are
-    disjoint character spans [start, end) in text order."""
+def span_bounds(data: np.ndarray, spans: list[dict | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Byte bounds and the section number of each piece between them, -1 outside all sections.
+
+    Sections are character spans [start, end), clipped to the text; null ones, and those with a null bound, hold
+    nothing. A character of several sections belongs to the one that starts first, of equals the first in the list."""
     first = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
     bounds, owner, at = [0], [], 0
-    for i, s in enumerate(spans):
-        for upto, who in ((first[min(s["start"], len(first) - 1)], -1), (first[min(s["end"], len(first) - 1)], i)):
+    told = [(max(0, s["start"]), i, s["end"]) for i, s in enumerate(spans) if s and s["start"] is not None and s["end"] is not None]
+    for start, i, end in sorted(told):
+        for upto, who in ((first[min(start, len(first) - 1)], -1), (first[min(max(start, end), len(first) - 1)], i)):
             if upto > at:
                 bounds.append(int(upto))
                 owner.append(who)
@@ -93,8 +96,8 @@ def allocate(lengths: np.ndarray, bounds: np.ndarray, rule: str) -> tuple[np.nda
 def attribute_tokens(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, rule: str = "majority", sections: str | None = None) -> DataFrame:
     """doc_id, n_tokens, n_sections, n_crossing, section_tokens (array), outside_tokens for every row.
 
-    Sections are lines, or the column `sections` (array of struct start, end in characters, disjoint and in
-    order; null: none). A null or empty text has no token, and no line. Texts of any length are encoded
+    Sections are lines, or the column `sections` (array of struct start, end in characters; null: none), as
+    span_bounds() takes them. A null or empty text has no token, and no line. No rows give an empty result. Texts of any length are encoded
     whole, one at a time. Repeated rows get equal results; other columns are ignored."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")

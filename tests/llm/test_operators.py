@@ -135,6 +135,68 @@ def test_codecs():
     assert one[0] == 0 and one[1] == 0 + (7 >> 3) + 7 + (7 >> 1) + (7 >> 2) and one[2] < one[1]
 
 
+def test_decoded_media(spark):
+    tone = bytes(range(256)) * 9
+    media = [op3_audio.store(tone, t) for t in (op3_audio.MULAW, op3_audio.ALAW, op3_audio.ADPCM)] + [op3_audio.wave(op3_audio.PCM, b"\1\2" * 50)]
+    bad = [None, b"", b"RIFF", media[0][:18], media[0][:22], media[0][:44], media[2][:80], media[0].replace(b"fmt ", b"fmx "), media[3][:20] + b"\x99\0" + media[3][22:]]
+    rows = spark.createDataFrame([(i, bytearray(m) if m is not None else None, "clash") for i, m in enumerate([*media, *bad, media[0]])], "id int, media binary, pcm string")
+    got = {r.id: r for r in op3_audio.decode_media(rows).collect()}
+    for i, m in [*enumerate(media), (len(media) + len(bad), media[0])]:
+        tag, rate, data = op3_audio.chunks_of(bytes(got[i].pcm))
+        assert (tag, rate, got[i].error) == (op3_audio.PCM, 16000, None)
+        heard, own = np.frombuffer(data, "<i2"), op3_audio.decode(m)
+        assert len(heard) == 2 * len(own) and (heard[::2] == own).all()
+    assert all(got[4 + i].pcm is None for i in range(len(bad))) and got[4].error is None and all(got[5 + i].error for i in range(len(bad) - 1) if i != 4)
+    assert op3_audio.decode_media(rows.where("false")).columns == ["id", "media", "pcm", "error"]
+
+
+def test_adpcm_by_a_loop_over_nibbles():
+    rng = np.random.default_rng(3)
+    blocks = rng.integers(0, 256, (5, op3_audio.BLOCK_HEAD + op3_audio.BLOCK_DATA)).astype(np.uint8)
+    got = op3_audio.decode_adpcm(blocks)
+    for block, heard in zip(blocks, got, strict=True):
+        value, index, want = int(np.frombuffer(block[:2].tobytes(), "<i2")[0]), min(int(block[2]), 88), []
+        want.append(value)
+        for byte in block[4:].tolist():
+            for n in (byte & 15, byte >> 4):
+                step = int(op3_audio.STEPS[index])
+                change = (step >> 3) + (step if n & 4 else 0) + (step >> 1 if n & 2 else 0) + (step >> 2 if n & 1 else 0)
+                value = max(-32768, min(32767, value + (-change if n & 8 else change)))
+                index = max(0, min(88, index + int(op3_audio.INDEX_STEP[n])))
+                want.append(value)
+        assert heard.tolist() == want
+
+
+def test_tokens_of_sections_by_brute_force(spark):
+    rng = np.random.default_rng(9)
+    words = ["the", "café", "日本", "x", "\n", "running", "\U0001f600!", "  "]
+    rows = []
+    for i in range(40):
+        text = " ".join(rng.choice(words, rng.integers(0, 12)))
+        spans = [None if rng.random() < 0.1 else {"start": None if rng.random() < 0.1 else int(rng.integers(-2, 30)), "end": int(rng.integers(-2, 40))} for _ in range(rng.integers(0, 4))]
+        rows.append((i, text, spans if i % 9 else None))
+    docs = spark.createDataFrame(rows, "doc_id int, text string, spans array<struct<start:int,end:int>>")
+    with open(op4_tokens.default_vocabulary(), "rb") as f:
+        encoding, sizes = op4_tokens.encoder(f.read(), op4_tokens.default_pattern())
+    for rule in op4_tokens.RULES:
+        got = {r.doc_id: r for r in op4_tokens.attribute_tokens(docs, rule=rule, sections="spans").collect()}
+        for i, text, spans in rows:
+            told = sorted((max(0, s["start"]), j, s["end"]) for j, s in enumerate(spans or []) if s and s["start"] is not None)
+            owner = [next((j for a, j, z in told if a <= c < z), -1) for c in range(len(text))]
+            per_byte = [o for o, c in zip(owner, text, strict=True) for _ in c.encode()]
+            per, outside, crossing, at = [0] * len(spans or []), 0, 0, 0
+            for t in encoding.encode_ordinary(text):
+                own = per_byte[at : at + int(sizes[t])]
+                runs = [0] + [k for k in range(1, len(own)) if own[k] != own[k - 1]] + [len(own)]
+                pieces = [(own[a], z - a) for a, z in zip(runs[:-1], runs[1:], strict=True)]
+                who = pieces[0][0] if rule == "first" else pieces[-1][0] if rule == "last" else max(pieces, key=lambda x: x[1])[0]
+                crossing += len(pieces) > 1
+                per, outside = ([n + (j == who) for j, n in enumerate(per)], outside + (who < 0))
+                at += int(sizes[t])
+            assert (got[i].section_tokens, got[i].outside_tokens, got[i].n_sections) == (per, outside, len(spans or [])), (i, rule)
+            assert got[i].n_crossing <= crossing + len(told)
+
+
 def test_token_counts(odd, nothing):
     with open(op4_tokens.default_vocabulary(), "rb") as f:
         encoding, _ = op4_tokens.encoder(f.read(), op4_tokens.default_pattern())
@@ -252,6 +314,38 @@ def test_languages(spark):
     assert got.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
 
 
+def test_gradients_by_finite_differences():
+    net = op8_langid.ByteGru(["a", "b", "c"], hidden=3, seed=2)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    rng = np.random.default_rng(4)
+    x, y, mask = rng.integers(0, 256, (7, 5)).astype(np.uint8), np.array([0, 1, 2, 1, 0]), (np.arange(7)[:, None] < np.array([7, 3, 5, 7, 1])).astype(np.float64)
+    _, grads = net.gradients(x, y, mask)
+    for name, g in grads.items():
+        for at in zip(*np.unravel_index(np.argsort(-np.abs(g), axis=None)[:4], g.shape), strict=True):
+            kept, ends = net.p[name][at], []
+            for step in (1e-2, -1e-2):
+                net.p[name][at] = kept + step
+                ends.append(net.gradients(x, y, mask)[0])
+            net.p[name][at] = kept
+            assert abs((ends[0] - ends[1]) / 2e-2 - g[at]) < 2e-3 + 0.02 * abs(g[at]), (name, at)
+
+
+def test_pooled_by_a_loop_over_segments():
+    net = op8_langid.ByteGru(["a", "b"], hidden=4, seed=5)
+    rng = np.random.default_rng(6)
+    sizes = [0, 1, 5, 127, 128, 129, 300, 1000]
+    data, offsets = rng.integers(0, 256, sum(sizes)).astype(np.uint8), np.cumsum([0, *sizes])
+    got = net.pooled(data, offsets)
+    for i, n in enumerate(sizes):
+        own, total, at = data[offsets[i] : offsets[i + 1]], np.zeros(2), 0
+        while at < n:
+            start = max(0, min(at, n - op8_langid.SEGMENT))
+            p = net.probabilities(own[start : start + op8_langid.SEGMENT][:, None])[:, :, 0]
+            total += p[at - start :].sum(axis=0)
+            at = start + op8_langid.SEGMENT
+        assert np.allclose(got[i], total / max(n, 1), atol=1e-4)
+
+
 def test_languages_of_odd_rows(odd, nothing):
     got = op8_langid.predict(odd, op8_langid.train(odd)).collect()
     assert {r.lang_pred for r in got if r.doc_id in (1, 2, 3)} == {"und"} and len(got) == len(ODD)
