@@ -104,15 +104,15 @@ def importance(nodes: DataFrame, ranks: DataFrame, primary: DataFrame, main_file
     return scored.crossJoin(F.broadcast(most)).select("id", own.alias("importance")).withColumn("tier", tier)
 
 
-def search_cycles(links: list[tuple[str, str]], longest: int = 1000) -> list[list[str]]:
+def search_cycles(links: list[tuple[str, str]], longest: int = 1000, roots: list[str] | None = None) -> list[list[str]]:
     """Cycles that a depth-first search closes, in the order of `links`: one per edge back to an open node, each
-    set of rotations once, as found and closed."""
+    set of rotations once, as found and closed. Nodes are tried as roots in the order of `roots`, or of `links`."""
     after: dict[str, list[str]] = {}
     for a, b in links:
         after.setdefault(a, []).append(b)
         after.setdefault(b, [])
     state, found, seen = dict.fromkeys(after, 0), [], set()
-    for root in after:
+    for root in roots or after:
         if state[root]:
             continue
         path, walks, state[root] = [root], [iter(after[root])], 1
@@ -138,16 +138,27 @@ def search_cycles(links: list[tuple[str, str]], longest: int = 1000) -> list[lis
 def dfs_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
     """component, nth, path: cycles per weak component, searched in seq order.
 
-    Only edges among nodes on cycles of a component are searched, but the order of the search is that of all
-    of its edges, so a component's edges are in one task; cycle_nodes() has no such limit."""
+    Edges to nodes that lead nowhere close no cycle and go first, round by round; the others keep their order, and
+    nodes the place that they had among all edges. As the cycles that are told depend on that order, what is left
+    of a component is searched in one task; cycle_nodes() has no such limit."""
+    places = edges.select(F.explode(F.array(F.struct(F.col("source").alias("id"), (2 * F.col("seq")).alias("at")), F.struct(F.col("target").alias("id"), (2 * F.col("seq") + 1).alias("at")))).alias("p")).groupBy(F.col("p.id").alias("source")).agg(F.min("p.at").alias("at"))
+    rest = cut(edges.select("source", "target", "seq"))
+    n = rest.count()
+    while True:
+        rest = cut(rest.join(rest.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target", "seq"), rest)
+        m = rest.count()
+        if m == n:
+            break
+        n = m
 
     def find(group: pd.DataFrame) -> pd.DataFrame:
         rows = group.sort_values("seq")
-        paths = search_cycles(list(zip(rows["source"], rows["target"], strict=True)))
+        roots = list(dict.fromkeys(group.sort_values("at")["source"]))
+        paths = search_cycles(list(zip(rows["source"], rows["target"], strict=True)), roots=roots)
         found = [(rows["component"].iloc[0], i, p) for i, p in enumerate(paths)]
         return pd.DataFrame(found, columns=["component", "nth", "path"], dtype=object)
 
-    labelled = edges.select("source", "target", "seq").join(components.withColumnRenamed("id", "source"), "source")
+    labelled = rest.join(places, "source").join(components.withColumnRenamed("id", "source"), "source")
     return labelled.groupBy("component").applyInPandas(find, "component string, nth int, path array<string>")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -23,7 +24,7 @@ PLAIN = {
     "wp_store": "WordPress data store '%s'.",
 }
 #: Order in which types are shown to a model.
-FIRST_TYPES = ("class", "rest_endpoint", "hook", "gutenberg_block", "function", "method")
+FIRST_TYPES = ("class", "interface", "function", "rest_endpoint", "ajax_handler", "hook", "data_source")
 
 
 def _given(c: Column) -> Column:
@@ -113,14 +114,46 @@ def batches(nodes: DataFrame, order: list[str], size: int = 25) -> DataFrame:
 
 
 def samples(nodes: DataFrame, most: int = 20) -> DataFrame:
-    """The first described nodes, by the priority of their type and then seq."""
-    rank = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(t) for t in FIRST_TYPES]), F.col("type")), F.lit(0)), F.lit(99))
-    return nodes.where(F.col("description").isNotNull()).withColumn("rank__", rank).orderBy("rank__", "seq").limit(most).drop("rank__")
+    """The first described nodes of FIRST_TYPES, by the priority of their type and then seq."""
+    rank = F.array_position(F.array(*[F.lit(t) for t in FIRST_TYPES]), F.col("type"))
+    return nodes.where((F.col("description") != "") & F.col("type").isin(*FIRST_TYPES)).withColumn("rank__", rank).orderBy("rank__", "seq").limit(most).drop("rank__")
 
 
 def parse_reply(reply: Column) -> Column:
-    """Map of id to text in a model's reply: the outermost braces, fenced or not; null if that isn't JSON."""
-    return F.from_json(F.nullif(F.regexp_extract(reply, r"(?s)\{.*\}", 0), F.lit("")), "map<string,string>")
+    """Map of id to text in a model's reply: the outermost braces, fenced or not, as such a map, or as two lists
+    `entity_ids` and `descriptions`; null if that isn't JSON."""
+    inner = F.nullif(F.regexp_extract(reply, r"(?s)\{.*\}", 0), F.lit(""))
+    lists = F.from_json(inner, "entity_ids array<string>, descriptions array<string>")
+    pairs = F.map_from_entries(F.filter(F.arrays_zip(lists["entity_ids"].alias("id"), lists["descriptions"].alias("text")), lambda x: x["id"].isNotNull() & x["text"].isNotNull()))
+    return F.when(lists["entity_ids"].isNotNull() & lists["descriptions"].isNotNull(), pairs).otherwise(F.from_json(inner, "map<string,string>"))
+
+
+def badges() -> Column:
+    """What is known of a node's safety, as short words: its capability or that it is public, a nonce or the lack of one
+    at an endpoint, sanitising calls. Empty for other types, and where nothing is known."""
+    m = lambda name: F.col(f"metadata.{name}")
+    nonce, n = F.coalesce(m("nonce_verified"), F.lit(False)), F.coalesce(m("sanitization_count"), F.lit(0))
+    told = F.array(
+        F.when(m("capability") == "__return_true", "public").otherwise(F.concat(F.lit("capability "), m("capability"))),
+        F.when(nonce, "nonce").when(F.col("type").isin("rest_endpoint", "ajax_handler"), "no nonce"),
+        F.when(n > 0, F.concat(F.lit("sanitize "), n.cast("string"))),
+    )
+    known = F.col("type").isin("rest_endpoint", "ajax_handler", "function", "method") & (m("capability").isNotNull() | nonce | (n > 0))
+    return F.when(known, F.array_compact(told)).otherwise(F.array().cast("array<string>"))
+
+
+def summary(plugin: DataFrame, nodes: DataFrame, edges: DataFrame, client: Callable[[str], str]) -> str | None:
+    """A model's overview of a graph, from counts by type and the first described nodes; null if it raises or says no
+    more than 50 bytes. What is asked is bounded: a count per type, and 20 samples."""
+    counts = {r.type: r.n for r in nodes.groupBy("type").agg(F.count("*").alias("n"), F.min("seq").alias("first")).orderBy(F.desc("n"), "first").collect()}
+    shown = [f"[{r.type}] {r.label}: {r.description}" for r in samples(nodes).select("type", "label", "description").collect()]
+    told = {**(plugin.select("name", "version").first() or plugin.sparkSession.createDataFrame([(None, None)], "name string, version string").first()).asDict(), "types": counts, "nodes": sum(counts.values()), "edges": edges.count(), "samples": shown}
+    asked = "Tell an experienced developer in a few paragraphs of plain prose what this code base is for, what it consists of and how it is connected to its host system.\n\n" + json.dumps(told, ensure_ascii=False)
+    try:
+        text = client(asked)
+    except Exception:  # noqa: BLE001  whatever the client raises
+        return None
+    return text.strip() if text is not None and len(text.encode()) > 50 else None
 
 
 def ask(payloads: DataFrame, client: Callable[[str], str]) -> DataFrame:

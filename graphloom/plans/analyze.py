@@ -104,8 +104,12 @@ def analyze(files: DataFrame, root: str = "/plugin", globs: tuple[str, ...] = ()
 
 
 def analyze_tree(spark: SparkSession, path: str, root: str = "/plugin") -> Graph:
-    """analyze() of the files below `path`, with its ignore files."""
-    return analyze(tree.read_tree(spark, path), root, tuple(tree.ignore_lines(spark, path)), path.rstrip("/").rsplit("/", 1)[-1])
+    """analyze() of the files below `path`, with its ignore files; without a main file, a theme's header names it."""
+    graph = analyze(tree.read_tree(spark, path), root, tuple(tree.ignore_lines(spark, path)), path.rstrip("/").rsplit("/", 1)[-1])
+    theme = tree.theme_header(spark, path) if graph.plugin.first()["main_file"] is None else {}
+    for name, value in theme.items():
+        graph.plugin = graph.plugin.withColumn(name, F.lit(value))
+    return graph
 
 
 def export_graph(graph: Graph, path: str) -> None:

@@ -64,7 +64,7 @@ def test_cycle_labels_and_edges(spark):
 
 @pytest.mark.parametrize(
     ("call", "route", "found"),
-    [("/sample/v1/items", "sample/v1/items", True), ("/sample/v1/items/42", r"sample/v1/items/(?P<id>\d+)", True), ("/wp-json/sample/v1/items", "sample/v1/items", True), ("/totally/different", "sample/v1/items", False), ("", "sample/v1/items", False)],
+    [("/Shop/v2/Carts/", "shop/v2/carts", True), ("shop/v2/carts/7/lines?x=1", r"shop/v2/carts/(?P<cart>[a-z0-9]+)", True), ("https://h.test/wp-json/shop/v2/carts#top", "/shop/v2/carts", True), ("/shop/v2/cartsale", "shop/v2/carts", False), ("/shop/v2", "shop/v2/carts", False), (None, "shop/v2/carts", False)],
 )
 def test_endpoints(spark, call, route, found):
     calls = spark.createDataFrame([("c", call)], "id string, route string")
@@ -73,16 +73,16 @@ def test_endpoints(spark, call, route, found):
 
 
 def test_actions(spark):
-    calls = spark.createDataFrame([("a", "/wp-admin/admin-ajax.php?action=mine"), ("b", "https://e.com/wp-admin/admin-ajax.php?action=submit"), ("c", "https://api.example.com/?action=mine"), ("d", "/admin-ajax.php")], "id string, route string")
+    calls = spark.createDataFrame([("a", "/site/admin-ajax.php?x=2&action=mine"), ("b", "https://h.test/a/admin-ajax.php?action=submit"), ("c", "https://h.test/?action=mine"), ("d", "/admin-ajax.php")], "id string, route string")
     handlers = spark.createDataFrame([("h1", "wp_ajax_mine", 0), ("h2", "wp_ajax_nopriv_submit", 1), ("h3", "wp_ajax_nopriv_mine", 2)], "id string, hook_name string, seq long")
     assert {(r.id, r.handler) for r in xref.match_actions(calls, handlers).collect()} == {("a", "h1"), ("b", "h2")}
 
 
 LIBRARY = [
-    ("class", "X", "/plugin/lib/Calendar.php", False), ("class", "X", "/plugin/js/vendor/jquery.validate.js", True), ("class", "X", "/plugin/assets/jquery-3.6.0.js", True), ("class", "X", "/plugin/third-party/foo.php", True),
-    ("class", "X", "/plugin/src/library-loader.php", False), ("class", "X", "/plugin/src/jquery-helpers.php", False), ("function", "X", "/plugin/src/reportWebVitals.js", True), ("function", "X", "/plugin/Gruntfile.js", True),
-    ("class", "X", "/plugin/includes/class.phpmailer.php", True), ("function", "X", "/theme/js-dev/polyfills/url-search-params.js", True), ("function", "X", "/plugin/assets/js/gsap.min.js", True), ("js_function", "fn", "/plugin/a.js", True),
-    ("js_function", "run", "/plugin/a.js", False), ("function", "f", "/plugin/a.php", False), ("js_function", "run", "/plugin/interface/lib/ext-2.1/source/core/DomQuery.js", True), ("js_function", "run", "/plugin/src/my-component-1/index.js", False),
+    ("class", "Ledger", "/plugin/inc/Ledger.php", False), ("class", "Box", "/plugin/inc/vendor/box.css", True), ("class", "Box", "/plugin/inc/External/box.css", True), ("class", "Box", "/plugin/inc/externally/box.css", False), ("class", "Box", "/plugin/vendor", False),
+    ("function", "go", "/plugin/web/chart-4.4.js", True), ("function", "go", "/plugin/web/chart.js", True), ("function", "go", "/plugin/web/charting.js", False), ("function", "go", "/plugin/web/Swiper.min.js", True), ("function", "go", "/plugin/web/chart.php", False),
+    ("function", "go", "/plugin/vite.config.js", True), ("function", "go", "/plugin/vite.config.php", False), ("function", "go", "/plugin/inc/Mustache.php", True), ("function", "go", "/plugin/inc/mustache-view.php", False),
+    ("js_function", "ab", "/plugin/a.js", True), ("js_function", "abc", "/plugin/a.js", False), ("js_class", "é", "/plugin/a.js", True), ("function", "ab", "/plugin/a.php", False), ("js_function", "abc", "/plugin/web/grid-3.0/core/a.js", True), ("js_function", "abc", "/plugin/web/grid-3/a.js", False),
 ]
 
 
@@ -198,3 +198,43 @@ def test_whole_graph_queries_against_brute_force(spark, tmp_path):
     got = {r.id: r.importance for r in plans.QUERIES["ga2_all_pagerank"](spark, str(tmp_path)).collect()}
     assert got == {i: pytest.approx(v / max(score.values()), abs=2e-6) for i, v in score.items()}
     assert plans.QUERIES["sk1_export"](spark, str(tmp_path)).count() == n
+
+
+def test_replies_badges_and_summary(spark):
+    from graphloom.operators import describe
+
+    replies = spark.createDataFrame([(0, 'so {"a": "x", "b": "y"} end'), (1, '{"entity_ids": ["a", "b", "c"], "descriptions": ["x", null]}'), (2, "none"), (3, None)], "i int, reply string")
+    assert {r.i: r.m for r in replies.select("i", describe.parse_reply(F.col("reply")).alias("m")).collect()} == {0: {"a": "x", "b": "y"}, 1: {"a": "x"}, 2: None, 3: None}
+    meta = "id string, seq long, label string, type string, description string, metadata struct<capability:string,nonce_verified:boolean,sanitization_count:int>"
+    rows = [("a", 0, "A", "rest_endpoint", "first", ("__return_true", None, 2)), ("b", 1, "B", "method", "", ("edit", True, 0)), ("c", 2, "C", "class", "third", ("edit", True, 1)), ("d", 3, "D", "function", None, (None, None, None)), ("e", 4, "E", "ajax_handler", "fifth", (None, None, 1))]
+    nodes = spark.createDataFrame(rows, meta)
+    assert {r.id: r.b for r in nodes.select("id", describe.badges().alias("b")).collect()} == {"a": ["public", "no nonce", "sanitize 2"], "b": ["capability edit", "nonce"], "c": [], "d": [], "e": ["no nonce", "sanitize 1"]}
+    asked, plugin = [], spark.createDataFrame([("Kit", "1")], "name string, version string")
+    assert describe.summary(plugin, nodes, nodes.select("id"), lambda x: asked.append(x) or "é" * 26 + " ") == "é" * 26
+    assert '"[class] C: third", "[rest_endpoint] A: first", "[ajax_handler] E: fifth"' in asked[0] and '"Kit"' in asked[0]
+    assert describe.summary(plugin.where("false"), nodes, nodes, lambda x: "short") is None and describe.summary(plugin, nodes, nodes, lambda x: 1 / 0) is None
+
+
+def test_nodes_on_cycles_by_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    for n, m in ((6, 8), (12, 14), (12, 20), (30, 34)):
+        links = {(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(m)}
+        reach = {a: {b for x, b in links if x == a} for a, _ in links}
+        for _ in range(n):
+            reach = {a: bs | {c for b in bs for c in reach.get(b, ())} for a, bs in reach.items()}
+        got = {r.id for r in algorithms.cycle_nodes(spark.createDataFrame(sorted(links), "source string, target string")).collect()}
+        assert got == {a for a, bs in reach.items() if a in bs}
+
+
+def test_cycles_of_trimmed_graphs_are_those_of_whole_ones(spark):
+    import random
+
+    rng = random.Random(3)
+    for n, m in ((5, 9), (9, 12), (14, 30)):
+        links = [(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(m)]
+        edges = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(links)], "source string, target string, seq long")
+        whole = spark.createDataFrame([(f"n{i}", "all") for i in range(n)], "id string, component string")
+        got = [r.path for r in algorithms.dfs_cycles(edges, whole).orderBy("nth").collect()]
+        assert got == algorithms.search_cycles(links)
