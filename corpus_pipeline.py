@@ -19,27 +19,30 @@ from graphloom.llm.op10_secrets import redact
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the byte network knows; the others go."""
+    """Documents whose language the byte network knows; the others go, and so do null, empty and letterless texts.
+    Repeated rows are judged alike; an empty table stays empty; all columns stay, whatever their names."""
     return keep_identified(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of five-word shingles with Jaccard 0.8 or more join."""
+    """One document of each group that links of five-word shingles with Jaccard 0.8 or more join: that of the least
+    doc_id, nulls last. Repeated rows are copies; rows without words stay; an empty table stays empty."""
     return keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null and empty texts hold none; an empty benchmark, or items without
+    words, drop nothing; repeated rows and equal ids are judged by their texts."""
     return drop_leaking(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret in a text replaced by its kind."""
+    """All documents, with every secret in a text replaced by its kind; null texts stay null, repeated rows stay."""
     return redact(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids of every document."""
+    """doc_id, lang, source, n_tokens, ids of every document; null and empty texts have no ids."""
     return encode_corpus(docs)
 
 
