@@ -170,7 +170,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame |
     blob, spans = fresh_name(docs, "blob"), fresh_name(docs, "found")
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     found = found_blobs(docs, rules, ledger).toDF(blob, spans)
-    joined = docs.withColumn(blob, address(text_or_empty())).join(found, blob, "left")
+    joined = docs.withColumn(blob, address(text_or_empty())).join(found.hint("merge"), blob, "left")
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def cut_out(s: Column, x: Column) -> Column:

@@ -432,9 +432,10 @@ def candidate_tokens(rows: DataFrame, sets: DataFrame, k: int, num: int, den: in
     spare = F.col("n") - F.ceil(F.col("n") * num / F.lit(den))
     kept = classes.join(lonely, "id", "left").where(F.coalesce("lonely", F.lit(0)) <= spare)
     one = sets.join(kept.select("id", "text_hash"), ["id", "text_hash"]).groupBy("id", "text_hash").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("of"))
-    # Cut here, the files of the count go before texts move; repeated rows go where the join has put them.
+    # Cut here, the files of the count go before texts move; repeated rows go where the join has put them. Texts move
+    # by a shuffle at every size, so that what a small input shows holds for a large one.
     one = cut_into(one.select("text_hash", "of"), sets.count())
-    texts = rows.withColumn("of", F.coalesce("doc_id", F.lit(-1))).join(one, ["text_hash", "of"]).dropDuplicates(["text_hash", "of"])
+    texts = rows.withColumn("of", F.coalesce("doc_id", F.lit(-1))).join(one.hint("merge"), ["text_hash", "of"]).dropDuplicates(["text_hash", "of"])
     return token_rows(texts, k)
 
 
@@ -486,7 +487,7 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     judged = cut(judged.where("NOT stays OR rows > 1").select(F.col("key.doc_id").alias("of__"), F.col("key.text_hash").alias("of_hash__"), "stays"))
     hashed = docs.withColumn("hash__", F.xxhash64(text_or_empty()))
     same = F.col("doc_id").eqNullSafe(F.col("of__")) & (F.col("hash__") == F.col("of_hash__"))
-    single = hashed.join(judged, same, "left_anti").select(*docs.columns)
+    single = hashed.join(judged.hint("merge"), same, "left_anti").select(*docs.columns)
     repeated = judged.where("stays")
     if repeated.isEmpty():
         return single
