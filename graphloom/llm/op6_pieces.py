@@ -1,11 +1,12 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
 A batch's texts fall into units (a run of word marks and what follows up to the next run), as no piece has
-a mark behind another character. The distinct units are concatenated and indexed by a suffix array, sorted
-to the depth of the longest piece. Binary search gives every piece its range of occurrences; these edges are
-sorted by position into a table, and merges relax over the table until no edge joins two symbols. As the
-vocabulary is a BPE one, the relaxation takes a unit's best-scored edge first, the leftmost of equals, which
-gives the library's ids.
+a mark behind another character. A long unit also ends where no piece holds both neighbours. The distinct units
+are concatenated and indexed by a suffix array, sorted by the first 8 characters of every suffix (4 or 2 where a
+batch has many different ones). Binary search gives every piece the range of its occurrences, or of those of its
+first characters, in which the further ones are compared; these edges are sorted by position into a table, and
+merges relax over the table until no edge joins two symbols. As the vocabulary is a BPE one, the relaxation takes
+a unit's best-scored edge first, the leftmost of equals, which gives the library's ids. Other models are refused.
 """
 
 from __future__ import annotations
@@ -49,6 +50,11 @@ class Pieces:
         ordinary.sort(key=lambda i: (-sp.get_score(i), i))
         self.ids = np.array(ordinary, np.int32)
         names = [sp.id_to_piece(i) for i in ordinary]
+        if any(MARK in x.lstrip(MARK) for x in names):
+            raise ValueError("a piece has a word mark behind another character, so units are not independent")
+        if any(sp.get_score(i) != int(sp.get_score(i)) for i, x in zip(ordinary, names, strict=True) if len(x) > 1):
+            raise ValueError("scores that are no ranks: not a BPE model")
+        self.pairs = {x[i : i + 2] for x in names for i in range(len(x) - 1)}
         self.longest = max(map(len, names))
         self.size = np.array([len(x) for x in names])
         chars = sorted({c for x in names for c in x})
@@ -249,13 +255,23 @@ def encode_blocks(v: Pieces, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids), np.concatenate(begins)
 
 
+def shorter(v: Pieces, unit: str) -> list[str]:
+    """A long unit, cut where no piece holds both neighbours, so that no merge crosses a cut."""
+    cuts = [0, *(i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in v.pairs), len(unit)]
+    return [unit[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def encode_batch(v: Pieces, texts: list[str]) -> list[np.ndarray]:
     """Ids of every text; an empty text has none."""
     all_units: list[str] = []
     per_text = np.zeros(len(texts) + 1, np.int64)
     for i, t in enumerate(texts):
         if t:
-            all_units += UNIT.findall(MARK + t.replace(" ", MARK))
+            for unit in UNIT.findall(MARK + t.replace(" ", MARK)):
+                if len(unit) > LONG_UNIT:
+                    all_units += shorter(v, unit)
+                else:
+                    all_units.append(unit)
         per_text[i + 1] = len(all_units)
     if not all_units:
         return [np.empty(0, np.int32) for _ in texts]

@@ -243,6 +243,29 @@ def test_pieces(odd, nothing):
     assert op6_pieces.encode_corpus(nothing).count() == 0
 
 
+def test_digests_and_long_units(spark, odd):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=op6_pieces.default_model())
+    rng = np.random.default_rng(12)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/="
+    texts = ["".join(rng.choice(list(letters), 5000)), "".join(rng.choice(list("的一是不了人我在有他这中大来上国"), 3000)), "aaaaaaaab" * 400, "▁" * 100 + "x", " " * 300, "<unk></s>\x00 é" * 50, "the house of the king"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert {r.doc_id: r.ids for r in op6_pieces.encode_documents(docs).collect()} == {i: sp.encode(t) for i, t in enumerate(texts)}
+    for rows, own in ((docs, dict(enumerate(texts))), (odd, dict(ODD))):
+        for r in op6_pieces.digest_documents(rows).collect():
+            ids = sp.encode(own[r.doc_id] or "")
+            assert (r.n_tokens, r.n_fallback, r.ids_crc32) == (len(ids), sum(sp.is_byte(i) for i in ids), zlib.crc32(np.array(ids, np.int32).tobytes()))
+            assert r.round_trip
+    unigram = type("P", (), {"__init__": lambda s, model_proto: None, "get_piece_size": lambda s: 2, "get_score": lambda s, i: -1.5, "id_to_piece": lambda s, i: "ab"} | {f"is_{k}": lambda s, i: False for k in ("control", "unknown", "unused", "byte")})
+    kept, sentencepiece.SentencePieceProcessor = sentencepiece.SentencePieceProcessor, unigram
+    try:
+        with pytest.raises(ValueError, match="BPE"):
+            op6_pieces.Pieces(b"")
+    finally:
+        sentencepiece.SentencePieceProcessor = kept
+
+
 PAGE = "<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li>Home</li></ul></nav><div class='ad'>Buy</div><article><h1>Head &amp; more</h1><p>One\n  two<br>three<p>Four</p><div class=share-box>Tweet</div>%s</article><div id='comments'>Nice</div><footer>F</footer><script>x('</p>')</script></body></html>"
 
 
