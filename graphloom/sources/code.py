@@ -1,18 +1,26 @@
 """Source code as rows: tokens with their brackets, arguments of calls, and the rows of nodes and edges read from them.
 
-A file's text becomes token rows. Running sums of brackets give every token its level; windows over a level give
-its bracket and where that one closes. All windows are within a file.
+A file's text becomes an array of tokens in a task, and rows for its words and brackets only; a head of any length, or
+what stands between the commas of a bracket, is a slice of that array. Everything else is joins and windows over rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DataType
 
 from graphloom.functions.text import byte_view, sanitize_id
+from graphloom.sources.lexers import WORD, SourceError, Token, brackets, check_php, import_end, js_tokens, php_tokens, stop_of
 
-#: Comments, but neither an attribute of PHP nor a lone hash.
-COMMENT = r"^(/\*|//|#(?!\[).)"
+#: Keywords whose head or statement is wanted whole, and those of declarations.
+PHP_HEADS = frozenset("class interface trait enum function use namespace include include_once require require_once".split())
+JS_HEADS = frozenset("function class import return".split())
+DECLARING = frozenset("class interface trait enum function".split())
 META = (
     "struct<namespace:string,extends:string,implements:array<string>,visibility:string,params:array<struct<name:string,type:string>>,return_type:string,priority:int,hook_name:string,http_method:string,route:string,operation:string,key:string,"
     "block_name:string,block_category:string,block_attributes:string,render_template:string,js_assets:map<string,string>,capability:string,nonce_verified:boolean,sanitization_count:int,extra:map<string,string>>"
@@ -33,39 +41,103 @@ def unquoted(token: Column) -> Column:
     return F.when(token.startswith("'"), single).when(token.startswith('"') & ~inner.rlike(r"(?<!\\)(\$[A-Za-z_{]|\{\$)"), double)
 
 
-def tokens(files: DataFrame, pattern: str, outside: str | None = None) -> DataFrame:
-    """file_seq, i, tok, line, doc, p1.., n1.. of every token of `files` (file_seq, content) by `pattern`, but spaces and
-    comments; what fits `outside` is a semicolon. With opener (place of the bracket around it), level, close and close_line of a bracket, and
-    stop (place, token, close, close_line) of the next block or semicolon of the same level."""
-    w = _over()
-    raw = files.select("file_seq", F.posexplode(F.regexp_extract_all("content", F.lit(pattern), F.lit(0))).alias("i", "tok"))
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    raw = raw.withColumn("line", (1 + F.coalesce(F.sum(F.length("tok") - F.length(F.replace("tok", F.lit("\n"), F.lit("")))).over(before), F.lit(0))).cast("int"))
-    raw = raw.where(~F.col("tok").rlike(r"^\s")).withColumn("doc", F.when(F.lag("tok").over(w).startswith("/**"), F.lag("tok").over(w)))
-    raw = raw.where(~F.col("tok").rlike(COMMENT))
-    if outside:
-        raw = raw.withColumn("tok", F.when(F.col("tok").rlike(outside), ";").otherwise(F.col("tok")))
-    delta = F.when(F.col("tok").isin("(", "[", "{"), 1).when(F.col("tok").isin(")", "]", "}"), -1).otherwise(0)
-    near = {f"p{k}": F.lag("tok", k).over(w) for k in range(1, 5)} | {f"n{k}": F.lead("tok", k).over(w) for k in range(1, 9)} | {f"at{k}": F.lead("i", k).over(w) for k in (1, 2)} | {f"doc{k}": F.lag("doc", k).over(w) for k in (1, 2, 3)}
-    leveled = raw.withColumns(near).withColumn("delta", delta)
-    leveled = leveled.withColumn("inside", F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("level", F.col("inside") - F.when(F.col("delta") == 1, 1).otherwise(0))
-    ahead = _over("level").rowsBetween(1, Window.unboundedFollowing)
-    closed = leveled.withColumn("closing", F.when(F.col("delta") == 1, F.first(F.when(F.col("delta") == -1, F.struct("i", "line")), ignorenulls=True).over(ahead)))
-    closed = closed.select("*", F.col("closing.i").alias("close"), F.col("closing.line").alias("close_line")).drop("closing")
-    closed = closed.withColumn("stop", F.first(F.when(F.col("tok").isin("{", ";"), F.struct("i", "tok", "close", "close_line")), ignorenulls=True).over(ahead))
-    own = F.struct(F.col("level").alias("at"), F.lit(None).cast("int").alias("mark"))
-    marked = closed.withColumn("m", F.explode(F.when(F.col("delta") == 1, F.array(own, F.struct(F.col("inside").alias("at"), F.col("i").alias("mark")))).otherwise(F.array(own))))
-    marked = marked.select("*", F.col("m.at").alias("m_at"), F.col("m.mark").alias("mark")).withColumn("opener", F.last("mark", ignorenulls=True).over(_over("m_at").rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.where("mark IS NULL").drop("m", "m_at", "mark", "delta", "inside")
-
-
-def arguments(toks: DataFrame, brackets: tuple[str, ...] = ("(", "[")) -> DataFrame:
-    """file_seq, opener, args: what stands between the commas of every bracket of the kinds `brackets`, as a map from the
-    position to the tokens (i, tok, close, line); brackets within stand for themselves."""
-    inside = toks.where("opener IS NOT NULL").join(toks.where(F.col("tok").isin(*brackets)).select("file_seq", F.col("i").alias("opener")), ["file_seq", "opener"], "left_semi")
-    placed = inside.withColumn("nth", F.sum(F.when(F.col("tok") == ",", 1).otherwise(0)).over(_over("opener").rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    items = placed.where("tok != ','").groupBy("file_seq", "opener", "nth").agg(F.sort_array(F.collect_list(F.struct("i", "tok", "close", "line"))).alias("items"))
-    return items.groupBy("file_seq", "opener").agg(F.map_from_entries(F.collect_list(F.struct("nth", "items"))).alias("args"))
+#: What a token row holds: its place, text and line, tokens and doc comments near it, the token behind the bracket that
+#: follows it, the bracket around it, where a bracket closes, what stands between the commas of a bracket, a call's or a
+#: function's, the head that a keyword opens up to its stop, and a declaration's first lines.
+ITEM = "struct<i:int,tok:string,close:int,line:int>"
+PART = "struct<i:int,tok:string,own:boolean>"
+ROW = (
+    "file_seq int, i int, tok string, line int, p1 string, p2 string, p3 string, p4 string, n1 string, n2 string, n3 string, at1 int, after string, preview string, doc string, doc1 string, doc2 string, doc3 string, "
+    f"opener int, close int, stop struct<i:int,tok:string,close:int,close_line:int>, head array<{PART}>, args map<int,array<{ITEM}>>, error string"
+)
+#: Of files with more tokens the order numbers of seq() would run into each other.
+MOST_TOKENS = 1 << 23
+ROWS_IN_BATCH = 20_000
+
+
+def tokens(files: DataFrame, language: str) -> DataFrame:
+    """Rows of ROW for the words and brackets of `files` (file_seq, content): one ordered pass over the token array of a
+    file gives each its surroundings, and each head, of any length, as a slice of that array.
+
+    A file that can't be read gives one row, with `error` and the line, and nothing else."""
+
+    schema = to_arrow_schema(DataType.fromDDL(ROW))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+        for b in batches:
+            for number, content in zip(b.column("file_seq").to_pylist(), b.column("content").to_pylist(), strict=True):
+                rows += file_rows(number, content or "", language)
+                for at in range(0, len(rows) - ROWS_IN_BATCH + 1, ROWS_IN_BATCH):
+                    yield pa.RecordBatch.from_pylist(rows[at : at + ROWS_IN_BATCH], schema)
+                rows = rows[len(rows) // ROWS_IN_BATCH * ROWS_IN_BATCH :]
+        yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return files.select("file_seq", "content").mapInArrow(read, ROW)
+
+
+def file_rows(number: int, content: str, language: str) -> list[dict]:
+    """The rows of one file."""
+    try:
+        toks = php_tokens(content) if language == "php" else js_tokens(content)
+        around, close = brackets(toks)
+        if language == "php":
+            check_php(toks, around, close)
+        if len(toks) >= MOST_TOKENS:
+            raise SourceError(1, f"more than {MOST_TOKENS} tokens")
+    except SourceError as e:
+        return [{"file_seq": number, "line": e.line, "error": e.message}]
+    heads = PHP_HEADS if language == "php" else JS_HEADS
+    texts, lines, n, rows = [t for t, _, _ in toks], content.split("\n"), len(toks), []
+    near = lambda j: texts[j] if 0 <= j < n else None
+    note = lambda j: toks[j][2] if j >= 0 else None
+    for i, (tok, line, doc) in enumerate(toks):
+        opens, low = close[i] >= 0, tok.lower()
+        if not (opens or WORD.match(tok) and tok[0] != "$" or language == "js" and (tok == "=>" or tok[0] == "$")):
+            continue
+        row = {"file_seq": number, "i": i, "tok": tok, "line": line, "doc": doc, "doc1": note(i - 1), "doc2": note(i - 2), "doc3": note(i - 3), "at1": i + 1 if i + 1 < n else None}
+        row |= {"p1": near(i - 1), "p2": near(i - 2), "p3": near(i - 3), "p4": near(i - 4), "n1": near(i + 1), "n2": near(i + 2), "n3": near(i + 3)}
+        row |= {"opener": around[i] if around[i] >= 0 else None, "close": close[i] if opens else None}
+        if opens:
+            row["after"] = near(close[i] + 1)
+            row["args"] = None if tok == "(" and i and WORD.match(texts[i - 1]) and texts[i - 1].lower() != "array" else _between(toks, close, i)
+        elif i + 1 < n and texts[i + 1] == "(":
+            row["args"], row["after"] = _between(toks, close, i + 1), near(close[i + 1] + 1)
+        if low in heads:
+            end = import_end(toks, i) if language == "js" and low == "import" else stop_of(toks, close, i, low != "return")
+            if end < n:
+                shut = close[end] if close[end] >= 0 else None
+                row["stop"] = {"i": end, "tok": texts[end], "close": shut, "close_line": None if shut is None else toks[shut][1]}
+                if low in DECLARING:
+                    row["preview"] = "\n".join(lines[line - 1 : min(line + 29, line if shut is None else toks[shut][1])])
+            row["head"] = [{"i": j, "tok": texts[j], "own": around[j] == around[i]} for j in range(i + 1, end)]
+            if low == "function":
+                opened = next((j for j in range(i + 1, end) if texts[j] == "("), None)
+                row["args"] = None if opened is None else _between(toks, close, opened)
+        rows.append(row)
+    return rows
+
+
+def _between(toks: list[Token], close: list[int], i: int) -> list[tuple[int, list[dict]]] | None:
+    """What stands between the commas of the bracket that opens at `i`, by position; brackets within stand for themselves."""
+    parts: dict[int, list[dict]] = {}
+    nth, j = 0, i + 1
+    while j < close[i]:
+        if toks[j][0] == ",":
+            nth += 1
+        else:
+            shut = close[j] if close[j] >= 0 else None
+            parts.setdefault(nth, []).append({"i": j, "tok": toks[j][0], "close": shut, "line": toks[j][1]})
+            if shut is not None:
+                parts[nth].append({"i": shut, "tok": toks[shut][0], "close": None, "line": toks[shut][1]})
+                j = shut
+        j += 1
+    return list(parts.items()) or None
+
+
+def errors(toks: DataFrame, files: DataFrame) -> DataFrame:
+    """path, line, error of every file that gave no entities."""
+    return toks.where("error IS NOT NULL").join(files.select("file_seq", "path"), "file_seq").select("path", "line", "error")
 
 
 def arg(n: int | Column) -> Column:

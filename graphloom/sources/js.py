@@ -6,18 +6,14 @@ component by a return of markup. Only literal strings, and templates without a p
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import catalog
 from graphloom.functions.text import base_name, sanitize_id
-from graphloom.operators.lineage import cut
-from graphloom.sources.code import _over, arg, arguments, edge_rows, node_rows, tokens
+from graphloom.operators.lineage import cut, drop, numbered
+from graphloom.sources.code import arg, edge_rows, errors, node_rows, tokens
 
-TOKEN = (
-    r"\s++|/\*(?s:.*?)(?:\*/|\z)|//[^\n]*+|'[^'\\\n]*+(?:\\(?s:.)[^'\\\n]*+)*+'|\"[^\"\\\n]*+(?:\\(?s:.)[^\"\\\n]*+)*+\"|`[^`\\]*+(?:\\(?s:.)[^`\\]*+)*+`"
-    r"|(?<=[(,=:\[!&|?{};\n]\s{0,4})/(?![/*])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*+|[A-Za-z_$][\w$]*+|\d[\w.]*+|=>|\?\.|\.\.\.|&&|\|\||[!=]==?|(?s:.)"
-)
 NAME = r"^[A-Za-z_$][\w$]*$"
 #: Tokens before `function` or `class` that make it an expression.
 VALUES = ("=", "(", ",", ":", "return", "=>", "?", "&&", "||", "!", "[", "new", "typeof", "await", "...")
@@ -38,16 +34,19 @@ class JsFiles:
     """JavaScript files (path, content) below `root`, as tokens and calls. Seq numbers follow the files by path."""
 
     def __init__(self, files: DataFrame, root: str = "/plugin", first: int = 0):
-        order = files.select("path").withColumn("file_seq", F.row_number().over(Window.orderBy("path")) + first)  # one narrow row for each file
+        order = numbered(files.select("path"), ["path"], "file_seq", 1 + first).withColumn("file_seq", F.col("file_seq").cast("int"))
         file = F.concat(F.lit(root.rstrip("/") + "/"), "path")
         self.files = cut(files.select("path", "content").join(order, "path").withColumn("file", file))
         self.names = self.files.select("file_seq", "path", "file", F.md5("file").alias("hash"), sanitize_id(F.concat(F.lit("file_"), "file")).alias("file_id"))
-        toks = tokens(self.files, TOKEN)
-        ahead = _over("level").rowsBetween(1, Window.unboundedFollowing)
-        # What ends a returned value first: a condition, or the statement.
-        self.toks = cut(toks.withColumn("then", F.first(F.when(F.col("tok").isin("?", ";", "return", "}"), F.col("tok")), ignorenulls=True).over(ahead)))
-        self.args = cut(arguments(self.toks, ("(", "[", "{")))
+        self.toks = cut(tokens(self.files, "js"))
+        self.errors = cut(errors(self.toks, self.files))
+        self.args = self.toks.where("tok IN ('(', '[', '{') AND args IS NOT NULL").select("file_seq", F.col("i").alias("opener"), "args")
         self.calls = cut(self._calls())
+        self.tables = [self.files, self.toks, self.calls]
+
+    def drop(self) -> None:
+        """Delete the tables that entities were read from."""
+        drop(*self.tables)
 
     def _calls(self) -> DataFrame:
         word = lambda c: F.coalesce(c.rlike(NAME) & ~c.isin("this", "super", "return", "await", "typeof", "new", "yield"), F.lit(False))
@@ -55,11 +54,8 @@ class JsFiles:
         name = F.when(further, F.concat_ws(".", "p4", "p2", "tok")).when(dot & word(F.col("p2")), F.concat_ws(".", "p2", "tok")).otherwise(F.col("tok"))
         fresh = (F.col("p1") == "new") | (dot & (F.col("p3") == "new"))
         rows = self.toks.where((F.col("n1") == "(") & F.col("tok").rlike(NAME) & ~F.coalesce(F.col("p1").isin("function", "?.") | fresh, F.lit(False)))
-        rows = rows.select("file_seq", "i", "line", name.alias("name"), F.col("at1").alias("open"))
-        closes = self.toks.where("tok = '('").select("file_seq", F.col("i").alias("open"), F.col("close").alias("shut"))
-        behind = self.toks.where("tok = ')'").select("file_seq", F.col("i").alias("shut"), F.col("n1").alias("after"))
-        rows = rows.join(closes, ["file_seq", "open"]).join(behind, ["file_seq", "shut"], "left").where("after IS NULL OR after != '{'")
-        return rows.join(self.args.withColumnRenamed("opener", "open"), ["file_seq", "open"], "left").join(self.names, "file_seq")
+        rows = rows.where("after IS NULL OR after != '{'").select("file_seq", "i", "line", name.alias("name"), "args")
+        return rows.join(self.names, "file_seq")
 
     def options(self, rows: DataFrame, at: Column, name: str) -> DataFrame:
         """`rows` with the map `name` of what stands under each place of the object literal whose token is `at`."""
@@ -127,22 +123,25 @@ def declared(js: JsFiles) -> DataFrame:
     return statement of its own block, which may be conditional."""
     t = js.toks
     p1 = F.coalesce(F.col("p1"), F.lit(""))
-    markup = (F.col("n1") == "<") | ((F.col("n1") == "(") & (F.col("n2") == "<")) | (F.col("then") == "?")
+    # What ends a returned value first: a condition, or the statement.
+    then = F.get(F.filter("head", lambda x: x["own"] & x["tok"].isin("?", "return")), 0)["tok"]
+    markup = (F.col("n1") == "<") | ((F.col("n1") == "(") & (F.col("n2") == "<")) | (then == "?")
     shown = t.where((F.col("tok") == "return") & markup).select("file_seq", F.col("opener").alias("body"), F.lit(True).alias("shown")).distinct()
     functions = t.where((F.col("tok") == "function") & (F.col("n1").rlike(NAME) | ((F.col("n1") == "*") & F.col("n2").rlike(NAME))) & ~p1.isin(*VALUES) & ~((p1 == "async") & F.coalesce(F.col("p2"), F.lit("")).isin(*VALUES)))
     functions = functions.select("file_seq", "i", "line", F.when(F.col("n1") == "*", F.col("n2")).otherwise(F.col("n1")).alias("title"), F.col("stop.i").alias("body"))
     functions = functions.join(shown, ["file_seq", "body"], "left").select("file_seq", "i", "line", F.when(F.col("shown"), "react_component").otherwise("js_function").alias("type"), "title", F.lit(None).cast("string").alias("base"))
-    chain = F.when(F.col("n4") == ".", F.concat_ws(".", "n3", "n5")).otherwise(F.col("n3"))
+    parent = F.filter(F.slice(F.transform("head", lambda x: x["tok"]), 3, F.greatest(F.size("head"), F.lit(1))), lambda x: x.rlike(r"^[\w$.]+$"))
+    told = F.array_position(F.transform(parent, lambda x: x.isin("implements")), True)
+    chain = F.array_join(F.when(told > 0, F.slice(parent, 1, told.cast("int") - 1)).otherwise(parent), "")
     classes = t.where((F.col("tok") == "class") & F.col("n1").rlike(NAME) & ~p1.isin(*VALUES, ".")).select("file_seq", "i", "line", F.lit("js_class").alias("type"), F.col("n1").alias("title"), F.when(F.col("n2") == "extends", chain).alias("base"))
 
     at_once = (F.col("n1") == "<") | ((F.col("n1") == "(") & (F.col("n2") == "<"))
-    arrows = t.where("tok = '=>'").select("file_seq", F.col("i").alias("arrow"), at_once.alias("at_once"), F.when(F.col("n1") == "{", F.col("at1")).alias("body"), F.when(F.col("p1") != ")", F.struct("p1", "p2", "p3", "p4")).alias("single"))
-    ends = t.where("tok = ')'").select("file_seq", F.col("i").alias("shut"), F.when(F.col("n1") == "=>", F.col("at1")).alias("arrow"), F.when(F.col("n1") == "{", F.col("at1")).alias("block"))
-    heads = t.where("tok = '('").select("file_seq", F.col("close").alias("shut"), "p1", "p2", "p3", "p4", "line", "i").join(ends, ["file_seq", "shut"])
+    arrows = t.where("tok = '=>'").select("file_seq", F.col("i").alias("arrow"), at_once.alias("at_once"), F.when(F.col("n1") == "{", F.col("at1")).alias("body"))
+    heads = t.where("tok = '('").select("file_seq", "p1", "p2", "p3", "p4", "line", "i", F.when(F.col("after") == "=>", F.col("close") + 1).alias("arrow"), F.when(F.col("after") == "{", F.col("close") + 1).alias("block"))
     skip = F.col("p1") == "async"
     eq, name, kind = (F.when(skip, F.col(a)).otherwise(F.col(b)) for a, b in (("p2", "p1"), ("p3", "p2"), ("p4", "p3")))
-    listed = heads.where("arrow IS NOT NULL").join(arrows.select("file_seq", "arrow", "at_once", "body"), ["file_seq", "arrow"]).select("file_seq", "i", "line", eq.alias("eq"), name.alias("title"), kind.alias("kind"), "at_once", "body")
-    one = t.where("n1 = '=>' AND tok != ')'").select("file_seq", "i", "line", F.col("p1").alias("eq"), F.col("p2").alias("title"), F.col("p3").alias("kind"), F.col("at1").alias("arrow")).join(arrows.select("file_seq", "arrow", "at_once", "body"), ["file_seq", "arrow"]).drop("arrow").select("file_seq", "i", "line", "eq", "title", "kind", "at_once", "body")
+    listed = heads.where("arrow IS NOT NULL").join(arrows, ["file_seq", "arrow"]).select("file_seq", "i", "line", eq.alias("eq"), name.alias("title"), kind.alias("kind"), "at_once", "body")
+    one = t.where("n1 = '=>' AND tok != ')'").select("file_seq", "i", "line", eq.alias("eq"), name.alias("title"), kind.alias("kind"), F.col("at1").alias("arrow")).join(arrows, ["file_seq", "arrow"]).drop("arrow").select("file_seq", "i", "line", "eq", "title", "kind", "at_once", "body")
     plain = heads.where("block IS NOT NULL AND p1 = 'function' AND p2 = '='").select("file_seq", "i", "line", F.col("p2").alias("eq"), F.col("p3").alias("title"), F.col("p4").alias("kind"), F.lit(False).alias("at_once"), F.col("block").alias("body"))
     values = listed.union(one).union(plain).join(shown, ["file_seq", "body"], "left").where("at_once OR shown")
     const = values.where((F.col("eq") == "=") & F.col("kind").isin("const", "let", "var") & F.col("title").rlike(NAME))
@@ -153,15 +152,15 @@ def declared(js: JsFiles) -> DataFrame:
 
 def imports(js: JsFiles) -> DataFrame:
     """file_seq, i, path, source, names (bound by braces) of every import statement."""
-    ahead = _over("level").rowsBetween(1, Window.unboundedFollowing)
-    literal_ = text(F.col("tok"))
-    rows = js.toks.withColumn("from_", F.first(literal_, ignorenulls=True).over(ahead)).withColumn("braces", F.first(F.when(F.col("tok") == "{", F.struct("i", "close")), ignorenulls=True).over(ahead))
-    rows = rows.withColumn("from_i", F.first(F.when(literal_.isNotNull(), F.col("i")), ignorenulls=True).over(ahead))
+    literals = F.filter("head", lambda x: x["tok"].rlike("^['\"]"))
+    rows = js.toks.withColumn("from_", text(F.get(literals, 0)["tok"]))
     rows = rows.where((F.col("tok") == "import") & ~F.col("n1").isin("(", ".") & ~F.coalesce(F.col("p1"), F.lit("")).isin(".", "?.")).where("from_ != ''")
-    bound = js.args.select("file_seq", F.col("opener").alias("open__"), F.col("args").alias("bound"))
-    rows = rows.withColumn("open__", F.when(F.col("braces.close") < F.col("from_i"), F.col("braces.i"))).join(bound, ["file_seq", "open__"], "left").join(js.names.select("file_seq", "path", "file", "file_id"), "file_seq")
-    names = F.transform(F.map_values("bound"), lambda x: F.element_at(x, -1)["tok"])
-    return rows.select("file_seq", "i", "line", "path", "file", "file_id", F.col("from_").alias("source"), F.coalesce(names, F.array().cast("array<string>")).alias("names"))
+    # A name is bound where a comma or the closing brace is behind it.
+    words = F.transform("head", lambda x: x["tok"])
+    bound = F.filter(F.transform(F.filter("head", lambda x: ~x["own"]), lambda x: F.struct(x["tok"].alias("tok"), F.get(words, x["i"] - F.get("head", 0)["i"] + 1).alias("next"))), lambda x: x["next"].isin(",", "}") & x["tok"].rlike(NAME))
+    names = F.transform(bound, lambda x: x["tok"])
+    rows = rows.select("file_seq", "i", "line", F.col("from_").alias("source"), names.alias("names"))
+    return rows.join(js.names.select("file_seq", "path", "file", "file_id"), "file_seq").select("file_seq", "i", "line", "path", "file", "file_id", "source", "names")
 
 
 def entities(files: DataFrame, every: DataFrame, root: str = "/plugin", first: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -201,4 +200,7 @@ def entities(files: DataFrame, every: DataFrame, root: str = "/plugin", first: i
     found = resolve_imports(named.select("path", F.col("source").alias("name")).distinct(), every)
     hit = named.join(found.select(F.col("source").alias("path"), F.col("name").alias("source"), F.col("target").alias("to_path")), ["path", "source"])
     edges = edges.union(edge_rows(hit, 1, F.col("file_id"), F.concat(F.lit("file_" + root.rstrip("/") + "/"), "to_path"), "imports", "imports", 9))
-    return cut(nodes), cut(edges)
+    out = cut(nodes), cut(edges)
+    js.drop()
+    drop(made, calls, named)
+    return out

@@ -1,8 +1,8 @@
 """Entities of PHP files as rows: tokens, brackets, contexts and calls, all by expressions, windows and joins.
 
 Declarations open and close contexts; calls with their arguments are rows like any others, and each kind of entity
-is a filter on them or a join with the API catalogue. Only literal strings count as names. A file that can't be read
-this way gives fewer rows and fails nothing.
+is a filter on them or a join with the API catalogue. Only literal strings count as names. A file with a syntax error
+gives no entity and a row of `errors`, and fails nothing.
 """
 
 from __future__ import annotations
@@ -12,15 +12,9 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import catalog
 from graphloom.functions.text import base_name, byte_view, sanitize_id
-from graphloom.operators.lineage import cut
-from graphloom.sources.code import _over, arg, arguments, edge_rows, lexical, literal, node_rows, safe, seq, tokens, unquoted
-
-#: Tokens of a file, text outside of PHP included, so that their lengths add up to the file's.
-TOKEN = (
-    r"\A(?s:(?!<\?).)*+<\?(?:php|=)|\?>(?s:(?!<\?).)*+(?:<\?(?:php|=)|\z)|\s++|/\*(?s:(?!\*/).)*+(?:\*/|\z)|(?://|#(?!\[))(?:(?!\?>)[^\n])*+"
-    r"|<<<[ \t]*[\"']?(\w++)[\"']?\n(?s:(?!\n[ \t]*\1\b).)*+\n[ \t]*\1|'[^'\\]*+(?:\\(?s:.)[^'\\]*+)*+'|\"[^\"\\]*+(?:\\(?s:.)[^\"\\]*+)*+\""
-    r"|\$\w++|\\?[A-Za-z_\x80-\uffff][\w\\\x80-\uffff]*+|\d[\w.]*+|\?->|->|::|=>|(?s:.)"
-)
+from graphloom.operators.lineage import cut, drop, numbered
+from graphloom.sources.code import _over, arg, edge_rows, errors, lexical, literal, node_rows, safe, seq, tokens, unquoted
+
 NAME = r"^\\?[A-Za-z_\x80-\uffff][\w\\\x80-\uffff]*$"
 MODIFIERS = ("public", "private", "protected", "static", "abstract", "final", "readonly", "var")
 #: Words that may stand before a bracket without being called.
@@ -47,10 +41,10 @@ def in_context(toks: DataFrame, decls: DataFrame) -> DataFrame:
     every = space.unionByName(own)
     events = every.select("file_seq", "i", "what", F.struct("name", "member").alias("e")).union(every.where("until IS NOT NULL").select("file_seq", F.col("until").alias("i"), "what", F.struct(F.lit("").alias("name"), F.lit(False).alias("member"))))
     events = events.groupBy("file_seq", "i").pivot("what", ["ns", "class", "func"]).agg(F.first("e"))
-    joined = toks.join(events, ["file_seq", "i"], "left")
+    joined = toks.join(events, ["file_seq", "i"], "full")
     last = lambda c: F.last(c, ignorenulls=True).over(_over().rowsBetween(Window.unboundedPreceding, 0))
     named = joined.withColumns({"ns": F.coalesce(last("ns")["name"], F.lit("")), "class_name": F.coalesce(last("class")["name"], F.lit("")), "func_": last("func")}).drop("class", "func")
-    return named.select("*", F.coalesce("func_.name", F.lit("")).alias("func_name"), F.coalesce("func_.member", F.lit(False)).alias("is_member")).drop("func_")
+    return named.where("tok IS NOT NULL").select("*", F.coalesce("func_.name", F.lit("")).alias("func_name"), F.coalesce("func_.member", F.lit(False)).alias("is_member")).drop("func_")
 
 
 class PhpFiles:
@@ -59,20 +53,25 @@ class PhpFiles:
     Seq numbers follow the files by path, the place in a file, and the kinds of entities at one place."""
 
     def __init__(self, files: DataFrame, root: str = "/plugin", first: int = 0):
-        w = Window.orderBy("path")  # one narrow row for each file
-        order = files.select("path").withColumn("file_seq", F.row_number().over(w) + first)
+        order = numbered(files.select("path"), ["path"], "file_seq", 1 + first).withColumn("file_seq", F.col("file_seq").cast("int"))
         self.files = cut(files.select("path", "content").join(order, "path").withColumn("file", F.concat(F.lit(root.rstrip("/") + "/"), "path")))
-        toks = cut(tokens(self.files, TOKEN, r"^\?>|<\?(php|=)$"))
+        toks = cut(tokens(self.files, "php"))
+        self.errors = cut(errors(toks, self.files))
         self.decls = cut(declarations(toks))
-        self.toks = cut(in_context(toks, self.decls), toks)
-        self.args = cut(arguments(self.toks))
+        self.args = toks.where("tok IN ('(', '[') AND args IS NOT NULL").select("file_seq", F.col("i").alias("opener"), "args")
+        self.toks = cut(in_context(toks.where(F.col("tok").rlike(NAME)), self.decls))
         self.names = self.files.select("file_seq", "path", "file", sanitize_id(F.concat(F.lit("file_"), "path")).alias("file_id"))
         word, left = F.lower("tok"), F.coalesce(F.col("p1"), F.lit(""))
-        called = self.toks.where((F.col("n1") == "(") & F.col("tok").rlike(NAME) & ~word.isin(*NO_CALLS))
+        called = self.toks.where((F.col("n1") == "(") & ~word.isin(*NO_CALLS))
         kinds = F.when(left == "::", "static").when(left.isin("->", "?->"), "method").when(left == "new", "new").otherwise("function")
-        called = called.where(~left.isin("function", "fn") & ~((left == "&") & (F.col("p2") == "function"))).withColumns({"kind": kinds, "name": F.regexp_replace("tok", r"^\\", ""), "open": F.col("at1")})
-        calls = called.select("file_seq", "i", "line", "kind", "name", "open", "p2", "p3", "class_name", "func_name", "is_member")
-        self.calls = cut(calls.join(self.args.withColumnRenamed("opener", "open"), ["file_seq", "open"], "left").join(self.names, "file_seq").withColumn("caller", self.caller()))
+        called = called.where(~left.isin("function", "fn") & ~((left == "&") & (F.col("p2") == "function"))).withColumns({"kind": kinds, "name": F.regexp_replace("tok", r"^\\", "")})
+        calls = called.select("file_seq", "i", "line", "kind", "name", "p2", "p3", "class_name", "func_name", "is_member", "args")
+        self.calls = cut(calls.join(self.names, "file_seq").withColumn("caller", self.caller()))
+        self.tables = [self.files, toks, self.decls, self.toks, self.calls]
+
+    def drop(self) -> None:
+        """Delete the tables that entities were read from."""
+        drop(*self.tables)
 
     @staticmethod
     def caller() -> Column:
@@ -99,7 +98,7 @@ def declared(php: PhpFiles) -> tuple[DataFrame, DataFrame]:
     is_class = F.col("kind").isin("class", "interface", "trait")
     own = decls.where(is_class)
     ns = F.nullif(F.col("ns"), F.lit(""))
-    extends, implements = names_after(own.columns, "extends"), names_after(own.columns, "implements")
+    extends, implements = names_after("extends"), names_after("implements")
     classes = node_rows(own, 0, id=class_id(F.col("name")), label=F.col("name"), type=F.col("kind"), namespace=ns, extends=F.when(F.col("kind") == "class", F.regexp_replace(F.get(extends, 0), r"^\\", "")), implements=F.when(F.col("kind") == "class", F.transform(implements, lambda x: F.regexp_replace(x, r"^\\", ""))), docblock=F.col("doc_"), source_preview=F.col("preview"))
     last = lambda c: F.substring_index(c, "\\", -1)
     own_id = class_id(F.col("name"))
@@ -107,12 +106,10 @@ def declared(php: PhpFiles) -> tuple[DataFrame, DataFrame]:
     parent_id = F.when(F.col("kind") == "class", class_id(last(F.col("parent")))).otherwise(F.concat(F.lit("class_"), F.regexp_replace("parent", r"^\\", "")))
     edges = edge_rows(parents, 0, F.col("own_id"), parent_id, "extends", "extends", 1 + F.least("nth", F.lit(9)))
     faces = own.where("kind = 'class'").withColumn("own_id", own_id).select("*", F.posexplode(implements).alias("nth", "face"))
-    edges = edges.union(edge_rows(faces, 0, F.col("own_id"), F.concat(F.lit("class_"), F.regexp_replace("face", r"^\\", "")), "implements", "implements", 10 + F.least("nth", F.lit(19))))
+    edges = edges.union(edge_rows(faces, 0, F.col("own_id"), F.concat(F.lit("class_"), F.regexp_replace("face", r"^\\", "")), "implements", "implements", 10 + F.least("nth", F.lit(39))))
     uses = php.toks.where("lower(tok) = 'use'").join(own.where("kind = 'class'").select("file_seq", F.col("stop.i").alias("opener"), F.col("i").alias("class_i"), F.col("name")), ["file_seq", "opener"])
-    used = uses.select("file_seq", F.col("class_i").alias("i"), "ns", "name", F.explode(F.filter(F.array(*[F.col(f"n{k}") for k in range(1, 9)]), lambda x: x.isNotNull())).alias("t"), F.array(*[F.col(f"n{k}") for k in range(1, 9)]).alias("next"))
-    upto = F.array_position(F.transform("next", lambda x: F.coalesce(x.isin(";", "{"), F.lit(False))), True)
-    used = used.where(F.col("t").rlike(NAME) & ((upto == 0) | (F.array_position("next", F.col("t")) < upto)))
-    edges = edges.union(edge_rows(used, 0, class_id(F.col("name")), class_id(last(F.col("t"))), "uses_trait", "uses trait", 30))
+    used = uses.select("file_seq", F.col("class_i").alias("i"), "ns", "name", F.explode(own_words()).alias("t")).where(F.col("t").rlike(NAME))
+    edges = edges.union(edge_rows(used, 0, class_id(F.col("name")), class_id(last(F.col("t"))), "uses_trait", "uses trait", 50))
 
     functions = decls.where("kind = 'function'").withColumn("of_class", F.col("class_name"))
     given = dict(label=F.col("name"), params=parameters(), return_type=return_type(), docblock=F.col("doc_"), source_preview=F.col("preview"))
@@ -125,24 +122,23 @@ def declared(php: PhpFiles) -> tuple[DataFrame, DataFrame]:
 
 
 def in_declared_context(php: PhpFiles) -> DataFrame:
-    """Declarations with their names' context, doc comment, first 30 lines, parameters and the tokens behind them."""
+    """Declarations with their names' context and doc comment."""
     around = php.toks.select("file_seq", "i", "ns", "class_name")
     head = [F.when(F.col("p1").isin(*MODIFIERS), F.col("doc1")), F.when(F.col("p1").isin(*MODIFIERS) & F.col("p2").isin(*MODIFIERS), F.col("doc2")), F.when(F.col("p1").isin(*MODIFIERS) & F.col("p2").isin(*MODIFIERS) & F.col("p3").isin(*MODIFIERS), F.col("doc3"))]
-    decls = php.decls.join(around, ["file_seq", "i"]).join(php.files.select("file_seq", "path", "file", "content"), "file_seq").withColumn("doc_", F.coalesce("doc", *head))
-    end = F.coalesce("stop.close_line", "line")
-    preview = F.array_join(F.slice(F.split("content", "\n"), F.col("line"), F.least(end - F.col("line") + 1, F.lit(30))), "\n")
-    opened = decls.withColumn("preview", preview).drop("content").withColumn("open", F.when(F.col("n1") == "&", F.col("at2") + 1).otherwise(F.col("at2")))
-    brackets = php.toks.where("tok = ')' OR tok = '('").select("file_seq", F.col("i").alias("open"), F.col("close").alias("shut"))
-    shut = php.toks.where("tok = ')'").select("file_seq", F.col("i").alias("shut"), F.array(*[F.col(f"n{k}") for k in range(1, 9)]).alias("behind"))
-    return opened.join(brackets, ["file_seq", "open"], "left").join(shut, ["file_seq", "shut"], "left").join(php.args.withColumnRenamed("opener", "open"), ["file_seq", "open"], "left")
+    return php.decls.join(around, ["file_seq", "i"]).join(php.files.select("file_seq", "path", "file"), "file_seq").withColumn("doc_", F.coalesce("doc", *head))
+
 
+def own_words() -> Column:
+    """The tokens of a head or statement, without those in brackets."""
+    return F.transform(F.filter("head", lambda x: x["own"]), lambda x: x["tok"])
 
-def names_after(columns: list[str], word: str) -> Column:
+
+def names_after(word: str) -> Column:
     """Names behind `word` in a class's head, up to the next word or the body."""
-    head = F.array(*[F.col(f"n{k}") for k in range(2, 9)])
+    head = F.slice(own_words(), 2, F.greatest(F.size("head"), F.lit(1)))
     at = F.array_position(F.transform(head, lambda x: F.lower(x)), word)
-    rest = F.when(at > 0, F.slice(head, at.cast("int") + 1, 8)).otherwise(F.array().cast("array<string>"))
-    end = F.array_position(F.transform(rest, lambda x: F.coalesce(F.lower(x).isin("{", "extends", "implements"), F.lit(True))), True)
+    rest = F.when(at > 0, F.slice(head, at.cast("int") + 1, F.greatest(F.size(head), F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    end = F.array_position(F.transform(rest, lambda x: F.lower(x).isin("extends", "implements")), True)
     return F.filter(F.when(end > 0, F.slice(rest, 1, end.cast("int") - 1)).otherwise(rest), lambda x: x.rlike(NAME))
 
 
@@ -166,9 +162,11 @@ def parameters() -> Column:
 
 
 def return_type() -> Column:
-    end = F.array_position(F.transform("behind", lambda x: F.coalesce(x.isin("{", ";"), F.lit(True))), True)
-    words = F.slice("behind", 2, F.greatest(F.when(end > 0, end.cast("int") - 2).otherwise(7), F.lit(0)))
-    return F.when(F.get("behind", 0) == ":", F.nullif(F.regexp_replace(F.array_join(words, ""), r"^(\??)\\", "$1"), F.lit("")))
+    """The type between a function's parameters and its body, of any length."""
+    shut = F.get(F.filter("head", lambda x: x["own"] & (x["tok"] == ")")), 0)["i"]
+    behind = F.transform(F.filter("head", lambda x: x["i"] > shut), lambda x: x["tok"])
+    words = F.slice(behind, 2, F.greatest(F.size(behind) - 1, F.lit(0)))
+    return F.when(F.get(behind, 0) == ":", F.nullif(F.regexp_replace(F.array_join(words, ""), r"^(\??)\\", "$1"), F.lit("")))
 
 
 def called(php: PhpFiles) -> tuple[DataFrame, DataFrame]:
@@ -281,17 +279,20 @@ def registered(php: PhpFiles) -> tuple[DataFrame, DataFrame]:
 
 def included(php: PhpFiles) -> tuple[DataFrame, DataFrame]:
     """includes edges: a literal path, one behind the file's directory, or the .php end of another expression."""
-    words = F.filter(F.array(*[F.col(f"n{k}") for k in range(1, 9)]), lambda x: x.isNotNull())
-    end = F.array_position(F.transform(words, lambda x: x == ";"), True)
+    ends_at = F.get(F.filter("head", lambda x: x["own"] & F.lower(x["tok"]).isin(",", "and", "or", "xor")), 0)["i"]
+    whole = F.filter("head", lambda x: ends_at.isNull() | (x["i"] < ends_at))
     found = php.toks.where(F.lower("tok").isin("include", "include_once", "require", "require_once") & ~F.coalesce(F.col("p1"), F.lit("")).isin("->", "?->", "::", "function")).join(php.names, "file_seq").withColumn("caller", php.caller())
-    said = F.when(end > 0, F.slice(words, 1, end.cast("int") - 1)).otherwise(words)
-    said = F.when((F.get(said, 0) == "(") & (F.element_at(said, -1) == ")"), F.slice(said, 2, F.size(said) - 2)).otherwise(said)
+    # Brackets around the whole expression: nothing but them is at its level.
+    wrapped = (F.get(whole, 0)["tok"] == "(") & (F.size(F.filter(whole, lambda x: x["own"])) == 2) & (F.element_at(whole, -1)["tok"] == ")")
+    said = F.transform(whole, lambda x: x["tok"])
+    said = F.when(wrapped, F.slice(said, 2, F.greatest(F.size(said) - 2, F.lit(0)))).otherwise(said)
     found = found.withColumn("said", said).where(F.size("said") > 0)
     text, folder = unquoted(F.element_at("said", -1)), F.array_join(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1), "/")
     left = F.array_join(F.slice("said", 1, F.greatest(F.size("said") - 1, F.lit(0))), "")
     known = left.isin("", "__DIR__.", "dirname(__FILE__).", "plugin_dir_path(__FILE__).")
     ends = F.get("said", F.size("said") - 2) == "."
-    target = F.when(known | (ends & text.endswith(".php")), F.concat(folder, F.lit("/"), F.regexp_replace(text, "^/+", "")))
+    guess = F.concat(folder, F.lit("/"), F.regexp_replace(text, "^/+", ""))
+    target = F.when(left.isin("__DIR__.", "dirname(__FILE__)."), F.concat(folder, text)).when(known, F.concat(folder, F.lit("/"), text)).when(ends & text.endswith(".php"), guess)
     found = found.withColumn("to_path", lexical(target))
     hit = found.where("to_path IS NOT NULL")
     to_id = F.concat(F.lit("file_"), "to_path")
@@ -303,10 +304,17 @@ def included(php: PhpFiles) -> tuple[DataFrame, DataFrame]:
 
 def entities(files: DataFrame, root: str = "/plugin", first: int = 0) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges, with seq, of PHP files (path, content) mounted at `root`; to be made a graph by build_graph()."""
+    return entities_and_errors(files, root, first)[:2]
+
+
+def entities_and_errors(files: DataFrame, root: str = "/plugin", first: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """entities(), and path, line, error of the files that have a syntax error and so no entities."""
     php = PhpFiles(files, root, first)
     nodes = edges = None
     for read in (declared, called, hooked, stored, registered, included):
         some_nodes, some_edges = read(php)
         nodes = some_nodes if nodes is None else nodes.union(some_nodes)
         edges = some_edges if edges is None else edges.union(some_edges)
-    return cut(nodes), cut(edges)
+    out = cut(nodes), cut(edges), php.errors
+    php.drop()
+    return out
