@@ -61,12 +61,12 @@ def subtries(words: DataFrame, least: int = LEAST, most: int = 4096) -> DataFram
         if large.isEmpty():
             break
         rest = placed.join(large, PLACE, "left_anti")
-        done = rest if done is None else done.union(rest)
+        done = rest if done is None else done.unionByName(rest)
         middle = F.floor((F.col("a") + F.col("z")) / 2)
         deeper = placed.join(large, PLACE, "left_semi").withColumn("windows", F.array(_window(F.col("a"), middle), _window(middle, F.col("z"))))
         placed = cut(_placed(deeper.select("word", "n", "n_short", "windows"), F.col("windows")))
         held.append(placed)
-    every = placed if done is None else done.union(placed)
+    every = placed if done is None else done.unionByName(placed)
     out = every.groupBy(*PLACE).agg(F.collect_list(F.struct("word", "n")).alias("words")).where(F.size("words") > 1)
     out.scratch = held
     return out
