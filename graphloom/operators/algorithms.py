@@ -141,7 +141,8 @@ def dfs_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
     Edges to nodes that lead nowhere close no cycle and go first, round by round; the others keep their order, and
     nodes the place that they had among all edges. As the cycles that are told depend on that order, what is left
     of a component is searched in one task; cycle_nodes() has no such limit."""
-    places = edges.select(F.explode(F.array(F.struct(F.col("source").alias("id"), (2 * F.col("seq")).alias("at")), F.struct(F.col("target").alias("id"), (2 * F.col("seq") + 1).alias("at")))).alias("p")).groupBy(F.col("p.id").alias("source")).agg(F.min("p.at").alias("at"))
+    ends = [F.struct(F.col(x).alias("id"), "seq", F.lit(i).alias("end")) for i, x in enumerate(("source", "target"))]
+    places = edges.select(F.explode(F.array(*ends)).alias("p")).groupBy(F.col("p.id").alias("source")).agg(F.min(F.struct("p.seq", "p.end")).alias("at")).select("source", F.col("at.seq").alias("at"), F.col("at.end").alias("end"))
     rest = cut(edges.select("source", "target", "seq"))
     n = rest.count()
     while True:
@@ -153,7 +154,7 @@ def dfs_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
 
     def find(group: pd.DataFrame) -> pd.DataFrame:
         rows = group.sort_values("seq")
-        roots = list(dict.fromkeys(group.sort_values("at")["source"]))
+        roots = list(dict.fromkeys(group.sort_values(["at", "end"])["source"]))
         paths = search_cycles(list(zip(rows["source"], rows["target"], strict=True)), roots=roots)
         found = [(rows["component"].iloc[0], i, p) for i, p in enumerate(paths)]
         return pd.DataFrame(found, columns=["component", "nth", "path"], dtype=object)

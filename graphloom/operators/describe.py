@@ -99,13 +99,6 @@ def description(index: Callable[[str], Column] | None = None) -> Column:
     return ucfirst(out)
 
 
-def described(nodes: DataFrame) -> DataFrame:
-    """Nodes with description: the one they have, else their doc comment's summary, else the text by type."""
-    from graphloom.functions.text import doc_summary
-
-    return nodes.withColumn("description", F.coalesce("description", doc_summary(F.col("docblock")), description()))
-
-
 def batches(nodes: DataFrame, order: list[str], size: int = 25) -> DataFrame:
     """Nodes with batch: `size` successive nodes each."""
     from graphloom.operators.lineage import numbered
@@ -119,13 +112,28 @@ def samples(nodes: DataFrame, most: int = 20) -> DataFrame:
     return nodes.where((F.col("description") != "") & F.col("type").isin(*FIRST_TYPES)).withColumn("rank__", rank).orderBy("rank__", "seq").limit(most).drop("rank__")
 
 
-def parse_reply(reply: Column) -> Column:
-    """Map of id to text in a model's reply: the outermost braces, fenced or not, as such a map, or as two lists
-    `entity_ids` and `descriptions`; null if that isn't JSON."""
-    inner = F.nullif(F.regexp_extract(reply, r"(?s)\{.*\}", 0), F.lit(""))
-    lists = F.from_json(inner, "entity_ids array<string>, descriptions array<string>")
-    pairs = F.map_from_entries(F.filter(F.arrays_zip(lists["entity_ids"].alias("id"), lists["descriptions"].alias("text")), lambda x: x["id"].isNotNull() & x["text"].isNotNull()))
-    return F.when(lists["entity_ids"].isNotNull() & lists["descriptions"].isNotNull(), pairs).otherwise(F.from_json(inner, "map<string,string>"))
+def parse_reply(reply: Column, provider: str | None = None) -> Column:
+    """Map of id to text in a model's reply: the outermost braces, fenced or not, as a map of which only strings count.
+
+    Without one, the forms that providers fall back to, the first that gives something: `ollama` two lists `entity_ids`
+    and `descriptions`; `claude` {id: {"description": text}}, then the strings of the first object within; `api` none;
+    no provider all of them. Null if there is no JSON object, an empty map if it holds nothing of this."""
+    plain = F.regexp_replace(F.regexp_replace(reply, r"(?m)^```(?:json)?\s*", ""), r"(?m)\s*```$", "")
+    inner = F.nullif(F.regexp_extract(plain, r"(?s)\{.*\}", 0), F.lit(""))
+    whole = F.from_json(F.when(F.try_parse_json(inner).isNotNull(), inner), "map<string,variant>")
+    kind = lambda v: F.schema_of_variant(v)
+    string = lambda v: F.try_variant_get(v, "$", "string")
+    strings = lambda m: F.transform_values(F.map_filter(m, lambda _, v: kind(v) == "STRING"), lambda _, v: string(v))
+    nothing = F.create_map().cast("map<string,string>")
+    texts = lambda key: F.try_variant_get(F.try_element_at(whole, F.lit(key)), "$", "array<variant>")
+    pairs = F.arrays_zip(texts("entity_ids").alias("id"), texts("descriptions").alias("text"))
+    lists = F.map_from_entries(F.filter(F.transform(F.filter(pairs, lambda x: (kind(x["id"]) == "STRING") & (kind(x["text"]) == "STRING")), lambda x: F.struct(string(x["id"]).alias("key"), string(x["text"]).alias("value"))), lambda x: x["key"].isNotNull()))
+    told = lambda v: F.try_variant_get(v, "$.description", "variant")
+    nested = F.transform_values(F.map_filter(whole, lambda _, v: kind(v).startswith("OBJECT") & (kind(told(v)) == "STRING")), lambda _, v: string(told(v)))
+    within = F.filter(F.transform(F.map_values(whole), lambda v: strings(F.try_variant_get(v, "$", "map<string,variant>"))), lambda m: F.size(m) > 0)
+    forms = {"ollama": [lists], "claude": [nested, F.get(within, 0)], "api": [], None: [lists, nested, F.get(within, 0)]}[provider]
+    some = [F.when(F.size(m) > 0, m) for m in (strings(whole), *forms)]
+    return F.when(whole.isNotNull(), F.coalesce(*some, nothing))
 
 
 def badges() -> Column:
@@ -182,12 +190,26 @@ def with_replies(nodes: DataFrame, replies: DataFrame) -> DataFrame:
     return nodes.join(told, "id", "left").withColumn("description", F.coalesce("told", "description")).drop("told")
 
 
-def payloads(nodes: DataFrame, links: DataFrame, order: list[str], size: int = 25) -> DataFrame:
-    """batch, payload: a JSON list of nodes (without empty fields) and their first connections."""
-    listed = links.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda x: x["text"]).alias("connections"))
-    rows = batches(nodes, order, size).join(listed, "id", "left")
-    return rows.groupBy("batch").agg(F.to_json(F.array_sort(F.collect_list(F.struct("id", "label", "type", "file", "connections")))).alias("payload"))
+#: Fields of a node's metadata that a model is told, if they say something.
+TOLD = ("namespace", "extends", "implements", "hook_name", "http_method", "route", "operation", "key", "block_name")
+
 
+def entity_payload(connections: Column, most: int = 10, lines: int = 10) -> Column:
+    """JSON of what a model is told of a node: id, type, label, fields of its metadata that aren't empty, its first
+    `most` connections, the first `lines` lines of its source. What there isn't has no key."""
 
-def top_per_type(nodes: DataFrame, most: int) -> DataFrame:
-    return nodes.withColumn("nth", F.row_number().over(Window.partitionBy("type").orderBy("id"))).where(F.col("nth") <= most)
+    def said(name: str) -> Column:
+        value = F.col(f"metadata.{name}")
+        return F.when(F.size(value) > 0, value) if name == "implements" else F.when(~value.isin("", "0"), value)
+
+    source = F.substring_index("source_preview", "\n", lines)
+    return F.to_json(F.struct("id", "type", "label", *[said(n).alias(n) for n in TOLD], F.when(F.size(connections) > 0, F.slice(connections, 1, most)).alias("connections"), source.alias("code_snippet")))
+
+
+def payloads(nodes: DataFrame, links: DataFrame, order: list[str], size: int = 25) -> DataFrame:
+    """batch, payload: a JSON list of the entity_payload() of `size` successive nodes, with the connections that `links`
+    (id, nth, text) tells. Library nodes are not asked for."""
+    listed = links.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda x: x["text"]).alias("connections"))
+    asked = nodes.where("NOT coalesce(is_library, false)") if "is_library" in nodes.columns else nodes
+    rows = batches(asked, order, size).join(listed, "id", "left").withColumn("payload__", entity_payload(F.col("connections")))
+    return rows.groupBy("batch").agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, "payload__"))), lambda x: x["payload__"]).alias("list")).select("batch", F.concat(F.lit("["), F.array_join("list", ","), F.lit("]")).alias("payload"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.lineage import numbered
+
 
 def node_documents(nodes: DataFrame) -> DataFrame:
     """id, document: {"data": {...}} per node; null fields stay, but a null parent goes."""
@@ -41,3 +43,28 @@ def document(plugin: DataFrame, nodes: DataFrame, edges: DataFrame, cycles: Data
     parts = parts.crossJoin(listed(cycles.select("component", "nth", F.to_json("path").alias("path")), "path", ["component", "nth"]).withColumnRenamed("text", "c"))
     told = plugin.agg(F.first(F.to_json(F.struct(*plugin.columns), {"ignoreNullFields": "false"})).alias("p"))
     return parts.crossJoin(told).select(F.concat(F.lit('{"plugin":'), F.coalesce("p", F.lit("{}")), F.lit(',"nodes":['), "n", F.lit('],"edges":['), "e", F.lit('],"cycles":['), "c", F.lit("]}")).alias("document"))
+
+
+def document_lines(plugin: DataFrame, nodes: DataFrame, edges: DataFrame, cycles: DataFrame) -> DataFrame:
+    """section, n, text: the lines of document(), so that all texts by section and n, one after the other, are the JSON.
+
+    Only the sizes of partitions are summed up in one place; no task holds more than its own lines."""
+    spark = plugin.sparkSession
+    told = plugin.agg(F.first(F.to_json(F.struct(*plugin.columns), {"ignoreNullFields": "false"})).alias("p"))
+    head = told.select(F.lit(0).alias("section"), F.lit(0).cast("bigint").alias("n"), F.concat(F.lit('{"plugin":'), F.coalesce("p", F.lit("{}")), F.lit(',"nodes":[')).alias("text"))
+    between = spark.createDataFrame([(2, 0, '],"edges":['), (4, 0, '],"cycles":['), (6, 0, "]}")], "section int, n long, text string")
+
+    def listed(rows: DataFrame, order: list[str], section: int, text: Column) -> DataFrame:
+        placed = numbered(rows.withColumn("text__", text), order, "n")
+        return placed.select(F.lit(section).alias("section"), "n", F.concat(F.when(F.col("n") > 0, ",").otherwise(""), "text__").alias("text"))
+
+    shown = listed(nodes.select("seq", "id").join(node_documents(nodes.drop("seq")), "id"), ["seq", "id"], 1, F.col("document"))
+    joined = listed(edges.select("seq", "id").join(edge_documents(edges.drop("seq")), "id"), ["seq", "id"], 3, F.col("document"))
+    rings = listed(cycles.select("component", "nth", "path"), ["component", "nth"], 5, F.to_json("path"))
+    return head.union(between).union(shown).union(joined).union(rings)
+
+
+def write_document(lines: DataFrame, path: str) -> None:
+    """document_lines() as text files, whose concatenation in the order of their names is the JSON document."""
+    placed = lines.repartitionByRange("section", "n").sortWithinPartitions("section", "n")
+    placed.select("text").write.mode("overwrite").text(path)

@@ -20,20 +20,21 @@ FILES_OF_A_KIND = 1 << 20
 @dataclass
 class Graph:
     """plugin: one row. nodes: with metadata, description, is_library, parent, compound nodes first by seq. edges: with
-    id. cycles: component, nth, path."""
+    id. cycles: component, nth, path. errors: path, line, error of files that can't be read."""
 
     plugin: DataFrame
     nodes: DataFrame
     edges: DataFrame
     cycles: DataFrame
+    errors: DataFrame
 
 
-def extract(files: DataFrame, root: str = "/plugin") -> tuple[DataFrame, DataFrame]:
-    """Raw nodes and edges of analysed files (path, content, kind): blocks first, then scripts, then PHP."""
+def extract(files: DataFrame, root: str = "/plugin") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Raw nodes and edges of analysed files (path, content, kind): blocks first, then scripts, then PHP; and the errors."""
     of = lambda kind: files.where(F.col("kind") == kind).select("path", "content")
-    parts = [blocks.entities(of("block"), root), js.entities(of("js"), files.select("path"), root, FILES_OF_A_KIND), php.entities(of("php"), root, 2 * FILES_OF_A_KIND)]
+    parts = [blocks.entities(of("block"), root), js.entities_and_errors(of("js"), files.select("path"), root, FILES_OF_A_KIND), php.entities_and_errors(of("php"), root, 2 * FILES_OF_A_KIND)]
     nodes, edges = ([p[i] for p in parts] for i in (0, 1))
-    return nodes[0].unionByName(nodes[1]).unionByName(nodes[2]), edges[0].unionByName(edges[1]).unionByName(edges[2])
+    return nodes[0].unionByName(nodes[1]).unionByName(nodes[2]), edges[0].unionByName(edges[1]).unionByName(edges[2]), parts[1][2].union(parts[2][2])
 
 
 def linked(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -45,7 +46,7 @@ def linked(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     actions = xref.match_actions(of("fetch_call", "axios_call"), of("ajax_handler")).select("id", F.col("handler").alias("target"), F.lit("calls_ajax_handler").alias("type"), F.lit("AJAX").alias("label"), F.lit(1).alias("way"))
     names = xref.match_names(of("gutenberg_block").where(script), of("gutenberg_block").where(~script)).select("id", F.col("match").alias("target"), F.lit("js_block_matches_php").alias("type"), F.lit("block").alias("label"), F.lit(2).alias("way"))
     found = ends.union(actions).union(names).join(first.select("id", "seq"), "id")
-    place = F.lit(3 * FILES_OF_A_KIND).cast("bigint") * (1 << 32) + F.col("way") * F.lit(1 << 59) / 16 + F.col("seq")
+    place = F.lit(3 * FILES_OF_A_KIND).cast("bigint") * (1 << 32) + F.shiftleft(F.col("way").cast("bigint"), 55) + F.col("seq")
     more = found.select(F.col("id").alias("source"), "target", "type", "label", place.cast("bigint").alias("seq"), F.lit(None).cast(edges.schema["metadata"].dataType).alias("metadata"))
     return edges.unionByName(more)
 
@@ -80,13 +81,13 @@ def grouped(nodes: DataFrame, root: str = "/plugin") -> DataFrame:
     return shown.unionByName(xref.with_parents(keyed, groups).select(*nodes.columns, "parent"))
 
 
-def analyze(files: DataFrame, root: str = "/plugin", globs: tuple[str, ...] = (), directory: str | None = None) -> Graph:
+def analyze(files: DataFrame, root: str = "/plugin", globs: tuple[str, ...] = (), directory: str | None = None, strict: bool = False) -> Graph:
     """The graph of files (path, content) of a tree that is mounted at `root`.
 
-    Ignored, minified and generated files go first. Rows of files that can't be read as what they are give no
-    entities. No files give an empty graph."""
-    kept = cut(tree.analysed(files, globs))
-    nodes, edges = extract(kept, root)
+    Ignored, minified and generated files go first; `strict` reads ignore lines by git's rules. Files with a syntax
+    error give no entities and a row of errors. No files give an empty graph."""
+    kept = cut(tree.analysed(files, globs, strict))
+    nodes, edges, errors = extract(kept, root)
     nodes, edges = build.build_graph(nodes, linked(nodes, edges))
     edges = cut(edges)
     nodes = cut(secured(nodes, edges))
@@ -100,7 +101,7 @@ def analyze(files: DataFrame, root: str = "/plugin", globs: tuple[str, ...] = ()
     plugin = tree.main_file(kept, directory or root.rstrip("/").rsplit("/", 1)[-1])
     counts = kept.agg(F.count("*").alias("total_files"), F.count_if(F.col("kind") == "php").alias("php_files"), F.count_if(F.col("kind") == "js").alias("js_files")).crossJoin(nodes.agg(F.count_if(F.col("seq") >= 0).alias("total_entities")))
     plugin = counts.join(plugin.withColumnRenamed("path", "main_file"), F.lit(True), "left")
-    return Graph(plugin, nodes, edges, cut(cycles))
+    return Graph(plugin, nodes, edges, cut(cycles), errors)
 
 
 def analyze_tree(spark: SparkSession, path: str, root: str = "/plugin") -> Graph:
@@ -113,7 +114,9 @@ def analyze_tree(spark: SparkSession, path: str, root: str = "/plugin") -> Graph
 
 
 def export_graph(graph: Graph, path: str) -> None:
-    """The graph as Parquet tables, and one JSON document {plugin, nodes, edges, cycles} by path/document."""
+    """The graph and its errors as Parquet tables, and the JSON document {plugin, nodes, edges, cycles} as the
+    concatenation of the files of path/document by their names."""
     export.write_graph(graph.nodes, graph.edges, path)
     graph.cycles.write.mode("overwrite").parquet(f"{path}/cycles")
-    export.document(graph.plugin, graph.nodes, graph.edges, graph.cycles).write.mode("overwrite").text(f"{path}/document")
+    graph.errors.write.mode("overwrite").parquet(f"{path}/errors")
+    export.write_document(export.document_lines(graph.plugin, graph.nodes, graph.edges, graph.cycles), f"{path}/document")

@@ -82,7 +82,7 @@ def brace(tokens_: Column) -> Column:
 def called(js: JsFiles) -> DataFrame:
     """type, subtype, name, extra fields of every entity that a call makes: blocks, hooks, requests, stores, React hooks."""
     calls = js.calls
-    hooks = calls.sparkSession.createDataFrame([(f"{p}{v}{t}", s) for p in ("", "wp.hooks.") for v, t, s in catalog.JS_HOOKS], "name string, subtype string")
+    hooks = calls.sparkSession.createDataFrame([(f"{p}{n}", s) for p in ("", "wp.hooks.") for n, s in catalog.JS_HOOKS], "name string, subtype string")
     imported = imports(js).where("source = '@wordpress/data'").select("file_seq", F.explode("names").alias("name"), F.lit(True).alias("imported"))
     blocks = calls.where("name = 'registerBlockType'").select("*", F.lit("gutenberg_block").alias("type"), F.lit(None).cast("string").alias("subtype"), literal(0).alias("title")).where("title != ''")
     own = [("http_method", "string"), ("route", "string"), ("store", "string"), ("wp_action", "string")]
@@ -166,6 +166,11 @@ def imports(js: JsFiles) -> DataFrame:
 def entities(files: DataFrame, every: DataFrame, root: str = "/plugin", first: int = 0) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges, with seq, of JavaScript files (path, content) mounted at `root`. `every`: the paths that relative
     imports may name. Imports of packages, and of styles and pictures, make no edge."""
+    return entities_and_errors(files, every, root, first)[:2]
+
+
+def entities_and_errors(files: DataFrame, every: DataFrame, root: str = "/plugin", first: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """entities(), and path, line, error of the files that can't be read, of which there is only the node of the file."""
     from graphloom.sources.tree import resolve_imports
 
     js = JsFiles(files, root, first)
@@ -200,7 +205,7 @@ def entities(files: DataFrame, every: DataFrame, root: str = "/plugin", first: i
     found = resolve_imports(named.select("path", F.col("source").alias("name")).distinct(), every)
     hit = named.join(found.select(F.col("source").alias("path"), F.col("name").alias("source"), F.col("target").alias("to_path")), ["path", "source"])
     edges = edges.union(edge_rows(hit, 1, F.col("file_id"), F.concat(F.lit("file_" + root.rstrip("/") + "/"), "to_path"), "imports", "imports", 9))
-    out = cut(nodes), cut(edges)
+    out = cut(nodes), cut(edges), js.errors
     js.drop()
     drop(made, calls, named)
     return out

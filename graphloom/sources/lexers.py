@@ -304,7 +304,7 @@ def check_php(tokens: list[Token], around: list[int], close: list[int]) -> None:
         if before not in ("->", "?->", "::", "function", "const", "fn") and not (before == "&" and i > 1 and tokens[i - 2][0].lower() == "function"):
             if low == "function" and not (after in ("&", "(") or WORD.match(after)) and before.lower() != "use":
                 raise SourceError(line, "a function has neither a name nor parameters")
-            if low in ("class", "interface", "trait") and before.lower() != "new" and after not in ("(", "=>", ",", ":", "=", ";", ")", "|", "&", "{") and not WORD.match(after):
+            if low in ("class", "interface", "trait") and before.lower() not in ("new", "readonly", "]") and after not in ("(", "=>", ",", ":", "=", ";", ")", "|", "&") and not WORD.match(after):
                 raise SourceError(line, f"a {low} has no name")
         if tok == "}":
             begin = owner[i]

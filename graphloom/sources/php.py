@@ -220,11 +220,11 @@ def hooked(php: PhpFiles) -> tuple[DataFrame, DataFrame]:
 
 def stored(php: PhpFiles) -> tuple[DataFrame, DataFrame]:
     """Data sources that calls read or write: keyed functions by the catalogue, and database objects by name."""
-    api = F.broadcast(php.calls.sparkSession.createDataFrame(catalog.data_calls(), "name string, operation string, subtype string, position int"))
+    api = F.broadcast(php.calls.sparkSession.createDataFrame(list(catalog.DATA_CALLS), "name string, operation string, subtype string, position int"))
     keyed = php.calls.where("kind = 'function'").join(api, "name").withColumn("key", literal(F.col("position"))).where("key IS NOT NULL").withColumn("api", F.col("name"))
     var = F.lower(F.col("p2"))
     simple = php.calls.where((F.col("kind") == "method") & F.col("p2").startswith("$") & ~F.coalesce(F.col("p3"), F.lit("")).isin("->", "?->", "::"))
-    methods = F.broadcast(php.calls.sparkSession.createDataFrame(catalog.DATABASE_CALLS, "of string, name string, operation string"))
+    methods = F.broadcast(php.calls.sparkSession.createDataFrame(list(catalog.DATABASE_CALLS), "of string, name string, operation string"))
     of = F.array_compact(F.array(F.when(F.col("p2") == "$wpdb", "wpdb"), F.when(var.contains("pdo"), "pdo"), F.when(var.contains("mysqli"), "mysqli")))
     sql = F.decode(F.encode(F.decode(F.substring(byte_view(literal(0)), 1, 80).cast("binary"), "UTF-8"), "ISO-8859-1"), "UTF-8")
     base = simple.withColumn("of", F.explode(of)).join(methods, ["of", "name"]).withColumns({"subtype": F.lit("database"), "key": F.coalesce(F.when(F.col("of") == "wpdb", sql), F.lit("database")), "api": F.concat(F.lit("$"), "of", F.lit("->"), "name")})
@@ -241,7 +241,7 @@ def stored(php: PhpFiles) -> tuple[DataFrame, DataFrame]:
 def registered(php: PhpFiles) -> tuple[DataFrame, DataFrame]:
     """What a call registers or asks for under a literal name, by the catalogue: pages, jobs, types, blocks, assets,
     HTTP requests, AJAX handlers; and REST endpoints by their options."""
-    api = F.broadcast(php.calls.sparkSession.createDataFrame(catalog.registering_calls(), "name string, type string, prefix string, position int, title int, edge string, text string"))
+    api = F.broadcast(php.calls.sparkSession.createDataFrame(list(catalog.REGISTERING_CALLS), "name string, type string, prefix string, position int, title int, edge string, text string"))
     found = php.calls.where("kind = 'function'").join(api, "name").withColumn("slug", literal(F.col("position")))
     line = F.col("line").cast("string")
     hook = F.regexp_replace("slug", "^wp_ajax_(nopriv_)?", "")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from graphloom import plans
 from graphloom.functions import text
 from graphloom.operators import algorithms, build, describe, export, views, xref
-from graphloom.sources import tree
+from graphloom.sources import blocks, tree
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages labels".split()
@@ -118,11 +118,12 @@ def test_scan(spark, tmp_path):
     for name, body in {"demo.php": "<?php\n/* Plugin Name: Demo\nVersion: 1.2 */", "a/log.js": "let a = 1;\n", "catalog.js": "let c;\n", "x.min.js": "x", "vendor/v.php": "<?php", "gen.js": "// Code generated, do not edit\n", "block.json": '{"name": "demo/hero", "title": "Hero", "script": "file:./a.js"}', "b.txt": "no", "long.js": "x" * 5000}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True, parents=True)
         (tmp_path / name).write_text(body)
-    kept = tree.analysed(tree.read_tree(spark, str(tmp_path)), ["log.js", "# no"])
+    kept = tree.analysed(tree.read_tree(spark, str(tmp_path)), ["log.js", "# no"], strict=True)
     assert {r.path for r in kept.collect()} == {"demo.php", "catalog.js", "block.json"}
     assert tuple(tree.main_file(kept, "demo").select("path", "name", "version").first()) == ("demo.php", "Demo", "1.2 */")
-    block = tree.block_nodes(kept).first()
-    assert (block.id, block.label, block.assets) == ("block_demo_hero", "Hero", {"script": "file:./a.js"})
+    block = blocks.entities(kept.where("kind = 'block'").select("path", "content"))[0].where("type = 'gutenberg_block'").first()
+    assert (block.id, block.label, block.metadata.js_assets) == ("block_demo_hero", "Hero", {"script": "file:./a.js"})
+    assert {r.path for r in tree.analysed(tree.read_tree(spark, str(tmp_path)), ["log.js", "# no"]).collect()} == {"demo.php", "block.json"}
 
 
 def test_imports(spark):

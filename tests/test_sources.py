@@ -82,7 +82,7 @@ FILES = [
 @pytest.fixture(scope="module")
 def graph(spark):
     files = spark.createDataFrame(FILES, "path string, content string")
-    g = analyze.analyze(files, "/plugin", ("skip/a[0-9].php",), "kit")
+    g = analyze.analyze(files, "/plugin", ("skip/a[0-9].php",), "kit", strict=True)
     nodes = {r.id: r for r in g.nodes.collect()}
     edges = {(r.source, r.type, r.target): r for r in g.edges.collect()}
     return g, nodes, edges
@@ -158,6 +158,7 @@ def test_blocks_groups_and_the_document(graph):
     assert (block.label, block.metadata.block_category, json.loads(block.metadata.block_attributes), block.metadata.namespace) == ("Badge", "widgets", {"n": 1}, "shop")
     assert ("block_shop_badge", "renders_block", "file__plugin_blocks_badge_render_php") in edges and ("block_shop_badge", "enqueues_script", "file__plugin_blocks_badge_src_view_jsx") in edges and ("block_shop_badge", "enqueues_script", "file_handle") in edges
     assert nodes["dir_src"].type == "dir" and nodes["ns_Shop_Core"].type == "namespace" and nodes["class_Shop_Core_Cart"].parent == "ns_Shop_Core"
+    assert {(r.path, r.line) for r in g.errors.collect()} == {("inc/broken.php", 1)}
     assert (g.plugin.first().name, g.plugin.first().version, g.plugin.first().main_file) == ("Shop Kit", "2.1", "kit.php")
     from graphloom.operators import export
 
