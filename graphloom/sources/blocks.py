@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import base_name
-from graphloom.operators.lineage import cut
-from graphloom.sources.code import edge_rows, lexical, node_rows
+from graphloom.operators.lineage import cut, numbered
+from graphloom.sources.code import edge_rows, lexical, node_rows, packed
 
 #: Keys that name assets, and those of them that name scripts.
 ASSETS, SCRIPTS = ("editorScript", "script", "viewScript", "editorStyle", "style"), ("editorScript", "script", "viewScript")
@@ -16,7 +16,7 @@ KIND = "name string, title string, category string, description string, render s
 
 def entities(files: DataFrame, root: str = "/plugin", first: int = 0) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges, with seq, of block.json files (path, content) mounted at `root`; invalid and nameless ones go."""
-    order = files.select("path").withColumn("file_seq", F.row_number().over(Window.orderBy("path")) + first)  # one narrow row for each file
+    order = numbered(files.select("path"), ["path"], "file_seq", 1 + first).withColumn("file_seq", F.col("file_seq").cast("int"))
     mount = root.rstrip("/") + "/"
     parsed = F.from_json("content", KIND)
     rows = files.join(order, "path").select("file_seq", "path", F.lit(0).alias("i"), F.lit(0).alias("line"), F.concat(F.lit(mount), "path").alias("file"), parsed.alias("b"), F.get_json_object("content", "$.attributes").alias("attributes")).where("b.name IS NOT NULL")
@@ -32,7 +32,7 @@ def entities(files: DataFrame, root: str = "/plugin", first: int = 0) -> tuple[D
     step = 1 + 2 * F.col("nth")
     nodes = nodes.union(node_rows(used, 0, step, id=file_id, label=base_name(F.col("asset")), type=F.lit("file"), file=F.col("asset"), line=F.lit(0)))
     render = F.col("n.key") == "render"
-    return cut(nodes), cut(edge_rows(used, 0, own, file_id, F.when(render, "renders_block").otherwise("enqueues_script"), F.when(render, "renders").otherwise("enqueues"), step + 1))
+    return cut(packed(nodes)), cut(edge_rows(used, 0, own, file_id, F.when(render, "renders_block").otherwise("enqueues_script"), F.when(render, "renders").otherwise("enqueues"), step + 1))
 
 
 def asset_path(ref: Column, block_file: Column) -> Column:

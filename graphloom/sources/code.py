@@ -6,6 +6,7 @@ what stands between the commas of a bracket, is a slice of that array. Everythin
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DataType
 
 from graphloom.functions.text import byte_view, sanitize_id
-from graphloom.sources.lexers import WORD, SourceError, Token, brackets, check_php, import_end, js_tokens, php_tokens, stop_of
+from graphloom.sources.lexers import WORD, SourceError, Token, brackets, check_php, import_end, js_tokens, php_contexts, php_tokens, stop_of
 
 #: Keywords whose head or statement is wanted whole, and those of declarations.
 PHP_HEADS = frozenset("class interface trait enum function use namespace include include_once require require_once".split())
@@ -43,21 +44,22 @@ def unquoted(token: Column) -> Column:
 
 #: What a token row holds: its place, text and line, tokens and doc comments near it, the token behind the bracket that
 #: follows it, the bracket around it, where a bracket closes, what stands between the commas of a bracket, a call's or a
-#: function's, the head that a keyword opens up to its stop, and a declaration's first lines.
+#: function's, the head that a keyword opens up to its stop, a declaration's kind, name and first lines, and whether it is
+#: in a class-like body; and, of PHP, the namespace, class and function that are open.
 ITEM = "struct<i:int,tok:string,close:int,line:int>"
 PART = "struct<i:int,tok:string,own:boolean>"
 ROW = (
-    "file_seq int, i int, tok string, line int, p1 string, p2 string, p3 string, p4 string, n1 string, n2 string, n3 string, at1 int, after string, preview string, doc string, doc1 string, doc2 string, doc3 string, "
-    f"opener int, close int, stop struct<i:int,tok:string,close:int,close_line:int>, head array<{PART}>, args map<int,array<{ITEM}>>, error string"
+    "file_seq int, path string, file string, i int, tok string, line int, p1 string, p2 string, p3 string, p4 string, n1 string, n2 string, n3 string, at1 int, after string, preview string, doc string, doc1 string, doc2 string, doc3 string, "
+    f"opener int, close int, stop struct<i:int,tok:string,close:int,close_line:int>, head array<{PART}>, args map<int,array<{ITEM}>>, kind string, name string, member boolean, ns string, class_name string, func_name string, is_member boolean, error string"
 )
 #: Of files with more tokens the order numbers of seq() would run into each other.
 MOST_TOKENS = 1 << 23
-ROWS_IN_BATCH = 20_000
+ROWS_IN_BATCH, BYTES_IN_TASK = 20_000, 32 << 20
 
 
 def tokens(files: DataFrame, language: str) -> DataFrame:
-    """Rows of ROW for the words and brackets of `files` (file_seq, content): one ordered pass over the token array of a
-    file gives each its surroundings, and each head, of any length, as a slice of that array.
+    """Rows of ROW for the words and brackets of `files` (file_seq, path, file, content): one ordered pass over the token
+    array of a file gives each its surroundings, and each head, of any length, as a slice of that array.
 
     A file that can't be read gives one row, with `error` and the line, and nothing else."""
 
@@ -66,18 +68,21 @@ def tokens(files: DataFrame, language: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
         for b in batches:
-            for number, content in zip(b.column("file_seq").to_pylist(), b.column("content").to_pylist(), strict=True):
-                rows += file_rows(number, content or "", language)
+            for one in b.to_pylist():
+                rows += file_rows(one, language)
                 for at in range(0, len(rows) - ROWS_IN_BATCH + 1, ROWS_IN_BATCH):
                     yield pa.RecordBatch.from_pylist(rows[at : at + ROWS_IN_BATCH], schema)
                 rows = rows[len(rows) // ROWS_IN_BATCH * ROWS_IN_BATCH :]
         yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.select("file_seq", "content").mapInArrow(read, ROW)
+    size = files.agg(F.sum(F.length("content"))).first()[0] or 0
+    parts = max(files.sparkSession.sparkContext.defaultParallelism, size // BYTES_IN_TASK + 1)
+    return files.select("file_seq", "path", "file", "content").repartition(parts, "file_seq").mapInArrow(read, ROW)
 
 
-def file_rows(number: int, content: str, language: str) -> list[dict]:
-    """The rows of one file."""
+def file_rows(file: dict, language: str) -> list[dict]:
+    """The rows of one file (file_seq, path, file, content)."""
+    content, own = file["content"] or "", {k: file[k] for k in ("file_seq", "path", "file")}
     try:
         toks = php_tokens(content) if language == "php" else js_tokens(content)
         around, close = brackets(toks)
@@ -86,16 +91,17 @@ def file_rows(number: int, content: str, language: str) -> list[dict]:
         if len(toks) >= MOST_TOKENS:
             raise SourceError(1, f"more than {MOST_TOKENS} tokens")
     except SourceError as e:
-        return [{"file_seq": number, "line": e.line, "error": e.message}]
+        return [own | {"line": e.line, "error": e.message}]
     heads = PHP_HEADS if language == "php" else JS_HEADS
     texts, lines, n, rows = [t for t, _, _ in toks], content.split("\n"), len(toks), []
     near = lambda j: texts[j] if 0 <= j < n else None
     note = lambda j: toks[j][2] if j >= 0 else None
+    around_each = php_contexts(toks, around, close) if language == "php" else None
     for i, (tok, line, doc) in enumerate(toks):
         opens, low = close[i] >= 0, tok.lower()
         if not (opens or WORD.match(tok) and tok[0] != "$" or language == "js" and (tok == "=>" or tok[0] == "$")):
             continue
-        row = {"file_seq": number, "i": i, "tok": tok, "line": line, "doc": doc, "doc1": note(i - 1), "doc2": note(i - 2), "doc3": note(i - 3), "at1": i + 1 if i + 1 < n else None}
+        row = own | {"i": i, "tok": tok, "line": line, "doc": doc, "doc1": note(i - 1), "doc2": note(i - 2), "doc3": note(i - 3), "at1": i + 1 if i + 1 < n else None}
         row |= {"p1": near(i - 1), "p2": near(i - 2), "p3": near(i - 3), "p4": near(i - 4), "n1": near(i + 1), "n2": near(i + 2), "n3": near(i + 3)}
         row |= {"opener": around[i] if around[i] >= 0 else None, "close": close[i] if opens else None}
         if opens:
@@ -114,6 +120,8 @@ def file_rows(number: int, content: str, language: str) -> list[dict]:
             if low == "function":
                 opened = next((j for j in range(i + 1, end) if texts[j] == "("), None)
                 row["args"] = None if opened is None else _between(toks, close, opened)
+        if around_each:
+            row |= around_each[i]
         rows.append(row)
     return rows
 
@@ -135,9 +143,9 @@ def _between(toks: list[Token], close: list[int], i: int) -> list[tuple[int, lis
     return list(parts.items()) or None
 
 
-def errors(toks: DataFrame, files: DataFrame) -> DataFrame:
+def errors(toks: DataFrame) -> DataFrame:
     """path, line, error of every file that gave no entities."""
-    return toks.where("error IS NOT NULL").join(files.select("file_seq", "path"), "file_seq").select("path", "line", "error")
+    return toks.where("error IS NOT NULL").select("path", "line", "error")
 
 
 def arg(n: int | Column) -> Column:
@@ -154,12 +162,22 @@ def seq(visitor: int, step: int | Column = 0) -> Column:
     return F.shiftleft(F.col("file_seq").cast("bigint"), 32) + F.col("i").cast("bigint") * 512 + visitor * 64 + step
 
 
+#: Columns of node rows before their metadata is one struct.
+FLAT = dict(x.split(":", 1) for x in re.split(r",(?![^<]*>)", re.sub(r"^struct<|>$", "", META)))
+
+
 def node_rows(df: DataFrame, visitor: int, step: int | Column = 0, **columns: Column) -> DataFrame:
-    """Node rows from `df` (file_seq, i, file, line); `columns` are named as the row's own and as FIELDS of its metadata."""
-    fields = F.struct(*[columns.get(f, F.lit(None)).alias(f) for f in FIELDS])
+    """Node rows from `df` (file_seq, i, file, line); `columns` are named as the row's own and as FIELDS of its metadata,
+    which packed() makes one struct."""
     pick = lambda n, t="string": columns.get(n, F.lit(None)).cast(t).alias(n)
     line = columns.get("line", F.col("line"))
-    return df.select(sanitize_id(columns["id"]).alias("id"), seq(visitor, step).alias("seq"), pick("label"), pick("type"), pick("subtype"), F.coalesce(columns.get("file", F.lit(None)), F.col("file")).alias("file"), line.cast("int").alias("line"), fields.cast(META).alias("metadata"), pick("docblock"), pick("source_preview"))
+    own = [sanitize_id(columns["id"]).alias("id"), seq(visitor, step).alias("seq"), pick("label"), pick("type"), pick("subtype"), F.coalesce(columns.get("file", F.lit(None)), F.col("file")).alias("file"), line.cast("int").alias("line")]
+    return df.select(*own, *[pick(f, FLAT[f]) for f in FIELDS], pick("docblock"), pick("source_preview"))
+
+
+def packed(nodes: DataFrame) -> DataFrame:
+    """Rows of node_rows() with metadata as one struct."""
+    return nodes.select("id", "seq", "label", "type", "subtype", "file", "line", F.struct(*FIELDS).cast(META).alias("metadata"), "docblock", "source_preview")
 
 
 def edge_rows(df: DataFrame, visitor: int, source: Column, target: Column, kind: str | Column, label: str | Column, step: int | Column = 1, **metadata: Column) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import catalog
 from graphloom.functions.text import base_name, sanitize_id
 from graphloom.operators.lineage import cut, drop, numbered
-from graphloom.sources.code import arg, edge_rows, errors, node_rows, tokens
+from graphloom.sources.code import arg, edge_rows, errors, node_rows, packed, tokens
 
 NAME = r"^[A-Za-z_$][\w$]*$"
 #: Tokens before `function` or `class` that make it an expression.
@@ -37,9 +37,9 @@ class JsFiles:
         order = numbered(files.select("path"), ["path"], "file_seq", 1 + first).withColumn("file_seq", F.col("file_seq").cast("int"))
         file = F.concat(F.lit(root.rstrip("/") + "/"), "path")
         self.files = cut(files.select("path", "content").join(order, "path").withColumn("file", file))
-        self.names = self.files.select("file_seq", "path", "file", F.md5("file").alias("hash"), sanitize_id(F.concat(F.lit("file_"), "file")).alias("file_id"))
+        self.names = self.files.select("file_seq", "path", "file", *self.ids())
         self.toks = cut(tokens(self.files, "js"))
-        self.errors = cut(errors(self.toks, self.files))
+        self.errors = cut(errors(self.toks))
         self.args = self.toks.where("tok IN ('(', '[', '{') AND args IS NOT NULL").select("file_seq", F.col("i").alias("opener"), "args")
         self.calls = cut(self._calls())
         self.tables = [self.files, self.toks, self.calls]
@@ -48,14 +48,18 @@ class JsFiles:
         """Delete the tables that entities were read from."""
         drop(*self.tables)
 
+    @staticmethod
+    def ids() -> list[Column]:
+        return [F.md5("file").alias("hash"), sanitize_id(F.concat(F.lit("file_"), "file")).alias("file_id")]
+
     def _calls(self) -> DataFrame:
         word = lambda c: F.coalesce(c.rlike(NAME) & ~c.isin("this", "super", "return", "await", "typeof", "new", "yield"), F.lit(False))
         dot, further = F.col("p1") == ".", (F.col("p1") == ".") & word(F.col("p2")) & (F.col("p3") == ".") & word(F.col("p4"))
         name = F.when(further, F.concat_ws(".", "p4", "p2", "tok")).when(dot & word(F.col("p2")), F.concat_ws(".", "p2", "tok")).otherwise(F.col("tok"))
         fresh = (F.col("p1") == "new") | (dot & (F.col("p3") == "new"))
         rows = self.toks.where((F.col("n1") == "(") & F.col("tok").rlike(NAME) & ~F.coalesce(F.col("p1").isin("function", "?.") | fresh, F.lit(False)))
-        rows = rows.where("after IS NULL OR after != '{'").select("file_seq", "i", "line", name.alias("name"), "args")
-        return rows.join(self.names, "file_seq")
+        rows = rows.where("after IS NULL OR after != '{'").select("file_seq", "i", "line", "path", "file", *self.ids(), name.alias("name"), "args")
+        return rows
 
     def options(self, rows: DataFrame, at: Column, name: str) -> DataFrame:
         """`rows` with the map `name` of what stands under each place of the object literal whose token is `at`."""
@@ -159,8 +163,7 @@ def imports(js: JsFiles) -> DataFrame:
     words = F.transform("head", lambda x: x["tok"])
     bound = F.filter(F.transform(F.filter("head", lambda x: ~x["own"]), lambda x: F.struct(x["tok"].alias("tok"), F.get(words, x["i"] - F.get("head", 0)["i"] + 1).alias("next"))), lambda x: x["next"].isin(",", "}") & x["tok"].rlike(NAME))
     names = F.transform(bound, lambda x: x["tok"])
-    rows = rows.select("file_seq", "i", "line", F.col("from_").alias("source"), names.alias("names"))
-    return rows.join(js.names.select("file_seq", "path", "file", "file_id"), "file_seq").select("file_seq", "i", "line", "path", "file", "file_id", "source", "names")
+    return rows.select("file_seq", "i", "line", "path", "file", js.ids()[1], F.col("from_").alias("source"), names.alias("names"))
 
 
 def entities(files: DataFrame, every: DataFrame, root: str = "/plugin", first: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -205,7 +208,7 @@ def entities_and_errors(files: DataFrame, every: DataFrame, root: str = "/plugin
     found = resolve_imports(named.select("path", F.col("source").alias("name")).distinct(), every)
     hit = named.join(found.select(F.col("source").alias("path"), F.col("name").alias("source"), F.col("target").alias("to_path")), ["path", "source"])
     edges = edges.union(edge_rows(hit, 1, F.col("file_id"), F.concat(F.lit("file_" + root.rstrip("/") + "/"), "to_path"), "imports", "imports", 9))
-    out = cut(nodes), cut(edges), js.errors
+    out = cut(packed(nodes)), cut(edges), js.errors
     js.drop()
     drop(made, calls, named)
     return out

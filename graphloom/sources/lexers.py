@@ -315,3 +315,45 @@ def check_php(tokens: list[Token], around: list[int], close: list[int]) -> None:
                 raise SourceError(line, "unexpected }")
     if n and tokens[-1][0] not in (";", "}", ":"):
         raise SourceError(tokens[-1][1], "the file ends amid a statement")
+
+
+def php_contexts(tokens: list[Token], around: list[int], close: list[int]) -> list[dict]:
+    """For every token the namespace, class and function that are open (ns, class_name, func_name, is_member), and for a
+    declaration its kind, name and whether it is a member of a class-like body.
+
+    Leaving any function leaves all; interfaces, traits and enums are no class, but their functions are members."""
+    n, out, bodies = len(tokens), [], set()
+    named = lambda j: j < n and bool(WORD.match(tokens[j][0])) and tokens[j][0][0] != "$"
+    ends: dict[int, list[str]] = {}
+    ns, owner, inner, is_member = "", "", "", False
+    for i, (tok, _, _) in enumerate(tokens):
+        for what in ends.pop(i, ()):
+            if what == "ns":
+                ns = ""
+            elif what == "class":
+                owner = ""
+            else:
+                inner, is_member = "", False
+        own, word, before = {}, tok.lower(), tokens[i - 1][0] if i else ""
+        if word in ("class", "interface", "trait", "enum", "function", "namespace"):
+            stop = stop_of(tokens, close, i)
+            at_block = stop < n and tokens[stop][0] == "{"
+            until = close[stop] if at_block else stop
+            if word == "namespace" and (named(i + 1) or stop == i + 1 and at_block):
+                ns = tokens[i + 1][0] if named(i + 1) else ""
+                if at_block:
+                    ends.setdefault(until, []).append("ns")
+            elif word == "function":
+                at = i + 2 if i + 1 < n and tokens[i + 1][0] == "&" else i + 1
+                if named(at) and before != "use":
+                    own = {"kind": "function", "name": tokens[at][0], "member": around[i] in bodies}
+                    inner, is_member = tokens[at][0], own["member"]
+                    ends.setdefault(until, []).append("function")
+            elif word != "namespace" and named(i + 1) and at_block and before not in ("::", "->", "?->", "new", "const", "function"):
+                own = {"kind": word, "name": tokens[i + 1][0], "member": around[i] in bodies}
+                bodies.add(stop)
+                if word == "class":
+                    owner = tokens[i + 1][0]
+                    ends.setdefault(until, []).append("class")
+        out.append(own | {"ns": ns, "class_name": owner, "func_name": inner, "is_member": is_member})
+    return out

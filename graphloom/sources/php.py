@@ -7,13 +7,13 @@ gives no entity and a row of `errors`, and fails nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import catalog
 from graphloom.functions.text import base_name, byte_view, sanitize_id
 from graphloom.operators.lineage import cut, drop, numbered
-from graphloom.sources.code import _over, arg, edge_rows, errors, lexical, literal, node_rows, safe, seq, tokens, unquoted
+from graphloom.sources.code import arg, edge_rows, errors, lexical, literal, node_rows, packed, safe, seq, tokens, unquoted
 
 NAME = r"^\\?[A-Za-z_\x80-\uffff][\w\\\x80-\uffff]*$"
 MODIFIERS = ("public", "private", "protected", "static", "abstract", "final", "readonly", "var")
@@ -22,31 +22,6 @@ NO_CALLS = "if elseif while for foreach switch match catch function fn array lis
 INTRA = ("self", "static", "parent")
 
 
-def declarations(toks: DataFrame) -> DataFrame:
-    """kind, name, member (in a class-like body) and place of every class, interface, trait, function and method."""
-    word, after_amp = F.lower("tok"), F.col("n1") == "&"
-    name = F.when(after_amp, F.col("n2")).otherwise(F.col("n1"))
-    classes = toks.where(word.isin("class", "interface", "trait", "enum") & F.col("n1").rlike(NAME) & ~F.coalesce(F.col("p1"), F.lit("")).isin("::", "->", "?->", "new", "const", "function") & (F.col("stop.tok") == "{"))
-    classes = classes.where((word != "enum") | ~F.col("n1").isin("(", "=")).withColumns({"kind": word, "name": F.col("n1")})
-    functions = toks.where((word == "function") & name.rlike(NAME) & (F.coalesce(F.col("p1"), F.lit("")) != "use")).withColumns({"kind": F.lit("function"), "name": name})
-    bodies = classes.select("file_seq", F.col("stop.i").alias("opener"), F.lit(True).alias("member"))
-    return classes.unionByName(functions).join(bodies, ["file_seq", "opener"], "left").withColumn("member", F.coalesce("member", F.lit(False)))
-
-
-def in_context(toks: DataFrame, decls: DataFrame) -> DataFrame:
-    """`toks` with ns, class_name, func_name, is_member: what is open around each token. Leaving any function leaves
-    all; interfaces and traits are no class."""
-    space = toks.where((F.lower("tok") == "namespace") & (F.col("n1").rlike(NAME) | (F.col("n1") == "{"))).select("file_seq", "i", F.when(F.col("n1") != "{", F.col("n1")).otherwise("").alias("name"), F.when(F.col("stop.tok") == "{", F.col("stop.close")).alias("until"), F.lit("ns").alias("what"), F.lit(False).alias("member"))
-    own = decls.where("kind IN ('class', 'function')").select("file_seq", "i", "name", F.coalesce("stop.close", "stop.i").alias("until"), F.when(F.col("kind") == "class", "class").otherwise("func").alias("what"), "member")
-    every = space.unionByName(own)
-    events = every.select("file_seq", "i", "what", F.struct("name", "member").alias("e")).union(every.where("until IS NOT NULL").select("file_seq", F.col("until").alias("i"), "what", F.struct(F.lit("").alias("name"), F.lit(False).alias("member"))))
-    events = events.groupBy("file_seq", "i").pivot("what", ["ns", "class", "func"]).agg(F.first("e"))
-    joined = toks.join(events, ["file_seq", "i"], "full")
-    last = lambda c: F.last(c, ignorenulls=True).over(_over().rowsBetween(Window.unboundedPreceding, 0))
-    named = joined.withColumns({"ns": F.coalesce(last("ns")["name"], F.lit("")), "class_name": F.coalesce(last("class")["name"], F.lit("")), "func_": last("func")}).drop("class", "func")
-    return named.where("tok IS NOT NULL").select("*", F.coalesce("func_.name", F.lit("")).alias("func_name"), F.coalesce("func_.member", F.lit(False)).alias("is_member")).drop("func_")
-
-
 class PhpFiles:
     """PHP files (path, content) below `root`, as tokens, declarations and calls; what the entities are read from.
 
@@ -54,23 +29,20 @@ class PhpFiles:
 
     def __init__(self, files: DataFrame, root: str = "/plugin", first: int = 0):
         order = numbered(files.select("path"), ["path"], "file_seq", 1 + first).withColumn("file_seq", F.col("file_seq").cast("int"))
-        self.files = cut(files.select("path", "content").join(order, "path").withColumn("file", F.concat(F.lit(root.rstrip("/") + "/"), "path")))
-        toks = cut(tokens(self.files, "php"))
-        self.errors = cut(errors(toks, self.files))
-        self.decls = cut(declarations(toks))
-        self.args = toks.where("tok IN ('(', '[') AND args IS NOT NULL").select("file_seq", F.col("i").alias("opener"), "args")
-        self.toks = cut(in_context(toks.where(F.col("tok").rlike(NAME)), self.decls))
-        self.names = self.files.select("file_seq", "path", "file", sanitize_id(F.concat(F.lit("file_"), "path")).alias("file_id"))
+        files = files.select("path", "content").join(order, "path").withColumn("file", F.concat(F.lit(root.rstrip("/") + "/"), "path"))
+        every = cut(tokens(files, "php"))
+        self.errors = cut(errors(every))
+        self.args = every.where("tok IN ('(', '[') AND args IS NOT NULL").select("file_seq", F.col("i").alias("opener"), "args")
+        self.toks = every.where(F.col("tok").rlike(NAME)).withColumn("file_id", sanitize_id(F.concat(F.lit("file_"), "path")))
         word, left = F.lower("tok"), F.coalesce(F.col("p1"), F.lit(""))
-        called = self.toks.where((F.col("n1") == "(") & ~word.isin(*NO_CALLS))
+        called = self.toks.where((F.col("n1") == "(") & ~word.isin(*NO_CALLS) & ~left.isin("function", "fn") & ~((left == "&") & (F.col("p2") == "function")))
         kinds = F.when(left == "::", "static").when(left.isin("->", "?->"), "method").when(left == "new", "new").otherwise("function")
-        called = called.where(~left.isin("function", "fn") & ~((left == "&") & (F.col("p2") == "function"))).withColumns({"kind": kinds, "name": F.regexp_replace("tok", r"^\\", "")})
-        calls = called.select("file_seq", "i", "line", "kind", "name", "p2", "p3", "class_name", "func_name", "is_member", "args")
-        self.calls = cut(calls.join(self.names, "file_seq").withColumn("caller", self.caller()))
-        self.tables = [self.files, toks, self.decls, self.toks, self.calls]
+        own = ["file_seq", "i", "line", kinds.alias("kind"), F.regexp_replace("tok", r"^\\", "").alias("name"), "p2", "p3", "class_name", "func_name", "is_member", "args", "path", "file", "file_id"]
+        self.calls = called.select(*own, self.caller().alias("caller"))
+        self.tables = [every]
 
     def drop(self) -> None:
-        """Delete the tables that entities were read from."""
+        """Delete the table that entities were read from."""
         drop(*self.tables)
 
     @staticmethod
@@ -94,7 +66,7 @@ def class_id(name: Column) -> Column:
 
 def declared(php: PhpFiles) -> tuple[DataFrame, DataFrame]:
     """Classes, interfaces, traits, functions and methods, with inheritance, traits used and membership."""
-    decls = in_declared_context(php)
+    decls = php.toks.where("kind IS NOT NULL").withColumn("doc_", doc_of())
     is_class = F.col("kind").isin("class", "interface", "trait")
     own = decls.where(is_class)
     ns = F.nullif(F.col("ns"), F.lit(""))
@@ -107,7 +79,7 @@ def declared(php: PhpFiles) -> tuple[DataFrame, DataFrame]:
     edges = edge_rows(parents, 0, F.col("own_id"), parent_id, "extends", "extends", 1 + F.least("nth", F.lit(9)))
     faces = own.where("kind = 'class'").withColumn("own_id", own_id).select("*", F.posexplode(implements).alias("nth", "face"))
     edges = edges.union(edge_rows(faces, 0, F.col("own_id"), F.concat(F.lit("class_"), F.regexp_replace("face", r"^\\", "")), "implements", "implements", 10 + F.least("nth", F.lit(39))))
-    uses = php.toks.where("lower(tok) = 'use'").join(own.where("kind = 'class'").select("file_seq", F.col("stop.i").alias("opener"), F.col("i").alias("class_i"), F.col("name")), ["file_seq", "opener"])
+    uses = php.toks.where("lower(tok) = 'use'").drop("name").join(own.where("kind = 'class'").select("file_seq", F.col("stop.i").alias("opener"), F.col("i").alias("class_i"), F.col("name")), ["file_seq", "opener"])
     used = uses.select("file_seq", F.col("class_i").alias("i"), "ns", "name", F.explode(own_words()).alias("t")).where(F.col("t").rlike(NAME))
     edges = edges.union(edge_rows(used, 0, class_id(F.col("name")), class_id(last(F.col("t"))), "uses_trait", "uses trait", 50))
 
@@ -121,11 +93,13 @@ def declared(php: PhpFiles) -> tuple[DataFrame, DataFrame]:
     return classes.union(plain).union(methods), edges
 
 
-def in_declared_context(php: PhpFiles) -> DataFrame:
-    """Declarations with their names' context and doc comment."""
-    around = php.toks.select("file_seq", "i", "ns", "class_name")
-    head = [F.when(F.col("p1").isin(*MODIFIERS), F.col("doc1")), F.when(F.col("p1").isin(*MODIFIERS) & F.col("p2").isin(*MODIFIERS), F.col("doc2")), F.when(F.col("p1").isin(*MODIFIERS) & F.col("p2").isin(*MODIFIERS) & F.col("p3").isin(*MODIFIERS), F.col("doc3"))]
-    return php.decls.join(around, ["file_seq", "i"]).join(php.files.select("file_seq", "path", "file"), "file_seq").withColumn("doc_", F.coalesce("doc", *head))
+def doc_of() -> Column:
+    """The doc comment of a declaration, in front of its modifiers."""
+    near, held = F.col("doc"), F.lit(True)
+    for k in (1, 2, 3):
+        held = held & F.col(f"p{k}").isin(*MODIFIERS)
+        near = F.coalesce(near, F.when(held, F.col(f"doc{k}")))
+    return near
 
 
 def own_words() -> Column:
@@ -174,7 +148,7 @@ def called(php: PhpFiles) -> tuple[DataFrame, DataFrame]:
     statics = php.calls.where((F.col("kind") == "static") & F.col("p2").rlike(NAME) & ~F.lower("p2").isin(*INTRA)).withColumn("to", F.regexp_replace("p2", r"^\\", ""))
     plain = php.calls.where((F.col("kind") == "function") & ~F.col("name").isin(*catalog.COMMON_CALLS))
     name = F.regexp_replace("n1", r"^\\", "")
-    fresh = php.toks.where((F.lower("tok") == "new") & F.col("n1").rlike(NAME) & ~F.lower("n1").isin(*INTRA, "class")).join(php.names, "file_seq").withColumns({"to": name, "caller": php.caller()})
+    fresh = php.toks.where((F.lower("tok") == "new") & F.col("n1").rlike(NAME) & ~F.lower("n1").isin(*INTRA, "class")).withColumns({"to": name, "caller": php.caller()})
     edges = edge_rows(statics, 1, F.col("caller"), F.concat(F.lit("class_"), "to"), "calls", "calls").union(edge_rows(plain, 1, F.col("caller"), F.concat(F.lit("func_"), "name"), "calls", "calls"))
     edges = edges.union(edge_rows(fresh, 1, F.col("caller"), F.concat(F.lit("class_"), "to"), "instantiates", "new"))
     keep = ["file_seq", "i", "line", "path", "file", "file_id"]
@@ -203,9 +177,11 @@ def hooked(php: PhpFiles) -> tuple[DataFrame, DataFrame]:
     closure = F.lower(first["tok"]).isin("function", "fn") | ((F.lower(first["tok"]) == "static") & F.lower(F.get(callback, 1)["tok"]).isin("function", "fn"))
     anonymous = F.concat(F.lit("func_anonymous_"), F.md5("file"), F.lit("_"), first["line"].cast("string"))
     to = F.coalesce(F.concat(F.lit("func_"), literal(1)), F.concat(F.lit("method_"), whose, F.lit("_"), method), F.when(closure, anonymous))
-    calls = calls.withColumns({"callback": to, "anonymous": F.coalesce(closure, F.lit(False)), "first_line": first["line"]})
+    calls = calls.withColumns({"callback": to, "anonymous": F.coalesce(closure, F.lit(False)), "first_line": first["line"], "called_back": F.col("args")[1].isNotNull()})
+    calls = cut(calls.drop("args", "pair", "listed", "p2", "p3"))
+    php.tables.append(calls)
     register, trigger, remove = (calls.where(F.col("way") == x) for x in ("register", "trigger", "remove"))
-    register = register.where("args[1] IS NOT NULL")
+    register = register.where("called_back")
     functions = register.where("anonymous")
     nodes = nodes.union(node_rows(functions, 2, 3, id=F.col("callback"), label=F.concat(F.lit("anonymous@"), base_name(F.col("file")), F.lit(":"), F.col("first_line").cast("string")), type=F.lit("function"), line=F.col("first_line")))
     nodes = nodes.union(file_nodes(register.where("callback IS NULL").union(trigger).union(remove), 2))
@@ -267,7 +243,9 @@ def registered(php: PhpFiles) -> tuple[DataFrame, DataFrame]:
     routes = routes.withColumns({"verbs": F.coalesce(verbs, F.array(F.lit("get"))), "given": F.when(F.size(allowed) == 3, unquoted(F.get(allowed, 2)["tok"])), "from": F.when(is_closure, body["i"]), "upto": F.when(is_closure, body["close"])})
     asked = php.functions("current_user_can").withColumn("cap", literal(0)).where("cap IS NOT NULL").select("file_seq", F.col("i").alias("asked_at"), "cap")
     inside = routes.where("`from` IS NOT NULL").select("file_seq", "i", "from", "upto").join(asked, "file_seq").where("asked_at > `from` AND asked_at < upto").groupBy("file_seq", "i").agg(F.min_by("cap", "asked_at").alias("cap"))
-    routes = routes.join(inside, ["file_seq", "i"], "left").select("*", F.posexplode("verbs").alias("nth", "verb"))
+    routes = routes.join(inside, ["file_seq", "i"], "left").drop("args", "options").select("*", F.posexplode("verbs").alias("nth", "verb"))
+    routes = cut(routes)
+    php.tables.append(routes)
     whole = F.concat("space", "tail")
     rest_id = F.concat(F.lit("rest_"), "verb", F.lit("_"), safe(whole))
     step = F.least(F.col("nth"), F.lit(15)) * 3
@@ -281,7 +259,7 @@ def included(php: PhpFiles) -> tuple[DataFrame, DataFrame]:
     """includes edges: a literal path, one behind the file's directory, or the .php end of another expression."""
     ends_at = F.get(F.filter("head", lambda x: x["own"] & F.lower(x["tok"]).isin(",", "and", "or", "xor")), 0)["i"]
     whole = F.filter("head", lambda x: ends_at.isNull() | (x["i"] < ends_at))
-    found = php.toks.where(F.lower("tok").isin("include", "include_once", "require", "require_once") & ~F.coalesce(F.col("p1"), F.lit("")).isin("->", "?->", "::", "function")).join(php.names, "file_seq").withColumn("caller", php.caller())
+    found = php.toks.where(F.lower("tok").isin("include", "include_once", "require", "require_once") & ~F.coalesce(F.col("p1"), F.lit("")).isin("->", "?->", "::", "function")).withColumn("caller", php.caller())
     # Brackets around the whole expression: nothing but them is at its level.
     wrapped = (F.get(whole, 0)["tok"] == "(") & (F.size(F.filter(whole, lambda x: x["own"])) == 2) & (F.element_at(whole, -1)["tok"] == ")")
     said = F.transform(whole, lambda x: x["tok"])
@@ -315,6 +293,6 @@ def entities_and_errors(files: DataFrame, root: str = "/plugin", first: int = 0)
         some_nodes, some_edges = read(php)
         nodes = some_nodes if nodes is None else nodes.union(some_nodes)
         edges = some_edges if edges is None else edges.union(some_edges)
-    out = cut(nodes), cut(edges), php.errors
+    out = cut(packed(nodes)), cut(edges), php.errors
     php.drop()
     return out
