@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import base_name
 from graphloom.operators.lineage import cut, numbered
-from graphloom.sources.code import edge_rows, lexical, node_rows, packed
+from graphloom.sources.code import edge_rows, lexical, node_rows, packed, plus
 
 #: Keys that name assets, and those of them that name scripts.
 ASSETS, SCRIPTS = ("editorScript", "script", "viewScript", "editorStyle", "style"), ("editorScript", "script", "viewScript")
@@ -30,7 +30,7 @@ def entities(files: DataFrame, root: str = "/plugin", first: int = 0) -> tuple[D
     used = rows.select("*", F.posexplode(named).alias("nth", "n")).where("n.ref IS NOT NULL").withColumn("asset", asset_path(F.col("n.ref"), F.col("file")))
     file_id = F.concat(F.lit("file_"), "asset")
     step = 1 + 2 * F.col("nth")
-    nodes = nodes.union(node_rows(used, 0, step, id=file_id, label=base_name(F.col("asset")), type=F.lit("file"), file=F.col("asset"), line=F.lit(0)))
+    nodes = plus(nodes, node_rows(used, 0, step, id=file_id, label=base_name(F.col("asset")), type=F.lit("file"), file=F.col("asset"), line=F.lit(0)))
     render = F.col("n.key") == "render"
     return cut(packed(nodes)), cut(edge_rows(used, 0, own, file_id, F.when(render, "renders_block").otherwise("enqueues_script"), F.when(render, "renders").otherwise("enqueues"), step + 1))
 

@@ -167,17 +167,29 @@ FLAT = dict(x.split(":", 1) for x in re.split(r",(?![^<]*>)", re.sub(r"^struct<|
 
 
 def node_rows(df: DataFrame, visitor: int, step: int | Column = 0, **columns: Column) -> DataFrame:
-    """Node rows from `df` (file_seq, i, file, line); `columns` are named as the row's own and as FIELDS of its metadata,
-    which packed() makes one struct."""
-    pick = lambda n, t="string": columns.get(n, F.lit(None)).cast(t).alias(n)
-    line = columns.get("line", F.col("line"))
-    own = [sanitize_id(columns["id"]).alias("id"), seq(visitor, step).alias("seq"), pick("label"), pick("type"), pick("subtype"), F.coalesce(columns.get("file", F.lit(None)), F.col("file")).alias("file"), line.cast("int").alias("line")]
-    return df.select(*own, *[pick(f, FLAT[f]) for f in FIELDS], pick("docblock"), pick("source_preview"))
+    """Node rows from `df` (file_seq, i, file, line); `columns` are named as the row's own and as FIELDS of its metadata.
+    What isn't given is no column; plus() and packed() fill it with null."""
+    given = {"file": F.col("file"), "line": F.col("line")} | columns | {"id": sanitize_id(columns["id"]), "seq": seq(visitor, step)}
+    return df.select(*[c.cast(FLAT.get(n, OWN.get(n, "string"))).alias(n) for n, c in given.items()])
+
+
+#: Types of a node row's own columns that are no strings.
+OWN = {"seq": "bigint", "line": "int"}
+
+
+def plus(*rows: DataFrame) -> DataFrame:
+    """All rows of node_rows(), by the names of their columns."""
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
 
 
 def packed(nodes: DataFrame) -> DataFrame:
-    """Rows of node_rows() with metadata as one struct."""
-    return nodes.select("id", "seq", "label", "type", "subtype", "file", "line", F.struct(*FIELDS).cast(META).alias("metadata"), "docblock", "source_preview")
+    """Rows of node_rows() with all columns, and metadata as one struct."""
+    told = lambda n, t: F.col(n) if n in nodes.columns else F.expr(f"CAST(NULL AS {t}) AS {n}")
+    own = [told(n, OWN.get(n, "string")) for n in ("id", "seq", "label", "type", "subtype", "file", "line")]
+    return nodes.select(*own, F.struct(*[told(f, FLAT[f]) for f in FIELDS]).alias("metadata"), told("docblock", "string"), told("source_preview", "string"))
 
 
 def edge_rows(df: DataFrame, visitor: int, source: Column, target: Column, kind: str | Column, label: str | Column, step: int | Column = 1, **metadata: Column) -> DataFrame:

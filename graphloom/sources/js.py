@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import catalog
 from graphloom.functions.text import base_name, sanitize_id
 from graphloom.operators.lineage import cut, drop, numbered
-from graphloom.sources.code import arg, edge_rows, errors, node_rows, packed, tokens
+from graphloom.sources.code import arg, edge_rows, errors, node_rows, packed, plus, tokens
 
 NAME = r"^[A-Za-z_$][\w$]*$"
 #: Tokens before `function` or `class` that make it an expression.
@@ -182,7 +182,7 @@ def entities_and_errors(files: DataFrame, every: DataFrame, root: str = "/plugin
     made = cut(declared(js))
     prefix = F.when(F.col("type") == "react_component", "react_comp_").when(F.col("type") == "js_class", "js_class_").otherwise("js_func_")
     own = F.concat(prefix, "hash", F.lit("_"), "title")
-    nodes = nodes.union(node_rows(made, 1, id=own, label=F.col("title"), type=F.col("type"), extends=F.col("base")))
+    nodes = plus(nodes, node_rows(made, 1, id=own, label=F.col("title"), type=F.col("type"), extends=F.col("base")))
     part = F.when(F.col("type") == "react_component", "defines_component").otherwise("defines")
     edges = edge_rows(made, 1, F.col("file_id"), own, part, "defines")
 
@@ -201,7 +201,7 @@ def entities_and_errors(files: DataFrame, every: DataFrame, root: str = "/plugin
     label = F.when(kind == "gutenberg_block", "registers").when(kind == "js_hook", way).when(kind == "wp_store", F.col("subtype")).when(kind == "react_hook", "uses").otherwise("calls")
     told = F.map_filter(F.create_map(F.lit("hook_kind"), F.when(kind == "react_hook", F.col("subtype")), F.lit("store"), F.col("store"), F.lit("wp_action"), F.col("wp_action")), lambda _, v: v.isNotNull())
     shown = F.when(kind == "js_hook", hook_kind).when(kind == "wp_store", F.col("subtype"))
-    nodes = nodes.union(node_rows(calls, 1, 8, id=own, label=title, type=kind, subtype=shown, http_method=method, route=F.col("route"), hook_name=F.when(kind == "js_hook", title), block_name=F.when(kind == "gutenberg_block", title), extra=F.when(F.size(told) > 0, told)))
+    nodes = plus(nodes, node_rows(calls, 1, 8, id=own, label=title, type=kind, subtype=shown, http_method=method, route=F.col("route"), hook_name=F.when(kind == "js_hook", title), block_name=F.when(kind == "gutenberg_block", title), extra=F.when(F.size(told) > 0, told)))
     edges = edges.union(edge_rows(calls, 1, F.col("file_id"), own, edge, label, 9))
 
     named = cut(imports(js).where(F.col("source").startswith(".") & ~F.col("source").rlike(r"\.(css|scss|less|sass|svg|png|jpg|gif|woff|woff2|ttf|eot|ico|mp4|webm)$")))

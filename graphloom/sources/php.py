@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import catalog
 from graphloom.functions.text import base_name, byte_view, sanitize_id
 from graphloom.operators.lineage import cut, drop, numbered
-from graphloom.sources.code import arg, edge_rows, errors, lexical, literal, node_rows, packed, safe, seq, tokens, unquoted
+from graphloom.sources.code import arg, edge_rows, errors, lexical, literal, node_rows, packed, plus, safe, seq, tokens, unquoted
 
 NAME = r"^\\?[A-Za-z_\x80-\uffff][\w\\\x80-\uffff]*$"
 MODIFIERS = ("public", "private", "protected", "static", "abstract", "final", "readonly", "var")
@@ -90,7 +90,7 @@ def declared(php: PhpFiles) -> tuple[DataFrame, DataFrame]:
     method_id = F.concat(F.lit("method_"), "of_class", F.lit("_"), "name")
     methods = node_rows(members, 1, id=method_id, type=F.lit("method"), visibility=visibility(), **given)
     edges = edges.union(edge_rows(members, 1, class_id(F.col("of_class")), method_id, "has_method", "has"))
-    return classes.union(plain).union(methods), edges
+    return plus(classes, plain, methods), edges
 
 
 def doc_of() -> Column:
@@ -183,8 +183,8 @@ def hooked(php: PhpFiles) -> tuple[DataFrame, DataFrame]:
     register, trigger, remove = (calls.where(F.col("way") == x) for x in ("register", "trigger", "remove"))
     register = register.where("called_back")
     functions = register.where("anonymous")
-    nodes = nodes.union(node_rows(functions, 2, 3, id=F.col("callback"), label=F.concat(F.lit("anonymous@"), base_name(F.col("file")), F.lit(":"), F.col("first_line").cast("string")), type=F.lit("function"), line=F.col("first_line")))
-    nodes = nodes.union(file_nodes(register.where("callback IS NULL").union(trigger).union(remove), 2))
+    nodes = plus(nodes, node_rows(functions, 2, 3, id=F.col("callback"), label=F.concat(F.lit("anonymous@"), base_name(F.col("file")), F.lit(":"), F.col("first_line").cast("string")), type=F.lit("function"), line=F.col("first_line")))
+    nodes = plus(nodes, file_nodes(register.where("callback IS NULL").union(trigger).union(remove), 2))
     edges = edge_rows(register, 2, F.coalesce("callback", "caller"), F.col("hook_id"), "registers_hook", "registers", priority=F.col("priority"), hook_type=F.col("subtype"))
     edges = edges.union(edge_rows(trigger, 2, F.col("caller"), F.col("hook_id"), "triggers_hook", "triggers")).union(edge_rows(remove, 2, F.col("caller"), F.col("hook_id"), "deregisters_hook", "removes"))
     # A hook triggers its handler only where the handler was registered before.
@@ -211,7 +211,7 @@ def stored(php: PhpFiles) -> tuple[DataFrame, DataFrame]:
     own = F.when((F.col("func_name") == "") | (F.col("is_member") & (F.col("class_name") == "")), F.col("file_id")).otherwise(PhpFiles.caller())
     kind = F.when(F.col("operation") == "read", "reads_data").otherwise("writes_data")
     edges = edge_rows(rows, 3, own, data_id, kind, F.regexp_replace(kind, "_data", ""), api_function=F.col("api"))
-    return nodes.union(file_nodes(rows.where(own == F.col("file_id")), 3)), edges
+    return plus(nodes, file_nodes(rows.where(own == F.col("file_id")), 3)), edges
 
 
 def registered(php: PhpFiles) -> tuple[DataFrame, DataFrame]:
@@ -249,10 +249,10 @@ def registered(php: PhpFiles) -> tuple[DataFrame, DataFrame]:
     whole = F.concat("space", "tail")
     rest_id = F.concat(F.lit("rest_"), "verb", F.lit("_"), safe(whole))
     step = F.least(F.col("nth"), F.lit(15)) * 3
-    nodes = nodes.union(node_rows(routes, 4, 10 + step, id=rest_id, label=F.concat(F.upper("verb"), F.lit(" "), whole), type=F.lit("rest_endpoint"), http_method=F.upper("verb"), route=whole, capability=F.coalesce("given", "cap")))
+    nodes = plus(nodes, node_rows(routes, 4, 10 + step, id=rest_id, label=F.concat(F.upper("verb"), F.lit(" "), whole), type=F.lit("rest_endpoint"), http_method=F.upper("verb"), route=whole, capability=F.coalesce("given", "cap")))
     edges = edges.union(edge_rows(routes, 4, F.col("caller"), rest_id, "registers_rest", "registers", 11 + step))
     keep = ["file_seq", "i", "line", "path", "file", "file_id"]
-    return nodes.union(file_nodes(found.select(keep).union(routes.select(keep)), 4)), edges
+    return plus(nodes, file_nodes(found.select(keep).union(routes.select(keep)), 4)), edges
 
 
 def included(php: PhpFiles) -> tuple[DataFrame, DataFrame]:
@@ -276,7 +276,7 @@ def included(php: PhpFiles) -> tuple[DataFrame, DataFrame]:
     to_id = F.concat(F.lit("file_"), "to_path")
     root = F.substring("file", F.lit(1), F.length("file") - F.length("path"))
     nodes = node_rows(found, 5, 0, id=F.col("file_id"), label=base_name(F.col("path")), type=F.lit("file"), line=F.lit(0))
-    nodes = nodes.union(node_rows(hit, 5, 1, id=to_id, label=base_name(F.col("to_path")), type=F.lit("file"), file=F.concat(root, "to_path")))
+    nodes = plus(nodes, node_rows(hit, 5, 1, id=to_id, label=base_name(F.col("to_path")), type=F.lit("file"), file=F.concat(root, "to_path")))
     return nodes, edge_rows(hit, 5, F.col("caller"), to_id, "includes", "includes", 2)
 
 
@@ -291,7 +291,7 @@ def entities_and_errors(files: DataFrame, root: str = "/plugin", first: int = 0)
     nodes = edges = None
     for read in (declared, called, hooked, stored, registered, included):
         some_nodes, some_edges = read(php)
-        nodes = some_nodes if nodes is None else nodes.union(some_nodes)
+        nodes = some_nodes if nodes is None else plus(nodes, some_nodes)
         edges = some_edges if edges is None else edges.union(some_edges)
     out = cut(packed(nodes)), cut(edges), php.errors
     php.drop()
