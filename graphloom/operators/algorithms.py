@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.catalog import USER_FACING_TYPES
-from graphloom.operators.lineage import cut, drop
+from graphloom.operators.lineage import cut, cut_buckets, drop, drop_buckets
 
 
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -27,24 +27,78 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return moved.select("id", "component")
 
 
-def trimmed(links: DataFrame) -> DataFrame:
-    """source, target of the links left when nodes without one in or one out have gone, until none is left to go."""
-    rest, n = links, links.count()
-    while True:
-        kept = rest.join(rest.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(rest.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
-        rest = cut(kept.select("source", "target"), rest)
-        m = rest.count()
+def chain_tops(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, top) of every node with exactly one link in: the first node above it along such links that has none or
+    several; and (id) of the nodes on rings of such links, which have no top.
+
+    Pointers double each round, so a chain or ring of n nodes takes about log n rounds."""
+    ups = cut(links.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("n"), F.min("source").alias("top")).where("n = 1").select("id", "top"))
+    steps = max(1, ups.count())
+    single, span = ups, 1
+    while span < steps:
+        moved = cut(ups.join(ups.select(F.col("id").alias("top"), F.col("top").alias("further")), "top", "left").select("id", F.coalesce("further", "top").alias("top"), F.col("further").isNotNull().alias("moved")))
+        drop(*[ups] if ups is not single else [])
+        ups, span = moved, 2 * span
+        if moved.where("moved").isEmpty():
+            break
+    # Where a pointer still ends on a node of a single link, it has gone around a ring, of which it ends on every node.
+    ringed = cut(ups.select(F.col("top").alias("id")).join(single.select("id"), "id", "left_semi").distinct())
+    tops = cut(ups.select("id", "top").join(single.select(F.col("id").alias("top")), "top", "left_anti").select("id", "top"))
+    drop(single, *[ups] if ups is not single else [])
+    return tops, ringed
+
+
+def without_fronts(links: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`links` without those of nodes that no cycle leads to, and `found` (id) with the nodes of plain rings, whose links go.
+
+    Chains below a node without a link in go at once; what they leave may have one link in or none, and goes next."""
+    n = links.count()
+    while n:
+        tops, ringed = chain_tops(links)
+        heads = links.select(F.col("source").alias("id")).distinct().join(links.select(F.col("target").alias("id")).distinct(), "id", "left_anti")
+        below = tops.join(heads.withColumnRenamed("id", "top"), "top", "left_semi").select("id")
+        # Nothing outside leads into a plain ring, so its nodes are on no other cycle.
+        gone = cut(heads.union(below).union(ringed))
+        found = cut(found.union(ringed), found)
+        links = cut(links.join(gone.withColumnRenamed("id", "source"), "source", "left_anti").select("source", "target"), links)
+        drop(tops, ringed, gone)
+        m = links.count()
         if m == n:
-            return rest
+            break
         n = m
+    return links, found
+
+
+def trimmed(links: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`links` (a table) between nodes that cycles lead to and that lead to cycles, and `found` with the nodes of plain
+    rings, forwards or backwards."""
+    turned = lambda df: df.select(F.col("target").alias("source"), F.col("source").alias("target"))
+    rest, found = without_fronts(links, found)
+    back, found = without_fronts(cut(turned(rest), rest), found)
+    return cut(turned(back), back), found
 
 
 def spread(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """id, label: the largest label that reaches a node along `links`, its own included."""
+    """id, label: the largest label that reaches a node along `links`, its own included.
+
+    A node with one link in takes the labels of the whole chain above it by doubling, so that rounds follow the number
+    of forks on a way and not its length."""
+    single = links.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("n"), F.min("source").alias("up")).where("n = 1").select("id", "up")
+    chains = cut(labels.join(single, "id", "left").select("id", "label", "up"))
+    steps, span = max(1, chains.where("up IS NOT NULL").count()), 1
+    while span < steps:
+        above = chains.select(F.col("id").alias("up"), F.col("label").alias("higher"), F.col("up").alias("further"))
+        moved = cut(chains.join(above, "up", "left").select("id", F.greatest("label", "higher").alias("label"), F.col("further").alias("up")), chains)
+        chains, span = moved, 2 * span
+        if moved.where("up IS NOT NULL").isEmpty():
+            break
+    labels, span = chains.select("id", "label"), 1
+    labels.scratch_path = chains.scratch_path
     while True:
         came = links.join(labels.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(F.max("label").alias("came"))
-        moved = cut(labels.join(came, "id", "left").select("id", F.col("label").alias("old"), F.greatest("label", F.coalesce("came", "label")).alias("label")))
+        moved = cut(labels.join(came, "id", "left").select("id", F.col("label").alias("old"), F.greatest("label", F.coalesce("came", "label")).alias("label")), labels)
         labels = moved.select("id", "label")
+        labels.scratch_path = moved.scratch_path
         if moved.where("old != label").isEmpty():
             return labels
 
@@ -57,7 +111,7 @@ def cycle_nodes(edges: DataFrame) -> DataFrame:
     until no link is left. A round holds links and one label per node, never pairs that paths join."""
     every = edges.select("source", "target").distinct()
     found = cut(every.where("source = target").select(F.col("source").alias("id")))
-    rest = trimmed(cut(every.where("source != target")))
+    rest, found = trimmed(cut(every.where("source != target")), found)
     while not rest.isEmpty():
         nodes = rest.select(F.col("source").alias("id")).distinct()
         colours = spread(nodes.select("id", F.col("id").alias("label")), rest)
@@ -67,30 +121,35 @@ def cycle_nodes(edges: DataFrame) -> DataFrame:
         part = cut(reached.where("label = 1").join(back.select(F.col("source").alias("id")).union(back.select("target")).distinct(), "id", "left_semi").select("id"))
         # Of a colour's part, a node is on a cycle if a link of its own part leads on from it.
         on = back.join(part.toDF("source"), "source", "left_semi").join(part.toDF("target"), "target", "left_semi").select(F.col("target").alias("id")).distinct()
-        found = cut(found.union(on).distinct())
+        found = cut(found.union(on).distinct(), found)
         gone = cut(reached.where("label = 1").select("id"))
-        left = rest.join(gone.toDF("source"), "source", "left_anti").join(gone.toDF("target"), "target", "left_anti")
-        rest = trimmed(cut(left))
-    return found
+        left = cut(rest.join(gone.toDF("source"), "source", "left_anti").join(gone.toDF("target"), "target", "left_anti"), colours, back, reached, part, gone)
+        drop(rest)
+        rest, found = trimmed(left, found)
+    return found.distinct()
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 50, damping: float = 0.85) -> DataFrame:
-    """id, rank: a fixed number of rounds; the mass of nodes without an edge out is spread evenly."""
+    """id, rank: a fixed number of rounds; the mass of nodes without an edge out is spread evenly. Edges of unknown nodes
+    don't count.
+
+    Links lie in buckets by source, written once, so a round shuffles what each node got and nothing else. Ranks sum
+    to 1, so what the sinks lose follows from the sum of all that was got; nodes that got nothing are added at the end."""
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("rank"))
-    links = edges.select("source", "target")
+    known = nodes.select(F.col("id").alias("source"))
+    links = edges.select("source", "target").join(known, "source", "left_semi").join(known.withColumnRenamed("source", "target"), "target", "left_semi")
     out = links.groupBy("source").agg(F.count("*").alias("out"))
-    links = cut(links.join(out, "source"))
-    ranks = nodes.select("id", F.lit(1.0 / n).alias("rank"))
-    sinks = cut(nodes.select("id").join(out.withColumnRenamed("source", "id"), "id", "left_anti"))
-    for i in range(rounds):
-        lost = ranks.join(sinks, "id", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        got = links.join(ranks.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        ranks = nodes.select("id").join(got, "id", "left").crossJoin(F.broadcast(lost)).select("id", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        if i % 5 == 4:
-            ranks = cut(ranks)
-    return ranks
+    links = cut_buckets(links.join(out, "source").select("source", "target", "out"), "source")
+    own = lambda rest: F.lit(rest) + damping * F.coalesce("got", F.lit(0.0))
+    rest, got = 1.0 / n, cut(links.select(F.col("source").alias("id"), F.lit(0.0).alias("got")).limit(0))
+    for _ in range(rounds):
+        came = links.join(got.withColumnRenamed("id", "source"), "source", "left").groupBy(F.col("target").alias("id")).agg(F.sum(own(rest) / F.col("out")).alias("got"))
+        got = cut(came, got)
+        rest = (1.0 - damping * (got.agg(F.sum("got")).first()[0] or 0.0)) / n
+    drop_buckets(links)
+    return nodes.select("id").join(got, "id", "left").select("id", own(rest).alias("rank"))
 
 
 def importance(nodes: DataFrame, ranks: DataFrame, primary: DataFrame, main_file: str | None = None) -> DataFrame:

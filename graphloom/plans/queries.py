@@ -268,6 +268,60 @@ def _(spark, d):
     return rows.select("id", describe.description().alias("description"))
 
 
+#: Nodes of every type, with {n} for a name and {k} for a number, and the text of each.
+TEMPLATES = [
+    ({"type": "class", "namespace": "{n}", "extends": "B{k}", "implements": ["I", "J{k}"]}, "PHP class in namespace {n}. Extends B{k}, implements I, J{k}."),
+    ({"type": "class"}, "PHP class."),
+    ({"type": "interface", "namespace": "{n}"}, "PHP interface in namespace {n}."),
+    ({"type": "trait", "namespace": "{n}"}, "PHP trait in namespace {n}."),
+    ({"type": "function", "params": [("a{k}", "int"), ("$b", None)], "return_type": "R{k}"}, "Standalone PHP function accepting 2 parameters (int $a{k}, $b), returns R{k}."),
+    ({"type": "method", "id": "method_K{k}_run", "visibility": "private", "params": [("a", None)], "return_type": "void"}, "Private method of K{k}. Accepts 1 parameter ($a), returns void."),
+    ({"type": "method", "id": "method_K{k}_run", "return_type": "void"}, "Method of K{k}. returns void."),
+    ({"type": "hook", "subtype": "filter", "hook_name": "h_{n}", "priority": 5}, "WordPress filter hook 'h_{n}' registered with priority 5."),
+    ({"type": "hook", "label": "h{k}", "hook_name": "h{k}", "priority": 10}, "WordPress action hook."),
+    ({"type": "rest_endpoint", "http_method": "POST", "route": "/r/{k}", "capability": "edit", "nonce_verified": True, "sanitization_count": 2}, "REST API endpoint: POST /r/{k}. Requires 'edit' capability. Nonce-verified. 2 sanitization calls."),
+    ({"type": "rest_endpoint", "capability": "__return_true"}, "REST API endpoint: GET {n}. Public (no auth required)."),
+    ({"type": "ajax_handler", "hook_name": "wp_ajax_nopriv_x"}, "AJAX handler for action '{n}'. Accessible to unauthenticated users (nopriv)."),
+    ({"type": "ajax_handler", "hook_name": "wp_ajax_x", "sanitization_count": 1}, "AJAX handler for action '{n}'. Authenticated users only (wp_ajax_*). 1 sanitization call."),
+    ({"type": "data_source", "subtype": "post_meta", "operation": "read", "key": "k{k}"}, "Reads post meta 'k{k}'."),
+    ({"type": "data_source", "subtype": "option", "operation": "write", "key": "{n}"}, "Writes to WordPress option '{n}'."),
+    ({"type": "data_source", "subtype": "transient", "operation": "delete", "key": "k{k}"}, "Deletes WordPress transient 'k{k}'."),
+    ({"type": "http_call", "http_method": "PUT", "route": "/r/{k}"}, "Outbound HTTP PUT request to /r/{k}."),
+    ({"type": "gutenberg_block", "block_name": "b/{k}", "block_category": "widgets"}, "Gutenberg block 'b/{k}'. Category: widgets."),
+    ({"type": "js_api_call", "route": "/r/{k}"}, "JavaScript API call to /r/{k}."),
+    ({"type": "fetch_call", "http_method": "GET", "route": "/r/{k}"}, "Fetch GET request to /r/{k}."),
+    ({"type": "axios_call", "http_method": "POST"}, "Axios POST request."),
+    ({"type": "file", "file": "/p/{k}.jsx"}, "JavaScript file."),
+    ({"type": "file", "file": "/p/{k}.php"}, "PHP file."),
+    ({"type": "shortcode"}, "WordPress shortcode [{n}]."),
+    ({"type": "admin_page"}, "WordPress admin page '{n}'."),
+    ({"type": "cron_job"}, "Scheduled cron event '{n}'."),
+    ({"type": "post_type"}, "Custom post type '{n}'."),
+    ({"type": "taxonomy"}, "Custom taxonomy '{n}'."),
+    ({"type": "react_component"}, "React component '{n}'."),
+    ({"type": "react_hook"}, "React hook '{n}'."),
+    ({"type": "js_function"}, "JavaScript function."),
+    ({"type": "js_class"}, "JavaScript class."),
+    ({"type": "js_hook"}, "WordPress JS hook '{n}'."),
+    ({"type": "wp_store"}, "WordPress data store '{n}'."),
+]
+_TOLD = ", ".join("(%d, '%s')" % (i, t.replace("'", "''")) for i, (_, t) in enumerate(TEMPLATES))
+
+
+@query("an4_an8_templates", f"SELECT c_custkey, replace(replace(t, '{{n}}', c_name), '{{k}}', c_custkey::VARCHAR) AS description FROM customer JOIN (VALUES {_TOLD}) v(i, t) ON i = c_custkey % {len(TEMPLATES)}")
+def _(spark, d):
+    own = "id string, label string, type string, subtype string, file string"
+    meta = "namespace string, extends string, implements array<string>, visibility string, params array<struct<name:string,type:string>>, return_type string, priority int, hook_name string, http_method string, route string, operation string, key string, block_name string, block_category string, capability string, nonce_verified boolean, sanitization_count int"
+    names = [x.split(" ")[0] for x in f"{own}, {meta}".split(", ")]
+    rows = [(i, *[t.get(c, {"id": "x", "label": "{n}"}.get(c)) for c in names]) for i, (t, _) in enumerate(TEMPLATES)]
+    dim = spark.createDataFrame(rows, f"i int, {own}, {meta}")
+    whole = lambda c: F.replace(F.replace(c, F.lit("{n}"), F.col("c_name")), F.lit("{k}"), F.col("c_custkey").cast("string"))
+    filled = {c: whole(F.col(c)) for c, kind in dim.dtypes if kind == "string"} | {"implements": F.transform("implements", whole), "params": F.transform("params", lambda p: F.struct(whole(p["name"]).alias("name"), p["type"].alias("type")))}
+    met = read(spark, d, "customer").select("c_custkey", "c_name", (F.col("c_custkey") % len(TEMPLATES)).cast("int").alias("i")).join(F.broadcast(dim), "i").withColumns(filled)
+    fields = [x.split(" ")[0] for x in meta.split(", ")]
+    return met.withColumn("metadata", F.struct(*fields)).select("c_custkey", describe.description().alias("description"))
+
+
 @query("tk5_batches", "SELECT doc_id AS id, (row_number() OVER (ORDER BY doc_id) - 1) // 25 AS batch FROM documents")
 def _(spark, d):
     return describe.batches(read(spark, d, "documents").select(F.col("doc_id").alias("id")), ["id"])
@@ -321,6 +375,48 @@ def _(spark, d):
     return php.entities(files)[1].select("source", "type", "target")
 
 
+HEADS = "p AS (SELECT p_partkey AS k, p_size % 41 AS n, p_partkey % 31 AS t, p_partkey % 4 AS d FROM part)"
+
+
+@query("ex1_ex9_ex27_heads", f"""WITH {HEADS} SELECT 'class_C' || k AS source, 'extends' AS type, 'class_B' || (k % 50) AS target FROM p UNION ALL SELECT 'class_C' || k, 'implements', 'class_I' || i FROM p, LATERAL (SELECT unnest(range(1, n + 1)) AS i)
+    UNION ALL SELECT 'class_C' || k, 'uses_trait', 'class_T' || i FROM p, LATERAL (SELECT unnest(range(1, t + 1)) AS i) UNION ALL SELECT 'file_d_p' || k || '_php', 'includes', 'file_d_inc_x' || (k % 7) || '_php' FROM p
+    UNION ALL SELECT 'method_C' || k || '_m', 'returns', (SELECT string_agg('R' || i, '|' ORDER BY i) FROM range(1, n + 2) AS r(i)) FROM p""")
+def _(spark, d):
+    from graphloom.sources import php
+
+    listed = lambda letter, n: f"array_join(transform(sequence(1, greatest({n}, 1)), i -> concat('{letter}', i)), CASE k % 3 WHEN 0 THEN ', ' WHEN 1 THEN ',' ELSE ' /* ; */ ,' END)"
+    content = F.expr(f"""concat('<?php abstract class C', k, ' extends B', k % 50, IF(n > 0, concat(' implements ', {listed('I', 'n')}), ''), ' {{ ', IF(t > 0, concat('use ', {listed('T', 't')}, IF(t % 2 = 0, ';', ' {{ a as b; }}')), ''),
+        ' public function m($a): ', array_join(transform(sequence(1, n + 1), i -> concat('R', i)), ' | '), ' {{ }} }}\\ninclude ', repeat('dirname(', d), '__FILE__', repeat(')', d), ' . "/inc/x', k % 7, '.php";')""")
+    rows = read(spark, d, "part").selectExpr("p_partkey AS k", "p_size % 41 AS n", "cast(p_partkey % 31 AS int) AS t", "cast(p_partkey % 4 AS int) AS d")
+    nodes, edges = php.entities(rows.select(F.format_string("d/p%s.php", "k").alias("path"), content.alias("content")))
+    returns = nodes.where("type = 'method'").select(F.col("id").alias("source"), F.lit("returns").alias("type"), F.col("metadata.return_type").alias("target"))
+    return edges.where("type IN ('extends', 'implements', 'uses_trait', 'includes')").select("source", "type", "target").union(returns)
+
+
+@query("sc12_broken_files", """SELECT 'p' || page_id || '.php' AS path, page_id % 5 + 1 AS line, CASE page_id % 4 WHEN 1 THEN 'a string is not closed' WHEN 2 THEN 'unexpected }' ELSE '( is not closed' END AS error FROM pages WHERE page_id % 4 > 0""")
+def _(spark, d):
+    from graphloom.sources import php
+
+    content = F.expr("concat('<?php', repeat('\n', cast(page_id % 5 AS int)), ' $a = f(', page_id, CASE page_id % 4 WHEN 0 THEN ');' WHEN 1 THEN ', ''open);' WHEN 2 THEN ') }' ELSE ';' END)")
+    files = read(spark, d, "pages").select(F.format_string("p%s.php", "page_id").alias("path"), content.alias("content"))
+    return php.entities_and_errors(files)[2].withColumn("line", F.col("line").cast("bigint"))
+
+
+@query("ex29_ex37_js_forms", """SELECT 'p' || page_id || '.tsx' AS file, 'file' AS type, 'p' || page_id || '.tsx' AS label FROM pages UNION ALL SELECT 'p' || page_id || '.tsx', CASE page_id % 4 WHEN 0 THEN 'react_component' WHEN 1 THEN 'js_api_call' WHEN 2 THEN 'js_function' ELSE 'js_hook' END,
+    CASE page_id % 4 WHEN 0 THEN 'V' || page_id WHEN 1 THEN 'PUT /v/' || page_id WHEN 2 THEN 'F' || page_id ELSE 'h' || (page_id % 9) END FROM pages UNION ALL SELECT 'p' || page_id || '.tsx', 'react_hook', 'useStuff' || page_id FROM pages WHERE page_id % 4 = 2 UNION ALL SELECT 'p' || page_id || '.tsx', 'fetch_call', 'GET /in/' || page_id FROM pages WHERE page_id % 4 = 0""")
+def _(spark, d):
+    from graphloom.sources import js
+
+    forms = r"""element_at(array(
+        'const V%: React.FC<P<string>> = ({ a }: P): JSX.Element => <p title="it''s {no}">Don''t <b>{`a@{`b@{fetch("/in/%")}`}`}</b></p>;\nconst n: Array<{ k: string }> = [];',
+        'apiFetch<Item[]>({ path: `/v/%`, method: "PUT" }); const r = /[''"`<]/.test(a < 3 && b > (2));',
+        'export function F%<T>(x: T): T { return useStuff%<T>(x); }',
+        'const pick: (x: number) => void = (x) => { doAction(`h@{x}`); wp.hooks.doAction("h#"); };'), cast(page_id % 4 AS int) + 1)"""
+    content = F.expr(f"replace(replace(replace({forms}, '%', page_id), '#', page_id % 9), '@', char(36))")
+    files = read(spark, d, "pages").select(F.format_string("p%s.tsx", "page_id").alias("path"), content.alias("content"))
+    return js.entities(files, files.select("path"))[0].select(F.regexp_replace("file", "^/plugin/", "").alias("file"), "type", "label")
+
+
 @query("ex39_js_nodes", "SELECT 'p' || page_id || '.js' AS file, type, label FROM pages, (VALUES ('file', 'p'), ('js_function', 'run'), ('react_component', 'View'), ('js_api_call', 'POST /v/'), ('js_hook', 'go')) v(type, l), LATERAL (SELECT CASE type WHEN 'file' THEN 'p' || page_id || '.js' WHEN 'js_api_call' THEN l || (page_id % 9) WHEN 'js_hook' THEN l || (page_id % 4) ELSE l END AS label)")
 def _(spark, d):
     from graphloom.sources import js
@@ -416,4 +512,18 @@ def _(spark, d):
     return node_documents(star_nodes(spark, d))
 
 
+@query("sk1_document", f"""WITH {NODES}, {EDGES}, n AS (SELECT id, label, type, file, is_library, row_number() OVER (ORDER BY id) - 1 AS n FROM nodes), e AS (SELECT source || '>' || type || '>' || target AS id, source, target, type, row_number() OVER (ORDER BY source, type, target) - 1 AS n FROM edges)
+    SELECT 0 AS section, 0 AS n, '{{"plugin":{{"name":"star"}},"nodes":[' AS text UNION ALL SELECT 2, 0, '],"edges":[' UNION ALL SELECT 4, 0, '],"cycles":[' UNION ALL SELECT 6, 0, ']}}'
+    UNION ALL SELECT 1, n, CASE WHEN n > 0 THEN ',' ELSE '' END || to_json(struct_pack(data := struct_pack(id := id, label := label, type := type, file := file, is_library := is_library)))::VARCHAR FROM n
+    UNION ALL SELECT 3, n, CASE WHEN n > 0 THEN ',' ELSE '' END || to_json(struct_pack(data := struct_pack(id := id, source := source, target := target, type := type)))::VARCHAR FROM e""")
+def _(spark, d):
+    from graphloom.operators.export import document_lines
+
+    nodes = star_nodes(spark, d).select("id", F.col("id").alias("seq"), "label", "type", "file", "is_library")
+    edges = star_edges(spark, d).select(F.concat_ws(">", "source", "type", "target").alias("id"), "source", "target", "type").withColumn("seq", F.struct("source", "type", "target"))
+    plugin = read(spark, d, "region").agg(F.lit("star").alias("name"))
+    cycles = nodes.where("false").select(F.col("id").alias("component"), F.lit(0).alias("nth"), F.array("id").alias("path"))
+    return document_lines(plugin, nodes, edges, cycles)
+
+
 assert set(catalog.STRUCTURAL_EDGES) <= {t for t, _, _ in catalog.EDGE_TYPES}
