@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom import plans
 from graphloom.functions import text
-from graphloom.operators import algorithms, build, describe, export, views, xref
+from graphloom.operators import algorithms, build, describe, export, lineage, views, xref
 from graphloom.sources import blocks, tree
 
 DATA = "/root/testdata/sf0.001"
@@ -239,3 +239,59 @@ def test_cycles_of_trimmed_graphs_are_those_of_whole_ones(spark):
         whole = spark.createDataFrame([(f"n{i}", "all") for i in range(n)], "id string, component string")
         got = [r.path for r in algorithms.dfs_cycles(edges, whole).orderBy("nth").collect()]
         assert got == algorithms.search_cycles(links)
+
+
+def random_graphs(rng, count, most):
+    links = []
+    for g in range(count):
+        n = rng.randrange(2, most)
+        links += [(f"g{g}n{rng.randrange(n)}", f"g{g}n{rng.randrange(n)}") for _ in range(rng.randrange(1, 2 * n))]
+    return links
+
+
+def test_nodes_on_cycles_of_3000_random_graphs(spark):
+    import random
+
+    links, after = random_graphs(random.Random(8), 3000, 12), {}
+    for a, b in links:
+        after.setdefault(a, set()).add(b)
+    want = set()
+    for start in after:
+        seen, todo = set(), list(after[start])
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += after.get(x, ())
+        want |= {start} & seen
+    assert {r.id for r in algorithms.cycle_nodes(spark.createDataFrame(links, "source string, target string")).collect()} == want
+
+
+@pytest.mark.parametrize(("target", "found"), [("(id + 1) % 100000", 100_000), ("id + 1", 0)])
+def test_long_rings_and_chains_take_few_rounds(spark, monkeypatch, target, found):
+    rounds = []
+    monkeypatch.setattr(algorithms, "cut", lambda df, *gone: rounds.append(df) or lineage.cut(df, *gone))
+    edges = spark.range(100_000).selectExpr("concat('n', id) AS source", f"concat('n', {target}) AS target")
+    assert algorithms.cycle_nodes(edges).count() == found and len(rounds) < 40
+
+
+def test_pagerank_of_1000_random_graphs(spark):
+    import random
+
+    import numpy as np
+
+    links = sorted(set(random_graphs(random.Random(2), 1000, 9)))
+    names = sorted({x for e in links for x in e} | {"alone"})
+    at = {x: i for i, x in enumerate(names)}
+    source, target = (np.array([at[e[k]] for e in links]) for k in (0, 1))
+    out, rank = np.bincount(source, minlength=len(names)), np.full(len(names), 1 / len(names))
+    for _ in range(12):
+        got = np.bincount(target, rank[source] / out[source], len(names))
+        rank = 0.15 / len(names) + 0.85 * (got + rank[out == 0].sum() / len(names))
+    nodes = spark.createDataFrame([(x,) for x in names], "id string")
+    edges = spark.createDataFrame([*links, ("alone", "unknown"), ("unknown", "alone")], "source string, target string")
+    found = {r.id: r["rank"] for r in algorithms.pagerank(nodes, edges, 12).collect()}
+    assert np.allclose([found[x] for x in names], rank, rtol=1e-9) and abs(sum(found.values()) - 1) < 1e-9
+    assert algorithms.pagerank(nodes.where("false"), edges, 2).count() == 0
+    only = {r.id: r["rank"] for r in algorithms.pagerank(nodes.limit(2), edges.where("false"), 3).collect()}
+    assert np.allclose(list(only.values()), 0.5)
