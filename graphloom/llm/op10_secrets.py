@@ -55,6 +55,7 @@ RULES = (
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1, "gh[pousr]_"),
 )
 
+BLOCK = 128
 SPAN = "array<struct<start:int,kind:string,end:int>>"
 FOUND = "array<struct<start:int,rank:int,end:int>>"
 
@@ -65,7 +66,6 @@ def spans_of(text: Column, rule: Rule) -> Column:
     matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     tested = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else matches
     lengths = F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("gap"), F.transform(matches, F.length).alias("size"), F.transform(tested, F.length).alias("tested"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
 
     def add(state: Column, x: Column) -> Column:
         begin = state["at"] + x["gap"]
@@ -73,10 +73,29 @@ def spans_of(text: Column, rule: Rule) -> Column:
         span = F.struct(begin.alias("start"), F.lit(rule.kind).alias("kind"), end.alias("end"))
         return F.struct(end.alias("at"), F.when(x["tested"] >= rule.least, F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"))
 
-    found = F.aggregate(lengths, start, add, lambda s: s["found"])
+    def add_block(state: Column, block: Column) -> Column:
+        inner = F.aggregate(block, F.struct(state["at"].alias("at"), F.array().cast(SPAN).alias("found")), add)
+        return F.struct(inner["at"].alias("at"), F.concat(state["found"], F.array(inner["found"])).alias("found"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
+    found = F.aggregate(blocks(lengths), start, add_block, lambda s: F.flatten(s["found"]))
     return F.when(text.rlike(rule.hint), found).otherwise(F.array().cast(SPAN))
 
 
+def blocks(items: Column) -> Column:
+    """An array's items in arrays of BLOCK: a fold that appends does it within a block and then block by block, so that a
+    text with many matches costs a small multiple of their number."""
+    return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda b: F.slice(items, b * BLOCK + 1, BLOCK))).otherwise(F.array(items))
+
+
+def may_hold(text: Column, rules: tuple[Rule, ...]) -> Column:
+    """Whether a text holds the hint of any rule; without one it has no secret."""
+    hit = F.lit(False)
+    for r in rules:
+        hit = hit | text.rlike(r.hint)
+    return hit
+
+
 def address(text: Column) -> Column:
     return F.sha2(text, 256)
 
@@ -119,9 +138,9 @@ def extend_ledger(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULE
 def found_blobs(versions: DataFrame, rules: tuple[Rule, ...], ledger: DataFrame | None) -> DataFrame:
     """blob, found (start, rank among `rules`, end; by start and rank) of every blob that has a finding.
 
-    Known pairs come from the ledger, unseen ones from a scan. The table is written, so that a join with it has
-    an exchange on both sides and a blob of a third of all paths is a skewed key that AQE splits."""
-    fresh = scan_blobs(blobs_of(versions), rules, ledger)
+    Known pairs come from the ledger, unseen ones from a scan. Texts without a hint of any rule have no finding and
+    don't move. The table is written, so that a blob of a third of all paths is a skewed key that AQE splits."""
+    fresh = scan_blobs(blobs_of(versions.where(may_hold(text_or_empty(), rules))), rules, ledger)
     if ledger is not None:
         known = ledger.where(F.col("rule").isin([r.key for r in rules])).select("blob", "rule", "spans").dropDuplicates(["blob", "rule"])
         fresh = fresh.unionByName(known)
@@ -169,18 +188,27 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame |
     any names."""
     blob, spans = fresh_name(docs, "blob"), fresh_name(docs, "found")
     kinds = F.array(*[F.lit(r.kind) for r in rules])
+    held = F.coalesce(may_hold(F.col("text"), rules), F.lit(False))
     found = found_blobs(docs, rules, ledger).toDF(blob, spans)
-    joined = docs.withColumn(blob, address(text_or_empty())).join(found.hint("merge"), blob, "left")
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    joined = docs.where(held).withColumn(blob, address(text_or_empty())).join(found, blob, "left")
+    whole = F.col("text")
 
     def cut_out(s: Column, x: Column) -> Column:
         label = F.concat(F.lit("["), F.get(kinds, x["rank"]), F.lit("]"))
-        fresh = F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"]), label)
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] >= s["at"], fresh).otherwise(s["out"]).alias("out"))
-
-    cleaned = F.aggregate(spans, begin, cut_out, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(cleaned)
-    return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+        fresh = F.array(F.substring(s["part"], s["at"] - s["base"] + 1, x["start"] - s["at"]), label)
+        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] >= s["at"], F.concat(s["out"], fresh)).otherwise(s["out"]).alias("out"), s["base"].alias("base"), s["part"].alias("part"))
+
+    def cut_block(s: Column, block: Column) -> Column:
+        upto = F.greatest(s["at"], F.coalesce(F.array_max(F.transform(block, lambda x: x["end"])), s["at"]))
+        begin = F.struct(s["at"].alias("at"), F.array().cast("array<string>").alias("out"), s["at"].alias("base"), F.substring(whole, s["at"] + 1, upto - s["at"]).alias("part"))
+        inner = F.aggregate(block, begin, cut_out)
+        return F.struct(inner["at"].alias("at"), F.concat(s["out"], F.array(inner["out"])).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<string>>").alias("out"))
+    cleaned = F.aggregate(blocks(F.col(spans)), start, cut_block, lambda s: F.array_join(F.concat(F.flatten(s["out"]), F.array(F.substring(whole, s["at"] + 1, F.length(whole)))), ""))
+    text = F.when(F.col(spans).isNull(), whole).otherwise(cleaned)
+    redacted = joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return docs.where(~held).unionByName(redacted)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
