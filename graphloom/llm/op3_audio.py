@@ -159,6 +159,33 @@ def resample(samples: np.ndarray) -> np.ndarray:
     return out
 
 
+def channels_of(media: bytes) -> int:
+    """Channels that the format chunk of a RIFF/WAVE file tells; 1 if it tells none."""
+    at = 12
+    while at + 12 <= len(media):
+        if media[at : at + 4] == b"fmt ":
+            return struct.unpack_from("<H", media, at + 10)[0] or 1
+        size = struct.unpack_from("<I", media, at + 4)[0]
+        at += 8 + size + size % 2
+    return 1
+
+
+def at_target_rate(media: bytes) -> np.ndarray:
+    """Mono 16-bit samples of a recording at TARGET_RATE: channels are mixed to their mean, RATE is doubled and
+    TARGET_RATE stays; ValueError for other rates, for ADPCM of several channels and for samples that are no whole frame."""
+    tag, rate, _ = chunks_of(media)
+    channels, samples = channels_of(media), decode(media)
+    if rate not in (RATE, TARGET_RATE):
+        raise ValueError(f"unknown sampling rate {rate}")
+    if channels > 1:
+        if tag == ADPCM:
+            raise ValueError(f"ADPCM of {channels} channels")
+        if len(samples) % channels:
+            raise ValueError("a frame is cut off")
+        samples = np.rint(samples.reshape(-1, channels).mean(axis=1)).astype(np.int16)
+    return resample(samples) if rate == RATE else samples
+
+
 def feature(pcm: np.ndarray) -> str:
     """Samples, peak, root mean square and zero crossings of PCM."""
     energy = float(np.dot(pcm.astype(np.float64), pcm.astype(np.float64)))
@@ -170,7 +197,8 @@ def decode_media(df: DataFrame, media: str = "media") -> DataFrame:
     """`df` with pcm (the column of 16 kHz PCM recordings, null where `media` is null or can't be read) and error (why
     it can't be). Columns of `df` with these names are replaced.
 
-    An empty recording, one that is cut off, in another format or without a whole block can't be read. Repeated
+    An empty recording, one that is cut off, in another format, at another rate than 8 or 16 kHz or without a whole block
+    can't be read, nor can ADPCM of several channels; other channels are mixed. Repeated
     rows get equal results; an empty table gives an empty result. A recording is decoded whole, one at a time."""
     kept = [f for f in df.schema if f.name not in ("pcm", "error")]
     rows = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{media}`").cast("binary").alias("media__"))
@@ -181,7 +209,7 @@ def decode_media(df: DataFrame, media: str = "media") -> DataFrame:
             pcm, error = [], []
             for m in b.column("media__"):
                 try:
-                    pcm.append(wave(PCM, resample(decode(m.as_py())).astype("<i2").tobytes(), TARGET_RATE) if m.is_valid else None)
+                    pcm.append(wave(PCM, at_target_rate(m.as_py()).astype("<i2").tobytes(), TARGET_RATE) if m.is_valid else None)
                     error.append(None)
                 except (ValueError, struct.error) as e:
                     pcm.append(None)
