@@ -338,13 +338,15 @@ def encode_corpus(docs: DataFrame, model: str | None = None, keep: tuple[str, ..
 
 
 def decode_documents(encoded: DataFrame, model: str | None = None) -> DataFrame:
-    """doc_id, text of every row (doc_id, ids); null ids give a null text."""
+    """doc_id, text of every row (doc_id, ids); null ids give a null text, and so do ids of which one is null or beyond
+    the vocabulary."""
     proto, kind = _read(model), encoded.schema["doc_id"].dataType.simpleString()
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = pieces_of(proto)
         for b in batches:
-            texts = [None if x is None else decode(v, np.array(x, np.int64)) for x in b.column("ids").to_pylist()]
+            known = lambda x: x is not None and all(i is not None and 0 <= i < len(v.text) for i in x)
+            texts = [decode(v, np.array(x, np.int64)) if known(x) else None for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(back, f"doc_id {kind}, text string")
