@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, table, text_or_empty
+from graphloom.llm.common import cut, fresh_name, table, text_or_empty
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Shingles of a benchmark that a task looks up in a set; beyond it they are joined by shuffle.
@@ -93,6 +93,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     A null or empty text, and an item without words, leak nothing. A text shorter than an item is one window.
     Repeated rows each have their leaks; equal items each match. Of equally similar windows the first counts.
     Empty tables give an empty result; other columns are ignored. Copies of a text are judged once."""
+    return leaks_and_tables(docs, benchmark, threshold)[0]
+
+
+def leaks_and_tables(docs: DataFrame, benchmark: DataFrame, threshold: float) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """find_leaks(), and the tables that are to be dropped when its result has been read."""
     items = cut(items_of(benchmark))
     places = items.select("item", "n", "k", F.explode("hashes").alias("shingle")).distinct()
     found = cut(anchored(docs, places.select("k", "shingle").distinct()).withColumn("text_key", F.md5("text")))
@@ -110,7 +115,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     similar = pairs.withColumn("similarity", similarity("hashes", "item_hashes")).where(F.col("similarity") >= threshold)
     best = similar.groupBy("text_key", "item_id").agg(F.max_by(F.struct("similarity", "start", "hashes", "item_print"), F.struct("similarity", -F.col("start"))).alias("m")).select("text_key", "item_id", "m.*")
     printed = best.withColumn("hamming", F.bit_count(simhash("hashes").bitwiseXOR(F.col("item_print"))))
-    return found.select("doc_id", "text_key").join(printed, "text_key").select("doc_id", "item_id", "start", F.round("similarity", 6).alias("similarity"), "hamming")
+    return found.select("doc_id", "text_key").join(printed, "text_key").select("doc_id", "item_id", "start", F.round("similarity", 6).alias("similarity"), "hamming"), (items, found)
 
 
 def starts(threshold: float) -> Column:
@@ -128,10 +133,11 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
     Texts are told by their hash, so that repeated and null ids do no harm. The list of leaking texts is
     distinct; AQE broadcasts it where it is small."""
-    keyed = docs.withColumn("leak_key__", F.md5(text_or_empty()))
-    bare = keyed.select(F.col("leak_key__").alias("doc_id"), "text")
-    leaking = find_leaks(bare, benchmark, threshold).select(F.col("doc_id").alias("leak_key__")).distinct()
-    return keyed.join(leaking, "leak_key__", "left_anti").select(*docs.columns)
+    key = fresh_name(docs, "leak_key")
+    bare = docs.select(F.md5(text_or_empty()).alias("doc_id"), "text")
+    leaks, gone = leaks_and_tables(bare, benchmark, threshold)
+    leaking = cut(leaks.select(F.col("doc_id").alias(key)).distinct(), *gone)
+    return docs.withColumn(key, F.md5(text_or_empty())).join(leaking, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
