@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,6 +34,7 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 _ROOTS: set[str] = set()
+_LOCK, _USERS = threading.Lock(), []
 #: Shuffle files go as soon as the statement that made them has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -39,18 +43,34 @@ def cut(df: DataFrame, *gone: DataFrame) -> DataFrame:
     """`df` as a table in the shared folder, so that lost executors cost no earlier work and the planner knows its
     size. The tables behind `gone`, results of cut() that nothing reads any more, are deleted."""
     spark = df.sparkSession
-    path, before = f"{scratch_dir(spark)}/{uuid.uuid4().hex}", spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    with shuffle_files_go(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     drop(*gone)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
 
 
+@contextlib.contextmanager
+def shuffle_files_go(spark: SparkSession) -> Iterator[None]:
+    """Within, statements of the session delete their shuffle files. Threads may overlap: the first sets it, the last
+    restores what was set before."""
+    with _LOCK:
+        if not _USERS:
+            _USERS.append(spark.conf.get(CLEANUP, None))
+            spark.conf.set(CLEANUP, "true")
+        _USERS.append(None)
+    try:
+        yield
+    finally:
+        with _LOCK:
+            _USERS.pop()
+            if len(_USERS) == 1:
+                before = _USERS.pop()
+                spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def drop(*gone: DataFrame) -> None:
     """Delete the tables behind results of cut()."""
     for df in gone:

@@ -13,8 +13,8 @@ from graphloom.operators import algorithms, build, describe, export, views, xref
 from graphloom.operators.lineage import cut
 from graphloom.sources import blocks, js, php, tree
 
-#: Places of seq that the files of one kind may take.
-FILES_OF_A_KIND = 1 << 20
+#: Files of one kind whose places in seq are apart from those of the next.
+FILES_OF_A_KIND = 1 << 27
 
 
 @dataclass
@@ -32,6 +32,9 @@ class Graph:
 def extract(files: DataFrame, root: str = "/plugin") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Raw nodes and edges of analysed files (path, content, kind): blocks first, then scripts, then PHP; and the errors."""
     of = lambda kind: files.where(F.col("kind") == kind).select("path", "content")
+    most = files.groupBy("kind").count().agg(F.max("count")).first()[0] or 0
+    if most > FILES_OF_A_KIND:
+        raise ValueError(f"{most} files of a kind; their order holds for {FILES_OF_A_KIND}")
     parts = [blocks.entities(of("block"), root), js.entities_and_errors(of("js"), files.select("path"), root, FILES_OF_A_KIND), php.entities_and_errors(of("php"), root, 2 * FILES_OF_A_KIND)]
     nodes, edges = ([p[i] for p in parts] for i in (0, 1))
     return nodes[0].unionByName(nodes[1]).unionByName(nodes[2]), edges[0].unionByName(edges[1]).unionByName(edges[2]), parts[1][2].union(parts[2][2])
@@ -46,7 +49,7 @@ def linked(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     actions = xref.match_actions(of("fetch_call", "axios_call"), of("ajax_handler")).select("id", F.col("handler").alias("target"), F.lit("calls_ajax_handler").alias("type"), F.lit("AJAX").alias("label"), F.lit(1).alias("way"))
     names = xref.match_names(of("gutenberg_block").where(script), of("gutenberg_block").where(~script)).select("id", F.col("match").alias("target"), F.lit("js_block_matches_php").alias("type"), F.lit("block").alias("label"), F.lit(2).alias("way"))
     found = ends.union(actions).union(names).join(first.select("id", "seq"), "id")
-    place = F.lit(3 * FILES_OF_A_KIND).cast("bigint") * (1 << 32) + F.shiftleft(F.col("way").cast("bigint"), 55) + F.col("seq")
+    place = F.lit(3 * FILES_OF_A_KIND).cast("bigint") * (1 << 32) + F.shiftleft(F.col("way").cast("bigint"), 61) + F.col("seq")
     more = found.select(F.col("id").alias("source"), "target", "type", "label", place.cast("bigint").alias("seq"), F.lit(None).cast(edges.schema["metadata"].dataType).alias("metadata"))
     return edges.unionByName(more)
 
