@@ -159,7 +159,7 @@ def training_windows(docs: DataFrame, per_language: int = 384, length: int = 64)
     that a hash picks in the whole text. The aggregate keeps one window per language and hash slot, before
     the shuffle already, so neither the shuffle nor what the driver gets grows with the rows."""
     text = F.col("text").cast("string")
-    h = F.xxhash64("doc_id", text)
+    h = F.xxhash64(text)
     place = F.pmod(F.shiftright(h, 20), F.greatest(F.length(text) - length, F.lit(1))) + 1
     labelled = docs.where(F.col("lang").isNotNull() & text.isNotNull() & ~held_out(F.col("doc_id")))
     cut = labelled.select("lang", F.pmod(h, F.lit(per_language)).alias("slot"), F.shiftright(h, 8).alias("h"), F.substring(text, place.cast("int"), F.lit(length)).alias("window")).where(has_letter(F.col("window")))
