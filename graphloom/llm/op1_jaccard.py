@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, cut_into, drop, table, text_or_empty
+from graphloom.llm.common import cut, cut_into, drop, fresh_name, table, text_or_empty
 
 #: Bytes of text that are hashed together, and tokens that a bucket of the uniqueness count holds on average.
 PART_BYTES, BUCKET_TOKENS = 500_000, 700_000
@@ -296,7 +296,9 @@ class Join:
         rows = prefixes.withColumn("weight", F.aggregate("common", F.lit(0).cast("bigint"), lambda s, x: s + x["df"]))
         light = rows.where(F.col("n") <= boundary)
         pairs = F.flatten(F.transform("common", lambda x, i: F.transform(F.slice("common", i + 2, F.size("common")), lambda y: F.xxhash64(F.least(x["token"], y["token"]), F.greatest(x["token"], y["token"])))))
-        heavy = rows.where(F.col("n") * self.den >= boundary * self.num)
+        # Below a similarity of one half two small sets may be linked by a single shingle, which no 2-subset holds.
+        tiny = F.col("n") * self.num <= self.den if 2 * self.num <= self.den else F.lit(False)
+        heavy = rows.where((F.col("n") * self.den >= boundary * self.num) | tiny)
         single = F.slice("common", 1, F.greatest(F.lit(0), self.spare(F.col("n")) + 1 - F.col("alone")).cast("int"))
         pick = lambda df, keys, tag: df.select(F.lit(tag).alias("kind"), F.explode(keys).alias("key"), "id", "n", "weight")
         return pick(light, pairs, 2).union(pick(heavy, F.transform(single, lambda x: x["token"]), 1))
@@ -422,6 +424,11 @@ def overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
+def told(doc_id: Column) -> Column:
+    """An id of any type as text, and a null one as none."""
+    return F.coalesce(doc_id.cast("string"), F.lit(""))
+
+
 def candidate_tokens(rows: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """id, n, tokens, once for every set of `sets` that may be linked with another one."""
     # A set of s shingles can have a partner other than itself only if f(s + 1) >= 1.
@@ -431,11 +438,11 @@ def candidate_tokens(rows: DataFrame, sets: DataFrame, k: int, num: int, den: in
     lonely = lonely_counts(rows, k, max(1, math.ceil(total / (1 << FIRST_BITS) / BUCKET_TOKENS)))
     spare = F.col("n") - F.ceil(F.col("n") * num / F.lit(den))
     kept = classes.join(lonely, "id", "left").where(F.coalesce("lonely", F.lit(0)) <= spare)
-    one = sets.join(kept.select("id", "text_hash"), ["id", "text_hash"]).groupBy("id", "text_hash").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("of"))
-    # Cut here, the files of the count go before texts move; repeated rows go where the join has put them. Texts move
-    # by a shuffle at every size, so that what a small input shows holds for a large one.
+    one = sets.join(kept.select("id", "text_hash"), ["id", "text_hash"]).groupBy("id", "text_hash").agg(F.min(told(F.col("doc_id"))).alias("of"))
+    # Cut here, the files of the count go before texts move; only texts of candidates move to lose their repeats. Where
+    # the candidates are too many for the planner to broadcast their keys, all texts move once for the join.
     one = cut_into(one.select("text_hash", "of"), sets.count())
-    texts = rows.withColumn("of", F.coalesce("doc_id", F.lit(-1))).join(one.hint("merge"), ["text_hash", "of"]).dropDuplicates(["text_hash", "of"])
+    texts = rows.withColumn("of", told(F.col("doc_id"))).join(one, ["text_hash", "of"]).dropDuplicates(["text_hash", "of"])
     return token_rows(texts, k)
 
 
@@ -457,7 +464,7 @@ def named_classes(sets: DataFrame, of: DataFrame, name: Column) -> DataFrame:
     classes = sets.where("n > 0").groupBy("id").agg(F.min(name).alias("name"), F.count("*").alias("rows")).join(of, "id", "left")
     classes = cut(classes.withColumn("component", F.coalesce("component", "id")))
     several = cut(classes.groupBy("component").agg(F.min("name").alias("name"), F.sum("rows").alias("rows")).where("rows > 1"))
-    return classes.select("id", "component").join(several, "component").select("id", "name", "rows")
+    return cut(classes.select("id", "component").join(several, "component").select("id", "name", "rows"), classes, several)
 
 
 def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -466,10 +473,10 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
 
     A null or empty text, or one of white space, has an empty set, is linked with nothing and is its own
     component. Rows of equal sets are one class, repeated rows included; null ids belong to their class
-    but never name it (unless it has no other). Texts are whole, of any length. An empty table gives an
-    empty result; other columns are ignored."""
+    but never name it (unless it has no other). Ids may be of any type with an order. Texts are whole, of any
+    length. An empty table gives an empty result; other columns are ignored."""
     sets, of = labelled_sets(docs, k, num, den)
-    names = cut(named_classes(sets, of, F.col("doc_id")).select("id", F.col("name").alias("component_id")))
+    names = named_classes(sets, of, F.col("doc_id")).select("id", F.col("name").alias("component_id"))
     return sets.join(names, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("id").alias("set_id"))
 
 
@@ -482,18 +489,23 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     rows whose id and text are repeated move to choose one of them, summed up before the shuffle."""
     key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
     sets, of = labelled_sets(docs, k, num, den)
-    first = cut(named_classes(sets, of, key).select("id", "name"))
-    judged = sets.select("id", key.alias("key")).join(first, "id").groupBy("key").agg(F.bool_or(F.col("key") == F.col("name")).alias("stays"), F.count("*").alias("rows"))
-    judged = cut(judged.where("NOT stays OR rows > 1").select(F.col("key.doc_id").alias("of__"), F.col("key.text_hash").alias("of_hash__"), "stays"))
-    hashed = docs.withColumn("hash__", F.xxhash64(text_or_empty()))
-    same = F.col("doc_id").eqNullSafe(F.col("of__")) & (F.col("hash__") == F.col("of_hash__"))
-    single = hashed.join(judged.hint("merge"), same, "left_anti").select(*docs.columns)
+    first = named_classes(sets, of, key)
+    hash_, row = fresh_name(docs, "hash"), fresh_name(docs, "row")
+    judged = sets.select("id", key.alias("key")).join(first.select("id", "name"), "id").groupBy("key").agg(F.bool_or(F.col("key") == F.col("name")).alias("stays"), F.count("*").alias("rows"))
+    judged = cut(judged.where("NOT stays OR rows > 1").select(F.col("key.doc_id").alias("judged_id"), F.col("key.text_hash").alias("judged_hash"), "stays"), sets, of, first)
+    hashed = docs.withColumn(hash_, F.xxhash64(text_or_empty())).alias("d")
+    own = [F.col(f"d.`{c}`") for c in docs.columns]
+
+    def same(other: DataFrame) -> Column:
+        return F.col("d.doc_id").eqNullSafe(other["judged_id"]) & (F.col(f"d.{hash_}") == other["judged_hash"])
+
+    single = hashed.join(judged, same(judged), "left_anti").select(*own)
     repeated = judged.where("stays")
     if repeated.isEmpty():
         return single
-    copies = hashed.join(repeated, same, "left_semi")
-    one = copies.groupBy("doc_id", "hash__").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
-    return single.unionByName(one.select("row.*"))
+    copies = hashed.join(repeated, same(repeated), "left_semi")
+    one = copies.groupBy("d.doc_id", f"d.{hash_}").agg(F.min_by(F.struct(*own), F.xxhash64(*own)).alias(row))
+    return single.unionByName(one.select(*[F.col(row)[c].alias(c) for c in docs.columns]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
