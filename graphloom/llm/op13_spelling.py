@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import ascii_lower, cut, drop, table, text_or_empty
+from graphloom.llm.common import ascii_lower, cut, table, text_or_empty
 
 LETTERS, LEAST, DAMAGE = "[A-Za-zÀ-ÿ]+", 7, 31
 PLACE = ["n_short", "a", "z", "head", "tail"]
