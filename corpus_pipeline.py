@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages, each one operator of graphloom.llm over all rows that its predecessor kept.
 
 Four stages return the columns of `documents`; the last one returns the encoded corpus. A stage's result is
-written in the shared checkpoint folder and read again, so that lost executors never cost more than a stage.
+written in the shared checkpoint folder and read again, so that lost executors never cost more than a stage; it goes
+when the next one has been written.
 """
 
 from __future__ import annotations
@@ -59,9 +60,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = cut(docs)
-    return docs
+    docs, held = table(spark, sf_dir, "documents"), []
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), *held)
+        held = [docs]
+    return STAGES[-1][1](spark, docs, sf_dir)
