@@ -14,7 +14,7 @@ from graphloom.llm import op1_jaccard, op2_urls, op3_audio, op4_tokens, op5_shar
 from graphloom.llm.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "documents pages benchmark labels".split()
+TABLES = "documents pages benchmark labels conversations".split()
 WORDS = [f"w{i}" for i in range(400)]
 LONG = " ".join(f"w{i % 97}x{i}" for i in range(40_000))
 #: doc_id, text: nulls, empty and long texts, repeated rows, near copies.
