@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.catalog import USER_FACING_TYPES
-from graphloom.operators.lineage import cut, cut_buckets, drop, drop_buckets
+from graphloom.operators.build import intact_edges
+from graphloom.operators.lineage import cut, drop
 
 
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -133,23 +136,29 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 50, damping: floa
     """id, rank: a fixed number of rounds; the mass of nodes without an edge out is spread evenly. Edges of unknown nodes
     don't count.
 
-    Links lie in buckets by source, written once, so a round shuffles what each node got and nothing else. Ranks sum
-    to 1, so what the sinks lose follows from the sum of all that was got; nodes that got nothing are added at the end."""
+    In every round each node starts with the same share `rest`, and what it got then goes on along its links. So what a
+    node got by a round is a sum over walks: `reach` holds, for each length, what walks of that length bring to a node
+    for a `rest` of 1. Shares sum to 1, so each round's `rest` follows from the sums of `reach`. Links of nodes that
+    no link leads to only count for walks of one step, and the loop ends early where no walk is longer."""
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("rank"))
-    known = nodes.select(F.col("id").alias("source"))
-    links = edges.select("source", "target").join(known, "source", "left_semi").join(known.withColumnRenamed("source", "target"), "target", "left_semi")
+    links = intact_edges(nodes, edges.select("source", "target"))
     out = links.groupBy("source").agg(F.count("*").alias("out"))
-    links = cut_buckets(links.join(out, "source").select("source", "target", "out"), "source")
-    own = lambda rest: F.lit(rest) + damping * F.coalesce("got", F.lit(0.0))
-    rest, got = 1.0 / n, cut(links.select(F.col("source").alias("id"), F.lit(0.0).alias("got")).limit(0))
-    for _ in range(rounds):
-        came = links.join(got.withColumnRenamed("id", "source"), "source", "left").groupBy(F.col("target").alias("id")).agg(F.sum(own(rest) / F.col("out")).alias("got"))
-        got = cut(came, got)
-        rest = (1.0 - damping * (got.agg(F.sum("got")).first()[0] or 0.0)) / n
-    drop_buckets(links)
-    return nodes.select("id").join(got, "id", "left").select("id", own(rest).alias("rank"))
+    links = cut(links.join(out, "source").select("source", "target", "out"))
+    reach = [cut(links.groupBy(F.col("target").alias("id")).agg(F.sum(1 / F.col("out")).alias("got")))]
+    sums = [reach[0].agg(F.sum("got")).first()[0] or 0.0]
+    links = cut(links.join(reach[0].select(F.col("id").alias("source")), "source", "left_semi").select("source", "target", "out"), links)
+    while sums[-1] and len(reach) < rounds:
+        came = links.join(reach[-1].withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id"))
+        reach.append(cut(came.agg((damping * F.sum(F.col("got") / F.col("out"))).alias("got"))))
+        sums.append(reach[-1].agg(F.sum("got")).first()[0] or 0.0)
+    rest = [1.0 / n]
+    for k in range(1, rounds + 1):
+        rest.append((1.0 - damping * sum(s * rest[k - j] for j, s in enumerate(sums[:k], 1))) / n)
+    parts = [r.select("id", (F.col("got") * rest[rounds - j]).alias("got")) for j, r in enumerate(reach[:rounds], 1)]
+    got = reduce(DataFrame.union, parts).groupBy("id").agg(F.sum("got").alias("got")) if parts else reach[0].limit(0)
+    return cut(nodes.select("id").join(got, "id", "left").select("id", (rest[-1] + damping * F.coalesce("got", F.lit(0.0))).alias("rank")), links, *reach)
 
 
 def importance(nodes: DataFrame, ranks: DataFrame, primary: DataFrame, main_file: str | None = None) -> DataFrame:

@@ -79,24 +79,6 @@ def drop(*gone: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def cut_buckets(df: DataFrame, key: str) -> DataFrame:
-    """cut() in buckets by `key`, as many as a shuffle has partitions, so that a join with a shuffled side moves that only."""
-    spark = df.sparkSession
-    name, parts = f"graphloom_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = f"{scratch_dir(spark)}/{name}"
-    df.repartition(parts, key).write.bucketBy(parts, key).option("path", path).saveAsTable(name)
-    out = spark.table(name)
-    out.scratch_path, out.scratch_table = path, name
-    return out
-
-
-def drop_buckets(*gone: DataFrame) -> None:
-    """Forget and delete the tables behind results of cut_buckets()."""
-    for df in gone:
-        df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.scratch_table}")
-        drop(df)
-
-
 def cut_into(df: DataFrame, rows: int, *gone: DataFrame, rows_per_task: int = 100_000) -> DataFrame:
     """cut() of a `df` of at most `rows` narrow rows, in as many files as they need."""
     return cut(df.coalesce(max(1, math.ceil(rows / rows_per_task))), *gone)

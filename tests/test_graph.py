@@ -295,3 +295,18 @@ def test_pagerank_of_1000_random_graphs(spark):
     assert algorithms.pagerank(nodes.where("false"), edges, 2).count() == 0
     only = {r.id: r["rank"] for r in algorithms.pagerank(nodes.limit(2), edges.where("false"), 3).collect()}
     assert np.allclose(list(only.values()), 0.5)
+
+
+def test_pagerank_ends_with_the_longest_walk(spark, monkeypatch):
+    written, cut = [], algorithms.cut
+    monkeypatch.setattr(algorithms, "cut", lambda df, *gone: written.append(1) or cut(df, *gone))
+    links = [(f"o{i}", f"p{i % 7}") for i in range(40)] + [(f"p{i}", f"s{i % 3}") for i in range(7)] + [("s0", "n"), ("s1", "n"), ("o1", "gone")]
+    names = sorted({x for e in links for x in e} - {"gone"})
+    rank, known = dict.fromkeys(names, 1 / len(names)), [e for e in links if "gone" not in e]
+    for _ in range(50):
+        out = {a: sum(x == a for x, _ in known) for a in names}
+        lost = sum(v for a, v in rank.items() if not out[a])
+        rank = {b: (0.15 + 0.85 * lost) / len(names) + 0.85 * sum(rank[a] / out[a] for a, x in known if x == b) for b in names}
+    nodes = spark.createDataFrame([(x,) for x in names], "id string")
+    got = {r.id: r["rank"] for r in algorithms.pagerank(nodes, graph(spark, links)).collect()}
+    assert got == {k: pytest.approx(v, rel=1e-9) for k, v in rank.items()} and len(written) < 10
