@@ -7,7 +7,7 @@ what stands between the commas of a bracket, is a slice of that array. Everythin
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -58,8 +58,9 @@ ROWS_IN_BATCH, BYTES_IN_TASK = 20_000, 32 << 20
 
 
 def tokens(files: DataFrame, language: str) -> DataFrame:
-    """Rows of ROW for the words and brackets of `files` (file_seq, path, file, content): one ordered pass over the token
-    array of a file gives each its surroundings, and each head, of any length, as a slice of that array.
+    """Rows of ROW for the calls, keywords and brackets of `files` (file_seq, path, file, content) that an entity may be
+    read from: one ordered pass over the token array of a file gives each its surroundings, and each head, of any
+    length, as a slice of that array.
 
     A file that can't be read gives one row, with `error` and the line, and nothing else."""
 
@@ -98,16 +99,27 @@ def file_rows(file: dict, language: str) -> list[dict]:
     note = lambda j: toks[j][2] if j >= 0 else None
     around_each = php_contexts(toks, around, close) if language == "php" else None
     for i, (tok, line, doc) in enumerate(toks):
-        opens, low = close[i] >= 0, tok.lower()
-        if not (opens or WORD.match(tok) and tok[0] != "$" or language == "js" and (tok == "=>" or tok[0] == "$")):
+        opens, low, behind = close[i] >= 0, tok.lower(), near(i + 1)
+        between = None
+        if opens:
+            # What stands in a call's bracket is told at the name in front.
+            between = None if tok == "(" and i and WORD.match(texts[i - 1]) and texts[i - 1].lower() != "array" else _between(toks, close, i)
+            if between is None and not (language == "js" and tok == "("):
+                continue
+            if language == "php" and tok == "{":
+                continue
+        elif language == "php":
+            if not (WORD.match(tok) and tok[0] != "$" and (behind == "(" or low in heads or low == "new" or "kind" in around_each[i])):
+                continue
+        elif not (tok == "=>" or WORD.match(tok) and (behind in ("(", "=>") or tok in heads)):
             continue
         row = own | {"i": i, "tok": tok, "line": line, "doc": doc, "doc1": note(i - 1), "doc2": note(i - 2), "doc3": note(i - 3), "at1": i + 1 if i + 1 < n else None}
-        row |= {"p1": near(i - 1), "p2": near(i - 2), "p3": near(i - 3), "p4": near(i - 4), "n1": near(i + 1), "n2": near(i + 2), "n3": near(i + 3)}
+        row |= {"p1": near(i - 1), "p2": near(i - 2), "p3": near(i - 3), "p4": near(i - 4), "n1": behind, "n2": near(i + 2), "n3": near(i + 3)}
         row |= {"opener": around[i] if around[i] >= 0 else None, "close": close[i] if opens else None}
         if opens:
             row["after"] = near(close[i] + 1)
-            row["args"] = None if tok == "(" and i and WORD.match(texts[i - 1]) and texts[i - 1].lower() != "array" else _between(toks, close, i)
-        elif i + 1 < n and texts[i + 1] == "(":
+            row["args"] = between
+        elif behind == "(":
             row["args"], row["after"] = _between(toks, close, i + 1), near(close[i + 1] + 1)
         if low in heads:
             end = import_end(toks, i) if language == "js" and low == "import" else stop_of(toks, close, i, low != "return")
@@ -148,6 +160,11 @@ def errors(toks: DataFrame) -> DataFrame:
     return toks.where("error IS NOT NULL").select("path", "line", "error")
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """`f` of `value`, which is computed once however often `f` names it, also for each item of an array."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def arg(n: int | Column) -> Column:
     return F.try_element_at("args", F.lit(n) if isinstance(n, int) else n)
 

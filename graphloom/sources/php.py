@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import catalog
 from graphloom.functions.text import base_name, byte_view, sanitize_id
 from graphloom.operators.lineage import cut, drop, numbered
-from graphloom.sources.code import arg, edge_rows, errors, lexical, literal, node_rows, packed, plus, safe, seq, tokens, unquoted
+from graphloom.sources.code import arg, bound, edge_rows, errors, lexical, literal, node_rows, packed, plus, safe, seq, tokens, unquoted
 
 NAME = r"^\\?[A-Za-z_\x80-\uffff][\w\\\x80-\uffff]*$"
 MODIFIERS = ("public", "private", "protected", "static", "abstract", "final", "readonly", "var")
@@ -110,10 +110,11 @@ def own_words() -> Column:
 def names_after(word: str) -> Column:
     """Names behind `word` in a class's head, up to the next word or the body."""
     head = F.slice(own_words(), 2, F.greatest(F.size("head"), F.lit(1)))
-    at = F.array_position(F.transform(head, lambda x: F.lower(x)), word)
-    rest = F.when(at > 0, F.slice(head, at.cast("int") + 1, F.greatest(F.size(head), F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    end = F.array_position(F.transform(rest, lambda x: F.lower(x).isin("extends", "implements")), True)
-    return F.filter(F.when(end > 0, F.slice(rest, 1, end.cast("int") - 1)).otherwise(rest), lambda x: x.rlike(NAME))
+    behind = lambda h, at: F.when(at > 0, F.slice(h, at.cast("int") + 1, F.greatest(F.size(h), F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    rest = bound(head, lambda h: bound(F.array_position(F.transform(h, lambda x: F.lower(x)), word), lambda at: behind(h, at)))
+    before = lambda r, end: F.when(end > 0, F.slice(r, 1, end.cast("int") - 1)).otherwise(r)
+    listed = bound(rest, lambda r: bound(F.array_position(F.transform(r, lambda x: F.lower(x).isin("extends", "implements")), True), lambda end: before(r, end)))
+    return F.filter(listed, lambda x: x.rlike(NAME))
 
 
 def visibility() -> Column:
@@ -138,9 +139,9 @@ def parameters() -> Column:
 def return_type() -> Column:
     """The type between a function's parameters and its body, of any length."""
     shut = F.get(F.filter("head", lambda x: x["own"] & (x["tok"] == ")")), 0)["i"]
-    behind = F.transform(F.filter("head", lambda x: x["i"] > shut), lambda x: x["tok"])
-    words = F.slice(behind, 2, F.greatest(F.size(behind) - 1, F.lit(0)))
-    return F.when(F.get(behind, 0) == ":", F.nullif(F.regexp_replace(F.array_join(words, ""), r"^(\??)\\", "$1"), F.lit("")))
+    behind = bound(shut, lambda at: F.transform(F.filter("head", lambda x: x["i"] > at), lambda x: x["tok"]))
+    words = lambda b: F.slice(b, 2, F.greatest(F.size(b) - 1, F.lit(0)))
+    return bound(behind, lambda b: F.when(F.get(b, 0) == ":", F.nullif(F.regexp_replace(F.array_join(words(b), ""), r"^(\??)\\", "$1"), F.lit(""))))
 
 
 def called(php: PhpFiles) -> tuple[DataFrame, DataFrame]:
@@ -258,13 +259,17 @@ def registered(php: PhpFiles) -> tuple[DataFrame, DataFrame]:
 def included(php: PhpFiles) -> tuple[DataFrame, DataFrame]:
     """includes edges: a literal path, one behind the file's directory, or the .php end of another expression."""
     ends_at = F.get(F.filter("head", lambda x: x["own"] & F.lower(x["tok"]).isin(",", "and", "or", "xor")), 0)["i"]
-    whole = F.filter("head", lambda x: ends_at.isNull() | (x["i"] < ends_at))
+    whole = F.col("whole")
     found = php.toks.where(F.lower("tok").isin("include", "include_once", "require", "require_once") & ~F.coalesce(F.col("p1"), F.lit("")).isin("->", "?->", "::", "function")).withColumn("caller", php.caller())
     # Brackets around the whole expression: nothing but them is at its level.
     wrapped = (F.get(whole, 0)["tok"] == "(") & (F.size(F.filter(whole, lambda x: x["own"])) == 2) & (F.element_at(whole, -1)["tok"] == ")")
     said = F.transform(whole, lambda x: x["tok"])
     said = F.when(wrapped, F.slice(said, 2, F.greatest(F.size(said) - 2, F.lit(0)))).otherwise(said)
-    found = found.withColumn("said", said).where(F.size("said") > 0)
+    # Written as it is, since what is asked of it below would be worked out from the head each time.
+    cropped = bound(ends_at, lambda at: F.filter("head", lambda x: at.isNull() | (x["i"] < at)))
+    found = cut(found.select("file_seq", "i", "line", "path", "file", "file_id", "caller", cropped.alias("whole")).withColumn("said", said).drop("whole"))
+    php.tables.append(found)
+    found = found.where(F.size("said") > 0)
     text, folder = unquoted(F.element_at("said", -1)), F.array_join(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1), "/")
     left = F.array_join(F.slice("said", 1, F.greatest(F.size("said") - 1, F.lit(0))), "")
     known = left.isin("", "__DIR__.", "dirname(__FILE__).", "plugin_dir_path(__FILE__).")

@@ -183,3 +183,15 @@ def test_registered_cycles_are_those_of_a_plain_search(spark):
     assert [r.path for r in plans.QUERIES["ga1_dfs_cycles"](spark, DATA).orderBy("nth").collect()] == want and want
     steps = sorted((a, b) for c in want for a, b in zip(c.split(">"), c.split(">")[1:], strict=False))
     assert sorted((r.source, r.target) for r in plans.QUERIES["jn16_cycle_edges"](spark, DATA).collect()) == steps
+
+
+def test_only_words_that_an_entity_is_read_from_are_rows():
+    from graphloom.sources.code import file_rows
+
+    names = ", ".join(f"I{i}" for i in range(40))
+    php = {"file_seq": 1, "path": "a.php", "file": "/a.php", "content": f"<?php class C extends B implements {names} {{ use {names}; function m($a): X|Y {{ return g([1], new D); }} }}"}
+    rows = [r for r in file_rows(php, "php") if "error" not in r]
+    assert [r["tok"] for r in rows if r["tok"] != "["] == ["class", "use", "function", "m", "g", "new"]
+    assert len(rows[0]["head"]) == 3 + 1 + 2 * 40 - 1 and len(rows) == 7
+    js = php | {"content": "import { a, b } from './x'; const f = (p, q) => p.q + r; s(t);"}
+    assert [r["tok"] for r in file_rows(js, "js")] == ["import", "{", "(", "=>", "s", "("]
