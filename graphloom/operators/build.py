@@ -1,4 +1,6 @@
-"""From extracted rows to a graph: deduplication, integrity, edge numbers, library tags."""
+"""From extracted rows to a graph: deduplication, integrity, edge numbers, library tags.
+
+What shuffles whole graphs is written as a table at once, so that a task's share of a shuffle has a bound."""
 
 from __future__ import annotations
 
@@ -6,13 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import is_library
-from graphloom.operators.lineage import numbered
+from graphloom.operators.lineage import cut, numbered
 
 
 def first_nodes(nodes: DataFrame) -> DataFrame:
     """One row per id: the first by seq."""
     w = Window.partitionBy("id").orderBy("seq")
-    return nodes.withColumn("nth__", F.row_number().over(w)).where("nth__ = 1").drop("nth__")
+    return cut(nodes.withColumn("nth__", F.row_number().over(w)).where("nth__ = 1").drop("nth__"), fine=True)
 
 
 def merged_edges(edges: DataFrame) -> DataFrame:
@@ -20,13 +22,14 @@ def merged_edges(edges: DataFrame) -> DataFrame:
     key = ["source", "type", "target"]
     rest = [c for c in edges.columns if c not in (*key, "seq")]
     grouped = edges.groupBy(*key).agg(F.min("seq").alias("seq"), F.max_by(F.struct(*rest), "seq").alias("last"))
-    return grouped.select(*[F.col(f"last.{c}") if c in rest else F.col(c) for c in edges.columns])
+    return cut(grouped.select(*[F.col(f"last.{c}") if c in rest else F.col(c) for c in edges.columns]), fine=True)
 
 
 def intact_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges whose two ends are nodes."""
     ids = nodes.select("id")
-    return edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi").select(*edges.columns)
+    known = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    return cut(known.select(*edges.columns), fine=True)
 
 
 def numbered_edges(edges: DataFrame, order: list[str]) -> DataFrame:

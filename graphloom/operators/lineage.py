@@ -34,17 +34,23 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 _ROOTS: set[str] = set()
-_LOCK, _USERS = threading.Lock(), []
+_LOCK, _USERS, _FINE_USERS = threading.Lock(), [], []
 #: Shuffle files go as soon as the statement that made them has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut(df: DataFrame, *gone: DataFrame) -> DataFrame:
+#: Shuffles in many parts, of which the engine joins small ones: a task's share follows no fixed number of parts.
+FINE = {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": "1024", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32m"}
+
+
+def cut(df: DataFrame, *gone: DataFrame, fine: bool = False) -> DataFrame:
     """`df` as a table in the shared folder, so that lost executors cost no earlier work and the planner knows its
-    size. The tables behind `gone`, results of cut() that nothing reads any more, are deleted."""
+    size. The tables behind `gone`, results of cut() that nothing reads any more, are deleted.
+
+    With `fine`, no task of it is handed more than some 32 MB of a shuffle, so its memory does not grow with the input."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    with shuffle_files_go(spark):
+    with shuffle_files_go(spark), _held(spark, FINE if fine else {}, _FINE_USERS):
         df.write.parquet(path)
     drop(*gone)
     out = spark.read.schema(df.schema).parquet(path)
@@ -53,22 +59,31 @@ def cut(df: DataFrame, *gone: DataFrame) -> DataFrame:
 
 
 @contextlib.contextmanager
-def shuffle_files_go(spark: SparkSession) -> Iterator[None]:
-    """Within, statements of the session delete their shuffle files. Threads may overlap: the first sets it, the last
-    restores what was set before."""
+def _held(spark: SparkSession, settings: dict[str, str], users: list) -> Iterator[None]:
+    """Within, the session has `settings`. Threads may overlap: the first of `users` sets them, the last restores what
+    was set before."""
+    if not settings:
+        yield
+        return
     with _LOCK:
-        if not _USERS:
-            _USERS.append(spark.conf.get(CLEANUP, None))
-            spark.conf.set(CLEANUP, "true")
-        _USERS.append(None)
+        if not users:
+            users.append({name: spark.conf.get(name, None) for name in settings})
+            for name, value in settings.items():
+                spark.conf.set(name, value)
+        users.append(None)
     try:
         yield
     finally:
         with _LOCK:
-            _USERS.pop()
-            if len(_USERS) == 1:
-                before = _USERS.pop()
-                spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+            users.pop()
+            if len(users) == 1:
+                for name, before in users.pop().items():
+                    spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def shuffle_files_go(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Within, statements of the session delete their shuffle files."""
+    return _held(spark, {CLEANUP: "true"}, _USERS)
 
 
 def drop(*gone: DataFrame) -> None:
@@ -89,7 +104,7 @@ def numbered(df: DataFrame, order: list[str | Column], name: str, start: int = 0
 
     Rows are dealt by range and sorted in their partitions; only the partitions' sizes are summed up in one
     place. `order` has to be unique for the numbers to be the same each time."""
-    placed = cut(df.repartitionByRange(*[F.col(c) if isinstance(c, str) else c for c in order]).sortWithinPartitions(*order).withColumn("part__", F.spark_partition_id()).withColumn("row__", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    placed = cut(df.repartitionByRange(*[F.col(c) if isinstance(c, str) else c for c in order]).sortWithinPartitions(*order).withColumn("part__", F.spark_partition_id()).withColumn("row__", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), fine=True)
     sizes = placed.groupBy("part__").count()
     first = sizes.select("part__", F.coalesce(F.sum("count").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first__"))
     return placed.join(F.broadcast(first), "part__").withColumn(name, (F.col("first__") + F.col("row__") + start).cast("bigint")).select(*df.columns, name)

@@ -40,8 +40,10 @@ def star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = out.union(_edges(t("supplier"), "supplier", "s_suppkey", "nation", "s_nationkey", "in_nation"))
     out = out.union(_edges(t("customer"), "customer", "c_custkey", "nation", "c_nationkey", "in_nation"))
     out = out.union(_edges(t("orders"), "order", "o_orderkey", "customer", "o_custkey", "placed_by"))
-    out = out.union(_edges(t("lineitem"), "order", "l_orderkey", "part", "l_partkey", "contains").distinct())
-    return out.union(_edges(t("lineitem"), "part", "l_partkey", "supplier", "l_suppkey", "supplied_by").distinct())
+    # Keys are made distinct before they are ids, which are longer.
+    pairs = lambda *keys: t("lineitem").select(*keys).distinct()
+    out = out.union(_edges(pairs("l_orderkey", "l_partkey"), "order", "l_orderkey", "part", "l_partkey", "contains"))
+    return out.union(_edges(pairs("l_partkey", "l_suppkey"), "part", "l_partkey", "supplier", "l_suppkey", "supplied_by"))
 
 
 def place_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -310,3 +310,29 @@ def test_pagerank_ends_with_the_longest_walk(spark, monkeypatch):
     nodes = spark.createDataFrame([(x,) for x in names], "id string")
     got = {r.id: r["rank"] for r in algorithms.pagerank(nodes, graph(spark, links)).collect()}
     assert got == {k: pytest.approx(v, rel=1e-9) for k, v in rank.items()} and len(written) < 10
+
+
+def test_whole_graph_steps_are_tables_of_fine_shuffles(spark, monkeypatch):
+    from graphloom.operators import build, lineage, views
+
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before, seen, drop = spark.conf.get(name, None), [], lineage.drop
+    monkeypatch.setattr(lineage, "drop", lambda *gone: seen.append(spark.conf.get(name, None)) or drop(*gone))
+    with lineage._held(spark, lineage.FINE, lineage._FINE_USERS):
+        assert spark.conf.get(name) == "1024"
+    nodes = spark.createDataFrame([("a", "A", "class", "x", False, 1), ("b", "B", "class", "y", False, 2)], "id string, label string, type string, file string, is_library boolean, seq long")
+    edges = spark.createDataFrame([("a", "b", "calls", 1), ("a", "gone", "calls", 2)], "source string, target string, type string, seq long")
+    for df in (build.first_nodes(nodes), build.merged_edges(edges), build.intact_edges(nodes, edges), views.focus(nodes, edges)[1]):
+        assert "/tables/" in df.scratch_path and df.count() in (1, 2)
+    assert seen and set(seen) == {before} and spark.conf.get(name, None) == before
+
+
+def test_document_lines_join_nothing(spark):
+    from graphloom.operators.export import document_lines
+
+    nodes = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y")], "id string, seq long, label string")
+    edges = spark.createDataFrame([("e", 0, "a", "a"), ("e", 1, "a", "b")], "id string, seq long, source string, target string")
+    cycles = nodes.where("false").select(F.col("id").alias("component"), F.lit(0).alias("nth"), F.array("id").alias("path"))
+    lines = document_lines(spark.createDataFrame([("p",)], "name string"), nodes, edges, cycles).orderBy("section", "n").collect()
+    assert [r.text for r in lines if r.section == 1] == ['{"data":{"id":"a","label":"x"}}', ',{"data":{"id":"a","label":"y"}}']
+    assert [r.text for r in lines if r.section == 3] == ['{"data":{"id":"e","source":"a","target":"a"}}', ',{"data":{"id":"e","source":"a","target":"b"}}']
