@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.catalog import EDGE_TYPES
 from graphloom.operators.build import intact_edges
-from graphloom.operators.lineage import cut
+from graphloom.operators.lineage import cut, drop
 
 COMPOUND = ("namespace", "dir")
 
@@ -46,16 +46,23 @@ def focus_seeds(nodes: DataFrame, edges: DataFrame, main_file: str | None = None
 
 
 def focus(nodes: DataFrame, edges: DataFrame, main_file: str | None = None, seeds: int = 40, cap: int = 100, hide_library: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Seeds and their neighbours by degree up to `cap` nodes, with primary; and the edges among them."""
+    """Seeds and their neighbours by degree up to `cap` nodes, with primary; and the edges among them.
+
+    Edges and degrees are worked out once and read from tables."""
     shown = leaves(nodes, hide_library)
-    first = cut(focus_seeds(shown, edges, main_file, seeds))
+    edges = cut(edges, fine=True)
+    shown = cut(degrees(shown, edges), fine=True)
+    top = shown.orderBy(F.desc("degree"), "id").limit(seeds).select("id")
+    first = cut(top.union(shown.where(F.col("file").endswith(main_file)).select("id")).distinct() if main_file else top)
     around = edges.join(first.withColumnRenamed("id", "source"), "source", "left_semi").select(F.col("target").alias("id"))
     around = around.union(edges.join(first.withColumnRenamed("id", "target"), "target", "left_semi").select(F.col("source").alias("id"))).distinct()
-    outer = degrees(shown.join(around, "id", "left_semi").join(first, "id", "left_anti"), edges)
+    outer = shown.join(around, "id", "left_semi").join(first, "id", "left_anti")
     room = max(0, cap - first.count())  # a number of at most the seeds and the nodes of one file
     more = outer.orderBy(F.desc("degree"), "id").limit(room).select("id", F.lit(False).alias("primary"))
-    kept = cut(shown.join(first.withColumn("primary", F.lit(True)).union(more), "id"))
-    return kept, intact_edges(kept, edges)
+    kept = cut(shown.drop("degree").join(first.withColumn("primary", F.lit(True)).union(more), "id"))
+    found = intact_edges(kept, edges)
+    drop(edges, shown, first)
+    return kept, found
 
 
 def mode_edges(edges: DataFrame, mode: str, registry: DataFrame) -> DataFrame:
