@@ -5,22 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.lineage import numbered
+from graphloom.operators.lineage import cut, numbered
 
 
-def node_documents(nodes: DataFrame) -> DataFrame:
-    """id, document: {"data": {...}} per node; null fields stay, but a null parent goes."""
-    fields = [c for c in nodes.columns if c != "parent"]
+def node_document(columns: list[str]) -> Column:
+    """{"data": {...}} of a node with `columns`; null fields stay, but a null parent goes."""
+    fields = [c for c in columns if c != "parent"]
     whole = F.to_json(F.struct(F.struct(*fields).alias("data")), {"ignoreNullFields": "false"})
-    if "parent" in nodes.columns:
+    if "parent" in columns:
         led = F.to_json(F.struct(F.struct(*fields, "parent").alias("data")), {"ignoreNullFields": "false"})
         whole = F.when(F.col("parent").isNull(), whole).otherwise(led)
-    return nodes.select("id", F.make_valid_utf8(whole).alias("document"))
+    return F.make_valid_utf8(whole)
+
+
+def edge_document(columns: list[str]) -> Column:
+    """{"data": {...}} of an edge with `columns`, without null fields."""
+    return F.to_json(F.struct(F.struct(*columns).alias("data")))
+
+
+def node_documents(nodes: DataFrame) -> DataFrame:
+    """id, document: {"data": {...}} per node; null fields stay, but a null parent goes."""
+    return nodes.select("id", node_document(nodes.columns).alias("document"))
 
 
 def edge_documents(edges: DataFrame) -> DataFrame:
     """id, document: {"data": {...}} per edge, without null fields."""
-    return edges.select("id", F.to_json(F.struct(F.struct(*edges.columns).alias("data"))).alias("document"))
+    return edges.select("id", edge_document(edges.columns).alias("document"))
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
@@ -55,11 +65,11 @@ def document_lines(plugin: DataFrame, nodes: DataFrame, edges: DataFrame, cycles
     between = spark.createDataFrame([(2, 0, '],"edges":['), (4, 0, '],"cycles":['), (6, 0, "]}")], "section int, n long, text string")
 
     def listed(rows: DataFrame, order: list[str], section: int, text: Column) -> DataFrame:
-        placed = numbered(rows.withColumn("text__", text), order, "n")
+        placed = numbered(cut(rows.select(*order, text.alias("text__")), fine=True), order, "n")
         return placed.select(F.lit(section).alias("section"), "n", F.concat(F.when(F.col("n") > 0, ",").otherwise(""), "text__").alias("text"))
 
-    shown = listed(nodes.select("seq", "id").join(node_documents(nodes.drop("seq")), "id"), ["seq", "id"], 1, F.col("document"))
-    joined = listed(edges.select("seq", "id").join(edge_documents(edges.drop("seq")), "id"), ["seq", "id"], 3, F.col("document"))
+    shown = listed(nodes, ["seq", "id"], 1, node_document(nodes.drop("seq").columns))
+    joined = listed(edges, ["seq", "id"], 3, edge_document(edges.drop("seq").columns))
     rings = listed(cycles.select("component", "nth", "path"), ["component", "nth"], 5, F.to_json("path"))
     return head.union(between).union(shown).union(joined).union(rings)
 
