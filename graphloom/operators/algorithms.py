@@ -112,9 +112,9 @@ def cycle_nodes(edges: DataFrame) -> DataFrame:
     After trimming, every node takes the largest id that reaches it as its colour. Going back from the node that
     a colour is named after, within the colour, gives one strongly connected part of each colour, which goes;
     until no link is left. A round holds links and one label per node, never pairs that paths join."""
-    every = edges.select("source", "target").distinct()
+    every = cut(edges.select("source", "target").distinct(), fine=True)
     found = cut(every.where("source = target").select(F.col("source").alias("id")))
-    rest, found = trimmed(cut(every.where("source != target")), found)
+    rest, found = trimmed(cut(every.where("source != target"), every), found)
     while not rest.isEmpty():
         nodes = rest.select(F.col("source").alias("id")).distinct()
         colours = spread(nodes.select("id", F.col("id").alias("label")), rest)
