@@ -54,7 +54,7 @@ ROW = (
 )
 #: Of files with more tokens the order numbers of seq() would run into each other.
 MOST_TOKENS = 1 << 23
-ROWS_IN_BATCH, BYTES_IN_TASK = 20_000, 32 << 20
+ROWS_IN_BATCH, BYTES_IN_TASK = 5_000, 32 << 20
 
 
 def tokens(files: DataFrame, language: str) -> DataFrame:
