@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,21 +17,92 @@ from graphloom.operators.build import intact_edges
 from graphloom.operators.lineage import cut, drop
 
 
-def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, component: the least id that edges reach in any direction.
-
-    A node takes the least label around it and then that label's own label, so chains halve each round."""
-    both = cut(edges.select(F.col("source").alias("a"), F.col("target").alias("b")).union(edges.select("target", "source")).where("a != b").distinct())
-    moved = cut(nodes.select("id", F.col("id").alias("old"), F.col("id").alias("component")))
+#: Bytes of links that a task looks at together.
+LINK_BYTES = 1 << 26
+
+
+def leaders(links: DataFrame, salt: str) -> DataFrame:
+    """id, leader: every end of `links` (a, b) and the node of least rank that a batch's links reach from it.
+
+    A batch is what a task reads next, up to some LINK_BYTES, so nodes come as often as batches have them. A leader
+    leads itself. Nodes rank by the crc32 of their id and `salt`."""
+    kind, salt = links.schema["a"].dataType.simpleString(), salt.encode()
+
+    def lead(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ends = pa.chunked_array([b.column(c) for c in ("a", "b") for b in held]).combine_chunks().dictionary_encode()
+        at, names = ends.indices.to_numpy(), ends.dictionary
+        rank = np.array([zlib.crc32(x + salt) for x in names.cast(pa.string()).cast(pa.binary()).to_pylist()])
+        by = np.argsort(rank, kind="stable")
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        x, y, first = place[at[: len(at) // 2]], place[at[len(at) // 2 :]], np.arange(len(by))
+        while len(x):
+            np.minimum.at(first, np.maximum(x, y), np.minimum(x, y))
+            while (first != (further := first[first])).any():
+                first = further
+            x, y = first[x], first[y]
+            apart = x != y
+            x, y = x[apart], y[apart]
+        of = by[first]
+        return pa.RecordBatch.from_arrays([names.take(pa.array(by)), names.take(pa.array(of))], ["id", "leader"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                size += b.nbytes
+            if size >= LINK_BYTES:
+                yield lead(held)
+                held, size = [], 0
+        if held:
+            yield lead(held)
+
+    return links.mapInArrow(work, f"id {kind}, leader {kind}")
+
+
+def merged_labels(edges: DataFrame) -> DataFrame:
+    """id, label of every end of an edge between two nodes: nodes have the same label if edges join them.
+
+    Each round merges every node into the least of its leaders, and goes on with the links of what is left: those
+    between the nodes that its leaders were merged into. Ranks are dealt anew each round, so that chains too are halved
+    on average; and as a task first joins what its own links join, a round moves at most one row per node and batch."""
+    links, levels, met = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).where("a != b"), [], []
     while True:
-        labels = moved.select("id", "component")
-        around = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        stepped = labels.join(around, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("new"))
-        further = labels.select(F.col("id").alias("new"), F.col("component").alias("further"))
-        moved = cut(stepped.join(further, "new", "left").select("id", "old", F.least("new", F.coalesce("further", "new")).alias("component")), moved)
-        if moved.where("old != component").isEmpty():
-            drop(both)
-            return moved.select("id", "component")
+        salt = "." * len(levels)  # each length gives another order
+        ranked = F.transform(F.collect_set("leader"), lambda x: F.struct(F.crc32(F.concat(x.cast("string"), F.lit(salt))), x.alias("id")))
+        led = leaders(links, salt).repartition("id").groupBy("id").agg(F.array_sort(ranked)["id"].alias("leaders"))
+        levels.append(cut(led, *met, fine=True))
+        if levels[-1].isEmpty():
+            break
+        label = F.col("leaders")[0]
+        met = [cut(levels[-1].select(label.alias("a"), F.explode("leaders").alias("leader")).distinct(), fine=True)]
+        moved = levels[-1].where(F.array_contains("leaders", F.col("id"))).select(F.col("id").alias("leader"), label.alias("b"))
+        links = met[0].join(moved, "leader").select("a", "b").where("a != b")
+    last = levels.pop()
+    labels = cut(last.select("id", F.col("leaders")[0].alias("label")), last)
+    for level in reversed(levels):
+        further = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
+        own = level.select("id", F.col("leaders")[0].alias("label"))
+        labels = cut(own.join(further, "label", "left").select("id", F.coalesce("further", "label").alias("label")), labels, level, fine=True)
+    return labels
+
+
+def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, component: the least id that edges reach in any direction. Edges of unknown nodes don't count; edges may repeat."""
+    known = nodes.select("id", F.lit(True).alias("known"))
+    labels = merged_labels(edges)
+    found = cut(known.join(labels, "id", "full"), labels, fine=True)
+    unknown = found.where("known IS NULL").select("id")
+    if not unknown.isEmpty():
+        # Labels may go through unknown nodes, so they are worked out again without them.
+        for end in ("source", "target"):
+            edges = edges.join(unknown.withColumnRenamed("id", end), end, "left_anti")
+        labels = merged_labels(edges)
+        found = cut(known.join(labels, "id", "left"), labels, found, fine=True)
+    least = cut(found.where("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("component")), fine=True)
+    alone = found.where("label IS NULL").select("id", F.col("id").alias("component"))
+    return alone.union(found.join(least, "label").select("id", "component"))
 
 
 def chain_tops(links: DataFrame) -> tuple[DataFrame, DataFrame]:

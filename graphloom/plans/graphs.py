@@ -34,16 +34,21 @@ def _edges(df: DataFrame, source: str, source_key: str, target: str, target_key:
     return df.select(F.concat(F.lit(f"{source}_"), F.col(source_key).cast("string")).alias("source"), F.concat(F.lit(f"{target}_"), F.col(target_key).cast("string")).alias("target"), F.lit(kind).alias("type"))
 
 
-def star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def star_edges(spark: SparkSession, sf_dir: str, repeats: bool = False) -> DataFrame:
+    """Edges of the star tables, each once; with `repeats` as often as rows of `lineitem` have it, both edges of a row together."""
     t = lambda name: read(spark, sf_dir, name)
     out = _edges(t("nation"), "nation", "n_nationkey", "region", "n_regionkey", "in_region")
     out = out.union(_edges(t("supplier"), "supplier", "s_suppkey", "nation", "s_nationkey", "in_nation"))
     out = out.union(_edges(t("customer"), "customer", "c_custkey", "nation", "c_nationkey", "in_nation"))
     out = out.union(_edges(t("orders"), "order", "o_orderkey", "customer", "o_custkey", "placed_by"))
+    contains, supplied = ("order", "l_orderkey", "part", "l_partkey", "contains"), ("part", "l_partkey", "supplier", "l_suppkey", "supplied_by")
+    if repeats:
+        ends = lambda a, k, b, m, kind: F.struct(F.concat(F.lit(f"{a}_"), F.col(k)).alias("source"), F.concat(F.lit(f"{b}_"), F.col(m)).alias("target"), F.lit(kind).alias("type"))
+        return out.union(t("lineitem").select(F.inline(F.array(ends(*contains), ends(*supplied)))))
     # Keys are made distinct before they are ids, which are longer.
     pairs = lambda *keys: t("lineitem").select(*keys).distinct()
-    out = out.union(_edges(pairs("l_orderkey", "l_partkey"), "order", "l_orderkey", "part", "l_partkey", "contains"))
-    return out.union(_edges(pairs("l_partkey", "l_suppkey"), "part", "l_partkey", "supplier", "l_suppkey", "supplied_by"))
+    out = out.union(_edges(pairs("l_orderkey", "l_partkey"), *contains))
+    return out.union(_edges(pairs("l_partkey", "l_suppkey"), *supplied))
 
 
 def place_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -336,3 +336,38 @@ def test_document_lines_join_nothing(spark):
     lines = document_lines(spark.createDataFrame([("p",)], "name string"), nodes, edges, cycles).orderBy("section", "n").collect()
     assert [r.text for r in lines if r.section == 1] == ['{"data":{"id":"a","label":"x"}}', ',{"data":{"id":"a","label":"y"}}']
     assert [r.text for r in lines if r.section == 3] == ['{"data":{"id":"e","source":"a","target":"a"}}', ',{"data":{"id":"e","source":"a","target":"b"}}']
+
+
+@pytest.mark.parametrize("size", [1, 400, 1 << 26])
+def test_components_are_those_of_a_plain_search(spark, monkeypatch, size):
+    """Random graphs, chains in order and a clique, with repeats, loops, nulls and unknown nodes, in batches of any size."""
+    import random
+
+    monkeypatch.setattr(algorithms, "LINK_BYTES", size)
+    rng = random.Random(size)
+    links = random_graphs(rng, 60, 12) + [(f"c{i:03}", f"c{i + 1:03}") for i in range(120)] + [(f"k{i}", f"k{j}") for i in range(12) for j in range(i)]
+    links += [("a", "a"), ("b", "gone"), ("gone", "c"), (None, "a"), ("a", None)] + links[::3]
+    names = sorted({x for e in links for x in e if x} - {"gone"} | {"alone"})
+    root = {x: x for x in names}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a, b in links:
+        if a in root and b in root:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    rng.shuffle(links)
+    nodes = spark.createDataFrame([(x,) for x in [*names, "alone"]], "id string")
+    got = algorithms.weak_components(nodes, graph(spark, links)).collect()
+    assert sorted((r.id, r.component) for r in got) == sorted([*((x, find(x)) for x in names), ("alone", "alone")])
+    assert algorithms.weak_components(nodes, graph(spark, links[:0])).where("id = component").count() == len(names) + 1
+
+
+def test_components_join_links_in_tasks_before_they_move(spark):
+    """Of links between few nodes a batch moves a row per node, and chains of 20,000 nodes end after few rounds."""
+    links = spark.range(100_000).selectExpr("concat('n', id % 50) AS a", "concat('n', id % 49) AS b").coalesce(2)
+    assert algorithms.leaders(links, "").count() == 100
+    edges = spark.range(20_000).selectExpr("concat('n', id) AS source", "concat('n', id + 1) AS target").repartition(16)
+    nodes = spark.range(20_001).selectExpr("concat('n', id) AS id")
+    assert algorithms.weak_components(nodes, edges).where("component = 'n0'").count() == 20_001
