@@ -39,8 +39,9 @@ _LOCK, _USERS, _FINE_USERS = threading.Lock(), [], []
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-#: Shuffles in many parts, of which the engine joins small ones: a task's share follows no fixed number of parts.
-FINE = {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": "1024", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32m"}
+#: Shuffles in many parts, of which the engine joins small ones: a task's share follows no fixed number of parts. As
+#: parts are small, the engine hashes the smaller side of a join where it would sort both.
+FINE = {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": "1024", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32m", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "32m"}
 
 
 def cut(df: DataFrame, *gone: DataFrame, fine: bool = False) -> DataFrame:

@@ -371,3 +371,14 @@ def test_components_join_links_in_tasks_before_they_move(spark):
     edges = spark.range(20_000).selectExpr("concat('n', id) AS source", "concat('n', id + 1) AS target").repartition(16)
     nodes = spark.range(20_001).selectExpr("concat('n', id) AS id")
     assert algorithms.weak_components(nodes, edges).where("component = 'n0'").count() == 20_001
+
+
+def test_joins_of_whole_graphs_hash_small_parts(spark):
+    from graphloom.operators import lineage
+
+    no_broadcast = {"spark.sql.autoBroadcastJoinThreshold": "-1"}
+    with lineage._held(spark, no_broadcast, []), lineage._held(spark, lineage.FINE, lineage._FINE_USERS):
+        kept = spark.range(20_000).join(spark.range(0, 40_000, 3), "id", "left_semi")
+        assert len(kept.collect()) == 6_667
+        plan = kept._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
