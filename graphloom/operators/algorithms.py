@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.catalog import USER_FACING_TYPES
 from graphloom.operators.build import intact_edges
-from graphloom.operators.lineage import cut, drop
+from graphloom.operators.lineage import cut, cut_fine, drop
 
 
 #: Bytes of links that a task looks at together.
@@ -187,7 +187,7 @@ def cycle_nodes(edges: DataFrame) -> DataFrame:
     After trimming, every node takes the largest id that reaches it as its colour. Going back from the node that
     a colour is named after, within the colour, gives one strongly connected part of each colour, which goes;
     until no link is left. A round holds links and one label per node, never pairs that paths join."""
-    every = cut(edges.select("source", "target").distinct(), fine=True)
+    every = cut_fine(edges.select("source", "target").distinct())
     found = cut(every.where("source = target").select(F.col("source").alias("id")))
     rest, found = trimmed(cut(every.where("source != target"), every), found)
     while not rest.isEmpty():

@@ -59,6 +59,11 @@ def cut(df: DataFrame, *gone: DataFrame, fine: bool = False) -> DataFrame:
     return out
 
 
+def cut_fine(df: DataFrame, *gone: DataFrame) -> DataFrame:
+    """cut() with fine shuffles."""
+    return cut(df, *gone, fine=True)
+
+
 @contextlib.contextmanager
 def _held(spark: SparkSession, settings: dict[str, str], users: list) -> Iterator[None]:
     """Within, the session has `settings`. Threads may overlap: the first of `users` sets them, the last restores what
