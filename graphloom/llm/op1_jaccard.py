@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, cut_into, drop, fresh_name, table, text_or_empty
+from graphloom.llm.common import cut, cut_into, drop, fresh_name, marked, table, text_or_empty
 
 #: Bytes of text that are hashed together, and tokens that a bucket of the uniqueness count holds on average.
 PART_BYTES, BUCKET_TOKENS = 500_000, 700_000
@@ -274,10 +274,11 @@ class Join:
         cut to the f(n) + 2 first of all; sets with more than f(n) lonely shingles are gone.
 
         The counts are written first, so that the join with them has an exchange on both sides: a shingle of a
-        third of all sets is a skewed key then, which AQE splits."""
+        third of all sets is a skewed key then, which AQE splits. Shingles go to their sets as rows: the
+        more parts there are, the fewer of a set meet in one, and short lists take more than rows."""
         rows = self.sets.select("id", F.explode("tokens").alias("token"))
         df = cut(rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
-        common = rows.join(df, "token").groupBy("id").agg(F.collect_list(F.struct("df", "token")).alias("common")).join(self.sets.select("id", "n"), "id")
+        common = rows.join(df, "token").repartition("id").groupBy("id").agg(F.collect_list(F.struct("df", "token")).alias("common")).join(self.sets.select("id", "n"), "id")
         alone = F.col("n") - F.size("common")
         kept = common.withColumn("alone", alone).where(alone <= self.spare(F.col("n")))
         return kept.withColumn("common", F.slice(F.array_sort("common"), 1, (self.spare(F.col("n")) + 2 - F.col("alone")).cast("int")))
@@ -324,8 +325,13 @@ class Join:
 
         return self.with_sets(pairs, ["a", "p"]).mapInArrow(work, "a long, p long, linked boolean")
 
+    def needed(self, ids: DataFrame) -> DataFrame:
+        """id, tokens of the sets of `ids` (one column) and of few others: all that moves for a join with them."""
+        return marked(self.sets.select("id", "tokens"), F.xxhash64("id"), ids.select(F.xxhash64(ids.columns[0]).alias("key")), "needed").where("needed").drop("needed")
+
     def with_sets(self, pairs: DataFrame, columns: list[str]) -> DataFrame:
-        own = self.sets.select("id", "tokens")
+        """`columns` of `pairs`, a result of cut(), and the shingles of both sides."""
+        own = self.needed(pairs.select("a").union(pairs.select("p")))
         for c in ("a", "p"):
             pairs = pairs.join(own.select(F.col("id").alias(c), F.col("tokens").alias(f"of_{c}")), c)
         return pairs.select(*columns, "of_a", "of_p")
@@ -389,7 +395,8 @@ class Join:
         vertices = cut(prefixes.select("id"))
         size = vertices.count()
         lists = cut(self.lists(prefixes, self.boundary(prefixes)), prefixes)
-        starred = cut(self.compared(self.pivots(lists, ["kind", "key"])), lists)
+        pairs = cut(self.pivots(lists, ["kind", "key"]), lists)
+        starred = cut(self.compared(pairs), pairs)
         edges = starred.where("linked").select("a", "p")
         of = cut_into(components(vertices, edges.toDF("a", "b")), size)
 
@@ -398,11 +405,13 @@ class Join:
         if apart.isEmpty():
             return of
         open_ = cut(self.unresolved(self.difference_lists(apart), ["p", "token"], of))
-        open_sets, ways = Join(cut(self.sets.join(open_.select("id").distinct(), "id", "left_semi")), self.num, self.den), 1
+        ids = cut(open_.select("id").distinct())
+        open_sets, ways = Join(cut(self.needed(ids).join(ids, "id", "left_semi"), ids), self.num, self.den), 1
         seen = starred.select(F.least("a", "p").alias("a"), F.greatest("a", "p").alias("p"))
         while not open_.isEmpty():
             pairs, rest = self.met(open_, ways)
-            fresh = cut(open_sets.compared(pairs.join(seen, ["a", "p"], "left_anti")))
+            pairs = cut(pairs.join(seen, ["a", "p"], "left_anti"))
+            fresh = cut(open_sets.compared(pairs), pairs)
             seen, ways = seen.union(fresh.select("a", "p")), 16 * ways
             linked = fresh.where("linked").select("a", "p")
             if not linked.isEmpty():
@@ -439,10 +448,11 @@ def candidate_tokens(rows: DataFrame, sets: DataFrame, k: int, num: int, den: in
     spare = F.col("n") - F.ceil(F.col("n") * num / F.lit(den))
     kept = classes.join(lonely, "id", "left").where(F.coalesce("lonely", F.lit(0)) <= spare)
     one = sets.join(kept.select("id", "text_hash"), ["id", "text_hash"]).groupBy("id", "text_hash").agg(F.min(told(F.col("doc_id"))).alias("of"))
-    # Cut here, the files of the count go before texts move; only texts of candidates move to lose their repeats. Where
-    # the candidates are too many for the planner to broadcast their keys, all texts move once for the join.
+    # Cut here, the files of the count go before texts move; only texts of candidates, and of few others, move.
     one = cut_into(one.select("text_hash", "of"), sets.count())
-    texts = rows.withColumn("of", told(F.col("doc_id"))).join(one, ["text_hash", "of"]).dropDuplicates(["text_hash", "of"])
+    key = F.xxhash64("text_hash", "of")
+    texts = marked(rows.withColumn("of", told(F.col("doc_id"))), key, one.select(key.alias("key")), "needed").where("needed")
+    texts = texts.join(one, ["text_hash", "of"]).dropDuplicates(["text_hash", "of"])
     return token_rows(texts, k)
 
 
@@ -486,20 +496,24 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     without words stay all. An empty table gives an empty result; all columns stay, whatever their names.
 
     A row is told by doc_id and the hash of its text, so an id on several texts loses only those that go. Only
-    rows whose id and text are repeated move to choose one of them, summed up before the shuffle."""
+    rows that go or are repeated, and few others, move for that; and of repeated ones one is chosen, summed up before
+    the shuffle."""
     key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
     sets, of = labelled_sets(docs, k, num, den)
     first = named_classes(sets, of, key)
     hash_, row = fresh_name(docs, "hash"), fresh_name(docs, "row")
     judged = sets.select("id", key.alias("key")).join(first.select("id", "name"), "id").groupBy("key").agg(F.bool_or(F.col("key") == F.col("name")).alias("stays"), F.count("*").alias("rows"))
     judged = cut(judged.where("NOT stays OR rows > 1").select(F.col("key.doc_id").alias("judged_id"), F.col("key.text_hash").alias("judged_hash"), "stays"), sets, of, first)
-    hashed = docs.withColumn(hash_, F.xxhash64(text_or_empty())).alias("d")
+    may = fresh_name(docs, "may")
+    hashed = docs.withColumn(hash_, F.xxhash64(text_or_empty()))
+    hashed = marked(hashed, F.xxhash64("doc_id", F.col(hash_)), judged.select(F.xxhash64("judged_id", "judged_hash").alias("key")), may)
+    clear, hashed = hashed.where(~F.col(may)).select(*[F.col(f"`{c}`") for c in docs.columns]), hashed.where(may).alias("d")
     own = [F.col(f"d.`{c}`") for c in docs.columns]
 
     def same(other: DataFrame) -> Column:
         return F.col("d.doc_id").eqNullSafe(other["judged_id"]) & (F.col(f"d.{hash_}") == other["judged_hash"])
 
-    single = hashed.join(judged, same(judged), "left_anti").select(*own)
+    single = clear.unionByName(hashed.join(judged, same(judged), "left_anti").select(*own))
     repeated = judged.where("stays")
     if repeated.isEmpty():
         return single

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import op1_jaccard, op2_urls, op3_audio, op4_tokens, op5_shards, op6_pieces, op7_html, op8_langid, op9_leaks, op10_secrets
+from graphloom.llm.common import marked
 from graphloom.llm.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -101,6 +102,34 @@ def test_keep_one_of_repeated_rows_null_ids_and_shared_ids(spark):
     assert [t for i, t in kept if i is None][0] in (b, b + " more")
 
 
+def test_keep_one_moves_only_texts_that_may_go(spark):
+    rng, sc = np.random.default_rng(7), spark.sparkContext._jsc.sc()
+    texts = [" ".join(rng.bytes(40).hex() for _ in range(40)) for _ in range(300)]
+    docs = spark.createDataFrame([*enumerate(texts), (1000, texts[0]), (1001, texts[1] + " end")], "doc_id long, text string")
+
+    def moved():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before, threshold = moved(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the keys are too many for that
+    try:
+        assert sorted(r.doc_id for r in op1_jaccard.keep_one(docs).collect()) == list(range(300))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert moved() - before < sum(map(len, texts))
+
+
+def test_marked_holds_all_keys_and_few_others(spark):
+    rows = spark.range(20000).select("id", F.xxhash64("id").alias("a.key"))
+    keys = rows.where("id % 10 = 0").select(F.col("`a.key`").alias("key"))
+    got = marked(rows, F.col("`a.key`"), keys, "may")
+    assert got.columns == ["id", "a.key", "may"] and got.count() == 20000
+    may = {r.id for r in got.where("may").collect()}
+    assert may >= set(range(0, 20000, 10)) and len(may) < 2600
+    assert marked(rows, F.col("`a.key`"), keys.limit(0), "may").where("may").isEmpty()
+
+
 def test_urls(spark):
     urls = ["https://a.EXAMPLE.com/en/x?q", "http://www.example.com/en/1", "https://x.net/es/#y", "http://com", None, "no url", "http://other.org/a", "http://net/fr/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
