@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.lineage import cut, numbered
+from graphloom.operators.lineage import numbered
 
 
 def node_document(columns: list[str]) -> Column:
@@ -18,7 +18,7 @@ def node_document(columns: list[str]) -> Column:
     return F.make_valid_utf8(whole)
 
 
-def edge_document(columns: list[str]) -> Column:
+def edge_document(columns: list[str | Column]) -> Column:
     """{"data": {...}} of an edge with `columns`, without null fields."""
     return F.to_json(F.struct(F.struct(*columns).alias("data")))
 
@@ -55,21 +55,23 @@ def document(plugin: DataFrame, nodes: DataFrame, edges: DataFrame, cycles: Data
     return parts.crossJoin(told).select(F.concat(F.lit('{"plugin":'), F.coalesce("p", F.lit("{}")), F.lit(',"nodes":['), "n", F.lit('],"edges":['), "e", F.lit('],"cycles":['), "c", F.lit("]}")).alias("document"))
 
 
-def document_lines(plugin: DataFrame, nodes: DataFrame, edges: DataFrame, cycles: DataFrame) -> DataFrame:
+def document_lines(plugin: DataFrame, nodes: DataFrame, edges: DataFrame, cycles: DataFrame, order: tuple[list[str], list[str]] = (["seq", "id"], ["seq", "id"]), edge_id: Column | None = None) -> DataFrame:
     """section, n, text: the lines of document(), so that all texts by section and n, one after the other, are the JSON.
 
-    Only the sizes of partitions are summed up in one place; no task holds more than its own lines."""
+    Nodes and edges are in the two `order`s; `edge_id` is the id of edges that have no such column. What moves and is
+    written is a row's columns; texts and `edge_id` are worked out when lines are read. Only the sizes of partitions
+    are summed up in one place; no task holds more than its own lines."""
     spark = plugin.sparkSession
     told = plugin.agg(F.first(F.to_json(F.struct(*plugin.columns), {"ignoreNullFields": "false"})).alias("p"))
     head = told.select(F.lit(0).alias("section"), F.lit(0).cast("bigint").alias("n"), F.concat(F.lit('{"plugin":'), F.coalesce("p", F.lit("{}")), F.lit(',"nodes":[')).alias("text"))
     between = spark.createDataFrame([(2, 0, '],"edges":['), (4, 0, '],"cycles":['), (6, 0, "]}")], "section int, n long, text string")
 
     def listed(rows: DataFrame, order: list[str], section: int, text: Column) -> DataFrame:
-        placed = numbered(cut(rows.select(*order, text.alias("text__")), fine=True), order, "n")
-        return placed.select(F.lit(section).alias("section"), "n", F.concat(F.when(F.col("n") > 0, ",").otherwise(""), "text__").alias("text"))
+        placed = numbered(rows, order, "n__")
+        return placed.select(F.lit(section).alias("section"), F.col("n__").alias("n"), F.concat(F.when(F.col("n__") > 0, ",").otherwise(""), text).alias("text"))
 
-    shown = listed(nodes, ["seq", "id"], 1, node_document(nodes.drop("seq").columns))
-    joined = listed(edges, ["seq", "id"], 3, edge_document(edges.drop("seq").columns))
+    shown = listed(nodes, order[0], 1, node_document(nodes.drop("seq").columns))
+    joined = listed(edges, order[1], 3, edge_document([*([] if edge_id is None else [edge_id.alias("id")]), *edges.drop("seq").columns]))
     rings = listed(cycles.select("component", "nth", "path"), ["component", "nth"], 5, F.to_json("path"))
     return head.union(between).union(shown).union(joined).union(rings)
 

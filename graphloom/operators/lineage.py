@@ -48,11 +48,12 @@ def cut(df: DataFrame, *gone: DataFrame, fine: bool = False) -> DataFrame:
     """`df` as a table in the shared folder, so that lost executors cost no earlier work and the planner knows its
     size. The tables behind `gone`, results of cut() that nothing reads any more, are deleted.
 
-    With `fine`, no task of it is handed more than some 32 MB of a shuffle, so its memory does not grow with the input."""
+    With `fine`, no task of it is handed more than some 32 MB of a shuffle, so its memory does not grow with the input.
+    Each partition is one file, whatever the session says."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
     with shuffle_files_go(spark), _held(spark, FINE if fine else {}, _FINE_USERS):
-        df.write.parquet(path)
+        df.write.option("maxRecordsPerFile", 0).parquet(path)
     drop(*gone)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
@@ -108,9 +109,10 @@ def cut_into(df: DataFrame, rows: int, *gone: DataFrame, rows_per_task: int = 10
 def numbered(df: DataFrame, order: list[str | Column], name: str, start: int = 0) -> DataFrame:
     """`df` with `name`: the position of each row in `order`, gapless.
 
-    Rows are dealt by range and sorted in their partitions; only the partitions' sizes are summed up in one
-    place. `order` has to be unique for the numbers to be the same each time."""
-    placed = cut(df.repartitionByRange(*[F.col(c) if isinstance(c, str) else c for c in order]).sortWithinPartitions(*order).withColumn("part__", F.spark_partition_id()).withColumn("row__", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), fine=True)
+    Rows are dealt by range and sorted in their partitions, and a row's place is that in its part's file, so no number
+    is stored; only the partitions' sizes are summed up in one place. `df` is worked out twice, for the ranges and for
+    the table. `order` has to be unique for the numbers to be the same each time."""
+    placed = cut(df.repartitionByRange(*[F.col(c) if isinstance(c, str) else c for c in order]).sortWithinPartitions(*order).withColumn("part__", F.spark_partition_id()), fine=True)
     sizes = placed.groupBy("part__").count()
     first = sizes.select("part__", F.coalesce(F.sum("count").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first__"))
-    return placed.join(F.broadcast(first), "part__").withColumn(name, (F.col("first__") + F.col("row__") + start).cast("bigint")).select(*df.columns, name)
+    return placed.withColumn("row__", F.col("_metadata.row_index")).join(F.broadcast(first), "part__").withColumn(name, (F.col("first__") + F.col("row__") + start).cast("bigint")).select(*df.columns, name)

@@ -520,11 +520,10 @@ def _(spark, d):
 def _(spark, d):
     from graphloom.operators.export import document_lines
 
-    nodes = star_nodes(spark, d).select("id", F.col("id").alias("seq"), "label", "type", "file", "is_library")
-    edges = star_edges(spark, d).select(F.concat_ws(">", "source", "type", "target").alias("id"), "source", "target", "type").withColumn("seq", F.struct("source", "type", "target"))
+    nodes = star_nodes(spark, d)
     plugin = read(spark, d, "region").agg(F.lit("star").alias("name"))
     cycles = nodes.where("false").select(F.col("id").alias("component"), F.lit(0).alias("nth"), F.array("id").alias("path"))
-    return document_lines(plugin, nodes, edges, cycles)
+    return document_lines(plugin, nodes, star_edges(spark, d), cycles, (["id"], ["source", "type", "target"]), F.concat_ws(">", "source", "type", "target"))
 
 
 assert set(catalog.STRUCTURAL_EDGES) <= {t for t, _, _ in catalog.EDGE_TYPES}

@@ -338,6 +338,45 @@ def test_document_lines_join_nothing(spark):
     assert [r.text for r in lines if r.section == 3] == ['{"data":{"id":"e","source":"a","target":"a"}}', ',{"data":{"id":"e","source":"a","target":"b"}}']
 
 
+def tables_of(spark, make):
+    """What make() returns, and the columns of each table that it wrote."""
+    root = lineage.scratch_dir(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    out = make()
+    return out, sorted(sorted(spark.read.parquet(f"{root}/{x}").columns) for x in set(os.listdir(root)) - before)
+
+
+def test_documents_are_written_once_and_without_texts(spark):
+    nodes = spark.createDataFrame([("a", 0, "x"), ("b", 1, "y")], "id string, seq long, n string")
+    edges = spark.createDataFrame([("b", "a", "t"), ("a", "b", "t"), ("a", "b", "s")], "source string, target string, type string")
+    cycles = spark.createDataFrame([("a", 0, ["a", "b", "a"])], "component string, nth int, path array<string>")
+    plugin = spark.createDataFrame([("p",)], "name string")
+    _, columns = tables_of(spark, lambda: export.document_lines(plugin, nodes, edges.selectExpr("*", "source AS id", "struct(source, type, target) AS seq"), cycles))
+    assert columns == [["component", "nth", "part__", "path"], ["id", "n", "part__", "seq"], ["id", "part__", "seq", "source", "target", "type"]]
+    lines, columns = tables_of(spark, lambda: export.document_lines(plugin, nodes, edges, cycles, (["seq"], ["source", "type", "target"]), F.concat_ws(">", "source", "type", "target")))
+    assert columns == [["component", "nth", "part__", "path"], ["id", "n", "part__", "seq"], ["part__", "source", "target", "type"]]
+    texts = [(r.section, r.n, r.text) for r in lines.orderBy("section", "n").collect()]
+    assert [x for x in texts if x[0] == 1] == [(1, 0, '{"data":{"id":"a","n":"x"}}'), (1, 1, ',{"data":{"id":"b","n":"y"}}')]
+    ends = lambda s, t, k: f'{{"data":{{"id":"{s}>{k}>{t}","source":"{s}","target":"{t}","type":"{k}"}}}}'
+    assert [x for x in texts if x[0] == 3] == [(3, 0, ends("a", "b", "s")), (3, 1, "," + ends("a", "b", "t")), (3, 2, "," + ends("b", "a", "t"))]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_star_document_writes_no_derived_column(spark):
+    _, columns = tables_of(spark, lambda: plans.QUERIES["sk1_document"](spark, DATA))
+    assert columns == [["component", "nth", "part__", "path"], ["file", "id", "is_library", "label", "part__", "type"], ["part__", "source", "target", "type"]]
+
+
+def test_numbers_follow_files_of_any_size(spark):
+    """Sessions may ask for small files, and a file may be several splits."""
+    small = {"spark.sql.files.maxRecordsPerFile": "7", "spark.sql.files.maxPartitionBytes": "600", "spark.sql.files.openCostInBytes": "1"}
+    for few in ({}, small):
+        with lineage._held(spark, few, []):
+            got = lineage.numbered(spark.range(0, 300, 1, 5).selectExpr("id", "id % 10 AS a"), ["a", F.col("id").desc()], "nth", 3).collect()
+        assert sorted((r.nth, r.id, r.a) for r in got) == [(i + 3, k, k % 10) for i, k in enumerate(sorted(range(300), key=lambda k: (k % 10, -k)))]
+    assert lineage.numbered(spark.range(0), ["id"], "nth").collect() == []
+
+
 @pytest.mark.parametrize("size", [1, 400, 1 << 26])
 def test_components_are_those_of_a_plain_search(spark, monkeypatch, size):
     """Random graphs, chains in order and a clique, with repeats, loops, nulls and unknown nodes, in batches of any size."""
